@@ -1,0 +1 @@
+"""Operators for training-data pipelines on text. Nothing outside this subpackage imports it."""

@@ -23,8 +23,9 @@ Identifiers of 96 bits and more decide; q-gram buckets only propose.
 
 Defined cases: null text is empty; texts shorter than width lose nothing; rows
 of equal doc_id do not affect one another; rows without a doc_id lose nothing
-and affect nothing; other columns are carried by ``suffix_dedup`` only through
-``carry``.
+and affect nothing; other columns are ignored, but ``carry`` (a string column
+made of them) stays with its row. A kept text drops the rest of a character of
+which a removed span took some bytes; kept_sha256 is of the bytes themselves.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -344,7 +345,7 @@ def _apply_units(keys, prime, width, q, keep_text):
                 done = pa.array(np.flatnonzero(~waits))
                 if len(done):
                     k = len(done)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.array([8] * k, pa.int32()), *_nulls(k, [pa.binary()] * 4 + [pa.string()]), *(c.take(done) for c in out)], cols)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.array([8] * k, pa.int32()), *_nulls(k, [pa.binary()] * 3), batch.column(5).slice(a, b - a).take(done).cast(pa.binary()), pa.nulls(k, pa.string()), *(c.take(done) for c in out)], cols)
                 if len(wait):
                     k = len(wait)
                     marks = [np.packbits(gone[offsets[i] : offsets[i + 1]]).tobytes() for i in wait]
@@ -353,7 +354,7 @@ def _apply_units(keys, prime, width, q, keep_text):
                     for i in wait:
                         m = ask & (doc == i)
                         asked.append(np.stack([begin[m] - offsets[i], size[m]]).astype(np.int64).tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.array([9] * k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(marks, pa.binary()), pa.array(asked, pa.binary()), pa.nulls(k, pa.binary()), tl.take(pa.array(wait)).cast(pa.string()), pa.array([il[i] for i in wait], pa.int64()), *_nulls(k, [pa.int64()] * 3 + [pa.string()] * 2)], cols)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.array([9] * k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(marks, pa.binary()), pa.array(asked, pa.binary()), batch.column(5).slice(a, b - a).take(pa.array(wait)).cast(pa.binary()), tl.take(pa.array(wait)).cast(pa.string()), pa.array([il[i] for i in wait], pa.int64()), *_nulls(k, [pa.int64()] * 3 + [pa.string()] * 2)], cols)
                 if held[0] >= 1_000_000:
                     yield blob_batch(post(*held[1:]))
                     held[:] = [0, [], [], []]
@@ -404,27 +405,28 @@ def _apply_strings(width, keep_text):
                 at, own = np.concatenate(at), np.concatenate(own)
                 hit = _among(_answer(_string_ids(sums, at, width)[0], own), said[3])
                 gone |= _cover(at[hit], len(data), width)
-                yield pa.RecordBatch.from_arrays(_finish(ids.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist() if keep_text else [0] * (b - a), data, offsets, gone, keep_text), OUT)
+                yield pa.RecordBatch.from_arrays(_finish(ids.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist() if keep_text else [0] * (b - a), data, offsets, gone, keep_text) + [batch.column(5).slice(a, b - a).cast(pa.binary())], [*OUT, "c"])
 
         yield from _meet(one)(batches)
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, q: int = QGRAM, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of every row."""
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, q: int = QGRAM, keep_text: bool = False, carry: Column | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text and carry) of every row."""
     spark = session_of(docs)
     keys = targets(spark, partitions(spark))
     n = len(keys)
     prime = 2_147_483_647
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    carry = F.lit(None).cast("string") if carry is None else carry
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carry.cast("binary").alias("carry"))
     held = docs.where("doc_id is not null")
-    posted = map_arrow(held, _post_units(keys, prime, width, q), ROW)
+    posted = map_arrow(held.select("doc_id", "text"), _post_units(keys, prime, width, q), ROW)
     said = map_arrow(posted.repartition(n, "part"), _refine_units(keys, prime), ROW)
     home = target_column(keys, F.pmod(F.pmod(F.col("doc_id"), F.lit(prime)), F.lit(n)))
-    blank = [F.lit(None).cast("binary").alias(c) for c in ("ids", "a", "b", "c")]
+    blank = [F.lit(None).cast("binary").alias(c) for c in ("ids", "a", "b")]
     answers = said.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    texts = held.select(home.alias("part"), F.lit(9).alias("kind"), *blank, "doc_id", "text")
+    texts = held.select(home.alias("part"), F.lit(9).alias("kind"), *blank, F.col("carry").alias("c"), "doc_id", "text")
     met = answers.unionByName(texts).repartition(n, "part").sortWithinPartitions("part", "kind")
     schema = f"{ROW}, text string, {OUT_TYPES}"
     path = f"{checkpoint_dir(spark)}/suffix-dedup-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
@@ -435,9 +437,10 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, q: int = QGRAM, keep_text:
     answers = said.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     texts = table.where("kind = 9").select(home.alias("part"), "kind", "ids", "a", "b", "c", "doc_id", "text")
     met = answers.unionByName(texts).repartition(n, "part").sortWithinPartitions("part", "kind")
-    last = map_arrow(met, _apply_strings(width, keep_text), OUT_TYPES)
-    out = table.where("kind = 8").select(*OUT).unionByName(last)
+    last = map_arrow(met, _apply_strings(width, keep_text), f"{OUT_TYPES}, c binary")
+    out = table.where("kind = 8").select(*OUT, "c").unionByName(last)
     lone = docs.where("doc_id is null")
     size, text = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), F.coalesce("text", F.lit(""))
-    out = out.unionByName(lone.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("kept_text")))
-    return out if keep_text else out.drop("kept_text")
+    out = out.unionByName(lone.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("kept_text"), F.col("carry").alias("c")))
+    out = out.withColumn("carry", F.col("c").cast("string")).drop("c")
+    return out if keep_text else out.drop("kept_text", "carry")
