@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .spark import components, cut, map_arrow, partitions, session_of, target_column, targets
 
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 6 << 20
 
 
 def bands(num: int, den: int, most: int = 1 << 26) -> list[tuple[int, int, int, int]]:

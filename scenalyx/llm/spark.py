@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -44,10 +46,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextmanager
+def free_shuffles(spark: SparkSession):
+    """Executions in this block drop their shuffle files at their end: their results are in shared files by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint; its files go when the frame does."""
     checkpoint_dir(session_of(df))
-    return df.checkpoint(eager=True)
+    with free_shuffles(session_of(df)):
+        return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a table in the shared folder: smaller than a checkpoint for packed columns."""
+    spark = session_of(df)
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with free_shuffles(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -55,8 +79,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB: a worker's memory then follows the kernels' chunks, not ten thousand whole texts."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = spark.conf.get(key, None)
+        now = int(now) if now and now.isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(session_of(df))
+    small_batches(session_of(df))
     return df.mapInArrow(fn, schema)
 
 

@@ -16,10 +16,12 @@ bucket identifiers in place of text:
    take no part: the smallest document of a string is never decided by others.
 
 Answers go back to the documents as hashed identifiers, and a document finds its
-own by computing them again, so texts move twice at most: to meet the answers of
-step 2, and of these only those with open starts to meet the answers of step 3.
+own by computing them again. So texts move twice: to meet the answers of step 2
+and say which strings are open, and to meet all answers and lose their bytes.
+Answers and open strings are tables in the shared folder between the steps.
 Equal postings fold to the smallest document in each task before they move.
-Identifiers of 96 bits and more decide; q-gram buckets only propose.
+Identifiers of 80 bits, and the partition they were dealt to, decide; q-gram
+buckets only propose.
 
 Defined cases: null text is empty; texts shorter than width lose nothing; rows
 of equal doc_id do not affect one another; rows without a doc_id lose nothing
@@ -38,10 +40,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .spark import checkpoint_dir, map_arrow, partitions, session_of, target_column, targets
+from .spark import map_arrow, partitions, session_of, target_column, targets, written
 
-WIDTH, QGRAM = 50, 12
-FLUSH_BYTES = 12 << 20
+WIDTH, QGRAM = 50, 20
+FLUSH_BYTES = 6 << 20
 ROW = "part int, kind int, ids binary, a binary, b binary, c binary"
 
 
@@ -111,6 +113,30 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])], ["part", "kind", "ids", "a", "b", "c"])
 
 
+def _planes(values, size):
+    """The low bytes of each value, byte by byte, so that equal high bytes stand together and compress."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def _values(raw, size):
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(size, -1).T
+    return out.view("<u8").ravel()
+
+
+def _pack(doc, a, a_size, b, b_size):
+    """Postings (document, a, b) as packed columns; a is sorted and held as differences."""
+    order = np.argsort(a, kind="stable")
+    ids, index = np.unique(doc[order], return_inverse=True)
+    return ids.tobytes(), _planes(np.diff(a[order], prepend=K.U64(0)), a_size), _planes(b[order], b_size), index.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32).tobytes()
+
+
+def _unpack(ids, a, a_size, b, b_size, c):
+    a = np.cumsum(_values(a, a_size), dtype=np.uint64)
+    index = np.frombuffer(c, np.uint16 if len(c) == 2 * len(a) else np.uint32)
+    return np.frombuffer(ids, np.int64)[index], a, _values(b, b_size)
+
+
 def _home(doc_id, prime, n):
     return np.mod(doc_id, prime) % n
 
@@ -139,13 +165,12 @@ def _post_units(keys, prime, width, q):
         rows = []
         known = np.flatnonzero(doc > least)  # decided within this task
         if len(known):
-            said = _answer(_unit_key(gram[known], extent[known]), doc[known])
+            said = _answer(_unit_key(gram[known] & K.U64(0xFFFFFFFF), extent[known] >> K.U64(16)), doc[known])
             rows += _blobs(_home(doc[known], prime, n), keys, n, lambda i: (None, np.unique(said[i]).tobytes(), None, None), 1)
         doc, gram, extent = doc[head], gram[head], extent[head]
 
         def make(i):
-            ids, index = np.unique(doc[i], return_inverse=True)
-            return ids.tobytes(), (gram[i] & K.U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), extent[i].tobytes(), index.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32).tobytes()
+            return _pack(doc[i], gram[i] & K.U64(0xFFFFFFFF), 4, extent[i] >> K.U64(16), 6)
 
         return _batch(rows + _blobs(_deal_by_id(gram, n), keys, n, make, 0))
 
@@ -168,7 +193,7 @@ def _post_units(keys, prime, width, q):
     return run
 
 
-def _gather(batches):
+def _gather(batches, a_size, b_size):
     """Postings of a partition's rows of kind 0 (document, a, b), and other rows as they are."""
     doc, one, two, rest = [], [], [], []
     for batch in batches:
@@ -176,11 +201,10 @@ def _gather(batches):
             if kind:
                 rest.append((part, kind, ids, a, b, c))
                 continue
-            ids = np.frombuffer(ids, np.int64)
-            a = np.frombuffer(a, np.uint32)
-            doc.append(ids[np.frombuffer(c, np.uint16 if len(c) == 2 * len(a) else np.uint32)])
-            one.append(a)
-            two.append(np.frombuffer(b, np.uint64))
+            d, x, y = _unpack(ids, a, a_size, b, b_size, c)
+            doc.append(d)
+            one.append(x)
+            two.append(y)
     return doc, one, two, rest
 
 
@@ -189,7 +213,7 @@ def _refine_units(keys, prime):
     n = len(keys)
 
     def run(batches):
-        doc, gram, extent, rest = _gather(batches)
+        doc, gram, extent, rest = _gather(batches, 4, 6)
         for at in range(0, len(rest), 1000):
             yield _batch(rest[at : at + 1000])
         if not doc:
@@ -206,10 +230,10 @@ def _refine_units(keys, prime):
         low, high = np.minimum.reduceat(d, np.flatnonzero(start)), np.maximum.reduceat(d, np.flatnonzero(start))
         open_ = (low != high)[group]
         known = doc > least
-        # the full q-gram hash is not here: the answer names the extent alone, salted by 32 bits of the q-gram
+        # 32 bits of the q-gram and 48 of the extent are here, and the place: answers name a unit by these
         for kind, dd, gg, xx in ((1, doc[known], gram[known], extent[known]), (2, d[open_], g[open_], x[open_])):
             if len(dd):
-                said = _answer(_unit_key(gg.astype(np.uint64), xx), dd)
+                said = _answer(_unit_key(gg, xx), dd)
                 yield _batch(_blobs(_home(dd, prime, n), keys, n, lambda i, said=said: (None, np.unique(said[i]).tobytes(), None, None), kind))
 
     return run
@@ -283,98 +307,71 @@ def _among(values, table):
     return table[at] == values
 
 
-def _apply_units(keys, prime, width, q, keep_text):
-    """Documents meet the answers of the first refinement: done, or open with the starts to refine."""
+def _known_units(data, offsets, ids, said, width, q):
+    """Units of a chunk with what the answers say: starts of decided units, of open ones, and their documents."""
+    doc, begin, end, gram, extent, sums = units(data, offsets, width, q)
+    own = ids[doc]
+    name = _answer(_unit_key(gram & K.U64(0xFFFFFFFF), extent >> K.U64(16)), own)
+    decided = _among(name, said[1])
+    ask = ~decided & _among(name, said[2])
+    size = end - begin
+
+    def starts(mask):
+        m = size[mask]
+        return np.repeat(begin[mask] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+
+    return starts(decided), starts(ask), np.repeat(own[ask], size[ask]), sums
+
+
+def _post_strings(keys, prime, width, q):
+    """Documents meet the answers of the first refinement and post the strings of their open starts."""
     n = len(keys)
-    cols = ["part", "kind", "ids", "a", "b", "c", "text", *OUT]
 
-    def post(doc, one, two):
+    def emit(doc, one, two):
         doc, one, two = (np.concatenate(x) for x in (doc, one, two))
         order, head, of = _fold(one, two, doc)
         doc, one, two = doc[order], one[order], two[order]
-        least = doc[head][of]
-        rows, known = [], np.flatnonzero(doc > least)
+        rows, known = [], np.flatnonzero(doc > doc[head][of])
         if len(known):
             said = _answer(one[known], doc[known])
             rows += _blobs(_home(doc[known], prime, n), keys, n, lambda i: (None, np.unique(said[i]).tobytes(), None, None), 3)
         doc, one, two = doc[head], one[head], two[head]
-
-        def make(i):
-            ids, index = np.unique(doc[i], return_inverse=True)
-            return ids.tobytes(), (two[i] & K.U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), one[i].tobytes(), index.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32).tobytes()
-
-        return rows + _blobs(_deal_by_id(one, n), keys, n, make, 0)
-
-    def blob_batch(rows):
-        base = _batch(rows)
-        return pa.RecordBatch.from_arrays([*base.columns, *_nulls(len(rows), [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])], cols)
+        return _batch(rows + _blobs(_deal_by_id(one, n), keys, n, lambda i: _pack(doc[i], one[i], 8, two[i] & K.U64(0xFFFF), 2), 0))
 
     def run(batches):
         held = [0, [], [], []]
 
-        def one(said, batch):
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            texts = batch.column(batch.schema.get_field_index("text"))
-            ids_np = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+        def each(said, batch):
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, data, offsets in K.chunks(batch, "text"):
-                doc, begin, end, gram, extent, sums = units(data, offsets, width, q)
-                own = ids_np[a:b][doc]
-                full = _answer(_unit_key(gram, extent), own)
-                brief = _answer(_unit_key(gram & K.U64(0xFFFFFFFF), extent), own)
-                decided = _among(full, said[1]) | _among(brief, said[1])
-                ask = ~decided & _among(brief, said[2])
-                size = end - begin
-
-                def starts(mask, begin=begin, size=size):
-                    m = size[mask]
-                    return np.repeat(begin[mask] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-
-                gone = _cover(starts(decided), len(data), width)
-                waits = np.zeros(b - a, bool)
-                if ask.any():
-                    waits[doc[ask]] = True
-                    at = starts(ask)
+                _, at, own, sums = _known_units(data, offsets, ids[a:b], said, width, q)
+                if len(at):
                     x, y = _string_ids(sums, at, width)
-                    held[1].append(np.repeat(own[ask], size[ask]))
+                    held[1].append(own)
                     held[2].append(x)
                     held[3].append(y)
                     held[0] += len(at)
-                tl, il = texts.slice(a, b - a), ids.slice(a, b - a).to_pylist()
-                out = _finish(il, tl.to_pylist() if keep_text else [0] * (b - a), data, offsets, gone, keep_text)
-                wait = np.flatnonzero(waits)
-                done = pa.array(np.flatnonzero(~waits))
-                if len(done):
-                    k = len(done)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.array([8] * k, pa.int32()), *_nulls(k, [pa.binary()] * 3), batch.column(5).slice(a, b - a).take(done).cast(pa.binary()), pa.nulls(k, pa.string()), *(c.take(done) for c in out)], cols)
-                if len(wait):
-                    k = len(wait)
-                    marks = [np.packbits(gone[offsets[i] : offsets[i + 1]]).tobytes() for i in wait]
-                    # the starts asked about, as (begin, size) pairs within the text
-                    asked = []
-                    for i in wait:
-                        m = ask & (doc == i)
-                        asked.append(np.stack([begin[m] - offsets[i], size[m]]).astype(np.int64).tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.array([9] * k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(marks, pa.binary()), pa.array(asked, pa.binary()), batch.column(5).slice(a, b - a).take(pa.array(wait)).cast(pa.binary()), tl.take(pa.array(wait)).cast(pa.string()), pa.array([il[i] for i in wait], pa.int64()), *_nulls(k, [pa.int64()] * 3 + [pa.string()] * 2)], cols)
                 if held[0] >= 1_000_000:
-                    yield blob_batch(post(*held[1:]))
+                    yield emit(*held[1:])
                     held[:] = [0, [], [], []]
 
-        yield from _meet(one)(batches)
+        yield from _meet(each)(batches)
         if held[0]:
-            yield blob_batch(post(*held[1:]))
+            yield emit(*held[1:])
 
     return run
 
 
 def _refine_strings(keys, prime):
+    """Kind 3 answers: strings that a smaller document has."""
     n = len(keys)
 
     def run(batches):
-        doc, two, one, rest = _gather(batches)
+        doc, one, two, rest = _gather(batches, 8, 2)
         for at in range(0, len(rest), 1000):
             yield _batch(rest[at : at + 1000])
         if doc:
-            doc, two, one = np.concatenate(doc), np.concatenate(two), np.concatenate(one)
+            doc, one, two = np.concatenate(doc), np.concatenate(one), np.concatenate(two)
             order, head, of = _fold(one, two, doc)
             doc, one = doc[order], one[order]
             known = doc > doc[head][of]
@@ -385,29 +382,22 @@ def _refine_strings(keys, prime):
     return run
 
 
-def _apply_strings(width, keep_text):
+def _remove(width, q, keep_text):
+    """Documents meet all answers and lose their bytes."""
+
     def run(batches):
-        def one(said, batch):
+        def each(said, batch):
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             ids_np = ids.to_numpy(zero_copy_only=False).astype(np.int64)
             texts = batch.column(batch.schema.get_field_index("text"))
-            marks, asked = batch.column(3), batch.column(4)
             for a, b, data, offsets in K.chunks(batch, "text"):
-                sums = K.prefix_hash(data)
-                gone = np.zeros(len(data), bool)
-                at, own = [], []
-                for i in range(b - a):
-                    size = int(offsets[i + 1] - offsets[i])
-                    gone[offsets[i] : offsets[i + 1]] = np.unpackbits(np.frombuffer(marks[a + i].as_py(), np.uint8), count=size).astype(bool)
-                    begin, m = np.frombuffer(asked[a + i].as_py(), np.int64).reshape(2, -1)
-                    at.append(np.repeat(begin - (np.cumsum(m) - m), m) + np.arange(m.sum()) + offsets[i])
-                    own.append(np.full(len(at[-1]), ids_np[a + i]))
-                at, own = np.concatenate(at), np.concatenate(own)
+                decided, at, own, sums = _known_units(data, offsets, ids_np[a:b], said, width, q)
                 hit = _among(_answer(_string_ids(sums, at, width)[0], own), said[3])
-                gone |= _cover(at[hit], len(data), width)
-                yield pa.RecordBatch.from_arrays(_finish(ids.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist() if keep_text else [0] * (b - a), data, offsets, gone, keep_text) + [batch.column(5).slice(a, b - a).cast(pa.binary())], [*OUT, "c"])
+                gone = _cover(np.concatenate([decided, at[hit]]), len(data), width)
+                out = _finish(ids.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist() if keep_text else [0] * (b - a), data, offsets, gone, keep_text)
+                yield pa.RecordBatch.from_arrays([*out, batch.column(5).slice(a, b - a).cast(pa.binary())], [*OUT, "c"])
 
-        yield from _meet(one)(batches)
+        yield from _meet(each)(batches)
 
     return run
 
@@ -425,20 +415,16 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, q: int = QGRAM, keep_text:
     said = map_arrow(posted.repartition(n, "part"), _refine_units(keys, prime), ROW)
     home = target_column(keys, F.pmod(F.pmod(F.col("doc_id"), F.lit(prime)), F.lit(n)))
     blank = [F.lit(None).cast("binary").alias(c) for c in ("ids", "a", "b")]
-    answers = said.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    texts = held.select(home.alias("part"), F.lit(9).alias("kind"), *blank, F.col("carry").alias("c"), "doc_id", "text")
-    met = answers.unionByName(texts).repartition(n, "part").sortWithinPartitions("part", "kind")
-    schema = f"{ROW}, text string, {OUT_TYPES}"
-    path = f"{checkpoint_dir(spark)}/suffix-dedup-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-    map_arrow(met, _apply_units(keys, prime, width, q, keep_text), schema).write.parquet(path)
-    table = spark.read.schema(schema).parquet(path)
-    open_ = table.where("kind in (0, 3)").select("part", "kind", "ids", "a", "b", "c")
-    said = map_arrow(open_.repartition(n, "part"), _refine_strings(keys, prime), ROW)
-    answers = said.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    texts = table.where("kind = 9").select(home.alias("part"), "kind", "ids", "a", "b", "c", "doc_id", "text")
-    met = answers.unionByName(texts).repartition(n, "part").sortWithinPartitions("part", "kind")
-    last = map_arrow(met, _apply_strings(width, keep_text), f"{OUT_TYPES}, c binary")
-    out = table.where("kind = 8").select(*OUT, "c").unionByName(last)
+
+    def met(answers: DataFrame, carried: Column) -> DataFrame:
+        answers = answers.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+        texts = held.select(home.alias("part"), F.lit(9).alias("kind"), *blank, carried.alias("c"), "doc_id", "text")
+        return answers.unionByName(texts).repartition(n, "part").sortWithinPartitions("part", "kind")
+
+    said = written(said, "suffix-dedup-units")
+    strings = written(map_arrow(met(said, F.lit(None).cast("binary")), _post_strings(keys, prime, width, q), ROW), "suffix-dedup-strings")
+    last = written(map_arrow(strings.repartition(n, "part"), _refine_strings(keys, prime), ROW), "suffix-dedup-answers")
+    out = map_arrow(met(said.unionByName(last), F.col("carry")), _remove(width, q, keep_text), f"{OUT_TYPES}, c binary")
     lone = docs.where("doc_id is null")
     size, text = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), F.coalesce("text", F.lit(""))
     out = out.unionByName(lone.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("kept_text"), F.col("carry").alias("c")))
