@@ -1,6 +1,471 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries over the driver's tables, each beside its oracle SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.expr import rounded
+from ..operators import inference as I
+from ..operators import moments as M
+from ..operators import panel as P
+from ..operators import portfolio as B
+from ..operators import scoring as S
+from ..sources.tables import keep_last, table
+from .oracle_base import with_base
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+ALPHA = 0.05
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = with_base(sql)
+        return fn
+
+    return add
+
+
+def _panel(spark: SparkSession, d: str) -> DataFrame:
+    return P.fill(P.cleaned(P.price_panel(table(spark, d, "lineitem"), table(spark, d, "part"), "week")))
+
+
+def _rets(spark, d):
+    return P.returns(P.complete(_panel(spark, d)))
+
+
+def _term(spark, d):
+    return P.terminal(_rets(spark, d))
+
+
+def _is(spark, d):
+    return _term(spark, d).where("segment = 'is'")
+
+
+def _obs(spark, d):
+    return _term(spark, d).where("segment = 'oos' and is_nonoverlap").select("asset", "date", F.col("tret").alias("y"))
+
+
+def _scen(spark, d):
+    return M.scenario_models(_is(spark, d)).coalesce(4)
+
+
+def _r(df: DataFrame, *cols: str) -> DataFrame:
+    """Round the doubles, keep the rest, in the given order."""
+    kinds = dict(df.dtypes)
+    return df.select(*[rounded(c).alias(c) if kinds[c] == "double" else F.col(c) for c in (cols or df.columns)])
+
+
+def R(*cols: str) -> str:
+    return ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in cols)
+
+
+# panel and quality
+
+
+@query("panel_coverage", f"SELECT asset, count(*) AS n_dates, count(raw) AS n_obs, round(avg(CASE WHEN raw IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS coverage, min(CASE WHEN raw IS NOT NULL THEN date END) AS first_obs, max(CASE WHEN raw IS NOT NULL THEN date END) AS last_obs, count(*) FILTER (raw IS NULL AND price IS NOT NULL) AS imputed, count(*) FILTER (price IS NULL) AS unresolved FROM filled GROUP BY asset")
+def panel_coverage(spark, d):
+    return _r(P.coverage(_panel(spark, d)))
+
+
+@query("panel_gap_runs", "SELECT asset, max(CASE WHEN flag = 1 THEN n ELSE 0 END) AS longest_gap FROM (SELECT asset, flag, island, count(*) AS n FROM (SELECT asset, flag, rn - row_number() OVER (PARTITION BY asset, flag ORDER BY date) AS island FROM (SELECT asset, date, (raw IS NULL)::INT AS flag, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn FROM grid)) GROUP BY ALL) GROUP BY asset")
+def panel_gap_runs(spark, d):
+    return P.longest_run(_panel(spark, d), ["asset"], F.col("raw").isNull(), "longest_gap")
+
+
+@query("panel_ffill_bounded", f"SELECT date, asset, {R('raw', 'price')} FROM filled")
+def panel_ffill_bounded(spark, d):
+    return _r(_panel(spark, d), "date", "asset", "raw", "price")
+
+
+@query("panel_complete_dates", "SELECT DISTINCT date FROM complete")
+def panel_complete_dates(spark, d):
+    return P.complete(_panel(spark, d)).select("date").distinct()
+
+
+@query("dedup_keep_last", "SELECT date_trunc('hour', ts) AS hour, event_type, arg_max(event_id, event_id) AS event_id, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY 1, 2")
+def dedup_keep_last(spark, d):
+    e = table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("hour"), "event_type", "event_id", "value").withColumn("seq", F.col("event_id"))
+    return _r(keep_last(e, ["hour", "event_type"], "seq").select("hour", "event_type", "event_id", "value"))
+
+
+@query("returns_daily", f"SELECT date, asset, {R('ret')} FROM (SELECT date, asset, price / p0 - 1 AS ret FROM lagged WHERE p0 IS NOT NULL)")
+def returns_daily(spark, d):
+    return _r(P.returns(P.complete(_panel(spark, d)), exclude_imputed=False), "date", "asset", "ret")
+
+
+@query("returns_endpoint_exclusion", f"SELECT date, asset, {R('ret')} FROM returns")
+def returns_endpoint_exclusion(spark, d):
+    return _r(_rets(spark, d), "date", "asset", "ret")
+
+
+@query("split_is_oos", "SELECT segment, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM returns GROUP BY segment")
+def split_is_oos(spark, d):
+    return _rets(spark, d).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+@query("zero_run_quality", f"SELECT asset, segment, n, {R('zero_rate', 'vol')}, max_zero_run FROM quality")
+def zero_run_quality(spark, d):
+    return _r(P.quality(_panel(spark, d), _rets(spark, d)), "asset", "segment", "n", "zero_rate", "vol", "max_zero_run")
+
+
+@query("quality_flags_by_segment", "SELECT asset, flag_is, flag_oos, flag_oos AND NOT flag_is AS deteriorates FROM (SELECT asset, bool_or(bad) FILTER (segment = 'is') AS flag_is, bool_or(bad) FILTER (segment = 'oos') AS flag_oos FROM (SELECT *, zero_rate > 0.03 OR max_zero_run > 5 OR round(vol, 8) > 0.16 AS bad FROM quality) GROUP BY asset)")
+def quality_flags_by_segment(spark, d):
+    return P.flags(P.quality(_panel(spark, d), _rets(spark, d)), 0.03, 5, 0.16)
+
+
+@query("universe_selection", f"SELECT c.asset, reason = '' AS selected, reason, sum((reason = '')::INT) OVER () >= 2 AS enough, {R('vol_oos')} FROM (SELECT asset, concat_ws('+', CASE WHEN round(vol, 8) > 0.16 THEN 'volatility' END, CASE WHEN max_zero_run > 5 THEN 'zero_run' END) AS reason FROM quality WHERE segment = 'is') c LEFT JOIN (SELECT asset, vol AS vol_oos FROM quality WHERE segment = 'oos') o USING (asset)")
+def universe_selection(spark, d):
+    return _r(P.universe(P.quality(_panel(spark, d), _rets(spark, d)), 0.16, 5))
+
+
+@query("terminal_overlapping", f"SELECT segment, asset, date, rn, {R('tret')} FROM term")
+def terminal_overlapping(spark, d):
+    return _r(_term(spark, d), "segment", "asset", "date", "rn", "tret")
+
+
+@query("terminal_nonoverlap", f"SELECT segment, asset, date, {R('tret')} FROM term WHERE is_nonoverlap")
+def terminal_nonoverlap(spark, d):
+    return _r(_term(spark, d).where("is_nonoverlap"), "segment", "asset", "date", "tret")
+
+
+# weights and moments
+
+
+@query("ewma_weights", "SELECT date, round(p, 9) AS p FROM weights WHERE model = 'ewma'")
+def ewma_weights(spark, d):
+    return M.ewma(_is(spark, d)).select("date", F.round("p", 9).alias("p"))
+
+
+@query("effective_sample_size", f"SELECT model, {R('ess')} FROM (SELECT model, 1 / sum(p * p) AS ess FROM weights GROUP BY model)")
+def effective_sample_size(spark, d):
+    w = _scen(spark, d).select("model", "date", "p").distinct()
+    return _r(w.groupBy("model").agg((1 / F.sum(F.col("p") * F.col("p"))).alias("ess")))
+
+
+@query("entropy_kl_gini", f"SELECT model, {R('ess', 'entropy', 'kl', 'gini')} FROM (SELECT model, 1 / sum(p * p) AS ess, -sum(p * ln(p)) AS entropy, sum(p * ln(p * n)) AS kl, 1 + 1 / max(n)::DOUBLE - 2 * avg(cum) AS gini FROM (SELECT *, count(*) OVER (PARTITION BY model) AS n, sum(p) OVER (PARTITION BY model ORDER BY p, date ROWS UNBOUNDED PRECEDING) AS cum FROM weights) GROUP BY model)")
+def entropy_kl_gini(spark, d):
+    return _r(M.concentration(_scen(spark, d).select("model", "date", "p").distinct(), ["model"]))
+
+
+@query("topk_mass", f"SELECT model, {R('mass')} FROM (SELECT model, sum(p) AS mass FROM (SELECT model, p, row_number() OVER (PARTITION BY model ORDER BY p DESC, date) AS rn FROM weights) WHERE rn <= 20 GROUP BY model)")
+def topk_mass(spark, d):
+    w = _scen(spark, d).select("model", "date", "p").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("p"), "date")))
+    return _r(w.where("rn <= 20").groupBy("model").agg(F.sum("p").alias("mass")))
+
+
+@query("historical_scenarios", "SELECT model, asset, date, round(p, 9) AS p, round(x, 6) + 0.0::DOUBLE AS x FROM scen")
+def historical_scenarios(spark, d):
+    return _scen(spark, d).select("model", "asset", "date", F.round("p", 9).alias("p"), rounded("x").alias("x"))
+
+
+@query("weighted_moments", "SELECT model, asset, round(m1, 8) AS m1, round(m2, 8) AS m2, round(m3, 8) AS m3, round(m4, 8) AS m4 FROM moments")
+def weighted_moments(spark, d):
+    return M.moments(_scen(spark, d), ["model", "asset"]).select("model", "asset", *[F.round(f"m{k}", 8).alias(f"m{k}") for k in range(1, 5)])
+
+
+@query("skew_excess_kurtosis", f"SELECT model, asset, {R('skew', 'kurt')} FROM (SELECT model, asset, m3 / pow(m2, 1.5) AS skew, m4 / (m2 * m2) - 3 AS kurt FROM moments)")
+def skew_excess_kurtosis(spark, d):
+    m = M.moments(_scen(spark, d), ["model", "asset"])
+    return _r(m.select("model", "asset", (F.col("m3") / F.pow("m2", F.lit(1.5))).alias("skew"), (F.col("m4") / (F.col("m2") * F.col("m2")) - 3).alias("kurt")))
+
+
+@query("weighted_covariance", "SELECT model, asset_i, asset_j, round(value, 8) AS value FROM cov")
+def weighted_covariance(spark, d):
+    return M.covariance(_scen(spark, d), ["model"]).withColumn("value", F.round("value", 8))
+
+
+_SHRINK = "SELECT model, CASE WHEN sum(s * s) = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, sum(noise) / sum(s * s))) END AS intensity FROM (SELECT model, asset_i, asset_j, max(s) AS s, sum(p * p * pow(di * dj - s, 2)) AS noise FROM (SELECT *, sum(p * di * dj) OVER (PARTITION BY model, asset_i, asset_j) AS s FROM pairs WHERE asset_i < asset_j) GROUP BY ALL) GROUP BY model"
+
+
+@query("shrinkage_intensity", f"SELECT model, {R('intensity')} FROM ({_SHRINK})")
+def shrinkage_intensity(spark, d):
+    return _r(M.shrinkage(_scen(spark, d), ["model"]))
+
+
+@query("shrunk_covariance", f"SELECT model, asset_i, asset_j, round(CASE WHEN asset_i = asset_j THEN value ELSE value * (1 - intensity) END, 8) + 0.0::DOUBLE AS value FROM cov JOIN ({_SHRINK}) USING (model)")
+def shrunk_covariance(spark, d):
+    s = _scen(spark, d)
+    return M.shrunk(M.covariance(s, ["model"]), M.shrinkage(s, ["model"]), ["model"]).withColumn("value", rounded("value", 8))
+
+
+@query("corr_matrix_oos", f"SELECT asset_i, asset_j, {R('rho')} FROM (SELECT a.asset AS asset_i, b.asset AS asset_j, corr(a.ret, b.ret) AS rho FROM returns a JOIN returns b ON a.date = b.date AND a.asset < b.asset WHERE a.segment = 'oos' GROUP BY 1, 2)")
+def corr_matrix_oos(spark, d):
+    r = _rets(spark, d).where("segment = 'oos'").select("date", "asset", F.col("ret").alias("d"), F.lit(1.0).alias("p"))
+    return _r(M.pairs(r, []).where("asset_i < asset_j").groupBy("asset_i", "asset_j").agg(F.corr("di", "dj").alias("rho")))
+
+
+@query("mm_objective_components", f"SELECT model, k, {R('f')} FROM (SELECT s.model, k, avg(CASE k WHEN 1 THEN pow((s.m1 - t.m1) / sqrt(t.m2), 2) WHEN 2 THEN pow((s.m2 - t.m2) / t.m2, 2) WHEN 3 THEN pow((s.m3 - t.m3) / pow(t.m2, 1.5), 2) ELSE pow((s.m4 - t.m4) / (t.m2 * t.m2), 2) END) AS f FROM moments s JOIN moments t ON t.model = 'ewma' AND s.asset = t.asset CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY 1, 2)")
+def mm_objective_components(spark, d):
+    m = M.moments(_scen(spark, d), ["model", "asset"])
+    t = m.where("model = 'ewma'").select("asset", *[F.col(f"m{k}").alias(f"t{k}") for k in range(1, 5)])
+    sd = F.sqrt("t2")
+    parts = F.array(*[F.struct(F.lit(k).alias("k"), F.pow((F.col(f"m{k}") - F.col(f"t{k}")) / F.pow(sd, F.lit(float(k))), F.lit(2.0)).alias("f")) for k in range(1, 5)])
+    return _r(m.join(F.broadcast(t), "asset").select("model", F.explode(parts).alias("e")).groupBy("model", F.col("e.k").alias("k")).agg(F.avg("e.f").alias("f")))
+
+
+# scores
+
+
+@query("var_quantile", f"SELECT model, asset, {R('var')} FROM var")
+def var_quantile(spark, d):
+    return _r(S.value_at_risk(_scen(spark, d), ["model", "asset"], ALPHA))
+
+
+@query("expected_shortfall", f"SELECT model, asset, {R('es')} FROM (SELECT model, asset, sum(x * greatest(0.0::DOUBLE, least(p, 0.05::DOUBLE - (cum - p)))) / 0.05::DOUBLE AS es FROM cum GROUP BY 1, 2)")
+def expected_shortfall(spark, d):
+    return _r(S.expected_shortfall(_scen(spark, d), ["model", "asset"], ALPHA))
+
+
+@query("crps_by_window", f"SELECT model, date, {R('mean_crps')} FROM (SELECT model, date, avg(crps) AS mean_crps FROM crps GROUP BY 1, 2)")
+def crps_by_window(spark, d):
+    return _r(S.crps(_scen(spark, d), _obs(spark, d)).groupBy("model", "date").agg(F.avg("crps").alias("mean_crps")))
+
+
+@query("energy_score_exact", f"SELECT model, date, {R('energy')} FROM energy")
+def energy_score_exact(spark, d):
+    return _r(S.energy(_scen(spark, d), _obs(spark, d)))
+
+
+@query("variogram_score", f"SELECT model, date, {R('variogram')} FROM variogram")
+def variogram_score(spark, d):
+    return _r(S.variogram(_scen(spark, d), _obs(spark, d)))
+
+
+@query("coverage_kupiec_lr", f"SELECT model, asset, n, hits, {R('lr_uc')} FROM kupiec")
+def coverage_kupiec_lr(spark, d):
+    return _r(S.kupiec(S.hits(_scen(spark, d), _obs(spark, d), ALPHA), ALPHA))
+
+
+@query("coverage_christoffersen_lr", f"SELECT model, asset, n00, n01, n10, n11, {R('lr_ind')} FROM christoffersen")
+def coverage_christoffersen_lr(spark, d):
+    return _r(S.christoffersen(S.hits(_scen(spark, d), _obs(spark, d), ALPHA)))
+
+
+@query("conditional_coverage_p", f"SELECT model, asset, {R('lr_cc', 'p_cc')} FROM (SELECT model, asset, lr_uc + lr_ind AS lr_cc, exp(-(lr_uc + lr_ind) / 2) AS p_cc FROM kupiec JOIN christoffersen USING (model, asset))")
+def conditional_coverage_p(spark, d):
+    h = S.hits(_scen(spark, d), _obs(spark, d), ALPHA)
+    lr = F.col("lr_uc") + F.col("lr_ind")
+    return _r(S.kupiec(h, ALPHA).join(S.christoffersen(h), ["model", "asset"]).select("model", "asset", lr.alias("lr_cc"), F.exp(-lr / 2).alias("p_cc")))
+
+
+def _pit(spark, d):
+    from ..functions.expr import uniform
+
+    r = S.ranked(_scen(spark, d), _obs(spark, d))
+    v = uniform(11, "pit", F.col("model"), F.col("asset"), F.col("date"))
+    return r.select("model", "asset", "date", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("f_below") + v * (F.col("f") - F.col("f_below")))).alias("u"))
+
+
+@query("pit_values", f"SELECT model, asset, date, {R('u')} FROM pit")
+def pit_values(spark, d):
+    return _r(_pit(spark, d))
+
+
+@query("pit_histogram", "SELECT model, least(floor(round(u, 9) * 10), 9)::INT AS bin, count(*) AS n FROM pit GROUP BY 1, 2")
+def pit_histogram(spark, d):
+    return _pit(spark, d).groupBy("model", F.least(F.floor(F.round("u", 9) * 10), F.lit(9)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pit_dispersion", f"SELECT model, asset, {R('ratio')}, CASE WHEN ratio > 1.05 THEN 'underdispersed' WHEN ratio < 0.95 THEN 'overdispersed' ELSE 'calibrated' END AS label FROM (SELECT model, asset, round(var_pop(u) * 12, 6) AS ratio FROM pit GROUP BY 1, 2)")
+def pit_dispersion(spark, d):
+    g = _pit(spark, d).groupBy("model", "asset").agg(F.round(F.var_pop("u") * 12, 6).alias("ratio"))
+    return _r(g.withColumn("label", F.when(F.col("ratio") > 1.05, "underdispersed").when(F.col("ratio") < 0.95, "overdispersed").otherwise("calibrated")))
+
+
+@query("ks_statistic", f"SELECT model, asset, {R('ks')} FROM (SELECT model, asset, max(greatest(rn / n - u, u - (rn - 1) / n)) AS ks FROM (SELECT *, row_number() OVER (PARTITION BY model, asset ORDER BY u, date)::DOUBLE AS rn, count(*) OVER (PARTITION BY model, asset) AS n FROM pit) GROUP BY 1, 2)")
+def ks_statistic(spark, d):
+    w = Window.partitionBy("model", "asset")
+    u = _pit(spark, d).withColumn("rn", F.row_number().over(w.orderBy("u", "date"))).withColumn("n", F.count(F.lit(1)).over(w))
+    return _r(u.groupBy("model", "asset").agg(F.max(F.greatest(F.col("rn") / F.col("n") - F.col("u"), F.col("u") - (F.col("rn") - 1) / F.col("n"))).alias("ks")))
+
+
+# inference
+
+
+def _scores(spark, d):
+    return S.crps(_scen(spark, d), _obs(spark, d)).groupBy("model", "date").agg(F.avg("crps").alias("score")).coalesce(2)
+
+
+def _diff(spark, d):
+    return I.paired(_scores(spark, d), "ewma", "score")
+
+
+def _folded(spark, d):
+    return _diff(spark, d).withColumn("fold", F.year("date"))
+
+
+@query("paired_differences", f"SELECT benchmark, date, {R('diff')} FROM diff")
+def paired_differences(spark, d):
+    return _r(_diff(spark, d))
+
+
+@query("pooled_scores", f"SELECT model, {R('score')}, n FROM (SELECT model, avg(score) AS score, count(*) AS n FROM scores GROUP BY model)")
+def pooled_scores(spark, d):
+    return _r(_scores(spark, d).groupBy("model").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n")))
+
+
+@query("acf_pooled", "SELECT benchmark, lag, round(sum(c * CASE WHEN lag = 0 THEN c ELSE b END) / max(n), 10) AS acov FROM (SELECT benchmark, k.lag, n, c, lag(c, k.lag::INT) OVER (PARTITION BY benchmark, fold, k.lag ORDER BY date) AS b FROM (SELECT *, year(date) AS fold, diff - avg(diff) OVER (PARTITION BY benchmark) AS c, count(*) OVER (PARTITION BY benchmark) AS n FROM diff) CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS lag) k) GROUP BY 1, 2")
+def acf_pooled(spark, d):
+    return I.autocovariance(_folded(spark, d), ["benchmark"], 3, ["fold"]).withColumn("acov", F.round("acov", 10))
+
+
+_NW = "SELECT benchmark, bw, n, mean, sum(CASE WHEN lag = 0 THEN acov ELSE 2 * (1 - lag / (bw + 1.0::DOUBLE)) * acov END) AS lrv FROM (SELECT benchmark, lag, max(n) AS n, max(mean) AS mean, floor(4 * pow(max(n) / 100.0::DOUBLE, 2.0::DOUBLE / 9.0::DOUBLE)) AS bw, sum(c * CASE WHEN lag = 0 THEN c ELSE b END) / max(n) AS acov FROM (SELECT benchmark, k.lag, n, mean, c, lag(c, k.lag::INT) OVER (PARTITION BY benchmark, k.lag ORDER BY date) AS b FROM (SELECT *, avg(diff) OVER (PARTITION BY benchmark) AS mean, diff - avg(diff) OVER (PARTITION BY benchmark) AS c, count(*) OVER (PARTITION BY benchmark) AS n FROM diff) CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS lag) k) GROUP BY 1, 2) WHERE lag <= bw GROUP BY ALL"
+
+
+def _nw(spark, d):
+    diff = _diff(spark, d)
+    counts = diff.groupBy("benchmark").agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean"))
+    return I.newey_west(I.autocovariance(diff, ["benchmark"], 8), counts, ["benchmark"])
+
+
+@query("newey_west", f"SELECT benchmark, bw::BIGINT AS bw, n, round(lrv, 10) AS lrv FROM ({_NW})")
+def newey_west(spark, d):
+    return _nw(spark, d).select("benchmark", "bw", "n", F.round("lrv", 10).alias("lrv"))
+
+
+@query("dm_statistic", f"SELECT benchmark, {R('dm')} FROM (SELECT benchmark, CASE WHEN lrv > 0 THEN mean / sqrt(lrv / n) * sqrt(greatest((n + 1 - 2 * (bw + 1) + (bw + 1) * bw / n::DOUBLE) / n, 0.0::DOUBLE)) END AS dm FROM ({_NW}))")
+def dm_statistic(spark, d):
+    return _r(I.diebold_mariano(_nw(spark, d)), "benchmark", "dm")
+
+
+def _boot_sql(fold: str, tag: str) -> str:
+    return f"""SELECT benchmark, mean_diff, 2 * mean_diff - quantile_cont(mean, 0.975) AS ci_low, 2 * mean_diff - quantile_cont(mean, 0.025) AS ci_high, (count(*) FILTER (abs(round(mean - mean_diff, 12)) >= abs(round(mean_diff, 12))) + 1) / (count(*) + 1)::DOUBLE AS pvalue, avg((mean < 0)::INT::DOUBLE) AS p_better
+    FROM (SELECT benchmark, sample, sum(cum[start + take + 1] - cum[start + 1]) / sum(take) AS mean
+        FROM (SELECT *, ('0x' || substr(md5('7|block|' || {tag} sample || '|' || block), 1, 8))::BIGINT % (n - size + 1) AS start, least(size, n - block * size) AS take
+            FROM (SELECT benchmark, fold, n, cum, least(4, n) AS size, unnest(range(0, (ceil(n / least(4, n)::DOUBLE))::BIGINT)) AS block, sample FROM (SELECT benchmark, fold, count(*) AS n, list_concat([0.0::DOUBLE], list(cum ORDER BY rn)) AS cum FROM (SELECT benchmark, {fold} AS fold, row_number() OVER (PARTITION BY benchmark, {fold} ORDER BY date) AS rn, sum(diff) OVER (PARTITION BY benchmark, {fold} ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum FROM diff) GROUP BY 1, 2) CROSS JOIN range(0, 500) s(sample)))
+        GROUP BY 1, 2) JOIN (SELECT benchmark, avg(diff) AS mean_diff FROM diff GROUP BY 1) USING (benchmark) GROUP BY benchmark, mean_diff"""
+
+
+_CI = f"SELECT benchmark, {R('mean_diff', 'ci_low', 'ci_high', 'pvalue', 'p_better')} FROM "
+
+
+def _boot(spark, d):
+    diff = _diff(spark, d)
+    return I.bootstrap_ci(diff, I.block_means(diff, ["benchmark"], 4, 500, 7), ["benchmark"])
+
+
+@query("block_bootstrap_ci", f"{_CI} ({_boot_sql('0', '')})")
+def block_bootstrap_ci(spark, d):
+    return _r(_boot(spark, d))
+
+
+@query("grouped_block_bootstrap", f"{_CI} ({_boot_sql('year(date)', "fold || '|' ||")})")
+def grouped_block_bootstrap(spark, d):
+    diff = _folded(spark, d)
+    return _r(I.bootstrap_ci(diff, I.block_means(diff, ["benchmark"], 4, 500, 7, ["fold"]), ["benchmark"]))
+
+
+_HOLM = "SELECT {keys}, pvalue, least(1.0::DOUBLE, max((m - rk + 1) * pvalue) OVER (PARTITION BY {family} ORDER BY rk ROWS UNBOUNDED PRECEDING)) AS holm FROM (SELECT *, row_number() OVER (PARTITION BY {family} ORDER BY pvalue, {order}) AS rk, count(*) OVER (PARTITION BY {family}) AS m FROM ({source}))"
+
+
+@query("holm_adjust", f"SELECT benchmark, {R('pvalue', 'holm')} FROM ({_HOLM.format(keys='benchmark', family='1', order='benchmark', source=_boot_sql('0', ''))})")
+def holm_adjust(spark, d):
+    return _r(I.holm(_boot(spark, d).withColumn("one", F.lit(1)), ["one"], ["benchmark"]), "benchmark", "pvalue", "holm")
+
+
+@query("holm_by_family", f"SELECT model, asset, {R('pvalue', 'holm')} FROM ({_HOLM.format(keys='model, asset', family='model', order='asset', source='SELECT model, asset, round(exp(-(lr_uc + lr_ind) / 2), 9) AS pvalue FROM kupiec JOIN christoffersen USING (model, asset)')})")
+def holm_by_family(spark, d):
+    h = S.hits(_scen(spark, d), _obs(spark, d), ALPHA)
+    p = S.kupiec(h, ALPHA).join(S.christoffersen(h), ["model", "asset"]).select("model", "asset", F.round(F.exp(-(F.col("lr_uc") + F.col("lr_ind")) / 2), 9).alias("pvalue"))
+    return _r(I.holm(p, ["model"], ["asset"]), "model", "asset", "pvalue", "holm")
+
+
+@query("mcs_statistics")
+def mcs_statistics(spark, d):
+    return _r(I.confidence_set_statistics(_scores(spark, d), "score", 4, 500, 7))
+
+
+@query("stability_ranks", f"SELECT model, {R('mean_rank')}, min_rank, max_rank, wins, folds FROM (SELECT model, avg(rk) AS mean_rank, min(rk) AS min_rank, max(rk) AS max_rank, count(*) FILTER (rk = 1) AS wins, count(*) AS folds FROM (SELECT model, fold, rank() OVER (PARTITION BY fold ORDER BY round(score, 9)) AS rk FROM (SELECT model, year(date) AS fold, avg(score) AS score FROM scores GROUP BY 1, 2)) GROUP BY model)")
+def stability_ranks(spark, d):
+    f = _scores(spark, d).groupBy("model", F.year("date").alias("fold")).agg(F.avg("score").alias("score"))
+    r = f.withColumn("rk", F.rank().over(Window.partitionBy("fold").orderBy(F.round("score", 9))).cast("long"))
+    return _r(r.groupBy("model").agg(F.avg("rk").alias("mean_rank"), F.min("rk").alias("min_rank"), F.max("rk").alias("max_rank"), F.count_if(F.col("rk") == 1).alias("wins"), F.count(F.lit(1)).alias("folds")))
+
+
+@query("fold_excess", f"SELECT model, fold, {R('excess')} FROM (SELECT model, fold, score - min(score) OVER (PARTITION BY fold) AS excess FROM (SELECT model, year(date)::INT AS fold, avg(score) AS score FROM scores GROUP BY 1, 2))")
+def fold_excess(spark, d):
+    f = _scores(spark, d).groupBy("model", F.year("date").alias("fold")).agg(F.avg("score").alias("score"))
+    return _r(f.select("model", "fold", (F.col("score") - F.min("score").over(Window.partitionBy("fold"))).alias("excess")))
+
+
+_FOLDS = [(y, f"{y - 1}-12-31", f"{y}-01-01", f"{y}-12-31") for y in (1998, 1999, 2000, 2001)]
+
+
+@query("fold_range_join", "SELECT fold, role, asset, count(*) AS n, round(avg(ret), 6) + 0.0::DOUBLE AS mean FROM (SELECT f AS fold, CASE WHEN year(date) < f THEN 'train' ELSE 'evaluate' END AS role, asset, ret FROM returns JOIN (SELECT unnest([1998, 1999, 2000, 2001]) AS f) ON year(date) <= f) GROUP BY ALL")
+def fold_range_join(spark, d):
+    folds = spark.createDataFrame(_FOLDS, "fold int, train_end string, begin string, end string").select("fold", *[F.to_date(c).alias(c) for c in ("train_end", "begin", "end")])
+    role = F.when(F.col("date") <= F.col("train_end"), "train").when(F.col("date").between(F.col("begin"), F.col("end")), "evaluate")
+    # four configured rows
+    j = _rets(spark, d).join(F.broadcast(folds), F.col("date") <= F.col("end")).withColumn("role", role).where("role is not null")
+    return _r(j.groupBy("fold", "role", "asset").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean")))
+
+
+@query("rank_comparison_outer", f"SELECT model, rank_all, rank_late, rank_late - rank_all AS shift FROM (SELECT model, rank() OVER (ORDER BY round(avg(score), 9)) AS rank_all FROM scores GROUP BY model) FULL JOIN (SELECT model, rank() OVER (ORDER BY round(avg(score), 9)) AS rank_late FROM scores WHERE date >= DATE '2001-01-01' GROUP BY model) USING (model)")
+def rank_comparison_outer(spark, d):
+    s = _scores(spark, d)
+    rk = lambda df, name: df.groupBy("model").agg(F.avg("score").alias("s")).select("model", F.rank().over(Window.orderBy(F.round("s", 9))).cast("long").alias(name))
+    return rk(s, "rank_all").join(rk(s.where("date >= '2001-01-01'"), "rank_late"), "model", "outer").withColumn("shift", F.col("rank_late") - F.col("rank_all"))
+
+
+# portfolio
+
+
+@query("equal_inverse_variance", f"SELECT asset, {R('equal', 'inverse_variance')} FROM (SELECT asset, 1.0::DOUBLE / count(*) OVER () AS equal, (1 / v) / sum(1 / v) OVER () AS inverse_variance FROM (SELECT asset, var_pop(ret) AS v FROM returns WHERE segment = 'is' GROUP BY asset))")
+def equal_inverse_variance(spark, d):
+    return _r(B.closed_form(_rets(spark, d).where("segment = 'is'")))
+
+
+@query("rebalance_calendar", "SELECT date_trunc('quarter', date)::DATE AS quarter, min(date) AS rebalance_date FROM returns GROUP BY 1")
+def rebalance_calendar(spark, d):
+    return B.calendar(_rets(spark, d))
+
+
+@query("asof_training_cov", "SELECT rebalance_date, asset, n, round(var, 8) AS var, round(weight, 6) AS weight FROM schedule")
+def asof_training_cov(spark, d):
+    r = _rets(spark, d)
+    return B.walk_forward(r, B.calendar(r), 100).select("rebalance_date", "asset", "n", F.round("var", 8).alias("var"), F.round("weight", 6).alias("weight"))
+
+
+@query("schedule_anti_join", "SELECT DISTINCT rebalance_date FROM schedule WHERE rebalance_date NOT IN (SELECT date FROM returns)")
+def schedule_anti_join(spark, d):
+    r = _rets(spark, d)
+    s = B.walk_forward(r, B.calendar(r), 100).select("rebalance_date").distinct()
+    return s.join(r.select(F.col("date").alias("rebalance_date")).distinct(), "rebalance_date", "left_anti")
+
+
+def _ledger(spark, d):
+    r = _rets(spark, d).coalesce(2)
+    s = B.walk_forward(r, B.calendar(r), 100)
+    s = s.withColumn("even", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("rebalance_date")))
+    plans = s.select("rebalance_date", "asset", F.explode(F.array(F.struct(F.lit("inverse_variance").alias("portfolio"), F.col("weight").alias("weight")), F.struct(F.lit("equal").alias("portfolio"), F.col("even").alias("weight")))).alias("e"))
+    return B.backtest(r, plans.select("rebalance_date", "asset", "e.portfolio", "e.weight"))
+
+
+@query("backtest_wealth")
+def backtest_wealth(spark, d):
+    return _r(_ledger(spark, d))
+
+
+@query("backtest_metrics")
+def backtest_metrics(spark, d):
+    return _r(B.metrics(_ledger(spark, d), 52.0))
+
+
+@query("portfolio_diagnostics", f"SELECT model, {R('mean', 'vol', 'hhi')} FROM (SELECT model, sum(p * r) AS mean, sqrt(sum(p * r * r) - pow(sum(p * r), 2)) AS vol, max(hhi) AS hhi FROM (SELECT model, date, max(p) AS p, avg(x) AS r, 1.0::DOUBLE / count(*) AS hhi FROM scen GROUP BY 1, 2) GROUP BY model)")
+def portfolio_diagnostics(spark, d):
+    r = _scen(spark, d).groupBy("model", "date").agg(F.max("p").alias("p"), F.avg("x").alias("r"), (1.0 / F.count(F.lit(1))).alias("hhi"))
+    mean = F.sum(F.col("p") * F.col("r"))
+    return _r(r.groupBy("model").agg(mean.alias("mean"), F.sqrt(F.sum(F.col("p") * F.col("r") * F.col("r")) - mean * mean).alias("vol"), F.max("hhi").alias("hhi")))
+
+
+@query("garch_variance_recursion", "SELECT asset, round(0.1::DOUBLE * v0 * (1 - pow(0.85::DOUBLE, n)) / 0.15::DOUBLE + 0.05::DOUBLE * w + pow(0.85::DOUBLE, n) * v0, 8) AS next_variance FROM (SELECT asset, max(v0) AS v0, max(n) AS n, sum(pow(0.85::DOUBLE, n - rn) * e * e) AS w FROM (SELECT asset, ret - avg(ret) OVER (PARTITION BY asset) AS e, var_pop(ret) OVER (PARTITION BY asset) AS v0, count(*) OVER (PARTITION BY asset) AS n, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn FROM returns WHERE segment = 'is') GROUP BY asset)")
+def garch_variance_recursion(spark, d):
+    w = Window.partitionBy("asset")
+    r = _rets(spark, d).where("segment = 'is'").withColumn("e", F.col("ret") - F.avg("ret").over(w)).withColumn("v0", F.var_pop("ret").over(w))
+    g = r.groupBy("asset").agg(F.max("v0").alias("v0"), F.transform(F.sort_array(F.collect_list(F.struct("date", "e"))), lambda s: s["e"]).alias("e"))
+    step = F.aggregate("e", F.col("v0"), lambda v, e: 0.1 * F.col("v0") + 0.05 * e * e + 0.85 * v)
+    return g.select("asset", F.round(step, 8).alias("next_variance"))
