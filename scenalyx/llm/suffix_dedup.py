@@ -142,7 +142,8 @@ def _home(doc_id, prime, n):
 
 
 def _deal_by_id(high, n):
-    return ((high >> K.U64(32)) * K.U64(n) >> K.U64(32)).astype(np.int64)
+    # mixed again: hashes that were chosen for being small are not even
+    return ((K.mix(high + K.U64(0x9E6C63D0876A9A99)) >> K.U64(32)) * K.U64(n) >> K.U64(32)).astype(np.int64)
 
 
 def _fold(first, second, doc):
