@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .spark import components, cut, map_arrow, partitions, session_of, target_column, targets
+from .spark import components, map_arrow, partitions, session_of, targets, written
 
 FLUSH_BYTES = 6 << 20
 
@@ -132,6 +132,25 @@ def _fold(key, doc):
     return key[head], doc[head], link
 
 
+def _forest(link: np.ndarray) -> np.ndarray:
+    """Links (document, smallest document it reaches) that connect what the given links connect."""
+    if not len(link):
+        return link
+    ids, at = np.unique(link, return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[u], label[v])
+        for x in (label[u], label[v], u, v):
+            np.minimum.at(label, x, low)
+        while (label[label] != label).any():
+            label = label[label]
+        if (label[u] == label[v]).all():
+            break
+    off = np.flatnonzero(label != np.arange(len(ids)))
+    return np.stack([ids[off], ids[label[off]]], 1)
+
+
 def _postings(n: int, num: int, den: int, part_keys: np.ndarray):
     parts = len(part_keys)
 
@@ -145,7 +164,8 @@ def _postings(n: int, num: int, den: int, part_keys: np.ndarray):
             ids, index = np.unique(d, return_inverse=True)
             index = index.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32)
             rows.append((int(part_keys[p]), (k & K.U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ids.tobytes(), index.tobytes()))
-        deal = np.arange(len(link)) * parts // max(len(link), 1)
+        link = _forest(link)
+        deal = (K.mix(link[:, 0].astype(np.int64).view(np.uint64)) % K.U64(parts)).astype(np.int64)
         for p in np.unique(deal):
             rows.append((int(part_keys[p]), None, link[deal == p].tobytes(), None))
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -180,7 +200,7 @@ def _postings(n: int, num: int, den: int, part_keys: np.ndarray):
 
 
 def _stars(batches):
-    """Links (document, smallest document) of equal postings of one partition."""
+    """Links that connect the documents of equal postings of one partition, one for a document at most."""
     keys, docs, links = [], [], []
     for batch in batches:
         for k, ids, idx in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
@@ -195,7 +215,7 @@ def _stars(batches):
     if keys:
         links.append(_fold(np.concatenate(keys), np.concatenate(docs))[2])
     if links:
-        link = np.unique(np.concatenate(links), axis=0)
+        link = _forest(np.concatenate(links))
         for at in range(0, len(link), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(link[at : at + 50_000, 0]), pa.array(link[at : at + 50_000, 1])], ["a", "b"])
 
@@ -295,28 +315,29 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text, ...)."""
     spark = session_of(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    info = cut(map_arrow(docs, _profile(n), "doc_id long, n_shingles long, h1 long, h2 long"))
+    info = written(map_arrow(docs, _profile(n), "doc_id long, n_shingles long, h1 long, h2 long"), "jaccard-sets")
     known = info.where("doc_id is not null and n_shingles > 0")
     reps = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     same = known.join(reps, ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    keys = targets(spark, partitions(spark))
+    # postings are small: fewer partitions of them name a connected document fewer times
+    keys = targets(spark, max(1, partitions(spark) // 2))
     posted = map_arrow(docs.where("doc_id is not null"), _postings(n, num, den, keys), "part int, keys binary, ids binary, idx binary")
     stars = map_arrow(posted.repartition(len(keys), "part"), _stars, "a long, b long")
-    same = cut(same)
+    same = written(same, "jaccard-same")
     candidates = components(stars.unionByName(same))
     # a document whose every row folds into another set has nothing of its own to compare
     solo = reps.select(F.col("rep").alias("doc_id")).distinct()
     members = candidates.withColumnRenamed("node", "doc_id").join(solo, "doc_id")
     groups = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    members = cut(members.join(groups.where("members > 1"), "component").select("doc_id", F.col("component").alias("grp"), "members"))
+    members = written(members.join(groups.where("members > 1"), "component").select("doc_id", F.col("component").alias("grp"), "members"), "jaccard-members")
 
     def links(dealt: DataFrame) -> DataFrame:
         sets = map_arrow(docs.join(dealt, "doc_id"), _tile_sets(n, num, den), "grp long, tile int, salt int, doc_id long, size long, items binary")
-        placed = sets.repartition(len(keys), "grp", "tile", "salt").sortWithinPartitions("grp", "tile", "salt")
+        placed = sets.repartition(partitions(spark), "grp", "tile", "salt").sortWithinPartitions("grp", "tile", "salt")
         return map_arrow(placed, _links(num, den), "a long, b long")
 
     salts = F.ceil(F.col("members") / F.lit(group_limit)).cast("int")
-    found = cut(links(members.select("doc_id", "grp", salts.alias("salts"), F.lit(False).alias("spread"))))
+    found = written(links(members.select("doc_id", "grp", salts.alias("salts"), F.lit(False).alias("spread"))), "jaccard-links")
     linked = found.unionByName(same)
     large = members.where(F.col("members") > group_limit)
     if large.limit(1).count():
@@ -326,7 +347,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         most = sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("classes"))
         open_ = label.join(most.where("classes > 1"), "grp")
         again = open_.select("doc_id", "grp", salts.alias("salts"), (F.col("component") != F.col("main")).alias("spread"))
-        linked = linked.unionByName(cut(links(again)))
+        linked = linked.unionByName(written(links(again), "jaccard-links"))
     final = components(linked)
     out = info.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -122,9 +122,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star steps by turns. Each is a grouped minimum (combined
     before the shuffle) joined back to the edges, so no neighbourhood is ever
-    gathered; a checkpoint after each round cuts the lineage.
+    gathered; a table in the shared folder after each round cuts the lineage.
     """
-    e = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    e = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "components")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.where("u <> v")
@@ -137,7 +137,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     before = None
     while True:
-        e = cut(star(star(e, True), False))
+        e = written(star(star(e, True), False), "components")
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == tuple(now):
             break
