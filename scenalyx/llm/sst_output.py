@@ -3,12 +3,13 @@
 File format (every record of a shard ends with one newline byte, which offsets
 count). All integers are little-endian unless said otherwise.
 
-    data block   entries in key order: shared u8, then the other key bytes, n u32, n ids u32
+    data block   entries in key order: shared u8, then the other key bytes, n u32, n ids
+                 (u16 or u32 each, as the footer says: u16 where the vocabulary fits)
                  (shared: leading bytes in common with the entry before; 0 opens a block)
     index block  per data block: last key (9 bytes), offset u64, size u64
     Bloom block  u32 bits per filter, u8 probes, the filter
     footer       "SSTF", version u32, index offset u64, index size u64, Bloom offset u64,
-                 Bloom size u64, documents u64, ids u64 (60 bytes)
+                 Bloom size u64, documents u64, ids u64, bytes of an id u8 (61 bytes)
 
 A key is 9 bytes, big-endian: 0 for a null identifier, else 1 and the identifier
 with its sign bit flipped, so bytes sort as identifiers do. Shards are ranges of
@@ -33,11 +34,11 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import kernels as K
-from .spark import checkpoint_dir, cut, map_arrow, partitions, session_of
+from .spark import checkpoint_dir, cut, free_shuffles, map_arrow, partitions, session_of
 
 BLOCK_BYTES = 1 << 16
 BITS_PER_KEY, PROBES = 10, 7
-FOOTER = struct.Struct("<4sIQQQQQQ")
+FOOTER = struct.Struct("<4sIQQQQQQB")
 END = b"\n"
 
 
@@ -57,7 +58,8 @@ def _slots(key: bytes, bits: int):
 class Writer:
     """Turns (key, ids) in key order into the records of one shard."""
 
-    def __init__(self):
+    def __init__(self, id_bytes: int = 4):
+        self.id_type = f"<u{id_bytes}"
         self.at, self.block, self.last, self.index, self.keys, self.ids = 0, [], b"", [], [], 0
         self.size = 0
 
@@ -69,7 +71,7 @@ class Writer:
         shared = 0
         while self.block and shared < 9 and key[shared] == self.last[shared]:
             shared += 1
-        entry = bytes([shared]) + key[shared:] + struct.pack("<I", len(ids)) + ids.tobytes()
+        entry = bytes([shared]) + key[shared:] + struct.pack("<I", len(ids)) + ids.astype(self.id_type).tobytes()
         self.block.append(entry)
         self.size += len(entry)
         self.last = key
@@ -95,7 +97,7 @@ class Writer:
                 bloom[s >> 3] |= 1 << (s & 7)
         bloom_at, raw = self.at, struct.pack("<IB", bits, PROBES) + bytes(bloom)
         yield self._record(raw)
-        yield FOOTER.pack(b"SSTF", 1, index_at, len(index), bloom_at, len(raw), len(self.keys), self.ids)
+        yield FOOTER.pack(b"SSTF", 1, index_at, len(index), bloom_at, len(raw), len(self.keys), self.ids, int(self.id_type[2:]))
 
 
 class Reader:
@@ -104,7 +106,7 @@ class Reader:
     def __init__(self, raw: bytes):
         self.raw = memoryview(raw)
         foot = self.raw[len(raw) - len(END) - FOOTER.size : len(raw) - len(END)]
-        magic, version, at, size, bloom_at, bloom_size, self.documents, self.ids = FOOTER.unpack(foot)
+        magic, version, at, size, bloom_at, bloom_size, self.documents, self.ids, self.id_bytes = FOOTER.unpack(foot)
         if magic != b"SSTF" or version != 1:
             raise ValueError("not a token shard")
         self.index = [(bytes(self.raw[i : i + 9]), *struct.unpack_from("<QQ", self.raw, i + 9)) for i in range(at, at + size, 25)]
@@ -118,8 +120,9 @@ class Reader:
             key = key[:shared] + bytes(self.raw[at + 1 : at + 10 - shared])
             at += 10 - shared
             (n,) = struct.unpack_from("<I", self.raw, at)
-            yield key, self.raw[at + 4 : at + 4 + 4 * n]
-            at += 4 + 4 * n
+            at += 4
+            yield key, np.frombuffer(self.raw[at : at + self.id_bytes * n], f"<u{self.id_bytes}").astype("<u4")
+            at += self.id_bytes * n
 
     def entries(self):
         for _, at, size in self.index:
@@ -141,7 +144,7 @@ class Reader:
             return None
         for k, ids in self.block(*self.index[low][1:]):
             if k == key:
-                return np.frombuffer(ids, "<u4")
+                return ids
         return None
 
 
@@ -150,7 +153,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
     shards = shards or partitions(session_of(docs))
 
     def run(batches):
-        model, writer = bpe.load(tokenizer), Writer()
+        model = bpe.load(tokenizer)
+        writer = Writer(2 if max(model.width - 1, end_id) < 1 << 16 else 4)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for a, b, data, offsets in K.chunks(batch, "text"):
@@ -168,7 +172,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
     placed = source.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     # a string column holds any bytes, and the text sink writes them as they are
-    map_arrow(placed, run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "none").text(path)
+    records = map_arrow(placed, run, "value binary").select(F.col("value").cast("string").alias("value"))
+    with free_shuffles(session_of(docs)):
+        records.write.option("lineSep", END.decode()).option("compression", "none").text(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:
@@ -183,8 +189,8 @@ def read_shards(spark, path: str) -> DataFrame:
                 ids, sizes, crc = [], [], []
                 for key, stored in Reader(raw).entries():
                     ids.append(id_of(key))
-                    sizes.append(len(stored) // 4)
-                    crc.append(zlib.crc32(stored))
+                    sizes.append(len(stored))
+                    crc.append(zlib.crc32(stored.data))
                 n = np.array(sizes, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids)), pa.array(ids, pa.int64()), pa.array(np.arange(len(ids))), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["shard", "doc_id", "nth", "before", "n_tokens", "ids_crc32"])
 
