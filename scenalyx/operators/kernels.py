@@ -1,0 +1,190 @@
+"""Iterative estimators as NumPy kernels; Spark runs one per group (fold, asset, start)."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+
+def nearest_psd(m: np.ndarray, floor: float = 1e-12, relative: float = 1e-10) -> np.ndarray:
+    """Symmetric part with eigenvalues of at least max(floor, relative * largest)."""
+    w, v = np.linalg.eigh((m + m.T) / 2)
+    return (v * np.maximum(w, max(floor, relative * w.max()))) @ v.T
+
+
+def weighted_moments(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean = p @ x
+    d = x - mean
+    return mean, (d * p[:, None]).T @ d
+
+
+def gaussian(mean, cov, n: int, seed: int) -> np.ndarray:
+    return mean + np.random.default_rng(seed).standard_normal((n, len(mean))) @ np.linalg.cholesky(nearest_psd(cov)).T
+
+
+def student_t(mean, cov, df: float, n: int, seed: int) -> np.ndarray:
+    """Elliptical t draws of the given covariance; df over 4."""
+    if df <= 4:
+        raise ValueError("df has to be over 4")
+    rng = np.random.default_rng(seed)
+    z = rng.standard_normal((n, len(mean))) @ np.linalg.cholesky(nearest_psd(cov) * (df - 2) / df).T
+    return mean + z * np.sqrt(df / rng.chisquare(df, n))[:, None]
+
+
+def golden(f, low: float, high: float, tol: float = 1e-4) -> float:
+    """Minimiser of a unimodal function on an interval."""
+    g = (math.sqrt(5) - 1) / 2
+    a, b = low, high
+    c, d = b - g * (b - a), a + g * (b - a)
+    fc, fd = f(c), f(d)
+    while b - a > tol:
+        if fc < fd:
+            b, d, fd = d, c, fc
+            c = b - g * (b - a)
+            fc = f(c)
+        else:
+            a, c, fc = c, d, fd
+            d = a + g * (b - a)
+            fd = f(d)
+    return (a + b) / 2
+
+
+def fit_df(x: np.ndarray, p: np.ndarray, low: float = 4.05, high: float = 100.0) -> float:
+    """Degrees of freedom by weighted profile likelihood with mean and covariance held."""
+    mean, cov = weighted_moments(x, p)
+    n = x.shape[1]
+    d2 = np.square(np.linalg.solve(np.linalg.cholesky(nearest_psd(cov)), (x - mean).T)).sum(0)
+
+    def loss(df):
+        return -(math.lgamma((df + n) / 2) - math.lgamma(df / 2) - n / 2 * math.log(df - 2) - (df + n) / 2 * (p @ np.log1p(d2 / (df - 2))))
+
+    return golden(loss, low, high)
+
+
+def garch_variance(e: np.ndarray, alpha: float, beta: float) -> np.ndarray:
+    """Variances 0..T with variance targeting; the first is the unconditional one."""
+    target = float(np.mean(e * e))
+    out = np.empty(len(e) + 1)
+    out[0] = target
+    for t, s in enumerate(e * e):
+        out[t + 1] = (1 - alpha - beta) * target + alpha * s + beta * out[t]
+    return out
+
+
+def fit_garch(e: np.ndarray) -> tuple[float, float, float]:
+    """(alpha, beta, next variance) by quasi-likelihood over persistence and its split, refined by halving steps."""
+    if len(e) < 50:
+        raise ValueError("50 observations at least")
+
+    def loss(point):
+        total, share = point
+        v = garch_variance(e, total * share, total * (1 - share))[:-1]
+        return float(np.sum(np.log(v) + e * e / v))
+
+    best = min(((t, s) for t in (0.5, 0.8, 0.95) for s in (0.05, 0.15, 0.3)), key=loss)
+    value, step = loss(best), np.array([0.1, 0.1])
+    while step.max() > 1e-4:
+        moved = False
+        for k in (0, 1):
+            for sign in (1, -1):
+                new = list(best)
+                new[k] = min(max(new[k] + sign * step[k], 1e-4), 0.999)
+                if (now := loss(new)) < value - 1e-10:
+                    best, value, moved = tuple(new), now, True
+        if not moved:
+            step = step / 2
+    alpha, beta = best[0] * best[1], best[0] * (1 - best[1])
+    return alpha, beta, float(garch_variance(e, alpha, beta)[-1])
+
+
+def single_linkage_order(distance: np.ndarray) -> list[int]:
+    """Leaves in the order of the single-linkage tree."""
+    groups = [[i] for i in range(len(distance))]
+    d = distance.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    live = list(range(len(distance)))
+    while len(live) > 1:
+        sub = d[np.ix_(live, live)]
+        i, j = divmod(int(sub.argmin()), len(live))
+        a, b = sorted((live[i], live[j]))
+        groups[a] = groups[a] + groups[b]
+        d[a] = d[:, a] = np.minimum(d[a], d[b])
+        d[a, a] = np.inf
+        live.remove(b)
+    return groups[live[0]]
+
+
+def hierarchical_risk_parity(cov: np.ndarray) -> np.ndarray:
+    sd = np.sqrt(np.diag(cov))
+    rho = np.clip(cov / np.outer(sd, sd), -1, 1)
+    w = np.ones(len(cov))
+    todo = [single_linkage_order(np.sqrt((1 - rho) / 2))]
+
+    def variance(items):
+        sub = cov[np.ix_(items, items)]
+        inv = 1 / np.diag(sub)
+        inv /= inv.sum()
+        return inv @ sub @ inv
+
+    while todo:
+        items = todo.pop()
+        if len(items) < 2:
+            continue
+        left, right = items[: len(items) // 2], items[len(items) // 2 :]
+        a, b = variance(left), variance(right)
+        w[left] *= 1 - a / (a + b)
+        w[right] *= a / (a + b)
+        todo += [left, right]
+    return w / w.sum()
+
+
+def capped_simplex(v: np.ndarray, cap: float = 1.0) -> np.ndarray:
+    """Nearest point with sum 1 and entries in [0, cap]."""
+    if cap * len(v) < 1 - 1e-12:
+        raise ValueError("the cap is infeasible")
+    low, high = v.min() - 1, v.max()
+    for _ in range(100):
+        mid = (low + high) / 2
+        if np.clip(v - mid, 0, cap).sum() > 1:
+            low = mid
+        else:
+            high = mid
+    w = np.clip(v - (low + high) / 2, 0, cap)
+    return w / w.sum()
+
+
+def min_variance(cov: np.ndarray, ridge: float = 0.0, cap: float = 1.0) -> np.ndarray:
+    """Projected gradient on w'Cw + ridge * |w - 1/n|^2 over the capped simplex."""
+    n = len(cov)
+    w = np.full(n, 1 / n)
+    step = 1 / (2 * np.linalg.eigvalsh(cov).max() + 2 * ridge)
+    for _ in range(5000):
+        new = capped_simplex(w - step * (2 * cov @ w + 2 * ridge * (w - 1 / n)), cap)
+        if np.abs(new - w).max() < 1e-12:
+            break
+        w = new
+    return w
+
+
+def politis_white(x: np.ndarray) -> int:
+    """Automatic block length from a flat-top kernel; degenerate series give 1."""
+    n = len(x)
+    c = x - x.mean()
+    if n < 4 or np.allclose(c, 0):
+        return 1
+    search = min(int(np.ceil(np.sqrt(n))) + 5, n - 1)
+    acov = np.array([c[: n - k] @ c[k:] / n for k in range(search + 1)])
+    rho = acov / acov[0]
+    k = max(5, int(math.ceil(math.sqrt(math.log10(n)))))
+    band = 2 * math.sqrt(math.log10(n) / n)
+    m = next((j for j in range(1, search + 1) if (np.abs(rho[j : j + k + 1]) < band).all()), search) - 1
+    width = min(2 * max(m, 1), search)
+    t = np.arange(-width, width + 1) / width
+    taper = np.where(np.abs(t) <= 0.5, 1.0, 2 * (1 - np.abs(t)))
+    full = acov[np.abs(np.arange(-width, width + 1))]
+    g, spectrum = float(taper @ (np.abs(np.arange(-width, width + 1)) * full)), float(taper @ full)
+    d = 4 / 3 * spectrum**2
+    if d <= 0:
+        return 1
+    return max(1, min(int(math.ceil((2 * g * g / d) ** (1 / 3) * n ** (1 / 3))), n // 3 or 1))

@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLIT = "1999-12-31"
-BY_ASSET = Window.partitionBy("asset").orderBy("date")
+
+
+def by_asset():
+    """Rows of one asset by date."""
+    return Window.partitionBy("asset").orderBy("date")
 
 
 def price_panel(lineitem: DataFrame, part: DataFrame, grain: str = "day") -> DataFrame:
@@ -37,7 +41,7 @@ def cleaned(panel: DataFrame) -> DataFrame:
 
 def fill(panel: DataFrame, limit: int = 2) -> DataFrame:
     """price: raw, or the last raw price of at most ``limit`` rows before."""
-    return panel.withColumn("price", F.last("raw", ignorenulls=True).over(BY_ASSET.rowsBetween(-limit, 0)) if limit else F.col("raw"))
+    return panel.withColumn("price", F.last("raw", ignorenulls=True).over(by_asset().rowsBetween(-limit, 0)) if limit else F.col("raw"))
 
 
 def complete(panel: DataFrame) -> DataFrame:
@@ -72,7 +76,7 @@ def coverage(panel: DataFrame) -> DataFrame:
 def returns(panel: DataFrame, split: str = SPLIT, exclude_imputed: bool = True) -> DataFrame:
     """(date, asset, ret, segment): lag-1 returns; a date goes if an end point of any asset was imputed."""
     seen = F.col("raw").isNotNull()
-    r = panel.select("date", "asset", "price", seen.alias("obs"), F.lag("price").over(BY_ASSET).alias("p0"), F.lag(seen).over(BY_ASSET).alias("obs0")).where("p0 is not null")
+    r = panel.select("date", "asset", "price", seen.alias("obs"), F.lag("price").over(by_asset()).alias("p0"), F.lag(seen).over(by_asset()).alias("obs0")).where("p0 is not null")
     r = r.withColumn("ret", F.col("price") / F.col("p0") - 1)
     if exclude_imputed:
         r = r.withColumn("ok", F.min((F.col("obs") & F.col("obs0")).cast("int")).over(Window.partitionBy("date"))).where("ok = 1")

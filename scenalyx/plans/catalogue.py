@@ -469,3 +469,103 @@ def garch_variance_recursion(spark, d):
     g = r.groupBy("asset").agg(F.max("v0").alias("v0"), F.transform(F.sort_array(F.collect_list(F.struct("date", "e"))), lambda s: s["e"]).alias("e"))
     step = F.aggregate("e", F.col("v0"), lambda v, e: 0.1 * F.col("v0") + 0.05 * e * e + 0.85 * v)
     return g.select("asset", F.round(step, 8).alias("next_variance"))
+
+
+# iterative estimators: grouped NumPy kernels
+
+
+def _grouped(df: DataFrame, key: str, fn, schema: str) -> DataFrame:
+    return df.groupBy(key).applyInPandas(fn, schema)
+
+
+def _wide(pdf):
+    x = pdf.pivot(index="date", columns="asset", values="x").sort_index()
+    return x, pdf.groupby("date")["p"].first().loc[x.index].to_numpy()
+
+
+def _per_model(spark, d, fn, schema: str) -> DataFrame:
+    from ..runtime import ship
+
+    ship(spark)
+
+    def run(pdf):
+        import pandas as pd
+
+        x, p = _wide(pdf)
+        return pd.DataFrame([(pdf["model"].iloc[0], *row) for row in fn(list(x.columns), x.to_numpy(), p)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return _grouped(_scen(spark, d), "model", run, schema)
+
+
+@query("gaussian_scenarios")
+def gaussian_scenarios(spark, d):
+    from ..operators import kernels as N
+
+    def fn(assets, x, p):
+        draws = N.gaussian(*N.weighted_moments(x, p), 1000, 7)
+        return [(i, a, float(v)) for i, row in enumerate(draws) for a, v in zip(assets, row, strict=True)]
+
+    return _per_model(spark, d, fn, "model string, scenario int, asset string, x double")
+
+
+@query("student_t_df")
+def student_t_df(spark, d):
+    from ..operators import kernels as N
+
+    return _per_model(spark, d, lambda assets, x, p: [(N.fit_df(x, p),)], "model string, df double")
+
+
+@query("hrp")
+def hrp(spark, d):
+    from ..operators import kernels as N
+
+    return _per_model(spark, d, lambda assets, x, p: list(zip(assets, N.hierarchical_risk_parity(N.weighted_moments(x, p)[1]).tolist(), strict=True)), "model string, asset string, weight double")
+
+
+@query("min_variance")
+def min_variance(spark, d):
+    from ..operators import kernels as N
+
+    return _per_model(spark, d, lambda assets, x, p: list(zip(assets, N.min_variance(N.weighted_moments(x, p)[1], cap=0.4).tolist(), strict=True)), "model string, asset string, weight double")
+
+
+@query("garch_fit")
+def garch_fit(spark, d):
+    from ..operators import kernels as N
+    from ..runtime import ship
+
+    ship(spark)
+
+    def run(pdf):
+        import pandas as pd
+
+        e = pdf.sort_values("date")["ret"].to_numpy()
+        return pd.DataFrame([(pdf["asset"].iloc[0], *N.fit_garch(e - e.mean()))], columns=["asset", "alpha", "beta", "next_variance"])
+
+    return _grouped(_rets(spark, d).where("segment = 'is'"), "asset", run, "asset string, alpha double, beta double, next_variance double")
+
+
+@query("politis_white_block")
+def politis_white_block(spark, d):
+    from ..operators import kernels as N
+    from ..runtime import ship
+
+    ship(spark)
+
+    def run(pdf):
+        import pandas as pd
+
+        return pd.DataFrame([(pdf["benchmark"].iloc[0], N.politis_white(pdf.sort_values("date")["diff"].to_numpy()))], columns=["benchmark", "block"])
+
+    return _grouped(_diff(spark, d), "benchmark", run, "benchmark string, block int")
+
+
+@query("lineage_fingerprint")
+def lineage_fingerprint(spark, d):
+    names = ("lineitem", "part", "orders", "events")
+    out = None
+    for n in names:
+        t = table(spark, d, n)
+        f = t.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*t.columns)).alias("fingerprint")).withColumn("name", F.lit(n))
+        out = f if out is None else out.unionByName(f)
+    return out
