@@ -1,3 +1,18 @@
 """Oracle SQL (DuckDB) of the text operators that SQL can express."""
 
-SQL: dict[str, str] = {}
+_RULES = r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM twice CROSS JOIN range(0, 5) r(d) GROUP BY doc_id),
+line AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+f AS (SELECT t.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(line.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN rep USING (doc_id) LEFT JOIN line USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS fails FROM b GROUP BY source),
+m AS (SELECT avg(fails / n::DOUBLE) AS mean, var_pop(fails / n::DOUBLE) AS var, avg(1.0::DOUBLE / n) AS inv FROM h),
+p AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * inv, 1e-9) - 1, 1), 1e6) AS weight FROM m),
+rates AS (SELECT source, (fails + mean * weight) / (n + weight) AS rate FROM h CROSS JOIN p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept FROM b JOIN rates ON b.source IS NOT DISTINCT FROM rates.source
+"""
+
+SQL: dict[str, str] = {"op7_quality_rules": _RULES}
