@@ -10,6 +10,9 @@ Sequences without a pair leave the array; what survives are the tokens.
 A worker keeps the tokens of pre-tokens it has met, up to ``CACHE_ROWS``.
 Texts that hold a special string of the vocabulary go to the tokenizers library
 itself, whose default treatment of such strings then holds.
+
+With ``library=True`` the merging is left out: the tokenizers library encodes
+each distinct pre-token once per worker, and texts are put together from its ids.
 """
 
 from __future__ import annotations
@@ -45,7 +48,8 @@ def _classes() -> np.ndarray:
 class ByteBpe:
     """Tokens of texts under a byte-level BPE vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, library: bool = False):
+        self.library = library
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -227,8 +231,11 @@ class ByteBpe:
             b, e = begin[first[new]], end[first[new]]
             size = e - b
             from_ = np.cumsum(size) - size
-            symbols = self.byte_id[data[np.repeat(b - from_, size) + np.arange(size.sum())]]
-            ids, offsets = self._merge(symbols, np.concatenate([from_, [size.sum()]]))
+            if self.library:
+                ids, offsets = self._encoded([data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(b, e, strict=True)])
+            else:
+                symbols = self.byte_id[data[np.repeat(b - from_, size) + np.arange(size.sum())]]
+                ids, offsets = self._merge(symbols, np.concatenate([from_, [size.sum()]]))
             row = len(self.at) - 1 + np.arange(len(b))
             self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
             self.at = np.concatenate([self.at, self.at[-1] + offsets[1:]])
@@ -250,14 +257,27 @@ class ByteBpe:
                 i = raw.find(s, i + 1)
         return sorted(found)
 
-    def _by_library(self, text: bytes) -> np.ndarray:
+    def _tokenizer(self):
         if self._library is None:
+            import os
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.path)
             self._library.no_truncation()
             self._library.no_padding()
-        return np.array(self._library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64)
+        return self._library
+
+    def _by_library(self, text: bytes) -> np.ndarray:
+        return np.array(self._tokenizer().encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64)
+
+    def _encoded(self, words: list[str]):
+        """The library's ids of single pre-tokens: (ids, offsets)."""
+        out = [x.ids for x in self._tokenizer().encode_batch_fast(words, add_special_tokens=False)]
+        at = np.zeros(len(out) + 1, np.int64)
+        np.cumsum([len(x) for x in out], out=at[1:])
+        return np.fromiter((i for x in out for i in x), np.int32, int(at[-1])), at
 
     def count(self, data, offsets) -> np.ndarray:
         """Tokens of each text."""
@@ -290,11 +310,12 @@ class ByteBpe:
         return ids, at
 
 
-_loaded: dict[str, ByteBpe] = {}
+_loaded: dict[tuple[str, bool], ByteBpe] = {}
 
 
-def load(path: str) -> ByteBpe:
+def load(path: str, library: bool = False) -> ByteBpe:
     """One per worker process."""
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
-    return _loaded[path]
+    key = (path, library)
+    if key not in _loaded:
+        _loaded[key] = ByteBpe(path, library)
+    return _loaded[key]

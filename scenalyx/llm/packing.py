@@ -63,7 +63,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFra
     """doc_id, piece, start, length, ids_crc32: cut only what is longer, the first piece taking the remainder."""
 
     def run(batches):
-        model = bpe.load(path)
+        model = bpe.load(path, library=True)
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, offsets in K.chunks(batch, "text"):

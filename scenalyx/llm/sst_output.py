@@ -153,7 +153,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
     shards = shards or partitions(session_of(docs))
 
     def run(batches):
-        model = bpe.load(tokenizer)
+        model = bpe.load(tokenizer, library=True)
         writer = Writer(2 if max(model.width - 1, end_id) < 1 << 16 else 4)
         for batch in batches:
             ids = batch.column(0).to_pylist()
