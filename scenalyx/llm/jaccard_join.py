@@ -15,9 +15,9 @@ Plan
 3. Documents joined by postings form candidate groups (connected components).
    Within (group, tile) every pair not yet connected is bounded from above by
    popcounts of hashed bitmaps, and what passes is intersected exactly.
-   A group of more than ``group_limit`` sets is dealt over several salts; what
-   the salts have not joined yet meets in a second pass, where only documents
-   outside the group's largest class are copied to every salt.
+   A tile of a group with more than ``group_limit`` sets is dealt over several
+   salts; what the salts have not joined yet meets in a second pass, where only
+   documents outside the tile's largest class are copied to every salt.
 
 Links inside a class that is already connected are not needed for components,
 so copies are never expanded into pairs.
@@ -221,25 +221,30 @@ def _stars(batches):
 
 
 def _tile_sets(n: int, num: int, den: int):
-    """Deal each set to its tiles: (grp, tile, salt, all, doc_id, size, set)."""
+    """Send each set to those of its tiles that are dealt: (grp, tile, salt, doc_id, size, set)."""
 
     def run(batches):
-        low, end, top, _, _ = _tile_arrays(num, den)
+        low, _, top, _, _ = _tile_arrays(num, den)
         for batch in batches:
-            cols = {name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False) for name in ("doc_id", "grp", "salts", "spread")}
+            cols = {name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False) for name in ("doc_id", "grp")}
+            dealt = batch.column(batch.schema.get_field_index("tiles"))
             for a, b, data, offsets in K.chunks(batch, "text"):
                 h, _, at = _sets(data, offsets, n)
                 size = np.diff(at)
                 band = np.searchsorted(low, size, "right") - 1
                 rows = []
                 for i in np.flatnonzero(size > 0):
-                    doc, salts = int(cols["doc_id"][a + i]), int(cols["salts"][a + i])
-                    own = int(K.mix(np.array([doc], np.int64).view(np.uint64))[0] % K.U64(salts))
+                    doc = int(cols["doc_id"][a + i])
+                    own = int(K.mix(np.array([doc], np.int64).view(np.uint64))[0])
+                    here = {t["tile"]: (t["salts"], t["spread"]) for t in dealt[a + int(i)].as_py()}
                     for back in (0, 1, 2):
                         tile = int(band[i]) - back
                         if tile < 0 or size[i] >= top[tile]:
                             break
-                        for salt in range(salts) if cols["spread"][a + i] else (own,):
+                        if tile not in here:
+                            continue
+                        salts, spread = here[tile]
+                        for salt in range(salts) if spread else (own % salts,):
                             rows.append((int(cols["grp"][a + i]), tile, salt, doc, int(size[i]), h[at[i] : at[i + 1]].tobytes()))
                 for r in range(0, len(rows), 2000):
                     c = list(zip(*rows[r : r + 2000], strict=True))
@@ -326,27 +331,32 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     same = written(same, "jaccard-same")
     candidates = components(stars.unionByName(same))
     # a document whose every row folds into another set has nothing of its own to compare
-    solo = reps.select(F.col("rep").alias("doc_id")).distinct()
-    members = candidates.withColumnRenamed("node", "doc_id").join(solo, "doc_id")
-    groups = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    members = written(members.join(groups.where("members > 1"), "component").select("doc_id", F.col("component").alias("grp"), "members"), "jaccard-members")
+    solo = reps.select(F.col("rep").alias("doc_id"), "n_shingles").distinct()
+    low, _, top, _, _ = _tile_arrays(num, den)
+    every = F.array(*[F.struct(F.lit(j).alias("tile"), F.lit(int(a)).alias("low"), F.lit(int(b)).alias("top")) for j, (a, b) in enumerate(zip(low, top, strict=True))])
+    tiles = F.filter(every, lambda t: (t["low"] <= F.col("n_shingles")) & (F.col("n_shingles") < t["top"]))
+    members = candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")).join(solo, "doc_id")
+    members = written(members.select("doc_id", "grp", F.explode(tiles).alias("t")).select("doc_id", "grp", "t.tile").distinct(), "jaccard-members")
+    counts = members.groupBy("grp", "tile").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    members = written(members.join(counts, ["grp", "tile"]), "jaccard-tiles")
 
     def links(dealt: DataFrame) -> DataFrame:
-        sets = map_arrow(docs.join(dealt, "doc_id"), _tile_sets(n, num, den), "grp long, tile int, salt int, doc_id long, size long, items binary")
+        own = dealt.groupBy("doc_id", "grp").agg(F.collect_list(F.struct("tile", "salts", "spread")).alias("tiles"))  # a few tiles
+        sets = map_arrow(docs.join(own, "doc_id"), _tile_sets(n, num, den), "grp long, tile int, salt int, doc_id long, size long, items binary")
         placed = sets.repartition(partitions(spark), "grp", "tile", "salt").sortWithinPartitions("grp", "tile", "salt")
         return map_arrow(placed, _links(num, den), "a long, b long")
 
-    salts = F.ceil(F.col("members") / F.lit(group_limit)).cast("int")
-    found = written(links(members.select("doc_id", "grp", salts.alias("salts"), F.lit(False).alias("spread"))), "jaccard-links")
+    salts = F.ceil(F.col("sets") / F.lit(group_limit)).cast("int").alias("salts")
+    found = written(links(members.select("doc_id", "grp", "tile", salts, F.lit(False).alias("spread"))), "jaccard-links")
     linked = found.unionByName(same)
-    large = members.where(F.col("members") > group_limit)
+    large = members.where(F.col("sets") > group_limit)
     if large.limit(1).count():
         label = components(linked).withColumnRenamed("node", "doc_id")
-        label = large.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        sizes = label.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
-        most = sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("classes"))
-        open_ = label.join(most.where("classes > 1"), "grp")
-        again = open_.select("doc_id", "grp", salts.alias("salts"), (F.col("component") != F.col("main")).alias("spread"))
+        label = written(large.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "jaccard-large")
+        sizes = label.groupBy("grp", "tile", "component").agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.groupBy("grp", "tile").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("classes"))
+        open_ = label.join(most.where("classes > 1"), ["grp", "tile"])
+        again = open_.select("doc_id", "grp", "tile", salts, (F.col("component") != F.col("main")).alias("spread"))
         linked = linked.unionByName(written(links(again), "jaccard-links"))
     final = components(linked)
     out = info.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
