@@ -316,6 +316,16 @@ def _links(num: int, den: int):
     return run
 
 
+def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of known classes after further links: only the classes' smallest nodes are linked anew."""
+    for end in ("a", "b"):
+        own = known.select(F.col("node").alias(end), "component")
+        links = links.join(own, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    more = components(links)
+    moved = known.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(more.join(known.select("node"), "node", "left_anti"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, group_limit: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text, ...)."""
     spark = session_of(docs)
@@ -328,7 +338,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     keys = targets(spark, max(1, partitions(spark) // 2))
     posted = map_arrow(docs.where("doc_id is not null"), _postings(n, num, den, keys), "part int, keys binary, ids binary, idx binary")
     stars = map_arrow(posted.repartition(len(keys), "part"), _stars, "a long, b long")
-    same = written(same, "jaccard-same")
+    few = max(1, partitions(spark) // 8)
+    same = written(same.coalesce(few), "jaccard-same")
     candidates = components(stars.unionByName(same))
     # a document whose every row folds into another set has nothing of its own to compare
     solo = reps.select(F.col("rep").alias("doc_id"), "n_shingles").distinct()
@@ -336,9 +347,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     every = F.array(*[F.struct(F.lit(j).alias("tile"), F.lit(int(a)).alias("low"), F.lit(int(b)).alias("top")) for j, (a, b) in enumerate(zip(low, top, strict=True))])
     tiles = F.filter(every, lambda t: (t["low"] <= F.col("n_shingles")) & (F.col("n_shingles") < t["top"]))
     members = candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")).join(solo, "doc_id")
-    members = written(members.select("doc_id", "grp", F.explode(tiles).alias("t")).select("doc_id", "grp", "t.tile").distinct(), "jaccard-members")
+    members = written(members.select("doc_id", "grp", F.explode(tiles).alias("t")).select("doc_id", "grp", "t.tile").distinct().coalesce(few), "jaccard-members")
     counts = members.groupBy("grp", "tile").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    members = written(members.join(counts, ["grp", "tile"]), "jaccard-tiles")
+    members = written(members.join(counts, ["grp", "tile"]).coalesce(few), "jaccard-tiles")
 
     def links(dealt: DataFrame) -> DataFrame:
         own = dealt.groupBy("doc_id", "grp").agg(F.collect_list(F.struct("tile", "salts", "spread")).alias("tiles"))  # a few tiles
@@ -348,16 +359,15 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     salts = F.ceil(F.col("sets") / F.lit(group_limit)).cast("int").alias("salts")
     found = written(links(members.select("doc_id", "grp", "tile", salts, F.lit(False).alias("spread"))), "jaccard-links")
-    linked = found.unionByName(same)
+    final = components(found.unionByName(same))
     large = members.where(F.col("sets") > group_limit)
     if large.limit(1).count():
-        label = components(linked).withColumnRenamed("node", "doc_id")
-        label = written(large.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "jaccard-large")
-        sizes = label.groupBy("grp", "tile", "component").agg(F.count(F.lit(1)).alias("n"))
+        label = final.withColumnRenamed("node", "doc_id")
+        open_ = written(large.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "jaccard-large")
+        sizes = open_.groupBy("grp", "tile", "component").agg(F.count(F.lit(1)).alias("n"))
         most = sizes.groupBy("grp", "tile").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("classes"))
-        open_ = label.join(most.where("classes > 1"), ["grp", "tile"])
+        open_ = open_.join(most.where("classes > 1"), ["grp", "tile"])
         again = open_.select("doc_id", "grp", "tile", salts, (F.col("component") != F.col("main")).alias("spread"))
-        linked = linked.unionByName(written(links(again), "jaccard-links"))
-    final = components(linked)
+        final = joined(final, written(links(again), "jaccard-links"))
     out = info.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

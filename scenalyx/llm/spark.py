@@ -123,21 +123,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large-star and small-star steps by turns. Each is a grouped minimum (combined
     before the shuffle) joined back to the edges, so no neighbourhood is ever
     gathered; a table in the shared folder after each round cuts the lineage.
+    An edge has 16 bytes where a document has kilobytes, so these tables are
+    written by an eighth of the shuffle's tasks.
     """
-    e = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "components")
+    few = max(1, partitions(session_of(edges)) // 8)
+    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    e = written(e.coalesce(few), "components")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.where("u <> v")
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else both
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         if large:  # edges to smaller neighbours come back from those neighbours' side
-            return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = both.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return out.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
     before = None
     while True:
-        e = written(star(star(e, True), False), "components")
+        e = written(star(star(e, True), False).coalesce(few), "components")
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == tuple(now):
             break
