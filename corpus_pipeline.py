@@ -21,9 +21,9 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_rows(docs, model).where("__keep").select(*docs.columns)
+    """Documents that the co-trained classifiers of quality and toxicity reject go."""
+    models = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_rows(docs, models).where("__keep").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

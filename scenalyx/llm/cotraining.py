@@ -1,4 +1,4 @@
-"""Quality classifier by co-training of two views.
+"""Classifiers of quality and toxicity, each by co-training of two views.
 
 The text view sees words (hashed, lower-cased), word endings and repeats of the
 word before. The metadata view sees source, language and layout figures (length,
@@ -8,6 +8,13 @@ each labels the pool's rows of which it is most sure, and the other learns from
 these. Both are then calibrated on labelled rows that were held out, and the mean
 of the calibrated log-odds scores every document of the corpus.
 
+Toxicity is a second target, learned alike, as a few words in good prose make a
+text toxic. Its text view sees which words and word beginnings a text holds, of
+those that the labels tie to toxicity (a log-likelihood ratio of ``EVIDENCE`` or
+more, the ``MARKS`` strongest), counted on labelled rows that are not held out.
+Its joint log-odds are the sum of both views' less the prior, as most sources and
+layouts say nothing of it. A document stays if it is good and not toxic.
+
 Bounds: at most ``max_labelled`` labelled rows and ``max_pool`` unlabelled ones
 are gathered for fitting (those of smallest hash; documented parameters that do
 not grow with the corpus). Scoring is a map over all rows; texts never move.
@@ -16,13 +23,15 @@ Defined cases: a text without words scores 0 and is rejected; null source,
 language and doc_id are values like others; a doc_id with several labels takes
 their mean, 0.5 and over being good; labels without a document, and null labels,
 are ignored; with labels of one kind only everything with words is kept at score
-1 or rejected at score 0; extra columns are ignored.
+1 or rejected at score 0; without toxic labels nothing is toxic, and a mean of 0.5
+and over is; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .spark import map_arrow, session_of
+from .spark import map_arrow, written
 
 BITS = 14
 TEXT_SIZE = (1 << BITS) + (1 << 12) + 1
 SOURCES, LANGS, NUMBERS = 64, 16, 9
 META_SIZE = SOURCES + LANGS + NUMBERS
+MARK_BITS, MARKS, EVIDENCE = 18, 4096, 14.0
+BEGINNINGS = (3, 4, 5, 6, 8)
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
@@ -81,6 +92,63 @@ def meta_features(data, offsets, word, first, doc_of_word, source, lang):
     return [zlib.crc32((s or "").encode()) % SOURCES for s in source], [zlib.crc32((x or "").encode()) % LANGS for x in lang], numbers
 
 
+def mark_features(data, offsets, chosen=None):
+    """Distinct slots of the words and word beginnings (in bytes) of each text, its number, and the texts' offsets.
+
+    chosen maps slots to places among those that count, or to -1.
+    """
+    begin, end = K.runs(~K.IS_SPACE[data], offsets)
+    doc = np.searchsorted(offsets, begin, "right") - 1
+    sums = K.prefix_hash(K.LOWER[data])
+    slots, of = [], []
+    for k in (0, *BEGINNINGS):
+        long = end - begin > k
+        hashed = K.span_hash(sums, begin[long], begin[long] + k if k else end[long])
+        slot = (K.mix(hashed + K.U64(k)) >> K.U64(64 - MARK_BITS)).astype(np.int64)
+        if chosen is not None:
+            slot = chosen[slot]
+        slots.append(slot[slot >= 0])
+        of.append(doc[long][slot >= 0])
+    return K.distinct_by_doc(np.concatenate(slots), np.concatenate(of), len(offsets) - 1)
+
+
+def _count_marks(batches):
+    toxic, clean = (np.zeros(1 << MARK_BITS, np.int64) for _ in range(2))
+    for batch in batches:
+        label = batch.column(batch.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False)
+        for a, b, data, offsets in K.chunks(batch, "text"):
+            slot, doc, _ = mark_features(data, offsets)
+            is_toxic = label[a:b][doc] == 1
+            toxic += np.bincount(slot[is_toxic], minlength=len(toxic))
+            clean += np.bincount(slot[~is_toxic], minlength=len(clean))
+    seen = np.flatnonzero(toxic + clean)
+    for k in range(0, len(seen), 1 << 14):
+        at = seen[k : k + (1 << 14)]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(toxic[at]), pa.array(clean[at])], ["slot", "toxic", "clean"])
+
+
+def choose_marks(sample: DataFrame) -> np.ndarray:
+    """The slots most tied to toxicity, strongest first, by the labelled rows of the sample that are not held out."""
+    rows = sample.where("toxic is not null and not held")
+    total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(total) < 2:
+        return np.zeros(0, np.int64)
+    counts = map_arrow(rows.select("toxic", "text"), _count_marks, "slot long, toxic long, clean long")
+    counts = counts.groupBy("slot").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    share = total[1] / (total[0] + total[1])
+    part = lambda n, of: F.when(n > 0, n * F.log(n / ((F.col("t") + F.col("c")) * F.lit(of)))).otherwise(0.0)
+    ratio = 2 * (part(F.col("t"), share) + part(F.col("c"), 1 - share))
+    found = counts.where(F.col("t") > (F.col("t") + F.col("c")) * F.lit(share)).withColumn("ratio", ratio)
+    found = found.where(F.col("ratio") >= EVIDENCE).orderBy(F.desc(F.round("ratio", 6)), "slot").limit(MARKS)
+    return np.array([r["slot"] for r in found.select("slot").collect()], np.int64)
+
+
+def _places(marks: np.ndarray) -> np.ndarray:
+    out = np.full(1 << MARK_BITS, -1)
+    out[marks] = np.arange(len(marks))
+    return out
+
+
 def _chunk_views(batch, a, b, data, offsets):
     word, first, begin, end = K.words(data, offsets)
     doc = np.repeat(np.arange(b - a), np.diff(first))
@@ -92,20 +160,26 @@ def _chunk_views(batch, a, b, data, offsets):
     return first, doc, own, ending, repeat, source, lang, numbers
 
 
-def _gather(batches):
-    for batch in batches:
-        ids = batch.column(batch.schema.get_field_index("doc_id"))
-        label = batch.column(batch.schema.get_field_index("label"))
-        for a, b, data, offsets in K.chunks(batch, "text"):
-            first, doc, own, ending, repeat, source, lang, numbers = _chunk_views(batch, a, b, data, offsets)
-            slots, values = [], []
-            for i in range(b - a):
-                w = slice(first[i], first[i + 1])
-                s, c = np.unique(np.concatenate([own[w], ending[w], np.full(int(repeat[w].sum()), TEXT_SIZE - 1)]), return_counts=True)
-                slots.append(s.astype(np.int32).tobytes())
-                values.append((c / max(first[i + 1] - first[i], 1)).astype(np.float32).tobytes())
-            meta = [json.dumps([s, x, row]) for s, x, row in zip(source, lang, numbers.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), label.slice(a, b - a), pa.array(slots, pa.binary()), pa.array(values, pa.binary()), pa.array(meta)], ["doc_id", "label", "slots", "parts", "meta"])
+def _gather(marks):
+    def run(batches):
+        chosen = _places(marks)
+        for batch in batches:
+            get = lambda name: batch.column(batch.schema.get_field_index(name))
+            for a, b, data, offsets in K.chunks(batch, "text"):
+                first, doc, own, ending, repeat, source, lang, numbers = _chunk_views(batch, a, b, data, offsets)
+                place, _, at = mark_features(data, offsets, chosen)
+                slots, values, found = [], [], []
+                for i in range(b - a):
+                    w = slice(first[i], first[i + 1])
+                    s, c = np.unique(np.concatenate([own[w], ending[w], np.full(int(repeat[w].sum()), TEXT_SIZE - 1)]), return_counts=True)
+                    slots.append(s.astype(np.int32).tobytes())
+                    values.append((c / max(first[i + 1] - first[i], 1)).astype(np.float32).tobytes())
+                    found.append(place[at[i] : at[i + 1]].astype(np.int32).tobytes())
+                meta = [json.dumps([s, x, row]) for s, x, row in zip(source, lang, numbers.tolist(), strict=True)]
+                passed = [get(c).slice(a, b - a) for c in ("doc_id", "label", "toxic", "held")]
+                yield pa.RecordBatch.from_arrays([*passed, pa.array(slots, pa.binary()), pa.array(values, pa.binary()), pa.array(found, pa.binary()), pa.array(meta)], ["doc_id", "label", "toxic", "held", "slots", "parts", "marks", "meta"])
+
+    return run
 
 
 class Sparse:
@@ -158,22 +232,26 @@ def _calibrate(z, y):
 
 
 class Model:
-    """Both views' weights, the layout figures' scales, and the calibrations."""
+    """Both views' weights, the layout figures' scales, the calibrations and the share of label 1; for toxicity, the slots that count."""
 
-    def __init__(self, text, meta, mean, scale, calibration, constant=None):
-        self.text, self.meta, self.mean, self.scale, self.calibration, self.constant = text, meta, mean, scale, calibration, constant
+    def __init__(self, text, meta, mean, scale, calibration, constant=None, prior=0.5, marks=None):
+        self.text, self.meta, self.mean, self.scale, self.calibration, self.constant, self.prior, self.marks = text, meta, mean, scale, calibration, constant, prior, marks
 
 
-def cotrain(rows: list, rounds: int = 4, sure: float = 0.95, per_round: int = 100) -> Model:
-    """Fit from gathered rows (doc_id, label or None, slots, parts, meta)."""
+def cotrain(rows: list, rounds: int = 4, sure: float = 0.95, per_round: int = 100, marks: np.ndarray | None = None) -> Model:
+    """Fit from gathered rows (doc_id, label or None, slots, parts, meta); toxic labels (toxic, held, marks) if marks are given."""
     rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["slots"]))
-    label = np.array([-1.0 if r["label"] is None else float(r["label"]) for r in rows])
+    target = "label" if marks is None else "toxic"
+    label = np.array([-1.0 if r[target] is None else float(r[target]) for r in rows])
     known = np.flatnonzero(label >= 0)
     if not len(known) or label[known].min() == label[known].max():
-        return Model(None, None, None, None, None, float(label[known].min()) if len(known) else 1.0)
-    slots = [np.frombuffer(r["slots"], np.int32) for r in rows]
+        return Model(None, None, None, None, None, float(label[known].min()) if len(known) else float(marks is None))
+    slots = [np.frombuffer(r["slots" if marks is None else "marks"], np.int32) for r in rows]
     n = len(rows)
-    text = Sparse(np.repeat(np.arange(n), [len(s) for s in slots]), np.concatenate(slots).astype(np.int64), np.concatenate([np.frombuffer(r["parts"], np.float32) for r in rows]).astype(float), n, TEXT_SIZE)
+    if marks is not None:
+        text = Sparse(np.repeat(np.arange(n), [len(s) for s in slots]), np.concatenate(slots).astype(np.int64), np.ones(sum(map(len, slots))), n, max(len(marks), 1))
+    else:
+        text = Sparse(np.repeat(np.arange(n), [len(s) for s in slots]), np.concatenate(slots).astype(np.int64), np.concatenate([np.frombuffer(r["parts"], np.float32) for r in rows]).astype(float), n, TEXT_SIZE)
     meta_rows = [json.loads(r["meta"]) for r in rows]
     numbers = np.array([m[2] for m in meta_rows])
     mean, scale = numbers[known].mean(0), numbers[known].std(0) + 1e-6
@@ -187,7 +265,8 @@ def cotrain(rows: list, rounds: int = 4, sure: float = 0.95, per_round: int = 10
         META_SIZE,
     )
     held = np.zeros(n, bool)
-    held[known[np.arange(len(known)) % 5 == 4]] = True
+    # what the marks were counted on may not be held out
+    held[known[np.arange(len(known)) % 5 == 4] if marks is None else [i for i in known if rows[i]["held"]]] = True
     if len(np.unique(label[held])) < 2:
         held[:] = False
     base = known[~held[known]]
@@ -212,11 +291,41 @@ def cotrain(rows: list, rounds: int = 4, sure: float = 0.95, per_round: int = 10
         fitted = [learn(0), learn(1)]
     check = np.flatnonzero(held) if held.any() else base
     calibration = [_calibrate(views[v].times(fitted[v][0])[check] + fitted[v][1], label[check]) for v in (0, 1)]
-    return Model(fitted[0], fitted[1], mean, scale, calibration)
+    return Model(fitted[0], fitted[1], mean, scale, calibration, prior=float(label[known].mean()), marks=marks)
+
+
+@dataclass(frozen=True)
+class Models:
+    """What decides on a document: its quality and, if learned, its toxicity."""
 
+    quality: Model
+    toxic: Model | None = None
 
-def _score(model: Model, passed: list[str], threshold: float):
+
+def _meta_odds(model, source, lang, numbers):
+    w, bias = model.meta
+    dense = np.clip((numbers - model.mean) / model.scale, -8, 8)
+    return w[source] + w[SOURCES + np.array(lang)] + dense @ w[SOURCES + LANGS :] + bias
+
+
+def _calibrated(model, z):
+    return [np.clip(s * x + t, -30, 30) for x, (s, t) in zip(z, model.calibration, strict=True)]
+
+
+def _toxic_score(model: Model | None, chosen, data, offsets, meta):
+    n = len(offsets) - 1
+    if model is None or model.constant is not None:
+        return np.full(n, 0.0 if model is None else model.constant)
+    w, bias = model.text
+    place, _, at = mark_features(data, offsets, chosen)
+    z = _calibrated(model, [K.segment_sum(w[place], at) + bias, _meta_odds(model, *meta)])
+    return 1 / (1 + np.exp(-np.clip(z[0] + z[1] - np.log(model.prior / (1 - model.prior)), -30, 30)))
+
+
+def _score(models: Models, passed: list[str], threshold: float):
     def run(batches):
+        model, toxic = models.quality, models.toxic
+        chosen = None if toxic is None or toxic.marks is None else _places(toxic.marks)
         for batch in batches:
             for a, b, data, offsets in K.chunks(batch, "text"):
                 first, _, own, ending, repeat, source, lang, numbers = _chunk_views(batch, a, b, data, offsets)
@@ -226,16 +335,15 @@ def _score(model: Model, passed: list[str], threshold: float):
                     joint = p[0]
                 else:
                     w, bias = model.text
-                    z = [K.segment_sum(w[own] + w[ending] + w[-1] * repeat, first) / np.maximum(n, 1) + bias]
-                    w, bias = model.meta
-                    dense = np.clip((numbers - model.mean) / model.scale, -8, 8)
-                    z.append(w[source] + w[SOURCES + np.array(lang)] + dense @ w[SOURCES + LANGS :] + bias)
-                    z = [np.clip(s * x + t, -30, 30) for x, (s, t) in zip(z, model.calibration, strict=True)]
+                    z = [K.segment_sum(w[own] + w[ending] + w[-1] * repeat, first) / np.maximum(n, 1) + bias, _meta_odds(model, source, lang, numbers)]
+                    z = _calibrated(model, z)
                     p = [1 / (1 + np.exp(-x)) for x in z]
                     joint = 1 / (1 + np.exp(-(z[0] + z[1]) / 2))
                 score = np.where(n > 0, joint, 0.0)
+                bad = np.where(n > 0, _toxic_score(toxic, chosen, data, offsets, (source, lang, numbers)), 0.0)
                 cols = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in passed]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(p[0]), pa.array(p[1]), pa.array(score), pa.array((score >= threshold) & (n > 0))], [*passed, "__text_score", "__meta_score", "__score", "__keep"])
+                keep = (score >= threshold) & (n > 0) & (bad < threshold)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(p[0]), pa.array(p[1]), pa.array(score), pa.array(bad), pa.array(keep)], [*passed, "__text_score", "__meta_score", "__score", "__toxic_score", "__keep"])
 
     return run
 
@@ -245,31 +353,48 @@ def _views_of(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__source", get("source")).withColumn("__lang", get("lang"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_pool: int = 4000) -> Model:
+def _labelled(labels: DataFrame, column: str, name: str, most: int) -> DataFrame:
+    """id and its label, of the ids of smallest hash."""
+    known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg(column) >= 0.5).cast("int").alias(name))
+    return known.orderBy(F.xxhash64("id"), "id").limit(most)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_pool: int = 4000, toxic: bool = True) -> Models:
     """Fit on a bounded sample: the labelled and unlabelled rows of smallest hash."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    pool = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_pool).withColumn("label", F.lit(None).cast("int"))
-    # at most max_labelled + max_pool rows, so they may be broadcast
-    chosen = known.unionByName(pool).groupBy("id").agg(F.max("label").alias("label"))
+    toxic = toxic and "toxic" in labels.columns
+    known = _labelled(labels, "quality", "label", max_labelled).withColumn("toxic", F.lit(None).cast("int"))
+    pool = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_pool)
+    # at most max_labelled + max_pool rows (max_labelled more where other ids have toxic labels), so they may be broadcast
+    chosen = known.unionByName(pool, allowMissingColumns=True)
+    if toxic:
+        chosen = chosen.unionByName(_labelled(labels, "toxic", "toxic", max_labelled), allowMissingColumns=True)
+    chosen = chosen.groupBy("id").agg(F.max("label").alias("label"), F.max("toxic").alias("toxic")).withColumn("held", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)) == 4)
     picked = _views_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__source", "__lang")
-    picked = picked.join(F.broadcast(chosen), picked["doc_id"] == chosen["id"]).select("doc_id", "label", "text", "__source", "__lang")
-    rows = map_arrow(picked, _gather, "doc_id long, label int, slots binary, parts binary, meta string")
-    return cotrain(rows.collect())
+    picked = picked.join(F.broadcast(chosen), picked["doc_id"] == chosen["id"]).select("doc_id", "label", "toxic", "held", "text", "__source", "__lang")
+    if toxic:
+        picked = written(picked, "labelled")
+    marks = choose_marks(picked) if toxic else np.zeros(0, np.int64)
+    rows = map_arrow(picked, _gather(marks), "doc_id long, label int, toxic int, held boolean, slots binary, parts binary, marks binary, meta string").collect()
+    return Models(cotrain(rows), cotrain(rows, marks=marks) if toxic else None)
 
 
-def score_rows(docs: DataFrame, model: Model, threshold: float = 0.5, pass_columns: list[str] | None = None) -> DataFrame:
-    """The given columns of every row (all by default) with __text_score, __meta_score, __score, __keep."""
+def score_rows(docs: DataFrame, models: Models, threshold: float = 0.5, pass_columns: list[str] | None = None) -> DataFrame:
+    """The given columns of every row (all by default) with __text_score, __meta_score, __score, __toxic_score, __keep."""
     passed = list(docs.columns if pass_columns is None else pass_columns)
     fields = [docs.schema[c] for c in passed]
-    extra = [T.StructField(f"__{c}_score" if c != "score" else "__score", T.DoubleType()) for c in ("text", "meta", "score")]
+    extra = [T.StructField(c, T.DoubleType()) for c in ("__text_score", "__meta_score", "__score", "__toxic_score")]
     schema = T.StructType([*fields, *extra, T.StructField("__keep", T.BooleanType())])
     need = [*dict.fromkeys([*passed, "text"])]
-    return map_arrow(_views_of(docs).select(*need, "__source", "__lang"), _score(model, passed, threshold), schema)
+    return map_arrow(_views_of(docs).select(*need, "__source", "__lang"), _score(models, passed, threshold), schema)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, text_score, meta_score, score, keep of every row."""
+def document_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, toxic: bool = True) -> DataFrame:
+    """doc_id, text_score, meta_score, score, toxic_score, keep of every row; what is bad or toxic is not kept."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    scored = score_rows(docs, train(docs, labels), threshold, ["doc_id"])
-    return scored.select("doc_id", F.col("__text_score").alias("text_score"), F.col("__meta_score").alias("meta_score"), F.col("__score").alias("score"), F.col("__keep").alias("keep"))
+    scored = score_rows(docs, train(docs, labels, toxic=toxic), threshold, ["doc_id"])
+    return scored.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("text_score", "meta_score", "score", "toxic_score", "keep")))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, text_score, meta_score, score, keep of every row by quality alone, whatever its toxicity."""
+    return document_scores(docs, labels, threshold, toxic=False).drop("toxic_score")

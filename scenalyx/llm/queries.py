@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .cotraining import quality_scores
+from .cotraining import document_scores
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_components
 from .packing import pack
@@ -62,7 +62,7 @@ def op9(spark, d):
 
 
 def op10(spark, d):
-    return quality_scores(_read(spark, d, "documents"), _read(spark, d, "labels"))
+    return document_scores(_read(spark, d, "documents"), _read(spark, d, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from scenalyx.llm import bpe, url_filter
-from scenalyx.llm.cotraining import quality_scores
+from scenalyx.llm.cotraining import document_scores, quality_scores
 from scenalyx.llm.decontaminate import decontaminate
 from scenalyx.llm.jaccard_join import jaccard_components
 from scenalyx.llm.packing import pack, plan
@@ -291,6 +291,16 @@ def test_quality_classifier_held_out(spark):
     assert scored.count() == docs.count()
 
 
+def test_toxic_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scored = document_scores(docs, labels.where("doc_id % 2 = 0"))
+    rows = scored.join(labels.where("doc_id % 2 = 1"), "doc_id").select("keep", "quality", "toxic").collect()
+    toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0 and r.quality == 1]
+    assert len(toxic) > 100 and sum(not r.keep for r in toxic) / len(toxic) > 0.8
+    assert sum(r.keep for r in clean) / len(clean) > 0.95
+
+
 def test_quality_classifier_edges(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = quality_scores(docs, none).collect()
