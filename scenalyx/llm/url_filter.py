@@ -1,7 +1,7 @@
 """URL filters: rules first, then logistic regression on hashed character n-grams.
 
-Everything that touches the corpus is a map of DataFrame functions: no shuffle,
-no Python. Only the small labelled table reaches the driver (at most
+Everything that touches the corpus is a map of DataFrame functions, without
+Python; only the sample shuffles, as it takes each ruled url once. Only the small labelled table reaches the driver (at most
 ``max_labelled`` rows, a documented bound), where plain full-batch gradient
 descent fits the weights; these go back into the plan as one array literal of
 ``2 ** bits`` numbers.
@@ -12,7 +12,8 @@ lower-cased; path: then up to ``?``, ``#`` or the end. A null url or one without
 with the rule's; the longest rule wins. What no rule fits is for the model.
 
 Defined cases: an empty host and path have no n-grams and take the model's bias;
-without labelled rows of both kinds all weights are 0 and everything is allowed;
+without labelled rows of both kinds all weights are 0, the score is 0.5 and
+everything that no rule fits is allowed;
 rows are judged alike whatever their page_id (null, repeated); other columns are
 ignored.
 """
@@ -92,11 +93,11 @@ def score(slots: Column, bias: float, weights: list[float]) -> Column:
 
 
 def labelled_by_rules(pages: DataFrame, max_labelled: int) -> DataFrame:
-    """A small labelled URL table (url, block): what the rules decide, the rows of smallest hash."""
+    """A small labelled URL table (url, block): what the rules decide, the distinct urls of smallest hash."""
     host, path = parts(F.col("url"))
     rule, verdict = rule_columns(host, path)
     known = pages.select("url").where(rule.isNotNull()).select("url", (verdict == "block").cast("int").alias("block"))
-    return known.orderBy(F.xxhash64("url"), "url").limit(max_labelled)
+    return known.distinct().orderBy(F.xxhash64("url"), "url").limit(max_labelled)
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, n: int = 3, bits: int = 12, max_labelled: int = 2000, threshold: float = 0.5) -> DataFrame:
@@ -108,8 +109,9 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, n: int = 3,
     host, path = parts(F.col("url"))
     train = labelled.select(ngram_slots(host, path, n, bits).alias("slots"), "block").collect()
     bias, weights = fit([(r["slots"], r["block"]) for r in train], bits)
+    learned = len({r["block"] for r in train}) > 1
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"))
     base = base.withColumn("rule", rule).withColumn("said", verdict).withColumn("slots", ngram_slots(F.col("host"), F.col("path"), n, bits))
     base = base.withColumn("block_score", score(F.col("slots"), bias, weights))
-    return base.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("block_score") >= threshold, "block").otherwise("allow")).alias("verdict"), "block_score")
+    return base.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.lit(learned) & (F.col("block_score") >= threshold), "block").otherwise("allow")).alias("verdict"), "block_score")

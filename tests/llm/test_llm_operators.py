@@ -282,6 +282,23 @@ def test_urls(spark):
     assert all((sum(weights[s] for s in slots) / len(slots) ** 0.5 + bias > 0) == bool(y) for slots, y in rows)
 
 
+def test_urls_sample_takes_each_url_once(spark):
+    from pyspark.sql import functions as F
+
+    def pages(urls):
+        return spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+
+    few = [*(f"http://a{k}.com/en/bad" for k in range(20)), *(f"http://b{k}.net/de/good" for k in range(20))]
+    hot = pages(few).orderBy(F.xxhash64("url")).first()["url"]
+    got = {r.url: r.block for r in url_filter.labelled_by_rules(pages([*few, *[hot] * 300]), 100).collect()}
+    assert len(got) == 40 and set(got.values()) == {0, 1}
+    table = pages([*few, *[hot] * 300, "http://c.com/x/bad", "http://d.net/y/good"])
+    verdict = {r.path: r.verdict for r in filter_urls(table, max_labelled=100).where("rule is null").collect()}
+    assert verdict == {"/x/bad": "block", "/y/good": "allow"}
+    one = pages(["http://a.com/en/1"] * 5 + ["http://xcom/zz"])
+    assert [r.verdict for r in filter_urls(one).orderBy("page_id").collect()] == ["block"] * 5 + ["allow"]
+
+
 def test_quality_classifier_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
