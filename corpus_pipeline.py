@@ -13,7 +13,7 @@ from scenalyx.llm.cotraining import score_rows, train
 from scenalyx.llm.decontaminate import decontaminate
 from scenalyx.llm.jaccard_join import jaccard_components
 from scenalyx.llm.packing import pack
-from scenalyx.llm.spark import checkpoint_dir, cut
+from scenalyx.llm.spark import checkpoint_dir, cut, written
 from scenalyx.llm.suffix_dedup import suffix_dedup
 
 #: The stages include a packing and a trained classifier, which SQL cannot express.
@@ -27,14 +27,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 5-word Jaccard similarity of 0.8 or more, the smallest doc_id stays."""
-    found = cut(jaccard_components(docs, n=5, num=80, den=100))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # rows that repeat a doc_id are one group, too
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """Of each group of documents linked by 5-word Jaccard similarity of 0.8 or more, the smallest doc_id stays.
+
+    Where rows repeat a doc_id, each text counts by itself: of equal ones, and then of
+    linked ones, the first by doc_id, text and the other columns stays. Rows without
+    words or doc_id are linked to nothing and stay.
+    """
+    number = F.col("doc_id").cast("long")
+    key, rows, loose = "doc_id", docs, None
+    if docs.where(number.isNotNull()).groupBy(number).count().where("count > 1").limit(1).count():
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        linked = number.isNotNull() & F.coalesce(F.col("text").cast("string").rlike(r"[^ \x09-\x0D]"), F.lit(False))
+        loose = docs.where(~linked)
+        rows = docs.where(linked).groupBy("doc_id", "text").agg(F.min(F.struct(*rest, F.lit(0))).alias("__rest"))
+        rows = rows.orderBy(number, "text").select("doc_id", "text", *(F.col(f"__rest.`{c}`").alias(c) for c in rest), F.monotonically_increasing_id().alias("__key"))
+        key, rows = "__key", written(rows, "near-duplicates")
+    found = cut(jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), n=5, num=80, den=100))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = rows.join(gone, key, "left_anti").select(*docs.columns)
+    return kept if loose is None else kept.unionByName(loose)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

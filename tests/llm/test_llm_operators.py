@@ -299,6 +299,29 @@ def test_urls_sample_takes_each_url_once(spark):
     assert [r.verdict for r in filter_urls(one).orderBy("page_id").collect()] == ["block"] * 5 + ["allow"]
 
 
+def test_near_duplicates_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    text = lambda k: " ".join(f"{k}x{i}" for i in range(60))
+    rows = [
+        (1, text("a"), "s"),
+        (7, text("b"), "t"),
+        (7, text("b"), "s"),  # an equal text: the first by source stays
+        (7, text("c"), "s"),
+        (7, text("a") + " end", "s"),  # linked to doc 1
+        (7, text("d"), "s"),
+        (8, text("c") + " end", "s"),  # linked to one of the texts of doc 7
+        (9, "", "s"),
+        (9, "", "t"),
+        (None, text("a"), "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = C.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = collections.Counter(tuple(r) for r in out.collect())
+    assert got == collections.Counter(rows[k] for k in (0, 2, 3, 5, 7, 8, 9))
+
+
 def test_quality_classifier_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
