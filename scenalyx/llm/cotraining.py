@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .spark import map_arrow, written
+from .spark import Scratch, map_arrow
 
 BITS = 14
 TEXT_SIZE = (1 << BITS) + (1 << 12) + 1
@@ -156,7 +156,7 @@ def _chunk_views(batch, a, b, data, offsets):
     repeat = np.zeros(len(word), np.int64)
     repeat[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
     col = lambda name: batch.column(batch.schema.get_field_index(name)).slice(a, b - a).to_pylist()
-    source, lang, numbers = meta_features(data, offsets, word, first, doc, col("__source"), col("__lang"))
+    source, lang, numbers = meta_features(data, offsets, word, first, doc, col("source"), col("lang"))
     return first, doc, own, ending, repeat, source, lang, numbers
 
 
@@ -322,7 +322,7 @@ def _toxic_score(model: Model | None, chosen, data, offsets, meta):
     return 1 / (1 + np.exp(-np.clip(z[0] + z[1] - np.log(model.prior / (1 - model.prior)), -30, 30)))
 
 
-def _score(models: Models, passed: list[str], threshold: float):
+def _score(models: Models, threshold: float):
     def run(batches):
         model, toxic = models.quality, models.toxic
         chosen = None if toxic is None or toxic.marks is None else _places(toxic.marks)
@@ -341,16 +341,15 @@ def _score(models: Models, passed: list[str], threshold: float):
                     joint = 1 / (1 + np.exp(-(z[0] + z[1]) / 2))
                 score = np.where(n > 0, joint, 0.0)
                 bad = np.where(n > 0, _toxic_score(toxic, chosen, data, offsets, (source, lang, numbers)), 0.0)
-                cols = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in passed]
                 keep = (score >= threshold) & (n > 0) & (bad < threshold)
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(p[0]), pa.array(p[1]), pa.array(score), pa.array(bad), pa.array(keep)], [*passed, "__text_score", "__meta_score", "__score", "__toxic_score", "__keep"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x) for x in (p[0], p[1], score, bad, keep))], ["row", *SCORES, "keep"])
 
     return run
 
 
-def _views_of(docs: DataFrame) -> DataFrame:
-    get = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
-    return docs.withColumn("__source", get("source")).withColumn("__lang", get("lang"))
+def _views_of(docs: DataFrame) -> list:
+    """Columns text, source and lang of a table that may lack the last two."""
+    return [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("text", "source", "lang")]
 
 
 def _labelled(labels: DataFrame, column: str, name: str, most: int) -> DataFrame:
@@ -361,6 +360,7 @@ def _labelled(labels: DataFrame, column: str, name: str, most: int) -> DataFrame
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_pool: int = 4000, toxic: bool = True) -> Models:
     """Fit on a bounded sample: the labelled and unlabelled rows of smallest hash."""
+    tables = Scratch(docs.sparkSession)
     toxic = toxic and "toxic" in labels.columns
     known = _labelled(labels, "quality", "label", max_labelled).withColumn("toxic", F.lit(None).cast("int"))
     pool = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_pool)
@@ -369,30 +369,30 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_pool
     if toxic:
         chosen = chosen.unionByName(_labelled(labels, "toxic", "toxic", max_labelled), allowMissingColumns=True)
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label"), F.max("toxic").alias("toxic")).withColumn("held", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)) == 4)
-    picked = _views_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__source", "__lang")
-    picked = picked.join(F.broadcast(chosen), picked["doc_id"] == chosen["id"]).select("doc_id", "label", "toxic", "held", "text", "__source", "__lang")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_views_of(docs))
+    picked = picked.join(F.broadcast(chosen), picked["doc_id"] == chosen["id"]).select("doc_id", "label", "toxic", "held", "text", "source", "lang")
     if toxic:
-        picked = written(picked, "labelled")
+        picked = tables.written(picked, "labelled")
     marks = choose_marks(picked) if toxic else np.zeros(0, np.int64)
     rows = map_arrow(picked, _gather(marks), "doc_id long, label int, toxic int, held boolean, slots binary, parts binary, marks binary, meta string").collect()
+    tables.drop()
     return Models(cotrain(rows), cotrain(rows, marks=marks) if toxic else None)
 
 
-def score_rows(docs: DataFrame, models: Models, threshold: float = 0.5, pass_columns: list[str] | None = None) -> DataFrame:
-    """The given columns of every row (all by default) with __text_score, __meta_score, __score, __toxic_score, __keep."""
-    passed = list(docs.columns if pass_columns is None else pass_columns)
-    fields = [docs.schema[c] for c in passed]
-    extra = [T.StructField(c, T.DoubleType()) for c in ("__text_score", "__meta_score", "__score", "__toxic_score")]
-    schema = T.StructType([*fields, *extra, T.StructField("__keep", T.BooleanType())])
-    need = [*dict.fromkeys([*passed, "text"])]
-    return map_arrow(_views_of(docs).select(*need, "__source", "__lang"), _score(models, passed, threshold), schema)
+SCORES = ["text_score", "meta_score", "score", "toxic_score"]
+
+
+def score_rows(docs: DataFrame, models: Models, threshold: float = 0.5, carried: list[str] | None = None) -> DataFrame:
+    """row (the given columns of every row, all by default, as one struct), text_score, meta_score, score, toxic_score, keep."""
+    rows = docs.select(F.struct(*(docs.columns if carried is None else carried)).alias("row"), *_views_of(docs))
+    fields = [T.StructField("row", rows.schema["row"].dataType), *(T.StructField(c, T.DoubleType()) for c in SCORES), T.StructField("keep", T.BooleanType())]
+    return map_arrow(rows, _score(models, threshold), T.StructType(fields))
 
 
 def document_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, toxic: bool = True) -> DataFrame:
     """doc_id, text_score, meta_score, score, toxic_score, keep of every row; what is bad or toxic is not kept."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    scored = score_rows(docs, train(docs, labels, toxic=toxic), threshold, ["doc_id"])
-    return scored.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("text_score", "meta_score", "score", "toxic_score", "keep")))
+    return score_rows(docs, train(docs, labels, toxic=toxic), threshold, ["doc_id"]).select("row.doc_id", *SCORES, "keep")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

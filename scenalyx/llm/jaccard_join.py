@@ -4,65 +4,79 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Two
 documents link when ``den * |A & B| >= num * |A | B|`` (0.85 as 85 / 100).
 
 Plan
-1. Equal sets fold into the smallest doc_id by a grouped minimum.
-2. Size-banded tiles: tile j holds the sizes that can meet a smaller set of band
-   j. A pair in a tile differs in at most k shingles, so of k + 1 hash parts of
-   each set one is equal in both. Each (tile, part, part's hash) is a posting;
-   some parts may be empty, so there are a few spare parts, and a set with more
-   empty parts than spare ones posts these too: any pair that only meets in
-   empty parts has two such sets. Postings of equal key are folded to the
-   smallest document in each task before they are shuffled, as packed arrays.
-3. Documents joined by postings form candidate groups (connected components).
-   Within (group, tile) every pair not yet connected is bounded from above by
-   popcounts of hashed bitmaps, and what passes is intersected exactly.
-   A tile of a group with more than ``group_limit`` sets is dealt over several
-   salts; what the salts have not joined yet meets in a second pass, where only
-   documents outside the tile's largest class are copied to every salt.
-
-Links inside a class that is already connected are not needed for components,
-so copies are never expanded into pairs.
+1. Frequencies. Every shingle of every set is counted, as packed postings
+   (key, place in the task's batch). Of each set come back: its keys that two to
+   ``frequent`` sets hold, with their counts, and how many it has of more. A key
+   that one batch alone finds frequent is posted once by it, so the copies of a
+   common passage never meet in one task.
+2. Prefixes. A linking pair shares one of the first ``s - ceil(num * s / den) + 1``
+   shingles of each set, whatever the order of shingles. Here: those of one set
+   only, then rare ones by count, then the rest by hash. Most sets have enough
+   shingles of their own and are done; texts of the others move once.
+3. Size-banded tiles: tile j holds the sizes that can meet a smaller set of band
+   j. Prefix shingles are posted per tile; sets joined by postings form candidate
+   groups (connected components). Within (group, tile) every pair not yet
+   connected is bounded from above by popcounts of hashed bitmaps, and what
+   passes is intersected exactly, as sorted arrays.
+   A tile of a group with more than ``group_limit`` sets or ``group_bytes`` is
+   dealt over several salts; what the salts have not joined yet meets in a second
+   pass, where only sets outside the tile's largest class are copied to every salt.
+
+Equal sets count as one, the smallest doc_id. Links inside a class that is already
+connected are not needed for components, so copies are never expanded into pairs.
+Intermediate tables go as soon as their successors stand.
 
 Defined cases: null or blank text has the empty set and links with nothing; a
 text of fewer than n words is one shingle; equal doc_ids are one document whose
 rows are judged apart and share a component; a null doc_id has no links and a
-null component; other columns are ignored.
+null component; other columns are ignored; no rows give no rows. Sets are told
+apart by two 64-bit sums and their size; texts have no largest size.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .spark import components, map_arrow, partitions, session_of, targets, written
-
-FLUSH_BYTES = 6 << 20
-
-
-def bands(num: int, den: int, most: int = 1 << 26) -> list[tuple[int, int, int, int]]:
-    """(smallest, end of the smaller set, end of the larger set, parts) of every tile."""
-    out, low = [], 1
-    while low <= most:
-        end = max(low + 1, low * den // num)
-        a, b = end - 1, (end - 1) * den // num
-        differ = (den - num) * (a + b) // (den + num)
-        part = differ + 1
-        empty = part * math.exp(-low / part) if differ else 0.0
-        spare = math.ceil(empty + 5 * math.sqrt(empty)) if differ else 0
-        out.append((low, end, b + 1, part + spare))
-        low = end
-    return out
+from .spark import Scratch, components, cut, map_arrow, partitions, session_of, targets
+
+FLUSH_BYTES, FLUSH_DOCS = 16 << 20, 60_000
+KEY_BITS = 40
+FREQUENT = 16
+ROW = "part int, kind int, flush long, a binary, b binary, c binary"
+DIRECTORY, POSTED, FOUND_RARE, FOUND_FREQUENT, COMMON = 0, 1, 2, 3, 4
+
+
+def band_starts(most: int, num: int, den: int) -> np.ndarray:
+    """Smallest sizes of the bands up to the one that holds ``most``."""
+    low = [1]
+    while low[-1] <= most:
+        low.append(max(low[-1] + 1, low[-1] * den // num))
+    return np.array(low, np.int64)
 
 
-def _tile_arrays(num: int, den: int):
-    rows = bands(num, den)
-    low, end, top, parts = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-    differ = (den - num) * ((end - 1) + (top - 1)) // (den + num)
-    return low, end, top, parts, parts - differ - 1
+def tiles_of(size: np.ndarray, num: int, den: int):
+    """(set, tile) for every tile of each set: its own band, and those of smaller sets that it can still meet."""
+    low = band_starts(int(size.max(initial=1)), num, den)
+    band = np.searchsorted(low, size, "right") - 1
+    who, tile = [], []
+    live = np.flatnonzero(size > 0)
+    for back in range(3):
+        t = band[live] - back
+        live, t = live[t >= 0], t[t >= 0]
+        fits = size[live] <= (low[t + 1] - 1) * den // num
+        live, t = live[fits], t[fits]
+        who.append(live)
+        tile.append(t)
+    return np.concatenate(who), np.concatenate(tile)
+
+
+def prefix_length(size, num: int, den: int):
+    return size + num * size // -den + 1
 
 
 def _sets(data, offsets, n):
@@ -71,54 +85,235 @@ def _sets(data, offsets, n):
     return K.distinct_by_doc(h, of, len(offsets) - 1)
 
 
-def _profile(n: int):
+def _prints(h, at):
+    return K.segment_sum(K.mix(h), at), K.segment_sum(K.mix(h ^ K.U64(0x5851F42D4C957F2D)), at)
+
+
+def _keys(h, n):
+    """Key of each shingle: the partition that counts it, and KEY_BITS of its hash, in one number that sorts by both."""
+    x = K.mix(h + K.U64(0x632BE59BD9B4E019))
+    return ((x >> K.U64(32)) * K.U64(n) >> K.U64(32) << K.U64(KEY_BITS)) | (x & K.U64((1 << KEY_BITS) - 1))
+
+
+def _home(flush, n):
+    return int(K.mix(np.array([flush], np.int64).view(np.uint64))[0] % K.U64(n))
+
+
+def _batch(rows):
+    c = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], ["part", "kind", "flush", "a", "b", "c"])
+
+
+def _heads(keys):
+    """First places of the runs of equal sorted keys, and their lengths."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return first, np.diff(np.r_[first, len(keys)])
+
+
+#: What a batch tells of each of its documents.
+ENTRY = np.dtype([("doc", "<i8"), ("size", "<i8"), ("h1", "<u8"), ("h2", "<u8"), ("common", "<i4"), ("named", "?"), ("posts", "?")])
+
+
+def _post(n: int, part_keys: np.ndarray, frequent: int):
+    """Postings of every set, and a directory of each batch."""
+    parts = len(part_keys)
+
+    def emit(flush, entries, keys, own):
+        entry, key, own = np.concatenate(entries), np.concatenate(keys), np.concatenate(own)
+        order = np.argsort(key)
+        key, own = key[order], own[order]
+        first, count = _heads(key)
+        many = np.repeat(count > frequent, count)
+        entry["common"] = np.bincount(own[many], minlength=len(entry))
+        rows = [(int(part_keys[_home(flush, parts)]), DIRECTORY, flush, entry.tobytes(), None, None)]
+        for kind, k, o in ((POSTED, key[~many], own[~many].astype(np.uint16)), (COMMON, key[first[count > frequent]], None)):
+            cut_at = np.searchsorted(k, np.arange(parts + 1, dtype=np.uint64) << K.U64(KEY_BITS))
+            for p in np.flatnonzero(np.diff(cut_at)):
+                s = slice(cut_at[p], cut_at[p + 1])
+                low = k[s] & K.U64((1 << KEY_BITS) - 1)
+                rows.append((int(part_keys[p]), kind, flush, K.planes(np.diff(low, prepend=K.U64(0)), KEY_BITS // 8), None if o is None else o[s].tobytes(), None))
+        for r in range(0, len(rows), 500):
+            yield _batch(rows[r : r + 500])
+
     def run(batches):
+        flush = TaskContext.get().partitionId() << 32
+        entries, keys, own, held, docs = [], [], [], 0, 0
+        seen: dict[tuple, None] = {}
         for batch in batches:
             ids = batch.column(0)
+            named = ids.is_valid().to_numpy(zero_copy_only=False)
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in K.chunks(batch, "text"):
-                h, _, at = _sets(data, offsets, n)
-                size = np.diff(at)
-                one, two = K.segment_sum(K.mix(h), at), K.segment_sum(K.mix(h ^ K.U64(0x5851F42D4C957F2D)), at)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "n_shingles", "h1", "h2"])
+                h, doc, at = _sets(data, offsets, n)
+                entry = np.zeros(b - a, ENTRY)
+                entry["doc"], entry["size"], entry["named"] = ids[a:b], np.diff(at), named[a:b]
+                entry["h1"], entry["h2"] = _prints(h, at)
+                for i in np.flatnonzero(entry["named"] & (entry["size"] > 0)).tolist():
+                    print_ = (int(entry["h1"][i]), int(entry["h2"][i]))
+                    entry["posts"][i] = print_ not in seen  # an equal set of this task posts once
+                    seen[print_] = None
+                if len(seen) > 200_000:
+                    seen.clear()
+                mine = entry["posts"][doc]
+                entries.append(entry)
+                keys.append(_keys(h[mine], parts))
+                own.append(doc[mine] + docs)
+                docs += b - a
+                held += len(data)
+                if held >= FLUSH_BYTES or docs >= FLUSH_DOCS:
+                    yield from emit(flush, entries, keys, own)
+                    flush += 1
+                    entries, keys, own, held, docs = [], [], [], 0, 0
+        if entries:
+            yield from emit(flush, entries, keys, own)
 
     return run
 
 
-def _postings_of(h, at, size, tiles):
-    """(key, document) of every posting of a chunk."""
-    low, end, top, parts, spare = tiles
-    keys, docs = [], []
-    band = np.searchsorted(low, size, "right") - 1
-    live = np.flatnonzero(size > 0)
-    for back in (0, 1, 2):  # the tiles of smaller bands that a set of this size can still meet
-        tile = band[live] - back
-        live, tile = live[tile >= 0], tile[tile >= 0]
-        fits = size[live] < top[tile]
-        live, tile = live[fits], tile[fits]
-        if not len(live):
-            break
-        m = size[live]
-        begin = np.cumsum(m) - m
-        at_h = np.repeat(at[live] - begin, m) + np.arange(m.sum())
-        x, count = h[at_h], parts[tile]
-        room = np.cumsum(count) - count
-        cell = (K.mix(x ^ K.U64(0x2545F4914F6CDD1D)) >> K.U64(32)).astype(np.int64) * np.repeat(count, m) >> 32
-        cell += np.repeat(room, m)
-        value = K.mix(x + K.U64(0x632BE59BD9B4E019))
-        total = int(count.sum())
-        # exact sums modulo 2**52 of two halves, so that bincount's doubles lose nothing
-        low_half = np.bincount(cell, (value & K.U64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
-        high_half = np.bincount(cell, (value >> K.U64(32)).astype(np.float64), total).astype(np.uint64)
-        filled = np.bincount(cell, minlength=total)
-        owner = np.repeat(np.arange(len(live)), count)
-        part = np.arange(total) - np.repeat(room, count)
-        empty = np.bincount(owner, filled == 0, len(live)).astype(np.int64)
-        take = (filled > 0) | (empty > spare[tile])[owner]
-        where = (tile[owner] * 1_000_003 + part).astype(np.uint64)
-        key = K.mix(K.mix(low_half + (high_half << K.U64(17)) * K.U64(0x9E3779B97F4A7C15) + filled.astype(np.uint64)) ^ K.mix(where))
-        keys.append(key[take])
-        docs.append(live[owner[take]])
-    return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _count(part_keys: np.ndarray, frequent: int):
+    """Tell each batch which of its postings are rare but shared, and which are frequent."""
+    parts, place_of = len(part_keys), {int(k): i for i, k in enumerate(part_keys)}
+
+    def run(batches):
+        keys, own, source, flushes, common = [], [], [], [], []
+        for batch in batches:
+            for p, kind, flush, a, b, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == DIRECTORY:
+                    yield _batch([(p, kind, flush, a, None, None)])
+                    continue
+                # one Spark partition may hold several parts: the part's place completes the key
+                k = np.cumsum(K.unplanes(a, KEY_BITS // 8), dtype=np.uint64) + (K.U64(place_of[p]) << K.U64(KEY_BITS))
+                if kind == COMMON:
+                    common.append(k)
+                    continue
+                keys.append(k)
+                own.append(np.frombuffer(b, np.uint16))
+                source.append(np.full(len(k), len(flushes), np.int32))
+                flushes.append(flush)
+        if not keys:
+            return
+        key, own, source = np.concatenate(keys), np.concatenate(own), np.concatenate(source)
+        del keys
+        order = np.argsort(key)
+        key = key[order]
+        first, count = _heads(key)
+        if common:
+            count_all = count + (frequent + 1) * np.isin(key[first], np.unique(np.concatenate(common)))
+        else:
+            count_all = count
+        total = np.repeat(count_all, count)
+        shared = total > 1
+        order, key, total = order[shared], key[shared], total[shared]
+        own, source = own[order], source[order]
+        by = np.argsort(source, kind="stable")
+        cut_at = np.searchsorted(source[by], np.arange(len(flushes) + 1))
+        rows = []
+        for f in np.flatnonzero(np.diff(cut_at)):
+            i = by[cut_at[f] : cut_at[f + 1]]
+            home = int(part_keys[_home(flushes[f], parts)])
+            rare = total[i] <= frequent
+            r = i[rare]
+            if len(r):
+                rows.append((home, FOUND_RARE, flushes[f], K.planes(np.diff(key[r], prepend=K.U64(0)), 8), own[r].tobytes(), total[r].astype(np.uint8).tobytes()))
+            if not rare.all():
+                rows.append((home, FOUND_FREQUENT, flushes[f], None, own[i[~rare]].tobytes(), None))
+            if len(rows) >= 500:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
+
+    return run
+
+
+SETS = "doc_id long, n_shingles long, h1 long, h2 long, singles long, rare binary, counts binary"
+
+
+def _judge(num: int, den: int):
+    """One row per document; rare keys and their counts for those that have too few shingles of their own."""
+
+    def close(entry, rare, frequent):
+        size = entry["size"]
+        many = entry["common"].astype(np.int64)
+        for own in frequent:
+            many += np.bincount(own, minlength=len(entry))
+        key, own, count = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint8))
+        singles = size - many - np.bincount(own, minlength=len(entry))
+        asks = entry["posts"] & (singles < prefix_length(size, num, den))
+        mine = asks[own]
+        key, own, count = key[mine], own[mine], count[mine]
+        order = np.argsort(own, kind="stable")
+        key, count = key[order], count[order]
+        at = np.searchsorted(own[order], np.arange(len(entry) + 1))
+        blob = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() if asks[i] else None for i in range(len(entry))], pa.binary())
+        signed = lambda name: pa.array(np.ascontiguousarray(entry[name]).view(np.int64))
+        doc = pa.array(np.ascontiguousarray(entry["doc"]), mask=~entry["named"])
+        yield pa.RecordBatch.from_arrays([doc, signed("size"), signed("h1"), signed("h2"), pa.array(singles), blob(key), blob(count)], [x.split()[0] for x in SETS.split(", ")])
+
+    def run(batches):
+        entry, rare, frequent = None, [], []
+        for batch in batches:
+            for _, kind, _, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if kind == DIRECTORY:
+                    if entry is not None:
+                        yield from close(entry, rare, frequent)
+                    entry, rare, frequent = np.frombuffer(a, ENTRY), [], []
+                elif kind == FOUND_RARE:
+                    rare.append((np.cumsum(K.unplanes(a, 8), dtype=np.uint64), np.frombuffer(b, np.uint16), np.frombuffer(c, np.uint8)))
+                else:
+                    frequent.append(np.frombuffer(b, np.uint16))
+        if entry is not None:
+            yield from close(entry, rare, frequent)
+
+    return run
+
+
+def _prefixes(n: int, num: int, den: int, parts: int):
+    """Sets that ask for partners, and the keys that they post: (doc_id, size, items, posts)."""
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            col = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
+            ids = col("doc_id").to_pylist()
+            want = [col(name).to_numpy(zero_copy_only=False) for name in ("h1", "h2", "n_shingles", "singles")]
+            for a, b, data, offsets in K.chunks(batch, "text"):
+                h, _, at = _sets(data, offsets, n)
+                size = np.diff(at)
+                one, two = _prints(h, at)
+                h1, h2, many, singles = (x[a:b] for x in want)
+                same = (one.view(np.int64) == h1) & (two.view(np.int64) == h2) & (size == many)
+                rare, counts = (col(name).slice(a, b - a).to_pylist() for name in ("rare", "counts"))
+                rows, posts = [], []
+                for i in np.flatnonzero(same).tolist():
+                    name = (ids[a + i], int(one[i]))
+                    if name in seen:
+                        continue
+                    seen.add(name)
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    items = h[at[i] : at[i + 1]]
+                    key = _keys(items, parts)
+                    known, of = np.frombuffer(rare[i], np.uint64), np.frombuffer(counts[i], np.uint8)
+                    order = np.argsort(known)
+                    place = np.searchsorted(known[order], key)
+                    place[place == len(known)] = 0
+                    is_rare = known[order][place] == key if len(known) else np.zeros(len(key), bool)
+                    count = np.where(is_rare, of[order][place], 255) if len(known) else np.full(len(key), 255)
+                    length = int(prefix_length(size[i], num, den))
+                    by = np.lexsort((items, key, count))
+                    if singles[i] + is_rare.sum() >= length:  # its own shingles come first, and meet nobody
+                        by = by[: length - max(int(singles[i]), 0)]
+                    else:
+                        by = by[:length]
+                    rows.append((a + i, int(one.view(np.int64)[i]), int(size[i]), items.tobytes()))
+                    posts.append(np.unique(key[by]).tobytes())
+                if rows:
+                    index, prints, sizes, items = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([col("doc_id").take(pa.array(index)), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(items, pa.binary()), pa.array(posts, pa.binary())], ["doc_id", "h1", "size", "items", "posts"])
+
+    return run
 
 
 def _fold(key, doc):
@@ -151,7 +346,8 @@ def _forest(link: np.ndarray) -> np.ndarray:
     return np.stack([ids[off], ids[label[off]]], 1)
 
 
-def _postings(n: int, num: int, den: int, part_keys: np.ndarray):
+def _candidates(num: int, den: int, part_keys: np.ndarray):
+    """Prefix keys per tile, folded to the smallest document in each task, and the others' links to it."""
     parts = len(part_keys)
 
     def emit(keys, docs):
@@ -160,39 +356,28 @@ def _postings(n: int, num: int, den: int, part_keys: np.ndarray):
         cut_at = np.searchsorted(part, np.arange(parts + 1))
         rows = []
         for p in np.flatnonzero(np.diff(cut_at)):
-            k, d = key[cut_at[p] : cut_at[p + 1]], doc[cut_at[p] : cut_at[p + 1]]
-            ids, index = np.unique(d, return_inverse=True)
-            index = index.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32)
-            rows.append((int(part_keys[p]), (k & K.U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ids.tobytes(), index.tobytes()))
+            rows.append((int(part_keys[p]), key[cut_at[p] : cut_at[p + 1]].tobytes(), doc[cut_at[p] : cut_at[p + 1]].tobytes()))
         link = _forest(link)
         deal = (K.mix(link[:, 0].astype(np.int64).view(np.uint64)) % K.U64(parts)).astype(np.int64)
         for p in np.unique(deal):
-            rows.append((int(part_keys[p]), None, link[deal == p].tobytes(), None))
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "keys", "ids", "idx"])
+            rows.append((int(part_keys[p]), None, link[deal == p].tobytes()))
+        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["part", "keys", "ids"])
 
     def run(batches):
-        tiles = _tile_arrays(num, den)
         keys, docs, held = [], [], 0
-        seen: dict[tuple, int] = {}
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in K.chunks(batch, "text"):
-                h, _, at = _sets(data, offsets, n)
-                size, own = np.diff(at), ids[a:b]
-                # an equal set of this task posts once, by its first document, and a link
-                print_ = K.segment_sum(K.mix(h), at)
-                first = np.array([seen.setdefault((s, f), d) for s, f, d in zip(size.tolist(), print_.tolist(), own.tolist(), strict=True)], np.int64)
-                if len(seen) > 200_000:
-                    seen.clear()
-                same = first != own
-                k, d = _postings_of(h, at, np.where(same, 0, size), tiles)
-                keys.append(k)
-                docs.append(own[d])
-                held += len(data)
-                if held >= FLUSH_BYTES:
-                    yield from emit(keys, docs)
-                    keys, docs, held = [], [], 0
+            ids, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            posts = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            who, tile = tiles_of(size, num, den)
+            if not len(who):
+                continue
+            keys.append(K.mix(np.concatenate([posts[i] for i in who]) ^ K.mix(np.repeat(tile.astype(np.uint64) + K.U64(1), [len(posts[i]) for i in who]))))
+            docs.append(np.repeat(ids[who], [len(posts[i]) for i in who]))
+            held += len(keys[-1])
+            if held >= 1 << 20:
+                yield from emit(keys, docs)
+                keys, docs, held = [], [], 0
         if keys:
             yield from emit(keys, docs)
 
@@ -203,15 +388,13 @@ def _stars(batches):
     """Links that connect the documents of equal postings of one partition, one for a document at most."""
     keys, docs, links = [], [], []
     for batch in batches:
-        for k, ids, idx in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        for k, ids in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
             ids = np.frombuffer(ids, np.int64)
             if k is None:
                 links.append(ids.reshape(-1, 2))
-                continue
-            k = np.frombuffer(k, np.uint32)
-            idx = np.frombuffer(idx, np.uint16 if len(idx) == 2 * len(k) else np.uint32)
-            keys.append(k)
-            docs.append(ids[idx])
+            else:
+                keys.append(np.frombuffer(k, np.uint64))
+                docs.append(ids)
     if keys:
         links.append(_fold(np.concatenate(keys), np.concatenate(docs))[2])
     if links:
@@ -220,35 +403,14 @@ def _stars(batches):
             yield pa.RecordBatch.from_arrays([pa.array(link[at : at + 50_000, 0]), pa.array(link[at : at + 50_000, 1])], ["a", "b"])
 
 
-def _tile_sets(n: int, num: int, den: int):
-    """Send each set to those of its tiles that are dealt: (grp, tile, salt, doc_id, size, set)."""
+def _members(num: int, den: int):
+    """(doc_id, grp, size, tile) for every tile of a set."""
 
     def run(batches):
-        low, _, top, _, _ = _tile_arrays(num, den)
         for batch in batches:
-            cols = {name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False) for name in ("doc_id", "grp")}
-            dealt = batch.column(batch.schema.get_field_index("tiles"))
-            for a, b, data, offsets in K.chunks(batch, "text"):
-                h, _, at = _sets(data, offsets, n)
-                size = np.diff(at)
-                band = np.searchsorted(low, size, "right") - 1
-                rows = []
-                for i in np.flatnonzero(size > 0):
-                    doc = int(cols["doc_id"][a + i])
-                    own = int(K.mix(np.array([doc], np.int64).view(np.uint64))[0])
-                    here = {t["tile"]: (t["salts"], t["spread"]) for t in dealt[a + int(i)].as_py()}
-                    for back in (0, 1, 2):
-                        tile = int(band[i]) - back
-                        if tile < 0 or size[i] >= top[tile]:
-                            break
-                        if tile not in here:
-                            continue
-                        salts, spread = here[tile]
-                        for salt in range(salts) if spread else (own % salts,):
-                            rows.append((int(cols["grp"][a + i]), tile, salt, doc, int(size[i]), h[at[i] : at[i + 1]].tobytes()))
-                for r in range(0, len(rows), 2000):
-                    c = list(zip(*rows[r : r + 2000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.binary())], ["grp", "tile", "salt", "doc_id", "size", "items"])
+            size = batch.column(2).to_numpy(zero_copy_only=False)
+            who, tile = tiles_of(size, num, den)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(who)) for i in range(3)), pa.array(tile.astype(np.int32))], ["doc_id", "grp", "size", "tile"])
 
     return run
 
@@ -289,13 +451,13 @@ def tile_links(docs, sizes, sets, num, den, end):
 
 def _links(num: int, den: int):
     def run(batches):
-        _, end, _, _, _ = _tile_arrays(num, den)
         key, docs, sizes, sets = None, [], [], []
 
         def close():
             if len(docs) < 2:
                 return
-            found = tile_links(np.array(docs), np.array(sizes), sets, num, den, int(end[key[1]]))
+            end = band_starts(max(sizes), num, den)[key[1] + 1]
+            found = tile_links(np.array(docs), np.array(sizes), sets, num, den, int(end))
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -316,58 +478,75 @@ def _links(num: int, den: int):
     return run
 
 
-def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+def joined(known: DataFrame, links: DataFrame, tables: Scratch) -> DataFrame:
     """(node, component) of known classes after further links: only the classes' smallest nodes are linked anew."""
     for end in ("a", "b"):
         own = known.select(F.col("node").alias(end), "component")
         links = links.join(own, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
-    more = components(links)
+    more = components(links, tables)
     moved = known.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
     return moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(more.join(known.select("node"), "node", "left_anti"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, group_limit: int = 4096) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, group_limit: int = 4096, group_bytes: int = 32 << 20, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text, ...)."""
     spark = session_of(docs)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    info = written(map_arrow(docs, _profile(n), "doc_id long, n_shingles long, h1 long, h2 long"), "jaccard-sets")
+    tables = Scratch(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keys = targets(spark, partitions(spark))
+    parts = len(keys)
+    posted = map_arrow(docs, _post(n, keys, frequent), ROW)
+    counted = map_arrow(posted.repartition(parts, "part"), _count(keys, frequent), ROW)
+    told = counted.repartition(parts, "part").sortWithinPartitions("flush", "kind")
+    info = tables.written(map_arrow(told, _judge(num, den), SETS), "jaccard-sets")
+
     known = info.where("doc_id is not null and n_shingles > 0")
-    reps = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    same = known.join(reps, ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    # postings are small: fewer partitions of them name a connected document fewer times
-    keys = targets(spark, max(1, partitions(spark) // 2))
-    posted = map_arrow(docs.where("doc_id is not null"), _postings(n, num, den, keys), "part int, keys binary, ids binary, idx binary")
-    stars = map_arrow(posted.repartition(len(keys), "part"), _stars, "a long, b long")
-    few = max(1, partitions(spark) // 8)
-    same = written(same.coalesce(few), "jaccard-same")
-    candidates = components(stars.unionByName(same))
-    # a document whose every row folds into another set has nothing of its own to compare
-    solo = reps.select(F.col("rep").alias("doc_id"), "n_shingles").distinct()
-    low, _, top, _, _ = _tile_arrays(num, den)
-    every = F.array(*[F.struct(F.lit(j).alias("tile"), F.lit(int(a)).alias("low"), F.lit(int(b)).alias("top")) for j, (a, b) in enumerate(zip(low, top, strict=True))])
-    tiles = F.filter(every, lambda t: (t["low"] <= F.col("n_shingles")) & (F.col("n_shingles") < t["top"]))
-    members = candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")).join(solo, "doc_id")
-    members = written(members.select("doc_id", "grp", F.explode(tiles).alias("t")).select("doc_id", "grp", "t.tile").distinct().coalesce(few), "jaccard-members")
-    counts = members.groupBy("grp", "tile").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    members = written(members.join(counts, ["grp", "tile"]).coalesce(few), "jaccard-tiles")
-
-    def links(dealt: DataFrame) -> DataFrame:
-        own = dealt.groupBy("doc_id", "grp").agg(F.collect_list(F.struct("tile", "salts", "spread")).alias("tiles"))  # a few tiles
-        sets = map_arrow(docs.join(own, "doc_id"), _tile_sets(n, num, den), "grp long, tile int, salt int, doc_id long, size long, items binary")
-        placed = sets.repartition(partitions(spark), "grp", "tile", "salt").sortWithinPartitions("grp", "tile", "salt")
-        return map_arrow(placed, _links(num, den), "a long, b long")
-
-    salts = F.ceil(F.col("sets") / F.lit(group_limit)).cast("int").alias("salts")
-    found = written(links(members.select("doc_id", "grp", "tile", salts, F.lit(False).alias("spread"))), "jaccard-links")
-    final = components(found.unionByName(same))
-    large = members.where(F.col("sets") > group_limit)
+    prints = ["h1", "h2", "n_shingles"]
+    reps = tables.written(known.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.max_by(F.struct("singles", "rare", "counts"), F.col("rare").isNotNull()).alias("ask")), "jaccard-reps")
+    few = max(1, parts // 8)
+    # one document of several sets joins their classes
+    split = known.join(reps.select(*prints, "rep"), prints).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
+    split = known.join(reps.select(*prints, "rep"), prints).join(split, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+    split = tables.written(split.distinct().coalesce(few), "jaccard-split")
+
+    asks = reps.where("ask.rare is not null").select(F.col("rep").alias("doc_id"), *prints, "ask.*")
+    sets = map_arrow(docs.join(asks, "doc_id"), _prefixes(n, num, den, parts), "doc_id long, h1 long, size long, items binary, posts binary")
+    sets = tables.written(sets.dropDuplicates(["doc_id", "h1"]), "jaccard-asking")  # rows may repeat
+    found = map_arrow(sets.select("doc_id", "size", "posts"), _candidates(num, den, keys), "part int, keys binary, ids binary")
+    stars = map_arrow(found.repartition(parts, "part"), _stars, "a long, b long")
+    candidates = tables.written(components(stars, tables), "jaccard-groups")
+    members = sets.select("doc_id", "size").join(candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
+    members = map_arrow(members.select("doc_id", "grp", "size"), _members(num, den), "doc_id long, grp long, size long, tile int").groupBy("doc_id", "grp", "tile").agg(F.sum("size").alias("size"))
+    members = tables.written(members.coalesce(few), "jaccard-members")
+    counts = members.groupBy("grp", "tile").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("shingles")).where("sets > 1")
+    salts = F.greatest(F.ceil(F.col("sets") / F.lit(group_limit)), F.ceil(F.col("shingles") * 8 / F.lit(group_bytes))).cast("int")
+    dealt = tables.written(members.join(counts.withColumn("salts", salts), ["grp", "tile"]).coalesce(few), "jaccard-tiles")
+
+    def links(placed: DataFrame) -> DataFrame:
+        """Of (doc_id, grp, tile, salts, spread): links that the cells (grp, tile, salt) find."""
+        every = F.sequence(F.lit(0), F.col("salts") - 1)
+        own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+        rows = placed.withColumn("salt", F.explode(F.when(F.col("spread"), every).otherwise(own)))
+        rows = rows.select("doc_id", "grp", "tile", "salt").join(sets.select("doc_id", "size", "items"), "doc_id")
+        cells = rows.select("grp", "tile", "salt", "doc_id", "size", "items").repartition(parts, "grp", "tile", "salt").sortWithinPartitions("grp", "tile", "salt")
+        return map_arrow(cells, _links(num, den), "a long, b long")
+
+    first = tables.written(links(dealt.withColumn("spread", F.lit(False))), "jaccard-links")
+    final = tables.written(components(first.unionByName(split), tables), "jaccard-classes")
+    large = dealt.where("salts > 1")
     if large.limit(1).count():
         label = final.withColumnRenamed("node", "doc_id")
-        open_ = written(large.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "jaccard-large")
+        open_ = tables.written(large.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "jaccard-large")
         sizes = open_.groupBy("grp", "tile", "component").agg(F.count(F.lit(1)).alias("n"))
         most = sizes.groupBy("grp", "tile").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("classes"))
         open_ = open_.join(most.where("classes > 1"), ["grp", "tile"])
-        again = open_.select("doc_id", "grp", "tile", salts, (F.col("component") != F.col("main")).alias("spread"))
-        final = joined(final, written(links(again), "jaccard-links"))
-    out = info.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        again = open_.select("doc_id", "grp", "tile", "salts", (F.col("component") != F.col("main")).alias("spread"))
+        late = tables.written(links(again), "jaccard-late")
+        final = joined(final, late, tables)
+    classes = reps.select(*prints, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = classes.select(*prints, F.coalesce("component", "rep").alias("component"))
+    by_doc = known.join(classes, prints).groupBy("doc_id").agg(F.min("component").alias("component"))
+    out = info.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")
+    out = cut(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+    tables.drop()
+    return out

@@ -10,8 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 20
+LONG_SPAN = 256
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240229)
@@ -74,6 +76,14 @@ def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[begin]) * inv[begin] + (end - begin).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
+def long_spans(hashed: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hashes with those of spans over LONG_SPAN bytes taken from the bytes themselves: polynomials
+    modulo 2**64 have equal values for some long texts, whatever their base."""
+    for i in np.flatnonzero(end - begin > LONG_SPAN).tolist():
+        hashed[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]].tobytes())
+    return hashed
+
+
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of every maximal run of True within one text."""
     first, last = mask.copy(), mask.copy()
@@ -88,8 +98,9 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
     """Word hashes of a chunk and the index of each text's first word (one more than texts)."""
     begin, end = runs(~IS_SPACE[data], offsets)
-    sums = prefix_hash(LOWER[data] if lower else data)
-    return span_hash(sums, begin, end), np.searchsorted(begin, offsets), begin, end
+    data = LOWER[data] if lower else data
+    hashed = long_spans(span_hash(prefix_hash(data), begin, end), data, begin, end)
+    return hashed, np.searchsorted(begin, offsets), begin, end
 
 
 def shingles(word: np.ndarray, first: np.ndarray, n: int):
@@ -128,3 +139,14 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, values.dtype)
     np.cumsum(values, out=sums[1:])
     return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def planes(values: np.ndarray, size: int) -> bytes:
+    """The low bytes of each value, byte by byte, so that equal high bytes stand together and compress."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def unplanes(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(size, -1).T
+    return out.view("<u8").ravel()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,9 +38,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, else one of our own (single machine, as in tests)."""
+    """The shared folder the cluster names, else one of our own on a single machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), f"checkpoint-{spark.sparkContext.applicationId}")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -65,13 +68,35 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a table in the shared folder: smaller than a checkpoint for packed columns."""
-    spark = session_of(df)
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with free_shuffles(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables of one call in the shared folder: they cut lineage, and go once what needs them has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table: smaller than a checkpoint for packed columns."""
+        path = f"{checkpoint_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        with free_shuffles(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the tables of the given frames, or all."""
+        for frame, path in list(self.held):
+            if not frames or any(frame is f for f in frames):
+                delete(self.spark, path)
+                self.held.remove((frame, path))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark can reach."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -117,34 +142,46 @@ def next_prime(n: int) -> int:
     return n
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges of which a side may be broadcast: 16 bytes each.
+BROADCAST_EDGES = 200_000
+
+
+def components(edges: DataFrame, tables: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): smallest node reachable, for every node of an undirected edge list (self links are dropped).
 
     Large-star and small-star steps by turns. Each is a grouped minimum (combined
     before the shuffle) joined back to the edges, so no neighbourhood is ever
-    gathered; a table in the shared folder after each round cuts the lineage.
-    An edge has 16 bytes where a document has kilobytes, so these tables are
+    gathered; a table in the shared folder after each round cuts the lineage, and
+    replaces that of the round before. The minima are broadcast while a count of the
+    edges bounds them, and joined by shuffle otherwise (adaptive execution splits hot
+    nodes). An edge has 16 bytes where a document has kilobytes, so these tables are
     written by an eighth of the shuffle's tasks.
     """
     few = max(1, partitions(session_of(edges)) // 8)
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = written(e.coalesce(few), "components")
+    e = tables.written(e.coalesce(few), "components")
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, small: bool) -> DataFrame:
         both = e.where("u <> v")
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else both
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        side = F.broadcast(low) if small else low
         if large:  # edges to smaller neighbours come back from those neighbours' side
-            return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = both.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            return both.where("v > u").join(side, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = both.join(side, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return out.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
-    before = None
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    now = state(e)
     while True:
-        e = written(star(star(e, True), False).coalesce(few), "components")
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if before == tuple(now):
+        before, last = now, e
+        # one round at most doubles the edges on the way
+        e = tables.written(star(star(e, True, before[0] <= BROADCAST_EDGES), False, before[0] <= BROADCAST_EDGES).coalesce(few), "components")
+        tables.drop(last)
+        now = state(e)
+        if before == now:
             break
-        before = tuple(now)
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -25,7 +25,7 @@ buckets only propose.
 
 Defined cases: null text is empty; texts shorter than width lose nothing; rows
 of equal doc_id do not affect one another; rows without a doc_id lose nothing
-and affect nothing; other columns are ignored, but ``carry`` (a string column
+and affect nothing; other columns are ignored, but ``carry`` (any column
 made of them) stays with its row. A kept text drops the rest of a character of
 which a removed span took some bytes; kept_sha256 is of the bytes themselves.
 """
@@ -38,9 +38,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
-from .spark import map_arrow, partitions, session_of, target_column, targets, written
+from .spark import Scratch, map_arrow, partitions, session_of, target_column, targets
 
 WIDTH, QGRAM = 50, 20
 FLUSH_BYTES = 6 << 20
@@ -113,28 +114,17 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])], ["part", "kind", "ids", "a", "b", "c"])
 
 
-def _planes(values, size):
-    """The low bytes of each value, byte by byte, so that equal high bytes stand together and compress."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
-
-
-def _values(raw, size):
-    out = np.zeros((len(raw) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(size, -1).T
-    return out.view("<u8").ravel()
-
-
 def _pack(doc, a, a_size, b, b_size):
     """Postings (document, a, b) as packed columns; a is sorted and held as differences."""
     order = np.argsort(a, kind="stable")
     ids, index = np.unique(doc[order], return_inverse=True)
-    return ids.tobytes(), _planes(np.diff(a[order], prepend=K.U64(0)), a_size), _planes(b[order], b_size), index.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32).tobytes()
+    return ids.tobytes(), K.planes(np.diff(a[order], prepend=K.U64(0)), a_size), K.planes(b[order], b_size), index.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32).tobytes()
 
 
 def _unpack(ids, a, a_size, b, b_size, c):
-    a = np.cumsum(_values(a, a_size), dtype=np.uint64)
+    a = np.cumsum(K.unplanes(a, a_size), dtype=np.uint64)
     index = np.frombuffer(c, np.uint16 if len(c) == 2 * len(a) else np.uint32)
-    return np.frombuffer(ids, np.int64)[index], a, _values(b, b_size)
+    return np.frombuffer(ids, np.int64)[index], a, K.unplanes(b, b_size)
 
 
 def _home(doc_id, prime, n):
@@ -396,38 +386,40 @@ def _remove(width, q, keep_text):
                 hit = _among(_answer(_string_ids(sums, at, width)[0], own), said[3])
                 gone = _cover(np.concatenate([decided, at[hit]]), len(data), width)
                 out = _finish(ids.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist() if keep_text else [0] * (b - a), data, offsets, gone, keep_text)
-                yield pa.RecordBatch.from_arrays([*out, batch.column(5).slice(a, b - a).cast(pa.binary())], [*OUT, "c"])
+                yield pa.RecordBatch.from_arrays([*out, batch.column(batch.schema.get_field_index("carry")).slice(a, b - a)], [*OUT, "carry"])
 
         yield from _meet(each)(batches)
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, q: int = QGRAM, keep_text: bool = False, carry: Column | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, q: int = QGRAM, keep_text: bool = False, carry: Column | None = None, tables: Scratch | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text and carry) of every row."""
     spark = session_of(docs)
+    tables = tables or Scratch(spark)
     keys = targets(spark, partitions(spark))
     n = len(keys)
     prime = 2_147_483_647
     carry = F.lit(None).cast("string") if carry is None else carry
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carry.cast("binary").alias("carry"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carry.alias("carry"))
+    kind_of = docs.schema["carry"].dataType
     held = docs.where("doc_id is not null")
     posted = map_arrow(held.select("doc_id", "text"), _post_units(keys, prime, width, q), ROW)
     said = map_arrow(posted.repartition(n, "part"), _refine_units(keys, prime), ROW)
     home = target_column(keys, F.pmod(F.pmod(F.col("doc_id"), F.lit(prime)), F.lit(n)))
-    blank = [F.lit(None).cast("binary").alias(c) for c in ("ids", "a", "b")]
+    blank = [F.lit(None).cast("binary").alias(c) for c in ("ids", "a", "b", "c")]
 
-    def met(answers: DataFrame, carried: Column) -> DataFrame:
-        answers = answers.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-        texts = held.select(home.alias("part"), F.lit(9).alias("kind"), *blank, carried.alias("c"), "doc_id", "text")
+    def met(answers: DataFrame, *carried: str) -> DataFrame:
+        answers = answers.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *(F.lit(None).cast(kind_of).alias(c) for c in carried))
+        texts = held.select(home.alias("part"), F.lit(9).alias("kind"), *blank, "doc_id", "text", *carried)
         return answers.unionByName(texts).repartition(n, "part").sortWithinPartitions("part", "kind")
 
-    said = written(said, "suffix-dedup-units")
-    strings = written(map_arrow(met(said, F.lit(None).cast("binary")), _post_strings(keys, prime, width, q), ROW), "suffix-dedup-strings")
-    last = written(map_arrow(strings.repartition(n, "part"), _refine_strings(keys, prime), ROW), "suffix-dedup-answers")
-    out = map_arrow(met(said.unionByName(last), F.col("carry")), _remove(width, q, keep_text), f"{OUT_TYPES}, c binary")
+    said = tables.written(said, "suffix-dedup-units")
+    strings = tables.written(map_arrow(met(said), _post_strings(keys, prime, width, q), ROW), "suffix-dedup-strings")
+    last = tables.written(map_arrow(strings.repartition(n, "part"), _refine_strings(keys, prime), ROW), "suffix-dedup-answers")
+    tables.drop(strings)
+    out = map_arrow(met(said.unionByName(last), "carry"), _remove(width, q, keep_text), T.StructType([*T._parse_datatype_string(OUT_TYPES).fields, T.StructField("carry", kind_of)]))
     lone = docs.where("doc_id is null")
     size, text = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), F.coalesce("text", F.lit(""))
-    out = out.unionByName(lone.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("kept_text"), F.col("carry").alias("c")))
-    out = out.withColumn("carry", F.col("c").cast("string")).drop("c")
+    out = out.unionByName(lone.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("kept_text"), "carry"))
     return out if keep_text else out.drop("kept_text", "carry")

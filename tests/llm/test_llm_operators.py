@@ -87,6 +87,57 @@ def test_jaccard(docs, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def brute_components(rows, n, num, den):
+    """doc_id -> (set size, smallest doc_id reachable) by comparing every pair."""
+    sets = {}
+    for i, t in rows:
+        w = words(lower(t))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = sets[i], sets[j]
+            if a and b and den * len(a & b) >= num * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("frequent", "limit"), [(16, 4096), (2, 4096), (1, 5)])
+def test_jaccard_random_groups(spark, frequent, limit):
+    """Near copies around the threshold, passages that many documents share, and chains of both."""
+    rng = np.random.default_rng(frequent + limit)
+    passages = [[f"p{k}q{i}" for i in range(40)] for k in range(3)]
+    rows = []
+    for g in range(25):
+        base = [f"g{g}w{x}" for x in rng.integers(0, 60, rng.integers(3, 70))]
+        for _ in range(rng.integers(1, 8)):
+            t = [f"z{rng.integers(1000)}" if rng.random() < rng.choice([0, 0.01, 0.04]) else w for w in base]
+            if rng.random() < 0.5:
+                at = rng.integers(0, len(t) + 1)
+                t = t[:at] + passages[rng.integers(3)] * int(rng.integers(1, 3)) + t[at:]
+            rows.append((7 * len(rows) % 1009, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for n, num, den in ((4, 85, 100), (5, 80, 100)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, n, num, den, group_limit=limit, frequent=frequent).collect()}
+        assert got == brute_components(rows, n, num, den)
+
+
+def test_jaccard_long_texts(spark):
+    """A text beyond a chunk and one beyond a batch, near copies of both, and one word of megabytes."""
+    long = " ".join(f"v{i * i % 100_003}" for i in range(300_000))
+    rows = [(1, long), (2, long + " tail"), (3, "x" * (3 << 20)), (4, "x" * (3 << 20)), (5, " ".join(f"u{i}" for i in range(3_000_000)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (got[1][0], 1), 2: (got[1][0] + 1, 1), 3: (1, 3), 4: (1, 3), 5: (2_999_997, 5)}
+
+
 def test_packing(docs, empty):
     lib = Tokenizer.from_file(PATH)
     rows = pack(docs, PATH, capacity=64).collect()
