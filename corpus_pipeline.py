@@ -13,17 +13,36 @@ from scenalyx.llm.cotraining import score_rows, train
 from scenalyx.llm.decontaminate import decontaminate
 from scenalyx.llm.jaccard_join import jaccard_components
 from scenalyx.llm.packing import pack
-from scenalyx.llm.spark import checkpoint_dir, cut, written
+from scenalyx.llm.spark import Scratch, checkpoint_dir, delete
 from scenalyx.llm.suffix_dedup import suffix_dedup
 
 #: The stages include a packing and a trained classifier, which SQL cannot express.
 ORACLE_SQL = None
 
 
+#: Tables that the result of the last stage reads.
+_left: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession) -> Scratch:
+    _left.append(Scratch(spark))
+    return _left[-1]
+
+
+def _clear() -> None:
+    """Drop what earlier stages left: a stage begins when its predecessor's result has been written."""
+    while _left:
+        _left.pop().drop()
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifiers of quality and toxicity reject go."""
+    """Documents that the co-trained classifiers of quality and toxicity reject go, as do texts without words.
+
+    Rows of any doc_id (null, repeated) are judged by themselves; no rows give no rows.
+    """
+    _clear()
     models = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_rows(docs, models).where("__keep").select(*docs.columns)
+    return score_rows(docs, models).where("keep").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,46 +50,54 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Where rows repeat a doc_id, each text counts by itself: of equal ones, and then of
     linked ones, the first by doc_id, text and the other columns stays. Rows without
-    words or doc_id are linked to nothing and stay.
+    words or doc_id are linked to nothing and stay; no rows give no rows.
     """
+    _clear()
     number = F.col("doc_id").cast("long")
-    key, rows, loose = "doc_id", docs, None
-    if docs.where(number.isNotNull()).groupBy(number).count().where("count > 1").limit(1).count():
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        linked = number.isNotNull() & F.coalesce(F.col("text").cast("string").rlike(r"[^ \x09-\x0D]"), F.lit(False))
-        loose = docs.where(~linked)
-        rows = docs.where(linked).groupBy("doc_id", "text").agg(F.min(F.struct(*rest, F.lit(0))).alias("__rest"))
-        rows = rows.orderBy(number, "text").select("doc_id", "text", *(F.col(f"__rest.`{c}`").alias(c) for c in rest), F.monotonically_increasing_id().alias("__key"))
-        key, rows = "__key", written(rows, "near-duplicates")
-    found = cut(jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), n=5, num=80, den=100))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = rows.join(gone, key, "left_anti").select(*docs.columns)
-    return kept if loose is None else kept.unionByName(loose)
+    if not docs.where(number.isNotNull()).groupBy(number).count().where("count > 1").limit(1).count():
+        found = jaccard_components(docs.select("doc_id", "text"), n=5, num=80, den=100)
+        gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    tables = _scratch(spark)
+    linked = number.isNotNull() & F.coalesce(F.col("text").cast("string").rlike(r"[^ \x09-\x0D]"), F.lit(False))
+    # a row travels as one column, so no name of its own can clash
+    rows = docs.where(linked).groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    rows = tables.written(rows.orderBy(number, "text").select("row", "text", F.monotonically_increasing_id().alias("key")), "near-duplicates")
+    found = jaccard_components(rows.select(F.col("key").alias("doc_id"), "text"), n=5, num=80, den=100)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct()
+    kept = rows.join(gone, "key", "left_anti").select("row.*")
+    return kept.unionByName(docs.where(~linked))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes and more that a smaller doc_id holds leave the text; documents of nothing else go."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = suffix_dedup(docs, keep_text=True, carry=F.to_json(F.struct(*rest)) if rest else None)
+    """Passages of 50 bytes and more that a smaller doc_id holds leave the text; documents of nothing else go.
+
+    Null and empty texts and rows without a doc_id stay as they are; rows of one doc_id do not affect one another.
+    """
+    _clear()
+    out = suffix_dedup(docs, keep_text=True, carry=F.struct(*docs.columns), tables=_scratch(spark))
     out = out.where("n_removed = 0 or length(trim(kept_text)) > 0")
-    back = F.from_json("carry", docs.select(*rest).schema) if rest else F.lit(None)
-    out = out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("kept_text").alias("text"), back.alias("rest"), "n_removed")
-    values = {c: F.col(f"rest.`{c}`") for c in rest}
+    text = F.col("kept_text").cast(docs.schema["text"].dataType)
+    values = {c: F.col(f"carry.`{c}`") for c in docs.columns}
+    values["text"] = F.when(F.col("n_removed") > 0, text).otherwise(values["text"])
     if "n_chars" in values:
-        values["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(values["n_chars"])
-    return out.select(*(values[c].alias(c) if c in values else F.col(c) for c in docs.columns))
+        values["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(values["n_chars"])
+    return out.select(*(values[c].alias(c) for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; equal rows go together, rows of other texts under the same id stay."""
+    _clear()
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(hit["__id"]) & (F.xxhash64(docs["text"].cast("string")) == hit["__hash"])
-    return docs.join(hit, same, "left_anti").select(*docs.columns)
+    hit = found.where("contaminated").select("doc_id", "text_hash").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("text_hash"))
+    return rows.join(hit, same, "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Placement of every piece of every document in sequences of 1024 tokens."""
+    """Placement of every piece of every document in sequences of 1024 tokens; a null text is its end token."""
+    _clear()
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -84,11 +111,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written and read again, so a lost executor costs one stage."""
+    """Apply the stages to documents; each result is written and read again, so a lost executor costs one stage.
+
+    A stage's input goes once its result stands.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tag = spark.range(1).select(F.expr("uuid()")).first()[0]
+    tag, before = spark.range(1).select(F.expr("uuid()")).first()[0], None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{checkpoint_dir(spark)}/pipeline-{tag}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        _clear()
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
