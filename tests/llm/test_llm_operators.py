@@ -162,22 +162,37 @@ def test_packing(docs, empty):
     assert pack(empty, PATH).count() == 0
 
 
-def test_plan_places_all():
-    rng = np.random.default_rng(3)
-    histogram = dict(zip(range(1, 101), rng.integers(0, 50, 100).tolist(), strict=True))
-    runs = plan(histogram, 100)
-    placed = collections.Counter()
-    for n, low, high, *_ in runs:
-        placed[n] += high - low
-    assert placed == collections.Counter({n: c for n, c in histogram.items() if c})
-    used = max(first + (high - low) // m for _, low, high, first, m, _ in runs)
-    # best-fit decreasing over single items, with which planning over counts has to keep up
-    left = []
+@pytest.mark.parametrize("seed", range(60))
+def test_plan_is_item_wise_best_fit(seed):
+    """Planning over counts fills as best fit does that places one item after the other, longest first."""
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(5, 200))
+    lengths = rng.choice(np.arange(1, capacity + 1), int(rng.integers(1, min(capacity, 40) + 1)), replace=False)
+    histogram = {int(n): int(c) for n, c in zip(lengths, rng.integers(0, 60, len(lengths)), strict=True)}
+    runs = plan(histogram, capacity)
+    got, seen = collections.defaultdict(list), collections.Counter()
+    for n, low, high, first, each, offset in runs:
+        assert low == seen[n]
+        seen[n] = high
+        for rank in range(low, high):
+            got[first + (rank - low) // each].append((offset + (rank - low) % each * n, n))
+    assert seen == collections.Counter({n: c for n, c in histogram.items() if c})
+    for filling in got.values():  # no gaps, no overlaps
+        at = 0
+        for offset, n in sorted(filling):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    assert sorted(got) == list(range(len(got)))
+    left = []  # (room, filling)
     for n in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
-        at = bisect.bisect_left(left, n)
-        room = left.pop(at) if at < len(left) else 100
-        bisect.insort(left, room - n)
-    assert used <= len(left)
+        at = bisect.bisect_left(left, (n, ()))
+        room, filling = left.pop(at) if at < len(left) else (capacity, ())
+        bisect.insort(left, (room - n, (*filling, n)))
+    want = collections.Counter(tuple(sorted(f)) for _, f in left)
+    mine = collections.Counter(tuple(sorted(n for _, n in f)) for f in got.values())
+    # rooms decide; which of several sequences of equal room takes an item is open
+    assert collections.Counter(sum(f) for f in mine.elements()) == collections.Counter(sum(f) for f in want.elements())
 
 
 def test_token_counts(docs, empty):
