@@ -3,28 +3,32 @@
 The text view sees words (hashed, lower-cased), word endings and repeats of the
 word before. The metadata view sees source, language and layout figures (length,
 lines, shares of capitals, symbols, digits and white space, distinct words).
-Each view is a logistic regression fitted on labelled rows. Over some rounds,
-each labels the pool's rows of which it is most sure, and the other learns from
-these. Both are then calibrated on labelled rows that were held out, and the mean
-of the calibrated log-odds scores every document of the corpus.
-
-Toxicity is a second target, learned alike, as a few words in good prose make a
-text toxic. Its text view sees which words and word beginnings a text holds, of
-those that the labels tie to toxicity (a log-likelihood ratio of ``EVIDENCE`` or
-more, the ``MARKS`` strongest), counted on labelled rows that are not held out.
-Its joint log-odds are the sum of both views' less the prior, as most sources and
-layouts say nothing of it. A document stays if it is good and not toxic.
-
-Bounds: at most ``max_labelled`` labelled rows and ``max_pool`` unlabelled ones
-are gathered for fitting (those of smallest hash; documented parameters that do
-not grow with the corpus). Scoring is a map over all rows; texts never move.
-
-Defined cases: a text without words scores 0 and is rejected; null source,
-language and doc_id are values like others; a doc_id with several labels takes
-their mean, 0.5 and over being good; labels without a document, and null labels,
-are ignored; with labels of one kind only everything with words is kept at score
-1 or rejected at score 0; without toxic labels nothing is toxic, and a mean of 0.5
-and over is; extra columns are ignored.
+Each view is a logistic regression fitted on labelled rows. In each round all
+documents without a label are scored by both views; of each view's texts of which
+it is most sure (``per_round`` of either label, by a top-k that tasks take first),
+the other view learns. Both are then calibrated on labelled rows that were held
+out, and the mean of the calibrated log-odds scores every document of the corpus.
+
+Toxicity is a second target, learned alike and in the same rounds, as a few words
+in good prose make a text toxic. Its text view sees which words and word beginnings
+a text holds, of those that the labels tie to toxicity (a log-likelihood ratio of
+``EVIDENCE`` or more, the ``MARKS`` strongest), counted on labelled rows that are
+not held out. Its joint log-odds are the sum of both views' less the prior, as most
+sources and layouts say nothing of it. A document stays if it is good and not toxic.
+
+Bounds: at most ``max_labelled`` labelled ids for each target, those of smallest
+hash and of each the row of smallest text hash, are gathered for fitting (a
+documented parameter that does not grow with the corpus), and at most eight times
+``per_round`` pseudo-labelled rows a round. Rounds and scoring are maps over all
+rows; texts never move.
+
+Defined cases: a text without words scores 0, is rejected and teaches nothing; null
+source, language and doc_id are values like others; a doc_id with several labels
+takes their mean, 0.5 and over being good; labels without a document, and null
+labels, are ignored; with labels of one kind only everything with words is kept at
+score 1 or rejected at score 0; without toxic labels nothing is toxic, and a mean of
+0.5 and over is; equal texts teach once; extra columns, whatever their names, are
+ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +36,11 @@ from __future__ import annotations
 import json
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,24 +166,31 @@ def _chunk_views(batch, a, b, data, offsets):
     return first, doc, own, ending, repeat, source, lang, numbers
 
 
+FEATURES = "slots binary, parts binary, marks binary, meta string"
+
+
+def _features(index, first, own, ending, repeat, source, lang, numbers, place, at):
+    """Packed features (FEATURES) of the texts of a chunk that index names."""
+    out = []
+    for i in index:
+        w = slice(first[i], first[i + 1])
+        s, c = np.unique(np.concatenate([own[w], ending[w], np.full(int(repeat[w].sum()), TEXT_SIZE - 1)]), return_counts=True)
+        parts = (c / max(first[i + 1] - first[i], 1)).astype(np.float32)
+        out.append((s.astype(np.int32).tobytes(), parts.tobytes(), place[at[i] : at[i + 1]].astype(np.int32).tobytes(), json.dumps([source[i], lang[i], numbers[i].tolist()])))
+    return out
+
+
 def _gather(marks):
     def run(batches):
         chosen = _places(marks)
         for batch in batches:
             get = lambda name: batch.column(batch.schema.get_field_index(name))
             for a, b, data, offsets in K.chunks(batch, "text"):
-                first, doc, own, ending, repeat, source, lang, numbers = _chunk_views(batch, a, b, data, offsets)
+                first, doc, *rest = _chunk_views(batch, a, b, data, offsets)
                 place, _, at = mark_features(data, offsets, chosen)
-                slots, values, found = [], [], []
-                for i in range(b - a):
-                    w = slice(first[i], first[i + 1])
-                    s, c = np.unique(np.concatenate([own[w], ending[w], np.full(int(repeat[w].sum()), TEXT_SIZE - 1)]), return_counts=True)
-                    slots.append(s.astype(np.int32).tobytes())
-                    values.append((c / max(first[i + 1] - first[i], 1)).astype(np.float32).tobytes())
-                    found.append(place[at[i] : at[i + 1]].astype(np.int32).tobytes())
-                meta = [json.dumps([s, x, row]) for s, x, row in zip(source, lang, numbers.tolist(), strict=True)]
+                cols = list(zip(*_features(range(b - a), first, *rest, place, at), strict=True))
                 passed = [get(c).slice(a, b - a) for c in ("doc_id", "label", "toxic", "held")]
-                yield pa.RecordBatch.from_arrays([*passed, pa.array(slots, pa.binary()), pa.array(values, pa.binary()), pa.array(found, pa.binary()), pa.array(meta)], ["doc_id", "label", "toxic", "held", "slots", "parts", "marks", "meta"])
+                yield pa.RecordBatch.from_arrays([*passed, *(pa.array(c, pa.binary()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "label", "toxic", "held", "slots", "parts", "marks", "meta"])
 
     return run
 
@@ -238,60 +251,68 @@ class Model:
         self.text, self.meta, self.mean, self.scale, self.calibration, self.constant, self.prior, self.marks = text, meta, mean, scale, calibration, constant, prior, marks
 
 
-def cotrain(rows: list, rounds: int = 4, sure: float = 0.95, per_round: int = 100, marks: np.ndarray | None = None) -> Model:
-    """Fit from gathered rows (doc_id, label or None, slots, parts, meta); toxic labels (toxic, held, marks) if marks are given."""
-    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["slots"]))
-    target = "label" if marks is None else "toxic"
-    label = np.array([-1.0 if r[target] is None else float(r[target]) for r in rows])
-    known = np.flatnonzero(label >= 0)
-    if not len(known) or label[known].min() == label[known].max():
-        return Model(None, None, None, None, None, float(label[known].min()) if len(known) else float(marks is None))
-    slots = [np.frombuffer(r["slots" if marks is None else "marks"], np.int32) for r in rows]
-    n = len(rows)
-    if marks is not None:
-        text = Sparse(np.repeat(np.arange(n), [len(s) for s in slots]), np.concatenate(slots).astype(np.int64), np.ones(sum(map(len, slots))), n, max(len(marks), 1))
-    else:
-        text = Sparse(np.repeat(np.arange(n), [len(s) for s in slots]), np.concatenate(slots).astype(np.int64), np.concatenate([np.frombuffer(r["parts"], np.float32) for r in rows]).astype(float), n, TEXT_SIZE)
-    meta_rows = [json.loads(r["meta"]) for r in rows]
-    numbers = np.array([m[2] for m in meta_rows])
-    mean, scale = numbers[known].mean(0), numbers[known].std(0) + 1e-6
-    dense = np.clip((numbers - mean) / scale, -8, 8)
-    at = np.arange(n)
-    meta = Sparse(
-        np.concatenate([at, at, np.repeat(at, NUMBERS)]),
-        np.concatenate([[m[0] for m in meta_rows], [SOURCES + m[1] for m in meta_rows], np.tile(SOURCES + LANGS + np.arange(NUMBERS), n)]).astype(np.int64),
-        np.concatenate([np.ones(2 * n), dense.ravel()]),
-        n,
-        META_SIZE,
-    )
-    held = np.zeros(n, bool)
-    # what the marks were counted on may not be held out
-    held[known[np.arange(len(known)) % 5 == 4] if marks is None else [i for i in known if rows[i]["held"]]] = True
-    if len(np.unique(label[held])) < 2:
-        held[:] = False
-    base = known[~held[known]]
-    views = (text, meta)
-    taught = [dict(zip(base.tolist(), label[base].tolist(), strict=True)) for _ in views]
-
-    def learn(v):
-        index = np.array(sorted(taught[v]))
-        y = np.array([taught[v][i] for i in index])
-        w = np.where(np.isin(index, base), 1.0, 0.5)  # pseudo-labels weigh half
-        return fit_logistic(views[v].take(index), y, w)
-
-    fitted = [learn(0), learn(1)]
-    for _ in range(rounds):
+class Target:
+    """Co-training of one target from gathered rows: quality (label), or toxicity (toxic, held, marks) if marks are given."""
+
+    def __init__(self, rows: list, marks: np.ndarray | None = None):
+        self.name = "label" if marks is None else "toxic"
+        self.marks = marks
+        rows = sorted((r for r in rows if r[self.name] is not None), key=lambda r: (r["doc_id"], r["slots"]))
+        self.rows = list(rows)
+        self.label = np.array([float(r[self.name]) for r in rows])
+        self.known = len(rows)
+        self.constant = None
+        if not len(rows) or self.label.min() == self.label.max():
+            self.constant = float(self.label.min()) if len(rows) else float(marks is None)
+            return
+        # what the marks were counted on may not be held out
+        self.held = np.arange(len(rows)) % 5 == 4 if marks is None else np.array([bool(r["held"]) for r in rows])
+        if len(np.unique(self.label[self.held])) < 2:
+            self.held[:] = False
+        numbers = np.array([json.loads(r["meta"])[2] for r in rows])
+        self.mean, self.scale = numbers.mean(0), numbers.std(0) + 1e-6
+        self.taught: tuple[dict[int, float], dict[int, float]] = ({}, {})
+        self.seen: set[int] = set()
+        self.fit()
+
+    def teach(self, view: int, label: float, rows: list) -> None:
+        """Pseudo-labels for a view."""
+        for r in rows:
+            self.taught[view][len(self.rows)] = label
+            self.rows.append(r)
+
+    def fit(self) -> None:
+        n, text_key = len(self.rows), "slots" if self.marks is None else "marks"
+        at = np.arange(n)
+        slots = [np.frombuffer(r[text_key], np.int32) for r in self.rows]
+        row = np.repeat(at, [len(s) for s in slots])
+        value = np.concatenate([np.frombuffer(r["parts"], np.float32) for r in self.rows]).astype(float) if self.marks is None else np.ones(len(row))
+        text = Sparse(row, np.concatenate(slots).astype(np.int64), value, n, TEXT_SIZE if self.marks is None else max(len(self.marks), 1))
+        meta_rows = [json.loads(r["meta"]) for r in self.rows]
+        dense = np.clip((np.array([m[2] for m in meta_rows]) - self.mean) / self.scale, -8, 8)
+        meta = Sparse(
+            np.concatenate([at, at, np.repeat(at, NUMBERS)]),
+            np.concatenate([[m[0] for m in meta_rows], [SOURCES + m[1] for m in meta_rows], np.tile(SOURCES + LANGS + np.arange(NUMBERS), n)]).astype(np.int64),
+            np.concatenate([np.ones(2 * n), dense.ravel()]),
+            n,
+            META_SIZE,
+        )
+        base = np.flatnonzero(~self.held)
+        self.views, self.fitted = (text, meta), []
         for v in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(views[v].times(fitted[v][0]) + fitted[v][1], -30, 30)))
-            free = np.array([i for i in range(n) if label[i] < 0 and i not in taught[1 - v]], int)
-            for good in (1.0, 0.0):
-                q = p[free] if good else 1 - p[free]
-                for i in free[q >= sure][np.argsort(-q[q >= sure], kind="stable")[:per_round]].tolist():
-                    taught[1 - v][i] = good
-        fitted = [learn(0), learn(1)]
-    check = np.flatnonzero(held) if held.any() else base
-    calibration = [_calibrate(views[v].times(fitted[v][0])[check] + fitted[v][1], label[check]) for v in (0, 1)]
-    return Model(fitted[0], fitted[1], mean, scale, calibration, prior=float(label[known].mean()), marks=marks)
+            extra = self.taught[v]
+            index = np.concatenate([base, np.array(sorted(extra), np.int64)])
+            y = np.concatenate([self.label[base], [extra[i] for i in sorted(extra)]])
+            w = np.concatenate([np.ones(len(base)), np.full(len(extra), 0.5)])  # pseudo-labels weigh half
+            self.fitted.append(fit_logistic(self.views[v].take(index), y, w))
+
+    def model(self, calibrated: bool = True) -> Model:
+        if self.constant is not None:
+            return Model(None, None, None, None, None, self.constant, marks=self.marks)
+        check = np.flatnonzero(self.held) if self.held.any() else np.arange(self.known)
+        same = (1.0, 0.0)
+        calibration = [_calibrate(self.views[v].times(self.fitted[v][0])[check] + self.fitted[v][1], self.label[check]) if calibrated else same for v in (0, 1)]
+        return Model(*self.fitted, self.mean, self.scale, calibration, prior=float(self.label.mean()), marks=self.marks)
 
 
 @dataclass(frozen=True)
@@ -312,16 +333,101 @@ def _calibrated(model, z):
     return [np.clip(s * x + t, -30, 30) for x, (s, t) in zip(z, model.calibration, strict=True)]
 
 
+def _toxic_odds(model: Model, data, offsets, chosen, meta):
+    """Log-odds of both views, calibrated, and the mark features."""
+    w, bias = model.text
+    place, _, at = mark_features(data, offsets, chosen)
+    return _calibrated(model, [K.segment_sum(w[place], at) + bias, _meta_odds(model, *meta)]), place, at
+
+
+def _quality_odds(model: Model, first, own, ending, repeat, meta):
+    w, bias = model.text
+    n = np.maximum(np.diff(first), 1)
+    return _calibrated(model, [K.segment_sum(w[own] + w[ending] + w[-1] * repeat, first) / n + bias, _meta_odds(model, *meta)])
+
+
 def _toxic_score(model: Model | None, chosen, data, offsets, meta):
     n = len(offsets) - 1
     if model is None or model.constant is not None:
         return np.full(n, 0.0 if model is None else model.constant)
-    w, bias = model.text
-    place, _, at = mark_features(data, offsets, chosen)
-    z = _calibrated(model, [K.segment_sum(w[place], at) + bias, _meta_odds(model, *meta)])
+    z, _, _ = _toxic_odds(model, data, offsets, chosen, meta)
     return 1 / (1 + np.exp(-np.clip(z[0] + z[1] - np.log(model.prior / (1 - model.prior)), -30, 30)))
 
 
+SUREST = f"combo int, sure double, print long, {FEATURES}"
+
+
+def _surest(models: list[Model | None], most: int, sure: float, ids: np.ndarray, taught: set[int]):
+    """Of every (target, view, label), the texts without a label of which a task is most sure, with their features."""
+
+    def run(batches):
+        quality, toxic = models
+        chosen = _places(toxic.marks if toxic is not None else np.zeros(0, np.int64))
+        best: dict[int, dict[int, tuple]] = {c: {} for c in range(8)}
+        floor = dict.fromkeys(best, sure)
+        for batch in batches:
+            doc_ids = batch.column(batch.schema.get_field_index("doc_id"))
+            known = np.isin(doc_ids.fill_null(0).to_numpy(zero_copy_only=False), ids) & doc_ids.is_valid().to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in K.chunks(batch, "text"):
+                first, _, *rest = _chunk_views(batch, a, b, data, offsets)
+                free = ~known[a:b] & (np.diff(first) > 0)
+                odds = [None if quality is None else _quality_odds(quality, first, *rest[:3], rest[3:])]
+                if toxic is None:
+                    place, _, at = mark_features(data, offsets, chosen)
+                    odds.append(None)
+                else:
+                    z, place, at = _toxic_odds(toxic, data, offsets, chosen, rest[3:])
+                    odds.append(z)
+                for combo in best:
+                    target, view, label = combo >> 2, combo >> 1 & 1, combo & 1
+                    if odds[target] is None:
+                        continue
+                    p = 1 / (1 + np.exp(-odds[target][view] * (1 if label else -1)))
+                    mine = best[combo]
+                    for i in np.flatnonzero(free & (p >= floor[combo])).tolist():
+                        name = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes()) >> 1
+                        if name not in taught and (name not in mine or mine[name][0] < p[i]) and (len(mine) < most or p[i] > floor[combo]):
+                            mine[name] = (float(p[i]), _features([i], first, *rest, place, at)[0])
+                            if len(mine) > 2 * most:
+                                mine = best[combo] = dict(sorted(mine.items(), key=lambda x: (-x[1][0], x[0]))[:most])
+                            if len(mine) >= most:
+                                floor[combo] = max(floor[combo], sorted((x[0] for x in mine.values()), reverse=True)[most - 1])
+        rows = [(combo, p, name, *f) for combo, mine in best.items() for name, (p, f) in sorted(mine.items(), key=lambda x: (-x[1][0], x[0]))[:most]]
+        for r in range(0, len(rows), 200):
+            c = list(zip(*rows[r : r + 200], strict=True))
+            types = (pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], [x.split()[0] for x in SUREST.split(", ")])
+
+    return run
+
+
+def _exchange(docs: DataFrame, targets: list[Target | None], ids: np.ndarray, per_round: int, sure: float) -> None:
+    """One round over all documents: each view teaches the other the texts of which it is most sure."""
+    tables = Scratch(docs.sparkSession)
+    models = [None if t is None or t.constant is not None else t.model(calibrated=False) for t in targets]
+    if models == [None, None]:
+        return
+    taught = set().union(*(t.seen for t, m in zip(targets, models, strict=True) if m is not None))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_views_of(docs))
+    found = tables.written(map_arrow(rows, _surest(models, per_round, sure, ids, taught), SUREST), "surest")
+    each = found.groupBy("combo", "print").agg(F.max("sure").alias("sure"))
+    # a top-k each, taken in the tasks first
+    top = [each.where(F.col("combo") == c).orderBy(F.desc("sure"), "print").limit(per_round) for c in range(8) if models[c >> 2] is not None]
+    top = reduce(DataFrame.unionByName, top).select("combo", "print")
+    picked = found.join(F.broadcast(top), ["combo", "print"]).groupBy("combo", "print").agg(F.max_by(F.struct("sure", "slots", "parts", "marks", "meta"), F.struct("sure", "meta")).alias("x"))
+    by_combo: dict[int, list] = {}
+    for r in sorted(picked.collect(), key=lambda r: (r["combo"], -r["x"]["sure"], r["print"])):  # per_round of each combo
+        by_combo.setdefault(r["combo"], []).append(r)
+    for combo, chosen in by_combo.items():
+        target = targets[combo >> 2]
+        target.seen |= {r["print"] for r in chosen}
+        target.teach(1 - (combo >> 1 & 1), float(combo & 1), [r["x"] for r in chosen])
+    for target, m in zip(targets, models, strict=True):
+        if m is not None:
+            target.fit()
+    tables.drop()
+
+
 def _score(models: Models, threshold: float):
     def run(batches):
         model, toxic = models.quality, models.toxic
@@ -334,9 +440,7 @@ def _score(models: Models, threshold: float):
                     p = [np.full(b - a, model.constant)] * 2
                     joint = p[0]
                 else:
-                    w, bias = model.text
-                    z = [K.segment_sum(w[own] + w[ending] + w[-1] * repeat, first) / np.maximum(n, 1) + bias, _meta_odds(model, source, lang, numbers)]
-                    z = _calibrated(model, z)
+                    z = _quality_odds(model, first, own, ending, repeat, (source, lang, numbers))
                     p = [1 / (1 + np.exp(-x)) for x in z]
                     joint = 1 / (1 + np.exp(-(z[0] + z[1]) / 2))
                 score = np.where(n > 0, joint, 0.0)
@@ -358,25 +462,28 @@ def _labelled(labels: DataFrame, column: str, name: str, most: int) -> DataFrame
     return known.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_pool: int = 4000, toxic: bool = True) -> Models:
-    """Fit on a bounded sample: the labelled and unlabelled rows of smallest hash."""
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, toxic: bool = True, rounds: int = 2, per_round: int = 100, sure: float = 0.95) -> Models:
+    """Fit on a bounded sample of labelled rows and, in each round, the surest of all unlabelled ones."""
     tables = Scratch(docs.sparkSession)
     toxic = toxic and "toxic" in labels.columns
-    known = _labelled(labels, "quality", "label", max_labelled).withColumn("toxic", F.lit(None).cast("int"))
-    pool = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_pool)
-    # at most max_labelled + max_pool rows (max_labelled more where other ids have toxic labels), so they may be broadcast
-    chosen = known.unionByName(pool, allowMissingColumns=True)
+    chosen = _labelled(labels, "quality", "label", max_labelled).withColumn("toxic", F.lit(None).cast("int"))
     if toxic:
         chosen = chosen.unionByName(_labelled(labels, "toxic", "toxic", max_labelled), allowMissingColumns=True)
+    # at most 2 * max_labelled rows, so they may be broadcast
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label"), F.max("toxic").alias("toxic")).withColumn("held", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)) == 4)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_views_of(docs))
-    picked = picked.join(F.broadcast(chosen), picked["doc_id"] == chosen["id"]).select("doc_id", "label", "toxic", "held", "text", "source", "lang")
-    if toxic:
-        picked = tables.written(picked, "labelled")
+    picked = docs.select(F.col("doc_id").cast("long").alias("id"), *_views_of(docs)).join(F.broadcast(chosen), "id")
+    # one row of each id, however many share it
+    row = F.struct("label", "toxic", "held", "text", "source", "lang")
+    picked = picked.groupBy(F.col("id").alias("doc_id")).agg(F.min_by(row, F.struct(F.xxhash64("text"), "source", "lang")).alias("row")).select("doc_id", "row.*")
+    picked = tables.written(picked, "labelled")
     marks = choose_marks(picked) if toxic else np.zeros(0, np.int64)
-    rows = map_arrow(picked, _gather(marks), "doc_id long, label int, toxic int, held boolean, slots binary, parts binary, marks binary, meta string").collect()
+    rows = map_arrow(picked, _gather(marks), f"doc_id long, label int, toxic int, held boolean, {FEATURES}").collect()
     tables.drop()
-    return Models(cotrain(rows), cotrain(rows, marks=marks) if toxic else None)
+    targets = [Target(rows), Target(rows, marks) if toxic else None]
+    ids = np.array([r["doc_id"] for r in rows], np.int64)
+    for _ in range(rounds):
+        _exchange(docs, targets, ids, per_round, sure)
+    return Models(targets[0].model(), targets[1].model() if toxic else None)
 
 
 SCORES = ["text_score", "meta_score", "score", "toxic_score"]

@@ -2,14 +2,19 @@
 
 A record's doc_id hashes into one of ``SLOTS`` virtual slots, for good. A
 versioned map names each slot's shard; rebalancing edits the map and moves whole
-slots, never single records. ``grow`` opens a shard by taking an equal number of
-slots from the others, so one more shard takes rows only into itself; ``rebalance``
-moves slots from heavy to light shards by the bytes that were aggregated per slot.
-
-The law of the query is ``key``: its maps depend on the shard count alone, so
-doc_id and shard count decide where a row goes. A row's place in its shard is its
-rank within its virtual slot after the counts of the shard's earlier slots, so no
-task holds a shard: slots are split further by a hash of the text.
+slots, never single records. The maps are a table in the shared folder
+(``MapStore``): a version is written once, rows are placed by the version that is
+read back, and an edit writes the next one. ``grow`` opens a shard by taking an
+equal number of slots from the others, so one more shard takes rows only into
+itself; ``rebalance`` moves slots from heavy to light shards by the bytes that were
+aggregated per slot.
+
+Law ``key``, that of the query: version 1 is the first map and version 2 the grown
+one; both depend on the shard count alone, so doc_id and shard count decide where a
+row goes. Law ``bytes``: version 2 is version 1 rebalanced, and places the rows. A
+row's place in its shard is its rank within its virtual slot after the counts of
+the shard's earlier slots, so no task holds a shard; slots are split further, and
+evenly whatever the rows are, by the rows' numbers in their input.
 
 Defined cases: null text has size 1 and the CRC of no bytes; a null doc_id has a
 slot of its own, too; equal doc_ids share a slot, equal rows take places of their
@@ -18,15 +23,16 @@ own; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .spark import cut, session_of
+from .spark import checkpoint_dir, cut, session_of
 
 SLOTS = 4096
-SPLITS = 16
+SPLITS = 64
 
 
 @dataclass(frozen=True)
@@ -80,28 +86,58 @@ def virtual_slot(doc_id: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(slots)).cast("int")
 
 
-def map_table(spark, maps: dict[str, SlotMap]) -> DataFrame:
-    """virtual_slot and one column per map: ``SLOTS`` rows."""
-    rows = [(s, *(m.shards[s] for m in maps.values())) for s in range(SLOTS)]
-    return spark.createDataFrame(rows, ", ".join(["virtual_slot int", *(f"{name} int" for name in maps)]))
+class MapStore:
+    """Slot-to-shard maps by version: folders ``version=n`` of (virtual_slot, shard), each written once."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or f"{checkpoint_dir(spark)}/slot-maps-{uuid.uuid4().hex}"
+
+    def put(self, new: SlotMap) -> SlotMap:
+        """Store a version; one that is there already is an error, so two edits of one map cannot both win."""
+        rows = self.spark.createDataFrame(list(enumerate(new.shards)), "virtual_slot int, shard int")
+        rows.coalesce(1).write.mode("error").parquet(f"{self.path}/version={new.version}")
+        return new
+
+    def table(self, version: int) -> DataFrame:
+        return self.spark.read.schema("virtual_slot int, shard int").parquet(f"{self.path}/version={version}")
+
+    def get(self, version: int) -> SlotMap:
+        rows = self.table(version).orderBy("virtual_slot").collect()  # one row a slot
+        return SlotMap(version, tuple(r["shard"] for r in rows))
+
+    def grow(self, version: int) -> SlotMap:
+        return self.put(grow(self.get(version)))
+
+    def rebalance(self, version: int, loads: DataFrame) -> SlotMap:
+        """Edit a version by the bytes per slot (virtual_slot, slot_bytes), at most one row a slot."""
+        return self.put(rebalance(self.get(version), {r["virtual_slot"]: r["slot_bytes"] for r in loads.select("virtual_slot", "slot_bytes").collect()}))
 
 
 def slot_bytes(sized: DataFrame) -> DataFrame:
     return sized.groupBy("virtual_slot").agg(F.sum("size").alias("slot_bytes"), F.count(F.lit(1)).alias("slot_rows"))
 
 
-def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, law: str = "key", store: MapStore | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, slot_bytes, map_version of every row."""
     spark = session_of(docs)
+    store = store or MapStore(spark)
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    sized = cut(sized.withColumn("virtual_slot", virtual_slot(F.col("doc_id"))).withColumn("split", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), F.lit(SPLITS)).cast("int")))
-    now = initial(shards)
-    table = map_table(spark, {"shard": now, "grown_shard": grow(now)})
+    # the split is no rule for rows: it only deals them out, and the checkpoint keeps it
+    sized = cut(sized.withColumn("virtual_slot", virtual_slot(F.col("doc_id"))).withColumn("split", F.pmod(F.monotonically_increasing_id(), F.lit(SPLITS)).cast("int")))
+    loads = slot_bytes(sized)
+    first = store.put(initial(shards))
+    other = store.grow(first.version) if law == "key" else store.rebalance(first.version, loads)
+    now = first.version if law == "key" else other.version
+    grown = store.table(other.version).select("virtual_slot", F.col("shard").alias("grown_shard"))
+    table = store.table(now).join(grown, "virtual_slot")
+    if law != "key":
+        table = table.withColumn("grown_shard", F.lit(None).cast("int"))
     # SLOTS rows and SLOTS * SPLITS rows at most: both may be broadcast
-    loads = slot_bytes(sized).join(F.broadcast(table), "virtual_slot")
+    loads = loads.join(F.broadcast(table), "virtual_slot")
     counts = sized.groupBy("virtual_slot", "split").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(table.select("virtual_slot", "shard")), "virtual_slot")
     before = counts.withColumn("skip", F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot", "split")) - F.col("n")).select("virtual_slot", "split", "skip")
     nth = F.row_number().over(Window.partitionBy("virtual_slot", "split").orderBy("doc_id", "text_crc32", "size")) - 1
     out = sized.withColumn("nth", nth).join(F.broadcast(before), ["virtual_slot", "split"]).join(F.broadcast(loads), "virtual_slot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("skip") + F.col("nth")).cast("long").alias("slot"), "grown_shard", "virtual_slot", "slot_bytes", F.lit(now.version).alias("map_version"))
+    return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("skip") + F.col("nth")).cast("long").alias("slot"), "grown_shard", "virtual_slot", "slot_bytes", F.lit(now).alias("map_version"))

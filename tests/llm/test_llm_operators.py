@@ -17,8 +17,8 @@ from scenalyx.llm.decontaminate import decontaminate
 from scenalyx.llm.jaccard_join import jaccard_components
 from scenalyx.llm.packing import pack, plan
 from scenalyx.llm.quality_rules import quality_rules
-from scenalyx.llm.sharding import grow, initial, rebalance, shard
-from scenalyx.llm.sst_output import Reader, Writer, id_of, key_of, sst_round_trip
+from scenalyx.llm.sharding import MapStore, grow, initial, rebalance, shard
+from scenalyx.llm.sst_output import MARK, Reader, Writer, id_of, key_of, lookup, open_shards, read_shards, sst_round_trip, write_shards
 from scenalyx.llm.suffix_dedup import suffix_dedup
 from scenalyx.llm.token_count import token_counts
 from scenalyx.llm.url_filter import filter_urls
@@ -286,13 +286,43 @@ def test_sst_lookup(id_bytes):
         if raw is not None:
             records.append(raw)
     records += writer.finish()
-    reader = Reader(b"".join(r + b"\n" for r in records))
+    raw, asked = b"".join(r + b"m" * MARK for r in records), []
+
+    def fetch(at, size):
+        asked.append(size)
+        return raw[at : at + size]
+
+    reader = Reader(fetch, len(raw))
+    assert reader.marker == "m" * MARK and [id_of(k) for k, _ in reader.entries()] == list(range(-5000, 5000, 3))
     assert len(reader.index) > 1 or id_bytes == 2
+    reader, asked[:] = Reader(fetch, len(raw)), []
     assert reader.lookup(-5000 + 3 * 17).tolist() == list(range((-5000 + 51) % 50))
+    assert len(asked) == 3  # filter, index and one block
     assert reader.lookup(-4999) is None and reader.lookup(99999) is None
     assert [id_of(key_of(i)) for i in (None, -(2**63), -1, 0, 2**63 - 1)] == [None, -(2**63), -1, 0, 2**63 - 1]
 
 
+def test_sst_files(spark, docs, tmp_path):
+    """Shards read back over splits smaller than a block, lookups by ranges, equal rows over several shards."""
+    lib = Tokenizer.from_file(PATH)
+    rows = [*ROWS, *((50, "the same text again and again") for _ in range(400)), (60, " ".join(f"long{i}" for i in range(60_000)))]
+    path = f"file://{tmp_path}/shards"
+    write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), path, PATH, shards=5)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = read_shards(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    ids = lambda t: [*lib.encode(t or "", add_special_tokens=False).ids, 0]
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == collections.Counter((i, len(ids(t))) for i, t in rows)
+    shards = [open_() for open_ in open_shards(spark, path)]
+    assert sum(s.documents for s in shards) == len(rows) and all(a.last <= b.first for a, b in zip(shards, shards[1:], strict=False))
+    assert sum(s.first <= key_of(50) <= s.last for s in shards) > 1
+    for i, t in ((1, BASE), (60, rows[-1][1]), (50, rows[-2][1]), (None, BASE), (11, "a" * 3000)):
+        assert lookup(spark, path, i).tolist() == ids(t)
+    assert lookup(spark, path, 51) is None and lookup(spark, path, 61) is None
+
+
 def test_quality_rules(docs, empty):
     want = collections.Counter()
     for i, t in ROWS:
@@ -324,6 +354,29 @@ def test_sharding(docs, empty):
     assert max(size(even)) < max(size(one))
 
 
+def test_sharding_map_store(spark, docs):
+    store = MapStore(spark)
+    rows = shard(docs, 4, store=store).collect()
+    assert (store.get(1), store.get(2)) == (initial(4), grow(initial(4)))
+    assert all((r.shard, r.grown_shard) == (store.get(1).shards[r.virtual_slot], store.get(2).shards[r.virtual_slot]) for r in rows)
+    with pytest.raises(Exception, match="(?i)exists"):
+        store.grow(1)
+    by_slot = collections.Counter()
+    for r in rows:
+        by_slot[r.virtual_slot] += r.size
+    assert all(r.slot_bytes == by_slot[r.virtual_slot] for r in rows)
+    many = spark.createDataFrame([(i, "x" * (i % 7 * 900)) for i in range(3000)], "doc_id long, text string").repartition(3)
+    store = MapStore(spark)
+    rows = shard(many, 8, law="bytes", store=store).collect()
+    size = collections.Counter()
+    for r in rows:
+        assert (r.law, r.grown_shard, r.map_version) == ("bytes", None, 2) and r.shard == store.get(2).shards[r.virtual_slot]
+        size[r.shard] += r.size
+    assert max(size.values()) <= 1.02 * sum(size.values()) / 8
+    for k in range(8):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+
+
 def test_urls(spark):
     urls = [
         (1, "http://EXAMPLE.com/en/7a?x#y", "example.com", "/en/7a", "example.com/en/7", "allow"),
