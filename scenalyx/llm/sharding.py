@@ -134,10 +134,10 @@ def shard(docs: DataFrame, shards: int = 16, law: str = "key", store: MapStore |
     table = store.table(now).join(grown, "virtual_slot")
     if law != "key":
         table = table.withColumn("grown_shard", F.lit(None).cast("int"))
-    # SLOTS rows and SLOTS * SPLITS rows at most: both may be broadcast
+    # SLOTS rows may be broadcast; counts of splits meet the rows on the keys of their window, which are dealt alike
     loads = loads.join(F.broadcast(table), "virtual_slot")
     counts = sized.groupBy("virtual_slot", "split").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(table.select("virtual_slot", "shard")), "virtual_slot")
     before = counts.withColumn("skip", F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot", "split")) - F.col("n")).select("virtual_slot", "split", "skip")
     nth = F.row_number().over(Window.partitionBy("virtual_slot", "split").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = sized.withColumn("nth", nth).join(F.broadcast(before), ["virtual_slot", "split"]).join(F.broadcast(loads), "virtual_slot")
+    out = sized.withColumn("nth", nth).join(before, ["virtual_slot", "split"]).join(F.broadcast(loads), "virtual_slot")
     return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("skip") + F.col("nth")).cast("long").alias("slot"), "grown_shard", "virtual_slot", "slot_bytes", F.lit(now).alias("map_version"))
