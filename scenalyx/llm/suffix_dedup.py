@@ -1,41 +1,55 @@
 """Suffix-array dedup: remove bytes that a smaller document already holds.
 
 Every byte covered by a ``width``-byte string that also starts in a document of
-smaller doc_id goes. The order of suffixes is refined bucket by bucket, with
-bucket identifiers in place of text:
+smaller doc_id goes. Suffixes are never compared as text: they stand in buckets,
+and buckets are refined by the identifiers of other buckets.
 
-1. q-gram buckets. In each text a start p is filed under the q-gram of smallest
+1. Sampling. In each text a start p is filed under the 20-byte gram of smallest
    hash among those inside its width-byte string. Equal strings choose the same
-   q-gram at the same place, so each falls into one bucket; consecutive starts
-   that choose one q-gram occurrence make a *unit*.
-2. First refinement: a bucket is sorted on the identifier of the unit's whole
-   extent (all later offsets that its strings reach). A unit that a smaller
-   document has too is decided at once, for all its starts.
-3. What is undecided in a bucket with units of two or more documents is refined
-   again, start by start, on the identifier of the full width. Decided starts
-   take no part: the smallest document of a string is never decided by others.
-
-Answers go back to the documents as hashed identifiers, and a document finds its
-own by computing them again. So texts move twice: to meet the answers of step 2
-and say which strings are open, and to meet all answers and lose their bytes.
-Answers and open strings are tables in the shared folder between the steps.
-Equal postings fold to the smallest document in each task before they move.
-Identifiers of 80 bits, and the partition they were dealt to, decide; q-gram
-buckets only propose.
+   gram at the same place; consecutive starts that choose one occurrence make a
+   *unit*. A unit whose whole extent a smaller document has too is decided at once.
+   Only units whose gram two documents hold, and that are not decided, go on: one
+   byte in twenty, or so, of a corpus with many copies.
+2. Initial buckets. The q-grams at the places that the open starts need are sorted;
+   a bucket's identifier is its rank among the shared ones of the partition that
+   sorted it, and goes back to every place. A gram that one document alone holds has
+   no identifier, and neither has what is built on it.
+3. Refinement. The pair (identifier at p, identifier at p + h) sorts the suffixes by
+   twice the depth h; its rank is the new identifier, goes back, and is what the next
+   round sorts by, until width bytes are covered (the last offset is shorter). The
+   last round asks for the smallest document of each bucket instead.
+4. What is decided goes back to its document as spans, and bytes go.
+
+Places of one batch of open text are kept in the shared folder from round to round
+as a *state*: its starts, and for each place the number of its identifier among the
+batch's distinct ones. Postings and answers are arrays of equal order, so no place
+is named on the way. Texts move twice: to find the open starts, and to lose bytes.
+
+Skew: equal postings fold within a batch, so a passage that many documents share
+comes once from each batch. Units of a gram that a batch holds in many extents are
+dealt by their extents, and told open without being asked about.
+
+Identity: a string is known by two identifiers, of its first q bytes and of its
+last q bytes (and those between, for small q), each from 64 bits of hash; unit
+extents by 48 bits of hash beside the 32 and the partition of their gram.
 
 Defined cases: null text is empty; texts shorter than width lose nothing; rows
 of equal doc_id do not affect one another; rows without a doc_id lose nothing
-and affect nothing; other columns are ignored, but ``carry`` (any column
-made of them) stays with its row. A kept text drops the rest of a character of
-which a removed span took some bytes; kept_sha256 is of the bytes themselves.
+and affect nothing; no rows give no rows; texts of any length go by one rule; other
+columns are ignored, but ``carry`` (any column made of them) stays with its row. A
+kept text drops the rest of a character of which a removed span took some bytes;
+kept_sha256 is of the bytes themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,13 +57,34 @@ from pyspark.sql import types as T
 from . import kernels as K
 from .spark import Scratch, map_arrow, partitions, session_of, target_column, targets
 
-WIDTH, QGRAM = 50, 20
+WIDTH, SAMPLE, QGRAM = 50, 20, 25
 FLUSH_BYTES = 6 << 20
+FLUSH_PLACES = 2_000_000
+#: A batch deals the units of a gram by their extents if it holds it in more extents than these.
+MANY_EXTENTS = 64
 ROW = "part int, kind int, ids binary, a binary, b binary, c binary"
+#: Rows of the refinement: a state, postings of a part, answers for them, spans of a document.
+ROUND = "part int, kind int, flush long, sub int, a binary, b binary, c binary"
+SPAN, STATE, ANSWER, POSTING = 0, 1, 2, 3
+RANK_BITS = 40
+
+
+def smallest_in_windows(value: np.ndarray, w: int) -> np.ndarray:
+    """Place of the smallest value (the first of equals) in each window of w, by doubling."""
+    place = np.arange(len(value))
+    span, best = 1, value
+    while span < w:
+        step = min(span, w - span)
+        n = len(best) - step
+        later = best[step:] < best[:n]
+        # windows overlap unless they double: of equal values the earlier place wins either way
+        best, place = np.where(later, best[step:], best[:n]), np.where(later, place[step:], place[:n])
+        span += step
+    return place
 
 
 def units(data: np.ndarray, offsets: np.ndarray, width: int, q: int):
-    """Every unit of a chunk: (text, first start, end of starts, q-gram hash, extent hash), and prefix sums."""
+    """Every unit of a chunk: (text, first start, end of starts, gram hash, extent hash), and prefix sums."""
     n, w = len(data), width - q + 1
     sums = K.prefix_hash(data)
     none = np.zeros(0, np.int64)
@@ -57,18 +92,7 @@ def units(data: np.ndarray, offsets: np.ndarray, width: int, q: int):
         return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64), sums
     _, inv = K.powers(n + 1)
     gram = K.mix((sums[q:] - sums[:-q]) * inv[: n - q + 1])
-    # smallest hash, then leftmost, in one comparable word
-    low = (gram & ~K.U64((1 << 24) - 1)) | np.arange(len(gram), dtype=np.uint64) if n < 1 << 24 else None
-    if low is None:
-        low = (gram & ~K.U64((1 << 32) - 1)) | np.arange(len(gram), dtype=np.uint64)
-    bits = 24 if n < 1 << 24 else 32
-    span = 1
-    while span * 2 <= w:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if span < w:
-        low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
-    pick = (low & K.U64((1 << bits) - 1)).astype(np.int64)  # by start p, 0..n-width
+    pick = smallest_in_windows(gram, w)  # by start p, 0..n-width
     size = np.diff(offsets)
     valid = np.zeros(n + 1, np.int32)
     long = np.flatnonzero(size >= width)
@@ -88,12 +112,6 @@ def units(data: np.ndarray, offsets: np.ndarray, width: int, q: int):
     return doc, begin, end, gram[pick[begin]], extent, sums
 
 
-def _string_ids(sums, starts, width):
-    """Two independent identifiers of the width-byte string at each start (64 and 32 bits kept)."""
-    one = K.span_hash(sums, starts, starts + width)
-    return one, K.mix(one * K.U64(0xC2B2AE3D27D4EB4F) + K.U64(0x165667B19E3779F9))
-
-
 def _answer(identifier, doc_id):
     """What tells document doc_id about an identifier."""
     return K.mix(identifier ^ K.mix(doc_id.astype(np.int64).view(np.uint64) + K.U64(0x27D4EB2F165667C5)))
@@ -127,10 +145,6 @@ def _unpack(ids, a, a_size, b, b_size, c):
     return np.frombuffer(ids, np.int64)[index], a, K.unplanes(b, b_size)
 
 
-def _home(doc_id, prime, n):
-    return np.mod(doc_id, prime) % n
-
-
 def _deal_by_id(high, n):
     # mixed again: hashes that were chosen for being small are not even
     return ((K.mix(high + K.U64(0x9E6C63D0876A9A99)) >> K.U64(32)) * K.U64(n) >> K.U64(32)).astype(np.int64)
@@ -145,25 +159,61 @@ def _fold(first, second, doc):
     return order, head, np.cumsum(head) - 1
 
 
-def _post_units(keys, prime, width, q):
+#: The five primes of XXH64.
+P1, P2, P3, P4, P5 = (K.U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _home(doc_id, n):
+    """Partition of a document: XXH64 of its identifier, as Spark has it, so that steps between identifiers do not matter."""
+    turn = lambda x, k: (x << K.U64(k)) | (x >> K.U64(64 - k))
+    x = np.atleast_1d(np.asarray(doc_id, np.int64)).view(np.uint64)
+    h = turn(turn(x * P2, 31) * P1 ^ (K.U64(42 + 8) + P5), 27) * P1 + P4
+    h = (h ^ (h >> K.U64(33))) * P2
+    h = (h ^ (h >> K.U64(29))) * P3
+    return np.mod((h ^ (h >> K.U64(32))).view(np.int64), n)
+
+
+def home_of(doc_id: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(n))
+
+
+def _told(keys, n, kind, name, doc):
+    """Answers of a kind to the documents' homes: what is said, under its name."""
+    said = _answer(name, doc)
+    return _blobs(_home(doc, n), keys, n, lambda i: (None, np.unique(said[i]).tobytes(), None, None), kind)
+
+
+#: Kinds of the first round: units; decided and open units (answers); grams that are open anyhow; units dealt by extent.
+UNIT, DECIDED, OPEN, OPEN_GRAM, SPREAD = 0, 1, 2, 3, 4
+
+
+def _post_units(keys, width, q):
     n = len(keys)
 
     def emit(doc, gram, extent):
         doc, gram, extent = np.concatenate(doc), np.concatenate(gram), np.concatenate(extent)
         order, head, of = _fold(gram, extent, doc)
         doc, gram, extent = doc[order], gram[order], extent[order]
-        least = doc[head][of]
-        rows = []
-        known = np.flatnonzero(doc > least)  # decided within this task
-        if len(known):
-            said = _answer(_unit_key(gram[known] & K.U64(0xFFFFFFFF), extent[known] >> K.U64(16)), doc[known])
-            rows += _blobs(_home(doc[known], prime, n), keys, n, lambda i: (None, np.unique(said[i]).tobytes(), None, None), 1)
-        doc, gram, extent = doc[head], gram[head], extent[head]
+        name = _unit_key(gram & K.U64(0xFFFFFFFF), extent >> K.U64(16))
+        known = np.flatnonzero(doc > doc[head][of])  # decided within this task
+        rows = _told(keys, n, DECIDED, name[known], doc[known])
+        doc, gram, extent, name = doc[head], gram[head], extent[head], name[head]
+        first = np.ones(len(gram), bool)
+        first[1:] = gram[1:] != gram[:-1]
+        group = np.cumsum(first) - 1
+        at = np.flatnonzero(first)
+        several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
+        many = ((np.bincount(group) > MANY_EXTENTS) & several)[group] if len(at) else np.zeros(0, bool)
 
         def make(i):
             return _pack(doc[i], gram[i] & K.U64(0xFFFFFFFF), 4, extent[i] >> K.U64(16), 6)
 
-        return _batch(rows + _blobs(_deal_by_id(gram, n), keys, n, make, 0))
+        few, spread, anyhow = np.flatnonzero(~many), np.flatnonzero(many), np.flatnonzero(many & first)
+        rows += _told(keys, n, OPEN, name[spread], doc[spread])
+        rows += _blobs(_deal_by_id(gram[few], n), keys, n, lambda i: make(few[i]), UNIT)
+        rows += _blobs(_deal_by_id(name[spread], n), keys, n, lambda i: make(spread[i]), SPREAD)
+        rows += _blobs(_deal_by_id(gram[anyhow], n), keys, n, lambda i: (None, (gram[anyhow[i]] & K.U64(0xFFFFFFFF)).tobytes(), None, None), OPEN_GRAM)
+        return _batch(rows)
 
     def run(batches):
         held, doc, gram, extent = 0, [], [], []
@@ -184,66 +234,48 @@ def _post_units(keys, prime, width, q):
     return run
 
 
-def _gather(batches, a_size, b_size):
-    """Postings of a partition's rows of kind 0 (document, a, b), and other rows as they are."""
-    doc, one, two, rest = [], [], [], []
-    for batch in batches:
-        for part, kind, ids, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if kind:
-                rest.append((part, kind, ids, a, b, c))
-                continue
-            d, x, y = _unpack(ids, a, a_size, b, b_size, c)
-            doc.append(d)
-            one.append(x)
-            two.append(y)
-    return doc, one, two, rest
-
-
-def _refine_units(keys, prime):
-    """Kind 1 answers: decided units. Kind 2 answers: units to refine start by start."""
+def _judge_units(keys):
+    """Answers: units that a smaller document has, and units whose gram another document holds, too."""
     n = len(keys)
 
     def run(batches):
-        doc, gram, extent, rest = _gather(batches, 4, 6)
-        for at in range(0, len(rest), 1000):
-            yield _batch(rest[at : at + 1000])
-        if not doc:
-            return
-        doc, gram, extent = np.concatenate(doc), np.concatenate(gram), np.concatenate(extent)
-        order, head, of = _fold(gram, extent, doc)
-        doc, gram, extent = doc[order], gram[order], extent[order]
-        least = doc[head][of]
-        g, x, d = gram[head], extent[head], doc[head]
-        # a bucket stays open if units of two documents are left in it
-        start = np.ones(len(g), bool)
-        start[1:] = g[1:] != g[:-1]
-        group = np.cumsum(start) - 1
-        low, high = np.minimum.reduceat(d, np.flatnonzero(start)), np.maximum.reduceat(d, np.flatnonzero(start))
-        open_ = (low != high)[group]
-        known = doc > least
-        # 32 bits of the q-gram and 48 of the extent are here, and the place: answers name a unit by these
-        for kind, dd, gg, xx in ((1, doc[known], gram[known], extent[known]), (2, d[open_], g[open_], x[open_])):
-            if len(dd):
-                said = _answer(_unit_key(gg, xx), dd)
-                yield _batch(_blobs(_home(dd, prime, n), keys, n, lambda i, said=said: (None, np.unique(said[i]).tobytes(), None, None), kind))
+        found: dict[int, list] = {UNIT: [], SPREAD: []}
+        passed = []
+        anyhow = [np.zeros(0, np.uint64)]
+        for batch in batches:
+            for part, kind, ids, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if kind in found:
+                    found[kind].append(_unpack(ids, a, 4, b, 6, c))
+                elif kind == OPEN_GRAM:
+                    anyhow.append(np.frombuffer(a, np.uint64))
+                else:
+                    passed.append((part, kind, ids, a, b, c))
+            yield _batch(passed)
+            passed = []
+        anyhow = np.unique(np.concatenate(anyhow))
+        for kind, postings in found.items():
+            if not postings:
+                continue
+            doc, gram, extent = (np.concatenate(x) for x in zip(*postings, strict=True))
+            order, head, of = _fold(gram, extent, doc)
+            doc, gram, extent = doc[order], gram[order], extent[order]
+            known = doc > doc[head][of]
+            yield _batch(_told(keys, n, DECIDED, _unit_key(gram[known], extent[known]), doc[known]))
+            if kind == SPREAD:  # these were told open by those who posted them
+                continue
+            g, x, d = gram[head], extent[head], doc[head]
+            # a bucket stays open if units of two documents are left in it
+            start = np.ones(len(g), bool)
+            start[1:] = g[1:] != g[:-1]
+            group, at = np.cumsum(start) - 1, np.flatnonzero(start)
+            open_ = (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at))[group] | _among(g, anyhow)
+            yield _batch(_told(keys, n, OPEN, _unit_key(g[open_], x[open_]), d[open_]))
 
     return run
 
 
-def _spans(marks: np.ndarray, offsets: np.ndarray):
-    return K.runs(marks, offsets)
-
-
-def _cover(starts, n, width):
-    """Bytes covered by the width-byte strings at the starts (within their texts)."""
-    step = np.zeros(n + width + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + width, -1)
-    return np.cumsum(step[:n]) > 0
-
-
 def _finish(ids, texts, data, offsets, gone, keep_text):
-    begin, end = _spans(gone, offsets)
+    begin, end = K.runs(gone, offsets)
     at = np.searchsorted(begin, offsets)
     lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[offsets])
     rows = []
@@ -262,15 +294,11 @@ OUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 OUT_TYPES = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def _nulls(n, types):
-    return [pa.nulls(n, t) for t in types]
-
-
-def _meet(fn):
-    """Per part: first the rows with answers, then the documents. fn(answers by kind, document batch)."""
+def _meet(learn, fn):
+    """Per part: first the rows with answers, then the documents. fn(learn(answer batches by kind), document batch)."""
 
     def run(batches):
-        part, found, sorted_ = None, {}, {}
+        part, found, said = None, {}, None
         for batch in batches:
             parts = batch.column(0).to_numpy()
             kinds = batch.column(1).to_numpy()
@@ -279,13 +307,13 @@ def _meet(fn):
                 if a == b:
                     continue
                 if parts[a] != part:
-                    part, found, sorted_ = parts[a], {}, {}
+                    part, found, said = parts[a], {}, None
                 if kinds[a] < 9:
-                    found.setdefault(int(kinds[a]), []).extend(np.frombuffer(x, np.uint64) for x in batch.column(3).slice(a, b - a).to_pylist())
+                    found.setdefault(int(kinds[a]), []).append(batch.slice(a, b - a))
                 else:
-                    if not sorted_:
-                        sorted_ = {k: np.unique(np.concatenate(found.get(k, [np.zeros(0, np.uint64)]))) for k in (1, 2, 3)}
-                    yield from fn(sorted_, batch.slice(a, b - a))
+                    if said is None:
+                        said, found = learn(found), {}
+                    yield from fn(said, batch.slice(a, b - a))
 
     return run
 
@@ -298,97 +326,345 @@ def _among(values, table):
     return table[at] == values
 
 
-def _known_units(data, offsets, ids, said, width, q):
-    """Units of a chunk with what the answers say: starts of decided units, of open ones, and their documents."""
-    doc, begin, end, gram, extent, sums = units(data, offsets, width, q)
-    own = ids[doc]
-    name = _answer(_unit_key(gram & K.U64(0xFFFFFFFF), extent >> K.U64(16)), own)
-    decided = _among(name, said[1])
-    ask = ~decided & _among(name, said[2])
-    size = end - begin
+def _names(found):
+    """Sorted names of decided and of open units."""
+    each = {k: [np.frombuffer(x, np.uint64) for batch in found.get(k, []) for x in batch.column(3).to_pylist()] for k in (DECIDED, OPEN)}
+    return {k: np.unique(np.concatenate([np.zeros(0, np.uint64), *v])) for k, v in each.items()}
 
-    def starts(mask):
-        m = size[mask]
-        return np.repeat(begin[mask] - (np.cumsum(m) - m), m) + np.arange(m.sum())
 
-    return starts(decided), starts(ask), np.repeat(own[ask], size[ask]), sums
+def _ranges(begin, size):
+    """All numbers of the ranges, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _post_strings(keys, prime, width, q):
-    """Documents meet the answers of the first refinement and post the strings of their open starts."""
-    n = len(keys)
+def depths(width: int, q: int) -> list[int]:
+    """Depths of the buckets, from q doubling up to width."""
+    out = [min(q, width)]
+    while out[-1] < width:
+        out.append(min(2 * out[-1], width))
+    return out
+
+
+def needed(starts: np.ndarray, steps: list[int]) -> list[np.ndarray]:
+    """Places whose buckets are needed, for every depth: what the next depth needs, there and an offset later."""
+    out = [starts]
+    for a, b in zip(steps[-2::-1], steps[:0:-1], strict=True):
+        last = out[0]
+        mask = last.copy()
+        mask[b - a :] |= last[: len(last) - (b - a)]
+        out.insert(0, mask)
+    return out
 
-    def emit(doc, one, two):
-        doc, one, two = (np.concatenate(x) for x in (doc, one, two))
-        order, head, of = _fold(one, two, doc)
-        doc, one, two = doc[order], one[order], two[order]
-        rows, known = [], np.flatnonzero(doc > doc[head][of])
-        if len(known):
-            said = _answer(one[known], doc[known])
-            rows += _blobs(_home(doc[known], prime, n), keys, n, lambda i: (None, np.unique(said[i]).tobytes(), None, None), 3)
-        doc, one, two = doc[head], one[head], two[head]
-        return _batch(rows + _blobs(_deal_by_id(one, n), keys, n, lambda i: _pack(doc[i], one[i], 8, two[i] & K.U64(0xFFFF), 2), 0))
+
+class State:
+    """Open regions of a batch of texts: rows (doc_id, print), regions (row, begin, length), starts, and the numbers of identifiers."""
+
+    SHAPES = (("doc", "<i8"), ("print", "<u8"), ("row", "<u4"), ("begin", "<u8"), ("length", "<u8"), ("starts", "u1"), ("number", "<u4"))
+
+    def __init__(self, **arrays):
+        self.__dict__.update(arrays)
+
+    def pack(self) -> bytes:
+        raw = [np.ascontiguousarray(getattr(self, name).astype(kind)).tobytes() for name, kind in self.SHAPES]
+        return struct.pack(f"<{len(raw)}Q", *map(len, raw)) + b"".join(raw)
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> State:
+        n = len(cls.SHAPES)
+        sizes, at, out = struct.unpack_from(f"<{n}Q", blob), 8 * n, {}
+        for (name, kind), size in zip(cls.SHAPES, sizes, strict=True):
+            out[name] = np.frombuffer(blob, kind, size // np.dtype(kind).itemsize, at)
+            at += size
+        return cls(**out)
+
+    def mask(self) -> np.ndarray:
+        return np.unpackbits(self.starts, count=int(self.length.sum())).astype(bool)
+
+    def docs(self) -> np.ndarray:
+        """Document of every place."""
+        return np.repeat(self.doc[self.row], self.length.astype(np.int64))
+
+
+def _posted(part_keys, flush, first, second, docs, last):
+    """Posting rows of distinct keys (first, second) and the number of each place among them.
+
+    A posting says whether two documents of the batch hold the key; in the last round, the smallest that does.
+    """
+    n = len(part_keys)
+    order = np.argsort(first) if second is None else np.lexsort((second, first))
+    f, d = first[order], docs[order]
+    s = None if second is None else second[order]
+    head = np.ones(len(order), bool)
+    head[1:] = f[1:] != f[:-1]
+    if s is not None:
+        head[1:] |= s[1:] != s[:-1]
+    at = np.flatnonzero(head)
+    low = np.minimum.reduceat(d, at) if len(at) else d
+    several = low != np.maximum.reduceat(d, at) if len(at) else np.zeros(0, bool)
+    part = _deal_by_id(K.mix(f[at]) if s is None else K.mix(K.mix(f[at]) ^ s[at]), n)
+    by = np.argsort(part, kind="stable")  # numbers go by part, and by key within
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    number = np.empty(len(order), np.int64)
+    number[order] = place[np.cumsum(head) - 1]
+    rows, cut_at = [], np.searchsorted(part[by], np.arange(n + 1))
+    for k in np.flatnonzero(np.diff(cut_at)):
+        i = by[cut_at[k] : cut_at[k + 1]]
+        a = K.planes(np.diff(f[at[i]], prepend=K.U64(0)), 8)
+        b = None if s is None else K.planes(s[at[i]], 8)
+        c = low[i].tobytes() if last else np.packbits(several[i]).tobytes()
+        rows.append((int(part_keys[k]), POSTING, flush, int(k), a, b, c))
+    return rows, number
+
+
+def _round_batch(rows):
+    c = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], [x.split()[0] for x in ROUND.split(", ")])
+
+
+def _round_batches(rows):
+    for r in range(0, len(rows), 500):
+        yield _round_batch(rows[r : r + 500])
+
+
+def _span_rows(part_keys, doc, print_, row, begin, end):
+    """Spans of bytes that go, by document."""
+    if not len(row):
+        return []
+    order = np.argsort(row, kind="stable")
+    row, begin, end = row[order], begin[order], end[order]
+    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    home = _home(doc[row[at]], len(part_keys))
+    out = []
+    for k, (a, b) in enumerate(zip(at, np.r_[at[1:], len(row)], strict=True)):
+        name = struct.pack("<qQ", int(doc[row[a]]), int(print_[row[a]]))
+        out.append((int(part_keys[home[k]]), SPAN, 0, 0, name, begin[a:b].astype("<u8").tobytes(), end[a:b].astype("<u8").tobytes()))
+    return out
+
+
+def _prints(data, offsets):
+    return np.array([xxhash.xxh3_64_intdigest(data[a:b].data) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
+
+
+def _open_starts(part_keys, width, q, gram):
+    """Documents meet the answers: spans of decided units, and the open starts' state and first postings."""
+    steps = depths(width, gram)
 
     def run(batches):
-        held = [0, [], [], []]
+        flush = TaskContext.get().partitionId() << 32
+        held = {"doc": [], "print": [], "row": [], "begin": [], "length": [], "starts": [], "hash": []}
+        rows_held = places = 0
+
+        def emit():
+            nonlocal rows_held, places, flush
+            join = lambda name, kind: np.concatenate([np.zeros(0, kind), *held[name]])
+            mask = join("starts", bool)
+            state = State(doc=join("doc", np.int64), print=join("print", np.uint64), row=join("row", np.int64), begin=join("begin", np.int64), length=join("length", np.int64), starts=np.packbits(mask), number=None)
+            need = needed(mask, steps)[0]
+            rows, state.number = _posted(part_keys, flush, join("hash", np.uint64)[need], None, state.docs()[need], len(steps) == 1)
+            rows.append((int(part_keys[flush % len(part_keys)]), STATE, flush, 0, state.pack(), None, None))
+            yield from _round_batches(rows)
+            flush += 1
+            for x in held.values():
+                x.clear()
+            rows_held = places = 0
 
         def each(said, batch):
+            nonlocal rows_held, places
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, data, offsets in K.chunks(batch, "text"):
-                _, at, own, sums = _known_units(data, offsets, ids[a:b], said, width, q)
-                if len(at):
-                    x, y = _string_ids(sums, at, width)
-                    held[1].append(own)
-                    held[2].append(x)
-                    held[3].append(y)
-                    held[0] += len(at)
-                if held[0] >= 1_000_000:
-                    yield emit(*held[1:])
-                    held[:] = [0, [], [], []]
-
-        yield from _meet(each)(batches)
-        if held[0]:
-            yield emit(*held[1:])
+                own = ids[a:b]
+                of, begin, end, g, extent, sums = units(data, offsets, width, q)
+                name = _answer(_unit_key(g & K.U64(0xFFFFFFFF), extent >> K.U64(16)), own[of])
+                decided = _among(name, said[DECIDED])
+                ask = ~decided & _among(name, said[OPEN])
+                if not (decided.any() or ask.any()):
+                    continue
+                prints = _prints(data, offsets)
+                if decided.any():
+                    gone = _cover(_ranges(begin[decided], (end - begin)[decided]), len(data), width)
+                    low, high = K.runs(gone, offsets)
+                    row = np.searchsorted(offsets, low, "right") - 1
+                    yield from _round_batches(_span_rows(part_keys, own, prints, row, low - offsets[row], high - offsets[row]))
+                if ask.any():
+                    starts = np.zeros(len(data), bool)
+                    starts[_ranges(begin[ask], (end - begin)[ask])] = True
+                    low, high = K.runs(_cover(np.flatnonzero(starts), len(data), width), offsets)
+                    size = high - low
+                    row = np.searchsorted(offsets, low, "right") - 1
+                    at = _ranges(low, size)
+                    stop = np.minimum(at + steps[0], len(data))
+                    held["doc"].append(own)
+                    held["print"].append(prints)
+                    held["row"].append(row + rows_held)
+                    held["begin"].append(low - offsets[row])
+                    held["length"].append(size)
+                    held["starts"].append(starts[at])
+                    held["hash"].append(K.span_hash(sums, at, stop))
+                    rows_held += len(own)
+                    places += len(at)
+                    if places >= FLUSH_PLACES:
+                        yield from emit()
+
+        yield from _meet(_names, each)(batches)
+        if places:
+            yield from emit()
 
     return run
 
 
-def _refine_strings(keys, prime):
-    """Kind 3 answers: strings that a smaller document has."""
-    n = len(keys)
+def _buckets(part_keys, last):
+    """Sort the postings of a part into buckets: rank of each shared one, or whether a smaller document has it, to those who posted."""
+    place_of = {int(k): i for i, k in enumerate(part_keys)}
 
     def run(batches):
-        doc, one, two, rest = _gather(batches, 8, 2)
-        for at in range(0, len(rest), 1000):
-            yield _batch(rest[at : at + 1000])
-        if doc:
-            doc, one, two = np.concatenate(doc), np.concatenate(one), np.concatenate(two)
-            order, head, of = _fold(one, two, doc)
-            doc, one = doc[order], one[order]
-            known = doc > doc[head][of]
-            if known.any():
-                said = _answer(one[known], doc[known])
-                yield _batch(_blobs(_home(doc[known], prime, n), keys, n, lambda i: (None, np.unique(said[i]).tobytes(), None, None), 3))
+        first, second, third, source, rows = [], [], [], [], []
+        for batch in batches:
+            for part, _, flush, sub, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                k = np.cumsum(K.unplanes(a, 8), dtype=np.uint64)
+                first.append(k)
+                second.append(np.zeros(len(k), np.uint64) if b is None else K.unplanes(b, 8))
+                third.append(np.frombuffer(c, np.int64) if last else np.unpackbits(np.frombuffer(c, np.uint8), count=len(k)).astype(np.int64))
+                source.append(len(k))
+                rows.append((flush, sub, part))
+        if not rows:
+            return
+        one, two, more = np.concatenate(first), np.concatenate(second), np.concatenate(third)
+        order = np.lexsort((two, one))
+        f, s = one[order], two[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
+        bucket, at = np.cumsum(head) - 1, np.flatnonzero(head)
+        own = more[order]
+        if last:
+            said = np.minimum.reduceat(own, at)[bucket] < own
+        else:
+            # a bucket that several batches hold, or two documents of one
+            shared = (np.bincount(bucket) > 1) | (np.maximum.reduceat(own, at) > 0)
+            said = np.where(shared, np.cumsum(shared), 0)[bucket]
+        back = np.empty(len(order), said.dtype)
+        back[order] = said
+        out, begin = [], 0
+        for (flush, sub, part), size in zip(rows, source, strict=True):
+            x = back[begin : begin + size]
+            begin += size
+            if last:
+                a = np.packbits(x).tobytes()
+            else:  # the rank of a part, and the part
+                a = K.planes(np.where(x > 0, x.astype(np.uint64) | (K.U64(place_of[part]) << K.U64(RANK_BITS)), K.U64(0)), 8)
+            out.append((int(part_keys[flush % len(part_keys)]), ANSWER, flush, sub, a, struct.pack("<Q", size), None))
+        yield from _round_batches(out)
+
+    return run
+
+
+def _advance(part_keys, width, gram, k):
+    """States meet the answers of round k: the next round's postings, or after the last the spans that go."""
+    steps = depths(width, gram)
+    last = k == len(steps) - 1
+
+    def close(flush, state, answers):
+        if state is None:
+            return
+        mask = state.mask()
+        need = needed(mask, steps)
+        if last:
+            bits = [np.unpackbits(np.frombuffer(a, np.uint8), count=struct.unpack("<Q", b)[0]) for a, b in answers]
+            smaller = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)
+            docs = state.docs()[mask]
+            live = state.number != NONE
+            number = state.number.astype(np.int64)
+            # within the batch the smallest document of a bucket is known here
+            low = np.full(len(smaller), np.iinfo(np.int64).max)
+            np.minimum.at(low, number[live], docs[live])
+            gone_start = np.zeros(len(docs), bool)
+            gone_start[live] = smaller[number[live]] | (docs[live] > low[number[live]])
+            marks = np.zeros(len(mask), bool)
+            marks[np.flatnonzero(mask)[gone_start]] = True
+            size = state.length.astype(np.int64)
+            edge = np.r_[0, np.cumsum(size)]
+            gone = _cover(np.flatnonzero(marks), len(mask), width)
+            begin, end = K.runs(gone, edge)
+            region = np.searchsorted(edge, begin, "right") - 1
+            shift = state.begin.astype(np.int64)[region] - edge[region]
+            yield from _round_batches(_span_rows(part_keys, state.doc, state.print, state.row[region], begin + shift, end + shift))
+            return
+        ids = np.concatenate([np.zeros(0, np.uint64), *(K.unplanes(a, 8) for a, _ in answers)])
+        here = np.zeros(len(mask), np.uint64)
+        places = np.flatnonzero(need[k])
+        live = state.number != NONE
+        here[places[live]] = ids[state.number[live]]
+        offset = steps[k + 1] - steps[k]
+        ahead = np.zeros(len(mask), np.uint64)
+        ahead[: len(mask) - offset] = here[offset:]
+        ask = need[k + 1]
+        one, two = here[ask], ahead[ask]
+        both = (one > 0) & (two > 0)  # without an identifier on either side, no other document can have it
+        rows, own = _posted(part_keys, flush, one[both], two[both], state.docs()[ask][both], k + 1 == len(steps) - 1)
+        number = np.full(len(one), NONE, np.uint32)
+        number[both] = own
+        rows.append((int(part_keys[flush % len(part_keys)]), STATE, flush, 0, State(**(state.__dict__ | {"number": number})).pack(), None, None))
+        yield from _round_batches(rows)
+
+    def run(batches):
+        flush, state, answers = None, None, []
+        for batch in batches:
+            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if row[1] == SPAN:
+                    yield _round_batch([row])
+                    continue
+                if row[2] != flush:
+                    yield from close(flush, state, answers)
+                    flush, state, answers = row[2], None, []
+                if row[1] == STATE:
+                    state = State.unpack(row[4])
+                else:
+                    answers.append((row[4], row[5]))
+        yield from close(flush, state, answers)
 
     return run
 
 
-def _remove(width, q, keep_text):
-    """Documents meet all answers and lose their bytes."""
+NONE = 0xFFFFFFFF
+
+
+def _cover(starts, n, width):
+    """Bytes covered by the width-byte strings at the starts (within their texts)."""
+    step = np.bincount(starts, minlength=n + width + 1) - np.bincount(starts + width, minlength=n + width + 1)
+    return np.cumsum(step[:n]) > 0
+
+
+def _spans_by_name(found):
+    """Spans of every document, by its identifier and its text's print."""
+    out: dict[tuple, list] = {}
+    for batch in found.get(SPAN, []):
+        for name, begin, end in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "c")), strict=True):
+            out.setdefault(struct.unpack("<qQ", name), []).append((np.frombuffer(begin, "<u8"), np.frombuffer(end, "<u8")))
+    return out, {doc for doc, _ in out}
+
+
+def _remove(keep_text):
+    """Documents meet their spans and lose their bytes."""
 
     def run(batches):
-        def each(said, batch):
+        def each(learned, batch):
+            said, asked = learned
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            ids_np = ids.to_numpy(zero_copy_only=False).astype(np.int64)
             texts = batch.column(batch.schema.get_field_index("text"))
             for a, b, data, offsets in K.chunks(batch, "text"):
-                decided, at, own, sums = _known_units(data, offsets, ids_np[a:b], said, width, q)
-                hit = _among(_answer(_string_ids(sums, at, width)[0], own), said[3])
-                gone = _cover(np.concatenate([decided, at[hit]]), len(data), width)
-                out = _finish(ids.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist() if keep_text else [0] * (b - a), data, offsets, gone, keep_text)
+                own = ids.slice(a, b - a).to_pylist()
+                gone = np.zeros(len(data) + 1, np.int64)
+                for i, doc in enumerate(own):
+                    if doc in asked:
+                        piece = data[offsets[i] : offsets[i + 1]]
+                        for begin, end in said.get((doc, xxhash.xxh3_64_intdigest(piece.data)), ()):
+                            np.add.at(gone, begin.astype(np.int64) + offsets[i], 1)
+                            np.add.at(gone, end.astype(np.int64) + offsets[i], -1)
+                out = _finish(own, texts.slice(a, b - a).to_pylist() if keep_text else [0] * (b - a), data, offsets, np.cumsum(gone[:-1]) > 0, keep_text)
                 yield pa.RecordBatch.from_arrays([*out, batch.column(batch.schema.get_field_index("carry")).slice(a, b - a)], [*OUT, "carry"])
 
-        yield from _meet(each)(batches)
+        yield from _meet(_spans_by_name, each)(batches)
 
     return run
 
@@ -399,26 +675,32 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, q: int = QGRAM, keep_text:
     tables = tables or Scratch(spark)
     keys = targets(spark, partitions(spark))
     n = len(keys)
-    prime = 2_147_483_647
     carry = F.lit(None).cast("string") if carry is None else carry
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carry.alias("carry"))
     kind_of = docs.schema["carry"].dataType
     held = docs.where("doc_id is not null")
-    posted = map_arrow(held.select("doc_id", "text"), _post_units(keys, prime, width, q), ROW)
-    said = map_arrow(posted.repartition(n, "part"), _refine_units(keys, prime), ROW)
-    home = target_column(keys, F.pmod(F.pmod(F.col("doc_id"), F.lit(prime)), F.lit(n)))
-    blank = [F.lit(None).cast("binary").alias(c) for c in ("ids", "a", "b", "c")]
+    sample = min(SAMPLE, width)
+    posted = map_arrow(held.select("doc_id", "text"), _post_units(keys, width, sample), ROW)
+    said = map_arrow(posted.repartition(n, "part"), _judge_units(keys), ROW)
+    home = target_column(keys, home_of(F.col("doc_id"), n))
 
     def met(answers: DataFrame, *carried: str) -> DataFrame:
+        """Answers and then the documents of every part."""
+        own = [c for c in answers.columns if c not in ("part", "kind")]
+        kinds = dict(answers.dtypes)
         answers = answers.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *(F.lit(None).cast(kind_of).alias(c) for c in carried))
-        texts = held.select(home.alias("part"), F.lit(9).alias("kind"), *blank, "doc_id", "text", *carried)
+        texts = held.select(home.alias("part"), F.lit(9).alias("kind"), *(F.lit(None).cast(kinds[c]).alias(c) for c in own), "doc_id", "text", *carried)
         return answers.unionByName(texts).repartition(n, "part").sortWithinPartitions("part", "kind")
 
     said = tables.written(said, "suffix-dedup-units")
-    strings = tables.written(map_arrow(met(said), _post_strings(keys, prime, width, q), ROW), "suffix-dedup-strings")
-    last = tables.written(map_arrow(strings.repartition(n, "part"), _refine_strings(keys, prime), ROW), "suffix-dedup-answers")
-    tables.drop(strings)
-    out = map_arrow(met(said.unionByName(last), "carry"), _remove(width, q, keep_text), T.StructType([*T._parse_datatype_string(OUT_TYPES).fields, T.StructField("carry", kind_of)]))
+    now = tables.written(map_arrow(met(said), _open_starts(keys, width, sample, q), ROUND), "suffix-dedup-round")
+    tables.drop(said)
+    for k in range(len(depths(width, q))):
+        answers = map_arrow(now.where(F.col("kind") == POSTING).repartition(n, "part"), _buckets(keys, k == len(depths(width, q)) - 1), ROUND)
+        both = now.where(F.col("kind") != POSTING).unionByName(answers)
+        before, now = now, tables.written(map_arrow(both.repartition(n, "part").sortWithinPartitions("flush", "kind", "sub"), _advance(keys, width, q, k), ROUND), "suffix-dedup-round")
+        tables.drop(before)
+    out = map_arrow(met(now, "carry"), _remove(keep_text), T.StructType([*T._parse_datatype_string(OUT_TYPES).fields, T.StructField("carry", kind_of)]))
     lone = docs.where("doc_id is null")
     size, text = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), F.coalesce("text", F.lit(""))
     out = out.unionByName(lone.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("kept_text"), "carry"))

@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from scenalyx.llm import bpe, url_filter
+from scenalyx.llm import suffix_dedup as suffix_dedup_module
 from scenalyx.llm.cotraining import document_scores, quality_scores
 from scenalyx.llm.decontaminate import decontaminate
 from scenalyx.llm.jaccard_join import jaccard_components
@@ -243,26 +244,68 @@ def test_decontaminate(spark, docs, empty, limit):
     assert {r.contaminated for r in decontaminate(docs, items.where("false"), broadcast_windows=limit).collect()} == {False}
 
 
-def test_suffix_dedup(docs, empty):
+def brute_dedup(rows, width=50):
+    """Counter of (doc_id, n_bytes, n_removed, n_spans, kept_sha256) by a dictionary of all strings."""
     first = {}
-    for i, t in ROWS:
+    for i, t in rows:
         b = (t or "").encode()
-        for p in range(len(b) - 49) if i is not None else ():
-            s = b[p : p + 50]
+        for p in range(len(b) - width + 1) if i is not None else ():
+            s = b[p : p + width]
             first[s] = min(first.get(s, i), i)
     want = collections.Counter()
-    for i, t in ROWS:
+    for i, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
-        for p in range(len(b) - 49) if i is not None else ():
-            if first[b[p : p + 50]] < i:
-                gone[p : p + 50] = b"\1" * 50
+        for p in range(len(b) - width + 1) if i is not None else ():
+            if first[b[p : p + width]] < i:
+                gone[p : p + width] = b"\1" * width
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         want[(i, len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest())] += 1
-    assert collections.Counter(tuple(r) for r in suffix_dedup(docs).collect()) == want
+    return want
+
+
+def test_suffix_dedup(docs, empty):
+    assert collections.Counter(tuple(r) for r in suffix_dedup(docs).collect()) == brute_dedup(ROWS)
     assert suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize(("q", "width", "extents"), [(25, 50, 64), (13, 50, 1), (7, 50, 64), (50, 50, 64), (9, 31, 2)])
+def test_suffix_dedup_random(spark, monkeypatch, q, width, extents):
+    """Copies, passages in many documents, repeats within one, and identifiers in steps; all depths of refinement."""
+    monkeypatch.setattr("scenalyx.llm.suffix_dedup.MANY_EXTENTS", extents)
+    monkeypatch.setattr("scenalyx.llm.suffix_dedup.FLUSH_PLACES", 3000)
+    rng = np.random.default_rng(q)
+    text = lambda n, k: "".join(rng.choice([*"abcdeé ", "xy", "漢"][:k], n))
+    passages = [text(rng.integers(30, 200), 9) for _ in range(6)]
+    rows = []
+    for _ in range(60):
+        t = "".join(passages[rng.integers(6)][rng.integers(0, 20) :] if rng.random() < 0.5 else text(rng.integers(0, 120), int(rng.integers(1, 10))) for _ in range(rng.integers(0, 6)))
+        rows.append((200 * int(rng.integers(0, 50)), t))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert collections.Counter(tuple(r) for r in suffix_dedup(df, width, q).collect()) == brute_dedup(rows, width)
+
+
+def test_suffix_dedup_long_texts(spark):
+    """A text of over 16 MiB and a short one share a passage; both go by one rule."""
+    passage = "".join(f"{i * i % 99_991:05d} " for i in range(400))
+    blank = " ".join(f"n{i * 7919 % 1_500_007:x}x{i}" for i in range(1_500_000))
+    half = len(blank) // 2
+    rows = [(4, blank[:half] + "|" + passage + "|" + blank[half:]), (2, "short " + passage + " end"), (6, blank[1000:9000])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[4][0] > 16 << 20
+    assert got == {2: (len(rows[1][1]), 0, 0), 4: (len(rows[0][1]), len(passage), 1), 6: (8000, 8000, 1)}
+
+
+def test_homes_are_the_jvms(spark):
+    from pyspark.sql import functions as F
+
+    ids = [0, 1, -1, 200, 400, 2**63 - 1, -(2**63), 123456789012]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", suffix_dedup_module.home_of(F.col("doc_id"), 200).alias("home")).collect()
+    assert {r.doc_id: r.home for r in rows} == dict(zip(ids, suffix_dedup_module._home(ids, 200).tolist(), strict=True))
+    assert len(set(suffix_dedup_module._home(np.arange(0, 200 * 5000, 200), 200).tolist())) == 200
+
+
 def test_sst(docs, empty):
     lib = Tokenizer.from_file(PATH)
     got = sorted(sst_round_trip(docs, PATH).collect(), key=lambda r: r.start)
