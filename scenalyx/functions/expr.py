@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,3 +21,39 @@ def uniform(seed: int, stream: str, *keys: Column) -> Column:
 def rounded(c: Column | str, digits: int = 6) -> Column:
     """A double for comparison across engines; -0 becomes 0."""
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """P(|T| >= |t|) of Student's t with whole degrees of freedom, as the finite sum over the angle atan(|t| / sqrt(df)).
+
+    Null where t is null or there is no degree of freedom.
+    """
+    theta = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
+    cos2 = F.pow(F.cos(theta), F.lit(2.0))
+    odd = F.pmod(df, F.lit(2)) == 1
+    # terms of one parity only, the k-th from the one before
+    count = F.floor((df - F.when(odd, 3).otherwise(2)) / 2).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(acc, k):
+        ratio = F.when(odd, 2.0 * k / (2.0 * k + 1)).otherwise((2.0 * k - 1) / (2.0 * k))
+        term = acc["term"] * ratio * cos2
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    some = F.aggregate(F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>")), start, add, lambda a: a["sum"])
+    within = F.when(df == 1, 2 / math.pi * theta).when(odd, 2 / math.pi * (theta + F.sin(theta) * F.cos(theta) * some)).otherwise(F.sin(theta) * some)
+    return F.when(t.isNotNull() & (df >= 1), F.greatest(F.lit(0.0), 1 - within))
+
+
+def chi2_tail(x: Column) -> Column:
+    """P(X >= x) of chi-squared with one degree of freedom: 1 - erf(sqrt(x / 2)) by its series of positive terms."""
+    z = F.sqrt(F.greatest(x, F.lit(0.0)) / 2)
+    start = F.struct(z.alias("term"), z.alias("sum"))
+
+    def add(acc, k):
+        term = acc["term"] * 2 * z * z / (2.0 * k + 1)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, add, lambda a: a["sum"])
+    # beyond 60 nothing of the tail is left in a double's six digits
+    return F.when(x > 60, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - 2 / math.sqrt(math.pi) * F.exp(-z * z) * total))

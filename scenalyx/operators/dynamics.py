@@ -1,4 +1,8 @@
-"""Correlation dynamics, moment matching, constrained portfolios and resampled tests as NumPy kernels."""
+"""Correlation dynamics, moment matching, constrained portfolios and elimination as NumPy kernels.
+
+Defined cases: a target without variance is scaled by a floor; a solver that does
+not converge says so in its result; inputs may not hold nulls.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ import math
 
 import numpy as np
 
-from .kernels import capped_simplex, fit_garch, garch_variance, nearest_psd, politis_white
+from .kernels import capped_simplex, fit_df, fit_garch, garch_variance, linear_programme, nearest_psd
 
 
 def pattern_search(loss, starts, low: float = 1e-4, high: float = 0.999, step: float = 0.1, tol: float = 1e-4):
@@ -37,11 +41,8 @@ def _to_correlation(q: np.ndarray) -> np.ndarray:
     return q / (sd[..., :, None] * sd[..., None, :])
 
 
-def fit_dcc(e: np.ndarray) -> dict:
-    """Two-step fit: one variance recursion per column, then (a, b) of the correlations by Gaussian likelihood."""
-    single = [fit_garch(col) for col in e.T]
-    var = np.array([garch_variance(col, g[0], g[1])[:-1] for col, g in zip(e.T, single, strict=True)]).T
-    z = e / np.sqrt(var)
+def fit_correlation(z: np.ndarray) -> dict:
+    """(a, b) of the correlations of standardised residuals by Gaussian likelihood, the state after them, and the tails' degrees of freedom."""
     base = nearest_psd(z.T @ z / len(z))
 
     def loss(point):
@@ -52,37 +53,51 @@ def fit_dcc(e: np.ndarray) -> dict:
 
     (total, share), value = pattern_search(loss, [(0.5, 0.1), (0.9, 0.05), (0.97, 0.03)], tol=1e-3)
     a, b = total * share, total * (1 - share)
-    return {
-        "a": a, "b": b, "loss": value, "base": base, "next_q": correlation_path(z, a, b, base)[-1],
-        "alpha": np.array([g[0] for g in single]), "beta": np.array([g[1] for g in single]),
-        "next_variance": np.array([g[2] for g in single]), "target": (e * e).mean(0),
-    }
+    # the residuals have mean 0 and the long-run covariance
+    tails = fit_df(z, np.ones(len(z)), mean=np.zeros(z.shape[1]), cov=base)
+    return {"a": a, "b": b, "loss": value, "df": tails["df"], "base": base, "next_q": correlation_path(z, a, b, base)[-1]}
+
+
+def fit_dcc(e: np.ndarray) -> dict:
+    """Two-step fit of centred returns: one variance recursion per column, then the correlations."""
+    single = [fit_garch(col) for col in e.T]
+    var = np.array([garch_variance(col, g[0], g[1])[:-1] for col, g in zip(e.T, single, strict=True)]).T
+    own = dict(zip(("alpha", "beta", "next_variance"), np.array(single).T, strict=True))
+    return fit_correlation(e / np.sqrt(var)) | own | {"target": (e * e).mean(0)}
 
 
 def simulate_dcc(fit: dict, mean: np.ndarray, df: float, paths: int, horizon: int, seed: int) -> np.ndarray:
     """Compounded simple returns of the horizon: (paths, columns), with unit-variance t innovations."""
+    if df <= 2:
+        raise ValueError("innovations need over 2 degrees of freedom")
     rng = np.random.default_rng(seed)
     n = len(mean)
     var, q = np.tile(fit["next_variance"], (paths, 1)), np.tile(fit["next_q"], (paths, 1, 1))
     wealth = np.ones((paths, n))
     for _ in range(horizon):
         draw = rng.standard_normal((paths, n)) * np.sqrt((df - 2) / rng.chisquare(df, paths))[:, None]
-        z = np.einsum("pij,pj->pi", np.linalg.cholesky(_to_correlation(q)), draw)
+        z = np.einsum("pij,pj->pi", np.linalg.cholesky(_to_correlation(q) + 1e-10 * np.eye(n)), draw)
         e = np.sqrt(var) * z
-        wealth *= np.maximum(1 + mean + e, 0)
+        wealth *= 1 + mean + e
         var = (1 - fit["alpha"] - fit["beta"]) * fit["target"] + fit["alpha"] * e * e + fit["beta"] * var
         q = (1 - fit["a"] - fit["b"]) * fit["base"] + fit["a"] * z[:, :, None] * z[:, None, :] + fit["b"] * q
     return wealth - 1
 
 
+#: Weights of the four moments and of the covariances, and the floors of their scales.
+MOMENT_WEIGHTS, COV_WEIGHT, MOMENT_FLOOR, COV_FLOOR = (2.0, 1.5, 0.5, 0.3), 0.05, 1e-6, 1e-3
+
+
 class MomentTarget:
     """Scaled distance of (x, p) from four central moments and the covariances of each pair, with its gradients."""
 
-    def __init__(self, moments: np.ndarray, cov: np.ndarray):
-        sd = np.sqrt(np.maximum(moments[1], 1e-12))
+    def __init__(self, moments: np.ndarray, cov: np.ndarray, weights=MOMENT_WEIGHTS, cov_weight: float = COV_WEIGHT):
+        sd = np.sqrt(np.maximum(moments[1], MOMENT_FLOOR**2))
+        scale = np.maximum(np.vstack([sd, sd**2, sd**3, sd**4]), MOMENT_FLOOR)
         self.moments, self.cov = moments, cov
-        self.weight = 1 / np.vstack([sd, sd**2, sd**3, sd**4]) ** 2
-        self.pair = 0.5 / np.outer(sd, sd) ** 2
+        self.weight = np.array(weights)[:, None] / scale**2
+        own = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        self.pair = 0.5 * cov_weight / np.maximum(np.outer(own, own), COV_FLOOR) ** 2
         np.fill_diagonal(self.pair, 0)
 
     def value_and_gradients(self, x: np.ndarray, p: np.ndarray):
@@ -99,64 +114,136 @@ class MomentTarget:
         return f, gx, gp
 
 
-def match_moments(target: MomentTarget, x: np.ndarray, entropy: float = 1e-6, rounds: int = 60, patience: int = 3):
-    """(x, p, f, g, rounds) by turns: mirror descent on p, limited-memory quasi-Newton on x; g = f + entropy * KL never rises."""
-    p = np.full(len(x), 1 / len(x))
-
-    def whole(x, p):
-        f, gx, gp = target.value_and_gradients(x, p)
-        live = np.maximum(p, 1e-300)
-        kl = float(p @ np.log(live * len(p)))
-        return f, f + entropy * kl, gx, gp + entropy * (np.log(live * len(p)) + 1)
-
-    f, g, gx, gp = whole(x, p)
-    calm = done = 0
-    for done in range(1, rounds + 1):
-        before, step = g, 1 / max(np.abs(gp - p @ gp).max(), 1e-12)
+def descend(f, x: np.ndarray, rounds: int = 40):
+    """Limited-memory quasi-Newton descent of f (value, gradient, extra); only steps that lower the value are taken."""
+    value, grad, *_ = f(x)
+    pairs = []
+    for _ in range(rounds):
+        direction, stack = grad.ravel().copy(), []
+        for s, y, r in reversed(pairs):
+            w = r * (s @ direction)
+            stack.append(w)
+            direction -= w * y
+        if pairs:
+            s, y, _ = pairs[-1]
+            direction *= (s @ y) / (y @ y)
+        else:
+            direction *= 1e-2 * max(np.abs(x).max(), 1e-12) / max(np.abs(direction).max(), 1e-300)
+        for (s, y, r), w in zip(pairs, reversed(stack), strict=True):
+            direction += s * (w - r * (y @ direction))
+        slope, step = grad.ravel() @ direction, 1.0
         for _ in range(25):
-            new = p * np.exp(-step * (gp - p @ gp))
-            new /= new.sum()
-            trial = whole(x, new)
-            if trial[1] <= g:
-                p, (f, g, gx, gp) = new, trial
+            moved = x - step * direction.reshape(x.shape)
+            now, new_grad, *_ = f(moved)
+            if now <= value - 1e-4 * step * slope:
                 break
             step /= 2
-        pairs = []
-        for _ in range(40):
-            direction, stack = gx.ravel().copy(), []
-            for s, y, r in reversed(pairs):
-                w = r * (s @ direction)
-                stack.append(w)
-                direction -= w * y
-            if pairs:
-                s, y, _ = pairs[-1]
-                direction *= (s @ y) / (y @ y)
-            else:
-                direction *= 1e-2 * max(np.abs(x).max(), 1e-12) / max(np.abs(direction).max(), 1e-300)
-            for (s, y, r), w in zip(pairs, reversed(stack), strict=True):
-                direction += s * (w - r * (y @ direction))
-            slope, step = gx.ravel() @ direction, 1.0
+        else:
+            break
+        s, y = (moved - x).ravel(), (new_grad - grad).ravel()
+        if s @ y > 1e-300:
+            pairs = [*pairs[-9:], (s, y, 1 / (s @ y))]
+        x, value, grad = moved, now, new_grad
+    return x
+
+
+class Matching:
+    """Block-coordinate descent of G(x, p) = F(x, p) + entropy * KL(p, uniform): p, then x, never upwards.
+
+    p steps: ``mirror`` (exponentiated gradient) or ``projected`` (gradient on the simplex). x steps: ``joint``,
+    ``sequential`` (a column at a time) or ``jacobi`` (all columns from one snapshot; sequential where G would rise).
+    """
+
+    def __init__(self, target: MomentTarget, entropy: float = 1e-5, p_step: str = "mirror", x_step: str = "joint"):
+        if p_step not in ("mirror", "projected") or x_step not in ("joint", "sequential", "jacobi"):
+            raise ValueError("unknown step")
+        self.target, self.entropy, self.p_step, self.x_step = target, entropy, p_step, x_step
+
+    def g(self, x, p):
+        """(F, G, dG/dx, dG/dp)."""
+        f, gx, gp = self.target.value_and_gradients(x, p)
+        live = np.log(np.maximum(p, 1e-300) * len(p))
+        return f, f + self.entropy * float(p @ live), gx, gp + self.entropy * (live + 1)
+
+    def step_p(self, x, p, rounds: int = 5):
+        _, g, _, gp = self.g(x, p)
+        for _ in range(rounds):
+            flat = gp - p @ gp
+            step = 1 / max(np.abs(flat).max(), 1e-12)
+            if self.p_step == "projected":
+                step *= p.max()
             for _ in range(25):
-                moved = x - step * direction.reshape(x.shape)
-                trial = whole(moved, p)
-                if trial[1] <= g - 1e-4 * step * slope:
+                if self.p_step == "mirror":
+                    new = p * np.exp(-step * flat)
+                    new /= new.sum()
+                else:
+                    new = capped_simplex(p - step * flat)
+                _, now, _, new_gp = self.g(x, new)
+                if now <= g:
                     break
                 step /= 2
             else:
                 break
-            s, y = (moved - x).ravel(), (trial[2] - gx).ravel()
-            if s @ y > 1e-300:
-                pairs = [*pairs[-9:], (s, y, 1 / (s @ y))]
-            x, (f, g, gx, gp) = moved, trial
-        calm = calm + 1 if before - g <= 1e-6 * max(abs(before), 1e-12) else 0
-        if calm >= patience:
-            break
-    return x, p, f, g, done
+            calm = g - now <= 1e-8 * max(abs(g), 1e-12)
+            p, g, gp = new, now, new_gp
+            if calm:
+                break
+        return p
+
+    def step_x(self, x, p):
+        def whole(y):
+            _, g, gx, _ = self.g(y, p)
+            return g, gx
+
+        if self.x_step == "joint":
+            return descend(whole, x)
+
+        def column(base, i):
+            def part(col):
+                y = base.copy()
+                y[:, i] = col
+                g, gx = whole(y)
+                return g, gx[:, i]
+
+            return descend(part, base[:, i].copy())
+
+        if self.x_step == "jacobi":
+            new = np.column_stack([column(x, i) for i in range(x.shape[1])])
+            if whole(new)[0] <= whole(x)[0]:
+                return new
+        x = x.copy()
+        for i in range(x.shape[1]):
+            x[:, i] = column(x, i)
+        return x
+
+    def residuals(self, x, p) -> tuple[float, float]:
+        """Largest gradient in x, and in p along the simplex."""
+        _, _, gx, gp = self.g(x, p)
+        return float(np.abs(gx).max()), float(np.abs(gp - gp.mean()).max())
+
+    def run(self, x, p, rounds: int = 150, least: int = 5, patience: int = 3, tol: float = 1e-6, limits: tuple[float, float] = (1e-4, 1e-4)) -> dict:
+        """x, p, f, g, rounds, converged, the residuals, stationary, and G after every round."""
+        _, g, _, _ = self.g(x, p)
+        path, calm, done = [g], 0, 0
+        for done in range(1, rounds + 1):
+            p = self.step_p(x, p)
+            x = self.step_x(x, p)
+            f, now, _, _ = self.g(x, p)
+            if now > g + 1e-9:
+                raise ArithmeticError(f"G rose from {g} to {now}")
+            calm = calm + 1 if abs(g - now) / (abs(g) + 1e-10) < tol else 0
+            g = now
+            path.append(g)
+            if done >= least and calm >= patience:
+                break
+        rx, rp = self.residuals(x, p)
+        return {"x": x, "p": p, "f": f, "g": g, "rounds": done, "converged": calm >= patience, "x_residual": rx, "p_residual": rp, "stationary": rx <= limits[0] and rp <= limits[1], "path": path}
 
 
-def max_sharpe(mean: np.ndarray, cov: np.ndarray, start: np.ndarray, ridge: float = 0.01, cap: float = 1.0) -> tuple[np.ndarray, float]:
+def max_sharpe(mean: np.ndarray, cov: np.ndarray, start: np.ndarray, ridge: float = 0.01, cap: float = 1.0, risk_free: float = 0.0) -> tuple[np.ndarray, float]:
     """(weights, loss) of -Sharpe + ridge * |w - 1/n|^2 over the capped simplex by projected gradient from one start."""
     n = len(mean)
+    mean = mean - risk_free  # the weights sum to 1
 
     def loss(w):
         sd = math.sqrt(max(w @ cov @ w, 1e-18))
@@ -189,43 +276,46 @@ def tail_loss(w: np.ndarray, x: np.ndarray, p: np.ndarray, alpha: float) -> tupl
     return float(mass @ loss), -mass @ x
 
 
-def min_cvar(x: np.ndarray, p: np.ndarray, alpha: float = 0.05, cap: float = 1.0, steps: int = 4000) -> tuple[np.ndarray, float]:
-    """(weights, tail loss): projected subgradient over the capped simplex, the best point seen. Not an exact programme."""
-    w = np.full(x.shape[1], 1 / x.shape[1])
-    best, value = w, np.inf
-    for k in range(steps):
+def min_cvar(x: np.ndarray, p: np.ndarray, alpha: float = 0.05, cap: float = 1.0, tol: float = 1e-10) -> tuple[np.ndarray, float]:
+    """(weights, tail loss), exact: the tail loss is the largest of finitely many linear functions of w.
+
+    Each round adds the one that is largest at the point at hand, and a small linear programme finds the next point; it
+    ends where the programme's bound meets the tail loss there.
+    """
+    n = x.shape[1]
+    if cap * n < 1 - 1e-12:
+        raise ValueError("the cap is infeasible")
+    w = capped_simplex(np.full(n, 1 / n), cap)
+    best, value, cuts = w, np.inf, []
+    for _ in range(10_000):
         now, grad = tail_loss(w, x, p, alpha)
         if now < value:
             best, value = w, now
-        w = capped_simplex(w - 0.3 / math.sqrt(k + 1) * grad / max(np.linalg.norm(grad), 1e-18), cap)
-    return best, value
-
-
-def block_index(n: int, block: int, samples: int, seed: int) -> np.ndarray:
-    """(samples, n) rows of a moving-block bootstrap."""
-    block = max(1, min(block, n))
-    start = np.random.default_rng(seed).integers(0, n - block + 1, (samples, -(-n // block)))
-    return (start[:, :, None] + np.arange(block)).reshape(samples, -1)[:, :n]
-
-
-def sharpe_difference(a: np.ndarray, b: np.ndarray, per_year: float, samples: int, seed: int, level: float = 0.95):
-    """(difference, low, high, p): both series take the same blocks; percentile interval, add-one p-value."""
-
-    def ratio(r):
-        sd = r.std(-1, ddof=1)
-        return np.where(sd > 0, r.mean(-1) / np.where(sd > 0, sd, 1), 0) * math.sqrt(per_year)
-
-    index = block_index(len(a), politis_white(a - b), samples, seed)
-    seen, drawn = float(ratio(a) - ratio(b)), ratio(a[index]) - ratio(b[index])
-    low, high = np.quantile(drawn, [(1 - level) / 2, (1 + level) / 2])
-    return seen, float(low), float(high), float((1 + (np.abs(drawn - seen) >= abs(seen)).sum()) / (samples + 1))
-
-
-def confidence_set(losses: np.ndarray, block: int, samples: int, seed: int) -> list[tuple[int, int, float]]:
-    """(column, step at which it left, p): the range statistic's elimination; p never falls, the survivor has 1."""
-    index = block_index(len(losses), block, samples, seed)
-    mean, drawn = losses.mean(0), losses[index].mean(1)
-    left, out, top = list(range(losses.shape[1])), [], 0.0
+        cuts.append(grad)
+        k = len(cuts)
+        # w, slack to the cap, level up and down, slack of every cut
+        a = np.zeros((1 + n + k, 2 * n + 2 + k))
+        b = np.r_[1.0, np.full(n, cap), np.zeros(k)]
+        a[0, :n] = 1
+        a[1 : n + 1, :n] = a[1 : n + 1, n : 2 * n] = np.eye(n)
+        a[n + 1 :, :n] = np.array(cuts)
+        a[n + 1 :, 2 * n], a[n + 1 :, 2 * n + 1] = -1, 1
+        a[n + 1 :, 2 * n + 2 :] = np.eye(k)
+        cost = np.zeros(a.shape[1])
+        cost[2 * n], cost[2 * n + 1] = 1, -1
+        point = linear_programme(cost, a, b)
+        w, bound = point[:n], point[2 * n] - point[2 * n + 1]
+        if value - bound <= tol * max(1.0, abs(value)):
+            return best, value
+    raise ArithmeticError("the cuts did not meet")
+
+
+def eliminate(mean: np.ndarray, drawn: np.ndarray) -> list[tuple[int, int, float, float]]:
+    """(column, step at which it left, p, statistic) of mean losses and their bootstrap means (samples, columns).
+
+    The range statistic's elimination: p never falls, the survivor has 1.
+    """
+    left, out, top = list(range(len(mean))), [], 0.0
     while len(left) > 1:
         gap = mean[left][:, None] - mean[left]
         noise = drawn[:, left][:, :, None] - drawn[:, left][:, None, :] - gap
@@ -233,31 +323,36 @@ def confidence_set(losses: np.ndarray, block: int, samples: int, seed: int) -> l
         safe = np.where(sd > 0, sd, 1)
         t = np.where(sd > 0, gap / safe, 0)
         far = np.where(sd > 0, np.abs(noise) / safe, 0).max((1, 2))
-        top = max(top, float((1 + (far >= np.abs(t).max()).sum()) / (samples + 1)))
+        top = max(top, float((1 + (far >= np.abs(t).max()).sum()) / (len(drawn) + 1)))
         worst = int(t.max(1).argmax())
-        out.append((left.pop(worst), len(out) + 1, top))
-    return [*out, (left[0], len(out) + 1, 1.0)]
+        out.append((left.pop(worst), len(out) + 1, top, float(np.abs(t).max())))
+    return [*out, (left[0], len(out) + 1, 1.0, 0.0)]
 
 
-def t_two_sided(t: float, df: float) -> float:
-    """P(|T| >= |t|) from the regularised incomplete beta function's continued fraction."""
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
+def kolmogorov_tail(d: float, n: int) -> float:
+    """P(D_n >= d) of the two-sided statistic, exact, by powers of Marsaglia, Tsang and Wang's matrix."""
+    if d <= 0.5 / n:
         return 1.0
-
-    def fraction(x, a, b):
-        c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
-        h = d
-        for m in range(1, 300):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 / (1 + num * d)
-                c = 1 + num / c
-                h *= c * d
-            if abs(c * d - 1) < 1e-14:
-                break
-        return h
-
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * fraction(x, a, b) / a
-    return 1 - front * fraction(1 - x, b, a) / b
+    if d >= 1:
+        return 0.0
+    k = math.ceil(n * d)
+    m, h = 2 * k - 1, k - n * d
+    a = np.tri(m, m, 1)
+    powers = h ** np.arange(1, m + 1)
+    a[:, 0] -= powers
+    a[-1] -= powers[::-1]
+    a[-1, 0] += max(2 * h - 1, 0) ** m
+    i, j = np.indices((m, m))
+    a *= np.vectorize(lambda q: 1 / math.gamma(q + 2) if q < 169 else 0.0)(np.maximum(i - j, -1))
+    value, shift = np.eye(m), 0
+    base, base_shift, left = a, 0, n
+    while left:
+        if left & 1:
+            value, shift = value @ base, shift + base_shift
+            if value[k - 1, k - 1] > 1e140:
+                value, shift = value * 1e-140, shift + 140
+        base, base_shift, left = base @ base, 2 * base_shift, left >> 1
+        if base[k - 1, k - 1] > 1e140:
+            base, base_shift = base * 1e-140, base_shift + 140
+    log10 = math.log10(value[k - 1, k - 1]) + shift + math.lgamma(n + 1) / math.log(10) - n * math.log10(n) if value[k - 1, k - 1] > 0 else -math.inf
+    return min(1.0, max(0.0, 1 - 10**log10))

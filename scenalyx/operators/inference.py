@@ -1,95 +1,226 @@
-"""Autocovariance, long-run variance, Diebold-Mariano, block bootstrap, Holm, confidence set."""
+"""Autocovariance, long-run variance, block lengths, Diebold-Mariano, block bootstrap, Holm, confidence sets.
+
+A contrast is named by ``keys`` (such as benchmark, or metric and benchmark); its
+observations are ordered by date, within the segments (folds) of ``within`` where
+these are given. Every contrast is a group of one plan, so tables of many contrasts
+cost one pass.
+
+Defined cases: a constant series has block length 1, no long-run variance, and null
+statistics; a segment of one observation takes part in means, and has no
+autocovariance of lag 1 and more; no rows give no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import hash32
+from ..functions.expr import hash32, t_two_sided
+from ..runtime import cut
+from . import checks
+
+#: Samples that one row of the bootstrap makes: a contrast's samples are dealt over tasks.
+SAMPLES_A_ROW = 250
 
 
 def paired(scores: DataFrame, focal: str, metric: str) -> DataFrame:
-    """(benchmark, date, diff): focal minus benchmark on the same observation."""
+    """(benchmark, date, diff): focal minus benchmark on the same observation; unpaired ones are an error."""
+    models = [r["model"] for r in scores.select("model").distinct().collect()]
+    scores = checks.complete_pairs(scores, models, ["date"])
     a = scores.where(F.col("model") == focal).select("date", F.col(metric).alias("a"))
     b = scores.where(F.col("model") != focal).select("date", F.col("model").alias("benchmark"), F.col(metric).alias("b"))
     return b.join(a, "date").select("benchmark", "date", (F.col("a") - F.col("b")).alias("diff"))
 
 
-def autocovariance(diff: DataFrame, keys: list[str], lags: int, within: list[str] | None = None) -> DataFrame:
-    """(keys, lag, acov): products never cross the segments of ``within``; centred on the grand mean."""
-    w = Window.partitionBy(*keys)
-    c = diff.withColumn("c", F.col("diff") - F.avg("diff").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
-    order = Window.partitionBy(*keys, *(within or [])).orderBy("date")
-    lagged = c.withColumn("before", F.array(*[F.lag("c", k).over(order) if k else F.col("c") for k in range(lags + 1)])).select(*keys, "n", "c", F.posexplode("before").alias("lag", "b"))
-    return lagged.groupBy(*keys, "lag").agg((F.sum(F.col("c") * F.col("b")) / F.max("n")).alias("acov"))
+def usable(diff: DataFrame, keys: list[str], within: list[str] | None) -> DataFrame:
+    """Without segments of one observation, which have no dependence to show."""
+    if not within:
+        return diff
+    return diff.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy(*keys, *within))).where("own > 1").drop("own")
+
+
+def auto_lag(n: Column) -> Column:
+    """floor(4 (n / 100)^(2/9))."""
+    return F.floor(4 * F.pow(n / 100.0, F.lit(2.0 / 9.0))).cast("int")
+
+
+def centred(diff: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
+    """c (from the contrast's mean), n, mean, shortest (rows of the shortest segment), rn (place in its segment)."""
+    w, seg = Window.partitionBy(*keys), Window.partitionBy(*keys, *(within or []))
+    d = diff.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("mean", F.avg("diff").over(w)).withColumn("own", F.count(F.lit(1)).over(seg))
+    return d.withColumn("c", F.col("diff") - F.col("mean")).withColumn("shortest", F.min("own").over(w)).withColumn("rn", F.row_number().over(seg.orderBy("date"))).drop("own")
+
 
+def autocovariance(diff: DataFrame, keys: list[str], lags: int | Column, within: list[str] | None = None) -> DataFrame:
+    """(keys, lag, acov, n, mean, shortest): products never cross the segments of ``within``; centred on the contrast's mean.
 
-def newey_west(acov: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Bartlett-weighted long-run variance with lag floor(4 (n / 100)^(2/9))."""
-    lag = F.floor(4 * F.pow(F.col("n") / 100.0, F.lit(2.0 / 9.0)))
-    d = acov.join(counts, keys).withColumn("bw", lag).where("lag <= bw")
+    ``lags`` may depend on n and shortest. A row meets the one ``lag`` places before by an equi-join on its place.
+    """
+    seg = [*keys, *(within or [])]
+    c = centred(usable(diff, keys, within), keys, within)
+    last = F.lit(lags) if isinstance(lags, int) else lags
+    early = c.select(*seg, F.col("rn").alias("at"), F.col("c").alias("b"))
+    late = c.withColumn("lag", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int")))).withColumn("at", F.col("rn") - F.col("lag"))
+    both = late.join(early, [*seg, "at"], "left")
+    one = lambda name: F.max(name).alias(name)
+    return both.groupBy(*keys, "lag").agg((F.sum(F.coalesce(F.col("c") * F.col("b"), F.lit(0.0))) / F.max("n")).alias("acov"), one("n"), one("mean"), one("shortest"))
+
+
+def newey_west(diff: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
+    """(keys, bw, n, mean, lrv): Bartlett-weighted long-run variance, at the automatic lag or what the shortest segment has."""
+    bw = F.least(auto_lag(F.col("n")), F.col("shortest").cast("int") - 1)
+    d = autocovariance(diff, keys, bw, within).withColumn("bw", F.greatest(bw, F.lit(0)))
     weight = F.when(F.col("lag") == 0, 1.0).otherwise(2 * (1 - F.col("lag") / (F.col("bw") + 1.0)))
-    return d.groupBy(*keys).agg(F.sum(weight * F.col("acov")).alias("lrv"), F.max("bw").alias("bw"), F.max("n").alias("n"), F.max("mean").alias("mean"))
+    return d.groupBy(*keys).agg(F.greatest(F.sum(weight * F.col("acov")), F.lit(0.0)).alias("lrv"), F.max("bw").alias("bw"), F.max("n").alias("n"), F.max("mean").alias("mean"))
 
 
 def diebold_mariano(nw: DataFrame) -> DataFrame:
-    """Statistic with the small-sample factor of horizon lag + 1; null where the variance is not positive."""
+    """dm, pvalue: the statistic with the small-sample factor of horizon lag + 1, against t of n - 1 degrees; null where the variance is not positive."""
     n, h = F.col("n").cast("double"), F.col("bw").cast("double") + 1
-    factor = F.sqrt(F.greatest((n + 1 - 2 * h + h * (h - 1) / n) / n, F.lit(0.0)))
-    return nw.withColumn("dm", F.when(F.col("lrv") > 0, F.col("mean") / F.sqrt(F.col("lrv") / n) * factor))
-
-
-def block_means(diff: DataFrame, keys: list[str], block: int, samples: int, seed: int, within: list[str] | None = None) -> DataFrame:
-    """(keys, sample, mean) of a moving-block bootstrap: rows are samples x blocks, from prefix sums."""
+    factor = F.sqrt(F.greatest((n + 1 - 2 * h + h * (h - 1) / n) / n, F.lit(1e-12)))
+    # rounding leaves a constant series some 1e-34 of variance
+    out = nw.withColumn("degenerate", F.col("lrv") <= 1e-24 * F.greatest(F.col("mean") * F.col("mean"), F.lit(1e-12)))
+    out = out.withColumn("dm", F.when(~F.col("degenerate"), F.col("mean") / F.sqrt(F.col("lrv") / n) * factor))
+    return out.withColumn("pvalue", F.when(F.col("dm").isNotNull(), t_two_sided(F.col("dm"), F.col("n") - 1)))
+
+
+def block_length(diff: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
+    """(keys, m, bandwidth, raw, block, capped): Politis and White's automatic block length from a flat-top kernel.
+
+    The first run of small autocorrelations (six within the noise band, fewer at the end of the search) gives the
+    bandwidth; the length is capped by the shortest segment. Series of under four observations have null lengths.
+    """
+    search = F.greatest(F.least(F.col("shortest") - 1, F.greatest(F.lit(5), F.ceil(F.sqrt("n"))) + 10), F.lit(1)).cast("int")
+    a = autocovariance(diff, keys, search, within).withColumn("search", search)
+    by = Window.partitionBy(*keys).orderBy("lag")
+    a = a.withColumn("at0", F.max(F.when(F.col("lag") == 0, F.col("acov"))).over(Window.partitionBy(*keys)))
+    band = 2 * F.sqrt(F.log10("n") / F.col("n"))
+    small = (F.abs(F.try_divide(F.col("acov"), F.col("at0"))) < band).cast("int")
+    a = a.withColumn("small", small).withColumn("calm", F.min("small").over(by.rowsBetween(0, 5)))
+    first = F.min(F.when((F.col("lag") >= 1) & (F.col("calm") == 1), F.col("lag"))).over(Window.partitionBy(*keys))
+    a = a.withColumn("m", F.greatest(F.coalesce(first - 1, F.col("search")), F.lit(1))).withColumn("bandwidth", F.least(2 * F.col("m"), F.col("search")))
+    share = F.col("lag") / F.col("bandwidth").cast("double")
+    taper = F.when(F.col("lag") > F.col("bandwidth"), 0.0).when(share <= 0.5, 1.0).otherwise(2 * (1 - share))
+    twice = F.when(F.col("lag") == 0, 1.0).otherwise(2.0)
+    g = a.groupBy(*keys).agg(
+        *(F.max(c).alias(c) for c in ("n", "m", "bandwidth", "shortest", "at0")),
+        F.sum(2 * taper * F.col("lag") * F.col("acov")).alias("g"),
+        F.sum(twice * taper * F.col("acov")).alias("level"),
+        F.max(F.abs("mean")).alias("size"),
+    )
+    flat = F.col("at0") <= F.pow(1e-12 * F.greatest(F.col("size"), F.lit(1.0)), F.lit(2.0))
+    d = 4.0 / 3.0 * F.col("level") * F.col("level")
+    raw = F.when(flat | (d <= 0) | (F.col("g") == 0), 1.0).otherwise(F.pow(F.try_divide(2 * F.col("g") * F.col("g"), d), F.lit(1.0 / 3.0)) * F.pow(F.col("n").cast("double"), F.lit(1.0 / 3.0)))
+    g = g.withColumn("raw", F.when(F.col("n") >= 4, raw))
+    # a hair below the next whole number counts as that number in every engine
+    block = F.least(F.greatest(F.ceil(F.round("raw", 9)), F.lit(1)), F.col("shortest")).cast("int")
+    return g.select(*keys, "n", "m", "bandwidth", "raw", block.alias("block"), (F.col("raw") > F.col("shortest")).alias("capped"))
+
+
+def resolved_blocks(diff: DataFrame, keys: list[str], within: list[str] | None = None, fixed: int | None = None, fallback: int = 4) -> DataFrame:
+    """(keys, block, automatic, capped): the automatic length, or a fixed one; at most the shortest segment.
+
+    Series too short for the automatic rule take the fallback.
+    """
+    if fixed is not None:
+        size = centred(diff, keys, within).groupBy(*keys).agg(F.min("shortest").alias("shortest"))
+        block = F.least(F.lit(max(1, fixed)), F.col("shortest")).cast("int")
+        return size.select(*keys, block.alias("block"), F.lit(None).cast("double").alias("raw"), F.lit(False).alias("capped"))
+    found = block_length(diff, keys, within)
+    return found.select(*keys, F.coalesce("block", F.least(F.lit(fallback), F.col("n").cast("int"))).alias("block"), "raw", F.coalesce("capped", F.lit(False)).alias("capped"))
+
+
+def block_means(diff: DataFrame, keys: list[str], blocks: DataFrame, samples: int, seed: int, within: list[str] | None = None, stream: list[str] | None = None) -> DataFrame:
+    """(keys, sample, mean) of a moving-block bootstrap in which blocks stay in their segments, and segments keep their lengths.
+
+    A segment is one row of prefix sums per ``SAMPLES_A_ROW`` samples; every sample adds up its blocks within the row,
+    so what grows with samples x blocks is never a table. ``stream`` names the keys that draw apart from one another.
+    """
     seg = [*keys, *(within or [])]
     w = Window.partitionBy(*seg).orderBy("date")
     pre = diff.withColumn("rn", F.row_number().over(w) - 1).withColumn("cum", F.sum("diff").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    packed = pre.groupBy(*seg).agg(F.concat(F.array(F.lit(0.0)), F.transform(F.sort_array(F.collect_list(F.struct("rn", "cum"))), lambda s: s["cum"])).alias("cum"), F.count(F.lit(1)).alias("n"))
-    size = F.least(F.lit(block), F.col("n"))
-    blocks = packed.select(*seg, "cum", "n", size.alias("size"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
-    blocks = blocks.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / F.col("size")) - 1).cast("int"))).alias("block"))
-    tag = [F.col(k).cast("string") for k in (within or [])]
-    start = F.pmod(hash32(seed, "block", *tag, F.col("sample"), F.col("block")), F.col("n") - F.col("size") + 1)
-    take = F.least(F.col("size"), F.col("n") - F.col("block") * F.col("size"))
-    part = blocks.withColumn("start", start).withColumn("take", take)
-    part = part.withColumn("sum", F.element_at("cum", (F.col("start") + F.col("take") + 1).cast("int")) - F.element_at("cum", (F.col("start") + 1).cast("int")))
-    return part.groupBy(*keys, "sample").agg((F.sum("sum") / F.sum("take")).alias("mean"))
+    packed = pre.groupBy(*seg).agg(F.concat(F.array(F.lit(0.0)), F.transform(F.sort_array(F.collect_list(F.struct("rn", "cum"))), lambda s: s["cum"])).alias("cum"), F.count(F.lit(1)).cast("int").alias("n"))
+    size = F.greatest(F.least(F.col("block"), F.col("n")), F.lit(1))
+    packed = packed.join(blocks.select(*keys, "block"), keys).withColumn("size", size).withColumn("last", (F.ceil(F.col("n") / F.col("size")) - 1).cast("int"))
+    rows = packed.withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(SAMPLES_A_ROW))))
+    tag = [F.col(k).cast("string") for k in [*(stream or []), *(within or [])]]
+
+    def total(sample: Column) -> Column:
+        def add(acc: Column, block: Column) -> Column:
+            start = F.pmod(hash32(seed, "block", *tag, sample, block), F.col("n") - F.col("size") + 1)
+            take = F.least(F.col("size"), F.col("n") - block * F.col("size"))
+            return acc + F.element_at("cum", (start + take + 1).cast("int")) - F.element_at("cum", (start + 1).cast("int"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.col("last")), F.lit(0.0), add)
+
+    own = F.sequence(F.col("low"), F.least(F.col("low") + SAMPLES_A_ROW, F.lit(samples)) - 1)
+    sums = rows.select(*keys, "n", F.explode(F.transform(own, lambda s: F.struct(s.alias("sample"), total(s).alias("sum")))).alias("e"))
+    return sums.groupBy(*keys, F.col("e.sample").alias("sample")).agg((F.sum("e.sum") / F.sum("n")).alias("mean"))
 
 
 def bootstrap_ci(diff: DataFrame, means: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame:
-    """Basic (reflected) interval, add-one two-sided p-value and the share of samples in which the focal model wins."""
+    """Basic (reflected) interval, median, add-one two-sided p-value from twice the smaller tail of the centred means,
+    and the share of samples in which the focal model wins."""
     obs = diff.groupBy(*keys).agg(F.avg("diff").alias("mean_diff"))
-    m = means.join(F.broadcast(obs), keys)
+    m = means.join(obs, keys)
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    far = F.abs(F.round(F.col("mean") - F.col("mean_diff"), 12)) >= F.abs(F.round(F.col("mean_diff"), 12))
-    g = m.groupBy(*keys).agg(
+    null, seen = F.round(F.col("mean") - F.col("mean_diff"), 12), F.round("mean_diff", 12)
+    tail = F.least(F.count_if(null <= seen), F.count_if(null >= seen))
+    return m.groupBy(*keys).agg(
         F.max("mean_diff").alias("mean_diff"),
         (2 * F.max("mean_diff") - F.percentile("mean", F.lit(hi))).alias("ci_low"),
+        F.percentile("mean", F.lit(0.5)).alias("median"),
         (2 * F.max("mean_diff") - F.percentile("mean", F.lit(lo))).alias("ci_high"),
-        ((F.count_if(far) + 1) / (F.count(F.lit(1)) + 1)).alias("pvalue"),
+        F.least(F.lit(1.0), 2 * (tail + 1) / (F.count(F.lit(1)) + 1)).alias("pvalue"),
         F.avg((F.col("mean") < 0).cast("double")).alias("p_better"),
     )
-    return g
 
 
 def holm(p: DataFrame, family: list[str], order: list[str]) -> DataFrame:
-    """Step-down adjusted p-values within each family."""
+    """Step-down adjusted p-values within each family; null p-values stay out of it."""
     w = Window.partitionBy(*family)
-    rk = F.row_number().over(w.orderBy("pvalue", *order))
-    d = p.withColumn("rk", rk).withColumn("m", F.count(F.lit(1)).over(w))
+    rk = F.row_number().over(w.orderBy(F.asc_nulls_last("pvalue"), *order))
+    d = p.withColumn("rk", rk).withColumn("m", F.count("pvalue").over(w))
     step = F.max((F.col("m") - F.col("rk") + 1) * F.col("pvalue")).over(w.orderBy("rk").rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("holm", F.least(F.lit(1.0), step)).drop("rk", "m")
+    return d.withColumn("holm", F.when(F.col("pvalue").isNotNull(), F.least(F.lit(1.0), step))).drop("rk", "m")
+
+
+def focal_table(scores: DataFrame, focal: str, benchmarks: list[str], samples: int, seed: int, within: list[str] | None = None, block: int | None = None, primary: tuple[str, str] | None = None) -> DataFrame:
+    """The focal model against every benchmark on every metric, one row a contrast.
+
+    ``scores`` is long: (metric, model, [within], date, score). Bootstrap interval and p-value, Holm over all rows,
+    Diebold-Mariano, the block length with its diagnostics, and the flags that reports read.
+    """
+    keys = ["metric", "benchmark"]
+    own = checks.complete_pairs(scores, [focal, *benchmarks], ["metric", *(within or []), "date"])
+    at = ["metric", *(within or []), "date"]
+    a = own.where(F.col("model") == focal).select(*at, F.col("score").alias("a"))
+    b = own.where(F.col("model") != focal).select(*at, F.col("model").alias("benchmark"), F.col("score").alias("b"))
+    both = b.join(a, at)
+    diff = cut(both.select(*keys, *(within or []), "date", (F.col("a") - F.col("b")).alias("diff")))
+    means = both.groupBy(*keys).agg(F.avg("a").alias("focal_mean"), F.avg("b").alias("benchmark_mean"))
+    blocks = cut(resolved_blocks(diff, keys, within, block))
+    ci = bootstrap_ci(diff, block_means(diff, keys, blocks, samples, seed, within, stream=keys), keys)
+    dm = diebold_mariano(newey_west(diff, keys, within)).select(*keys, "n", "bw", "lrv", "dm", F.col("pvalue").alias("dm_pvalue"))
+    out = holm(ci.withColumn("one", F.lit(1)), ["one"], keys).drop("one").join(blocks, keys).join(dm, keys).join(means, keys)
+    out = out.withColumn("relative_pct", 100 * F.col("mean_diff") / F.greatest(F.abs("benchmark_mean"), F.lit(1e-15)))
+    out = out.withColumn("reject", F.col("holm") < 0.05).withColumn("ci_excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
+    metric, benchmark = primary or (None, None)
+    return out.withColumn("is_primary", F.coalesce((F.col("metric") == F.lit(metric)) & (F.col("benchmark") == F.lit(benchmark)), F.lit(False)))
 
 
 def confidence_set_statistics(scores: DataFrame, metric: str, block: int, samples: int, seed: int) -> DataFrame:
-    """(model_i, model_j, diff, sd, t): studentised mean loss differences with bootstrap variance."""
-    keys = ["model"]
+    """(model_i, model_j, diff, sd, t): studentised mean loss differences with bootstrap variance; all models draw alike."""
     losses = scores.select("model", "date", F.col(metric).alias("diff"))
-    means = block_means(losses, keys, block, samples, seed)
-    obs = losses.groupBy("model").agg(F.avg("diff").alias("m"))
-    vec = means.join(F.broadcast(obs), "model").groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("model", "mean", "m"))).alias("v"))
-    one = vec.select("v", F.explode("v").alias("i"))
-    two = one.select("i", F.explode("v").alias("j")).where("i.model < j.model")
-    d = two.select(F.col("i.model").alias("model_i"), F.col("j.model").alias("model_j"), (F.col("i.m") - F.col("j.m")).alias("diff"), (F.col("i.mean") - F.col("j.mean") - F.col("i.m") + F.col("j.m")).alias("e"))
-    g = d.groupBy("model_i", "model_j").agg(F.max("diff").alias("diff"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("sd"))
-    return g.withColumn("t", F.when(F.col("sd") > 0, F.col("diff") / F.col("sd")))
+    blocks = losses.groupBy("model").agg(F.lit(block).alias("block"))
+    return set_statistics(losses, block_means(losses, ["model"], blocks, samples, seed), [])
+
+
+def set_statistics(losses: DataFrame, means: DataFrame, keys: list[str]) -> DataFrame:
+    obs = losses.groupBy(*keys, "model").agg(F.avg("diff").alias("m"))
+    vec = means.join(obs, [*keys, "model"]).groupBy(*keys, "sample").agg(F.sort_array(F.collect_list(F.struct("model", "mean", "m"))).alias("v"))  # one entry a model
+    one = vec.select(*keys, "v", F.explode("v").alias("i"))
+    two = one.select(*keys, "i", F.explode("v").alias("j")).where("i.model < j.model")
+    d = two.select(*keys, F.col("i.model").alias("model_i"), F.col("j.model").alias("model_j"), (F.col("i.m") - F.col("j.m")).alias("diff"), (F.col("i.mean") - F.col("j.mean") - F.col("i.m") + F.col("j.m")).alias("e"))
+    g = d.groupBy(*keys, "model_i", "model_j").agg(F.max("diff").alias("diff"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("sd"))
+    return g.withColumn("t", F.when(F.col("sd") > 0, F.try_divide(F.col("diff"), F.col("sd"))))

@@ -1,4 +1,9 @@
-"""Iterative estimators as NumPy kernels; Spark runs one per group (fold, asset, start)."""
+"""Iterative estimators as NumPy kernels; Spark runs one per group (fold, asset, start).
+
+Defined cases: too few observations, an infeasible cap, and degrees of freedom that
+give no finite moment are errors; series and columns without variance get the
+floors named at each kernel; inputs may not hold nulls.
+"""
 
 from __future__ import annotations
 
@@ -50,16 +55,26 @@ def golden(f, low: float, high: float, tol: float = 1e-4) -> float:
     return (a + b) / 2
 
 
-def fit_df(x: np.ndarray, p: np.ndarray, low: float = 4.05, high: float = 100.0) -> float:
-    """Degrees of freedom by weighted profile likelihood with mean and covariance held."""
-    mean, cov = weighted_moments(x, p)
+def fit_df(x: np.ndarray, p: np.ndarray, low: float = 4.05, high: float = 100.0, mean: np.ndarray | None = None, cov: np.ndarray | None = None) -> dict[str, float]:
+    """Degrees of freedom by weighted profile likelihood with mean and covariance held (those of x and p by default).
+
+    df, loglik, gain over the upper bound, and whether df stands at a bound.
+    """
+    if len(x) <= x.shape[1]:
+        raise ValueError("more observations than columns are needed")
+    p = p / p.sum()
+    if mean is None or cov is None:
+        mean, cov = weighted_moments(x, p)
     n = x.shape[1]
-    d2 = np.square(np.linalg.solve(np.linalg.cholesky(nearest_psd(cov)), (x - mean).T)).sum(0)
+    chol = np.linalg.cholesky(nearest_psd(cov))
+    d2 = np.square(np.linalg.solve(chol, (x - mean).T)).sum(0)
+    log_det = 2 * float(np.log(np.diag(chol)).sum())
 
     def loss(df):
-        return -(math.lgamma((df + n) / 2) - math.lgamma(df / 2) - n / 2 * math.log(df - 2) - (df + n) / 2 * (p @ np.log1p(d2 / (df - 2))))
+        return -(math.lgamma((df + n) / 2) - math.lgamma(df / 2) - n / 2 * math.log(math.pi * (df - 2)) - log_det / 2 - (df + n) / 2 * (p @ np.log1p(d2 / (df - 2))))
 
-    return golden(loss, low, high)
+    df = golden(loss, low, high)
+    return {"df": df, "loglik": -loss(df), "gain": loss(high) - loss(df), "at_bound": df <= low + 1e-3 or df >= high - 1e-3}
 
 
 def garch_variance(e: np.ndarray, alpha: float, beta: float) -> np.ndarray:
@@ -99,31 +114,32 @@ def fit_garch(e: np.ndarray) -> tuple[float, float, float]:
 
 
 def single_linkage_order(distance: np.ndarray) -> list[int]:
-    """Leaves in the order of the single-linkage tree."""
-    groups = [[i] for i in range(len(distance))]
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    live = list(range(len(distance)))
-    while len(live) > 1:
-        sub = d[np.ix_(live, live)]
-        i, j = divmod(int(sub.argmin()), len(live))
-        a, b = sorted((live[i], live[j]))
-        groups[a] = groups[a] + groups[b]
-        d[a] = d[:, a] = np.minimum(d[a], d[b])
-        d[a, a] = np.inf
-        live.remove(b)
-    return groups[live[0]]
+    """Leaves in the order of the single-linkage tree, whose merged clusters are numbered on after the leaves.
+
+    Of the two clusters of a merge the one of lower number stands left, so a single leaf stands before a cluster.
+    """
+    n = len(distance)
+    leaves = {i: [i] for i in range(n)}
+    d = {(i, j): float(distance[i, j]) for i in range(n) for j in range(i + 1, n)}
+    for new in range(n, 2 * n - 1):
+        a, b = min(d, key=lambda pair: (d[pair], pair))
+        leaves[new] = leaves.pop(a) + leaves.pop(b)
+        near = {k: min(d[min(k, a), max(k, a)], d[min(k, b), max(k, b)]) for k in leaves if k != new}
+        d = {pair: v for pair, v in d.items() if not {a, b} & set(pair)} | {(k, new): v for k, v in near.items()}
+    return next(iter(leaves.values()))
 
 
 def hierarchical_risk_parity(cov: np.ndarray) -> np.ndarray:
-    sd = np.sqrt(np.diag(cov))
+    """Weights by bisection of the single-linkage order; a column without variance counts as one of tiny variance."""
+    cov = nearest_psd(cov)
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-15))
     rho = np.clip(cov / np.outer(sd, sd), -1, 1)
     w = np.ones(len(cov))
-    todo = [single_linkage_order(np.sqrt((1 - rho) / 2))]
+    todo = [single_linkage_order(np.sqrt(np.maximum((1 - rho) / 2, 0)))]
 
     def variance(items):
         sub = cov[np.ix_(items, items)]
-        inv = 1 / np.diag(sub)
+        inv = 1 / np.maximum(np.diag(sub), 1e-15)
         inv /= inv.sum()
         return inv @ sub @ inv
 
@@ -167,24 +183,45 @@ def min_variance(cov: np.ndarray, ridge: float = 0.0, cap: float = 1.0) -> np.nd
     return w
 
 
-def politis_white(x: np.ndarray) -> int:
-    """Automatic block length from a flat-top kernel; degenerate series give 1."""
-    n = len(x)
-    c = x - x.mean()
-    if n < 4 or np.allclose(c, 0):
-        return 1
-    search = min(int(np.ceil(np.sqrt(n))) + 5, n - 1)
-    acov = np.array([c[: n - k] @ c[k:] / n for k in range(search + 1)])
-    rho = acov / acov[0]
-    k = max(5, int(math.ceil(math.sqrt(math.log10(n)))))
-    band = 2 * math.sqrt(math.log10(n) / n)
-    m = next((j for j in range(1, search + 1) if (np.abs(rho[j : j + k + 1]) < band).all()), search) - 1
-    width = min(2 * max(m, 1), search)
-    t = np.arange(-width, width + 1) / width
-    taper = np.where(np.abs(t) <= 0.5, 1.0, 2 * (1 - np.abs(t)))
-    full = acov[np.abs(np.arange(-width, width + 1))]
-    g, spectrum = float(taper @ (np.abs(np.arange(-width, width + 1)) * full)), float(taper @ full)
-    d = 4 / 3 * spectrum**2
-    if d <= 0:
-        return 1
-    return max(1, min(int(math.ceil((2 * g * g / d) ** (1 / 3) * n ** (1 / 3))), n // 3 or 1))
+def linear_programme(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minimiser of cost @ x under a @ x = b and x >= 0, by the two-phase simplex method with Bland's rule.
+
+    For small programmes: the tableau is dense. An infeasible or unbounded one is an error.
+    """
+    m, n = a.shape
+    sign = np.where(b < 0, -1.0, 1.0)
+    t = np.hstack([a * sign[:, None], np.eye(m), (b * sign)[:, None]])
+    basis = list(range(n, n + m))
+
+    def solve(c, allowed):
+        for _ in range(50_000):
+            reduced = c[:allowed] - c[basis] @ t[:, :allowed]
+            enter = next((int(j) for j in np.flatnonzero(reduced < -1e-10)), None)
+            if enter is None:
+                return
+            rows = np.flatnonzero(t[:, enter] > 1e-11)
+            if not len(rows):
+                raise ValueError("the programme is unbounded")
+            ratio = t[rows, -1] / t[rows, enter]
+            leave = int(min(rows[ratio <= ratio.min() + 1e-14], key=lambda r: basis[r]))
+            t[leave] /= t[leave, enter]
+            for r in range(m):
+                if r != leave and t[r, enter]:
+                    t[r] -= t[r, enter] * t[leave]
+            basis[leave] = enter
+        raise ValueError("the simplex method did not end")
+
+    solve(np.r_[np.zeros(n), np.ones(m)], n + m)
+    if sum(t[r, -1] for r in range(m) if basis[r] >= n) > 1e-8:
+        raise ValueError("the programme is infeasible")
+    for r in range(m):  # artificial variables at zero leave the basis where a column can take their place
+        if basis[r] >= n and (swap := np.flatnonzero(np.abs(t[r, :n]) > 1e-9)).size:
+            t[r] /= t[r, swap[0]]
+            for k in range(m):
+                if k != r:
+                    t[k] -= t[k, swap[0]] * t[r]
+            basis[r] = int(swap[0])
+    solve(np.r_[cost, np.full(m, 1e9)], n)
+    x = np.zeros(n + m)
+    x[basis] = t[:, -1]
+    return x[:n]

@@ -3,6 +3,12 @@
 A panel is long: (date, asset, ...). Windows are partitioned by asset, so their
 work grows with the number of dates of one asset; asset universes are broadcast
 only because a universe is a configured list.
+
+Defined cases: a missing price stays null where no raw price stands within the
+limit; a price of 0 or less gives no return (``positive`` refuses it); a return of
+-1 or less makes every window that holds it null (``compoundable`` refuses it);
+equal (date, asset) rows have to be folded first (``keep_last``); no rows give no
+rows; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -77,7 +83,7 @@ def returns(panel: DataFrame, split: str = SPLIT, exclude_imputed: bool = True)
     """(date, asset, ret, segment): lag-1 returns; a date goes if an end point of any asset was imputed."""
     seen = F.col("raw").isNotNull()
     r = panel.select("date", "asset", "price", seen.alias("obs"), F.lag("price").over(by_asset()).alias("p0"), F.lag(seen).over(by_asset()).alias("obs0")).where("p0 is not null")
-    r = r.withColumn("ret", F.col("price") / F.col("p0") - 1)
+    r = r.withColumn("ret", F.try_divide(F.col("price"), F.when(F.col("p0") > 0, F.col("p0"))) - 1).where("ret is not null")
     if exclude_imputed:
         r = r.withColumn("ok", F.min((F.col("obs") & F.col("obs0")).cast("int")).over(Window.partitionBy("date"))).where("ok = 1")
     return r.select("date", "asset", "ret", F.when(F.col("date") <= F.lit(split).cast("date"), "is").otherwise("oos").alias("segment"))
@@ -86,7 +92,7 @@ def returns(panel: DataFrame, split: str = SPLIT, exclude_imputed: bool = True)
 def terminal(rets: DataFrame, horizon: int = 5, keys: tuple[str, ...] = ("segment",)) -> DataFrame:
     """Compounded returns of every window of ``horizon`` rows within keys and asset; stride marks the non-overlapping ones."""
     w = Window.partitionBy(*keys, "asset").orderBy("date")
-    out = rets.withColumn("rn", F.row_number().over(w)).withColumn("s", F.sum(F.log1p("ret")).over(w.rowsBetween(1 - horizon, 0)))
+    out = rets.withColumn("rn", F.row_number().over(w)).withColumn("s", F.when(F.min("ret").over(w.rowsBetween(1 - horizon, 0)) > -1, F.sum(F.log1p(F.greatest("ret", F.lit(-1 + 1e-15)))).over(w.rowsBetween(1 - horizon, 0))))
     return out.where(F.col("rn") >= horizon).select(*keys, "asset", "date", "rn", F.expm1("s").alias("tret"), (F.pmod(F.col("rn") - horizon, F.lit(horizon)) == 0).alias("is_nonoverlap"))
 
 
@@ -98,17 +104,33 @@ def quality(panel: DataFrame, rets: DataFrame) -> DataFrame:
     return base.join(run, ["asset", "segment"])
 
 
-def flags(q: DataFrame, max_rate: float, max_run: int, max_vol: float) -> DataFrame:
-    """Wide flags by asset with strict limits, and whether an asset deteriorates out of sample."""
-    bad = (F.col("zero_rate") > max_rate) | (F.col("max_zero_run") > max_run) | (F.round("vol", 8) > max_vol)
-    wide = q.withColumn("bad", bad).groupBy("asset").agg(F.max(F.when(F.col("segment") == "is", F.col("bad"))).alias("flag_is"), F.max(F.when(F.col("segment") == "oos", F.col("bad"))).alias("flag_oos"))
+def flags(q: DataFrame, max_rate: float, max_run: int) -> DataFrame:
+    """Wide flags by asset with strict limits on the share and the longest run of zero returns; whether an asset deteriorates out of sample."""
+    bad = (F.col("zero_rate") > max_rate) | (F.col("max_zero_run") > max_run)
+    of = lambda segment: F.coalesce(F.max(F.when(F.col("segment") == segment, F.col("bad"))), F.lit(False))
+    wide = q.withColumn("bad", bad).groupBy("asset").agg(of("is").alias("flag_is"), of("oos").alias("flag_oos"))
     return wide.withColumn("deteriorates", F.col("flag_oos") & ~F.col("flag_is"))
 
 
-def universe(q: DataFrame, max_vol: float, max_run: int, least: int = 2) -> DataFrame:
-    """Assets chosen on in-sample columns alone, with reasons; out-of-sample figures join after the choice."""
-    own = q.where("segment = 'is'").select("asset", "vol", "max_zero_run")
-    reason = F.concat_ws("+", F.when(F.round("vol", 8) > max_vol, "volatility"), F.when(F.col("max_zero_run") > max_run, "zero_run"))
+def universe(q: DataFrame, max_rate: float, max_run: int, least: int = 2) -> DataFrame:
+    """Assets chosen on in-sample columns alone (zero rate and zero run), with reasons; out-of-sample figures join after the choice."""
+    own = q.where("segment = 'is'").select("asset", "zero_rate", "max_zero_run")
+    reason = F.concat_ws("+", F.when(F.col("zero_rate") > max_rate, "zero_rate"), F.when(F.col("max_zero_run") > max_run, "zero_run"))
     chosen = own.select("asset", (reason == "").alias("selected"), reason.alias("reason"))
-    later = q.where("segment = 'oos'").select("asset", F.col("vol").alias("vol_oos"))
+    later = q.where("segment = 'oos'").select("asset", F.col("zero_rate").alias("zero_rate_oos"), F.col("vol").alias("vol_oos"))
     return chosen.withColumn("enough", F.sum(F.col("selected").cast("int")).over(Window.partitionBy()) >= least).join(later, "asset", "left")
+
+
+def price_profile(panel: DataFrame) -> DataFrame:
+    """Per asset: observed prices, share of distinct ones, smallest and largest."""
+    return panel.where("raw is not null").groupBy("asset").agg(
+        F.count(F.lit(1)).alias("n_obs"),
+        (F.count_distinct("raw") / F.count(F.lit(1)).cast("double")).alias("unique_ratio"),
+        F.min("raw").alias("low"),
+        F.max("raw").alias("high"),
+    )
+
+
+def with_full_segment(rets: DataFrame) -> DataFrame:
+    """Every return in its own segment and in ``full``."""
+    return rets.withColumn("segment", F.explode(F.array(F.col("segment"), F.lit("full"))))

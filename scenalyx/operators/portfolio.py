@@ -1,16 +1,31 @@
-"""Closed-form weights, rebalancing calendar and a window-based backtest."""
+"""Closed-form weights, rebalancing calendar and a window-based backtest.
+
+Defined cases: assets without variance take the whole inverse-variance weight,
+shared evenly; a flat ledger has no Sharpe ratio (null) and no drawdown; a return of
+-1 or less ends a backtest with an error, as no weight can drift from nothing; a
+schedule with dates outside the returns is an error; no rows give no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import checks
+
+
+def inverse_weights(var: Column, over) -> Column:
+    """Weights in proportion to 1 / var; assets without variance share all of the weight."""
+    none = F.sum((var <= 0).cast("int")).over(over)
+    inv = F.try_divide(F.lit(1.0), F.when(var > 0, var))
+    return F.when(none > 0, F.when(var <= 0, 1.0 / none).otherwise(0.0)).otherwise(inv / F.sum(inv).over(over))
+
 
 def closed_form(rets: DataFrame) -> DataFrame:
     """(asset, equal, inverse_variance)."""
     v = rets.groupBy("asset").agg(F.var_pop("ret").alias("var"))
     w = Window.partitionBy()
-    return v.select("asset", (1.0 / F.count(F.lit(1)).over(w)).alias("equal"), ((1 / F.col("var")) / F.sum(1 / F.col("var")).over(w)).alias("inverse_variance"))
+    return v.select("asset", (1.0 / F.count(F.lit(1)).over(w)).alias("equal"), inverse_weights(F.col("var"), w).alias("inverse_variance"))
 
 
 def calendar(rets: DataFrame) -> DataFrame:
@@ -28,8 +43,7 @@ def walk_forward(rets: DataFrame, rebalances: DataFrame, min_history: int = 250)
     both = rets.select("date", "asset", "ret", F.lit(0).alias("mark")).unionByName(marks)
     w = Window.partitionBy("asset").orderBy(F.datediff("date", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
     e = both.withColumn("n", F.count("ret").over(w)).withColumn("var", F.var_pop("ret").over(w)).where((F.col("mark") == 1) & (F.col("n") >= min_history))
-    inv = 1 / F.col("var")
-    return e.select(F.col("date").alias("rebalance_date"), "asset", "n", "var", (inv / F.sum(inv).over(Window.partitionBy("date"))).alias("weight"))
+    return e.select(F.col("date").alias("rebalance_date"), "asset", "n", "var", inverse_weights(F.col("var"), Window.partitionBy("date")).alias("weight"))
 
 
 def backtest(rets: DataFrame, schedule: DataFrame, cost_bps: float = 20.0) -> DataFrame:
@@ -38,6 +52,8 @@ def backtest(rets: DataFrame, schedule: DataFrame, cost_bps: float = 20.0) -> Da
     No day-by-day loop: within a segment wealth grows by sum(w * prod(1 + r));
     drifted end weights give the next turnover; segments chain by cumulative products.
     """
+    rets = checks.compoundable(rets)
+    schedule = checks.scheduled(schedule.withColumn("date", F.col("rebalance_date")), rets, "date").drop("date")
     days = rets.select("date").distinct()
     marks = schedule.select("portfolio", "rebalance_date").distinct()
     ports = schedule.select("portfolio").distinct()
@@ -64,16 +80,92 @@ def backtest(rets: DataFrame, schedule: DataFrame, cost_bps: float = 20.0) -> Da
     return out.select("portfolio", "date", F.when(first, F.col("turnover")).otherwise(0.0).alias("turnover"), F.when(first, F.col("cost")).otherwise(0.0).alias("cost"), (F.col("base") * F.col("growth")).alias("wealth"))
 
 
+def net_returns(ledger: DataFrame) -> DataFrame:
+    """(portfolio, date, r, wealth, turnover) of a ledger whose wealth starts at 1."""
+    w = Window.partitionBy("portfolio").orderBy("date")
+    return ledger.select("portfolio", "date", (F.col("wealth") / F.coalesce(F.lag("wealth").over(w), F.lit(1.0)) - 1).alias("r"), "wealth", "turnover")
+
+
 def metrics(ledger: DataFrame, per_year: float = 252.0) -> DataFrame:
     """Final wealth, annual growth and volatility, Sharpe ratio, drawdown (the initial wealth of 1 is not in it)."""
     w = Window.partitionBy("portfolio").orderBy("date")
-    d = ledger.withColumn("r", F.col("wealth") / F.coalesce(F.lag("wealth").over(w), F.lit(1.0)) - 1).withColumn("dd", F.col("wealth") / F.max("wealth").over(w) - 1)
-    n = F.count(F.lit(1))
+    d = net_returns(ledger).withColumn("dd", F.col("wealth") / F.max("wealth").over(w) - 1)
+    n, sd = F.count(F.lit(1)), F.stddev_samp("r")
     return d.groupBy("portfolio").agg(
         F.max_by("wealth", "date").alias("final_wealth"),
         (F.pow(F.max_by("wealth", "date"), F.lit(per_year) / n) - 1).alias("cagr"),
-        (F.stddev_samp("r") * per_year**0.5).alias("volatility"),
-        (F.avg("r") / F.stddev_samp("r") * per_year**0.5).alias("sharpe"),
+        (sd * per_year**0.5).alias("volatility"),
+        (F.try_divide(F.avg("r"), F.when(sd > 1e-15, sd)) * per_year**0.5).alias("sharpe"),
         F.min("dd").alias("max_drawdown"),
         F.sum("turnover").alias("turnover"),
     )
+
+
+def tail_mean(scen: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """(keys, lower_es) of (keys, date, p, x): the lower tail of mass alpha, with the fraction of the scenario that alpha cuts."""
+    w = Window.partitionBy(*keys).orderBy("x", "date")
+    c = scen.withColumn("cum", F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    take = F.greatest(F.lit(0.0), F.least(F.col("p"), F.lit(alpha) - (F.col("cum") - F.col("p"))))
+    return c.groupBy(*keys).agg((F.sum(F.col("x") * take) / F.lit(alpha)).alias("lower_es"))
+
+
+def diagnostics(weights: DataFrame, scen: DataFrame, alpha: float = 0.05, risk_free: float = 0.0) -> DataFrame:
+    """(model, portfolio, ...): eight figures of every portfolio (portfolio, asset, weight) under every scenario set (model, asset, date, p, x)."""
+    held = weights.groupBy("portfolio").agg(F.sum(F.col("weight") * F.col("weight")).alias("herfindahl"), F.max("weight").alias("max_weight"))
+    r = scen.join(weights, "asset").groupBy("model", "portfolio", "date").agg(F.max("p").alias("p"), F.sum(F.col("weight") * F.col("x")).alias("x"))
+    over = Window.partitionBy("model", "portfolio")
+    mean = F.sum(F.col("p") * F.col("x")).over(over)
+    m = r.withColumn("mean", mean).groupBy("model", "portfolio").agg(F.max("mean").alias("expected_return"), F.sqrt(F.sum(F.col("p") * F.pow(F.col("x") - F.col("mean"), F.lit(2.0)))).alias("volatility"))
+    m = m.join(tail_mean(r, ["model", "portfolio"], alpha), ["model", "portfolio"]).join(held, "portfolio")
+    sharpe = (F.col("expected_return") - risk_free) / F.greatest("volatility", F.lit(1e-15))
+    return m.select("model", "portfolio", "expected_return", "volatility", sharpe.alias("sharpe"), F.lit(risk_free).alias("risk_free_rate"), "lower_es", "herfindahl", (1 / F.col("herfindahl")).alias("effective_assets"), "max_weight")
+
+
+def sharpe_bootstrap(returns: DataFrame, pairs: DataFrame, block: int, samples: int, seed: int, per_year: float = 252.0, level: float = 0.95) -> DataFrame:
+    """(portfolio, design, benchmark, difference, ci_low, ci_high, pvalue): both series of a pair take the same blocks.
+
+    ``returns`` is (portfolio, date, r), ``pairs`` (portfolio, design, benchmark). Block sums of r and r^2 come from prefix
+    sums of each pair's packed series; percentile interval, add-one p-value of the distance from the observed difference.
+    """
+    from ..functions.expr import hash32
+    from .inference import SAMPLES_A_ROW
+
+    a = returns.select("portfolio", "date", F.col("r").alias("a"))
+    b = returns.select(F.col("portfolio").alias("benchmark"), "date", F.col("r").alias("b"))
+    keys = ["portfolio", "design", "benchmark"]
+    both = pairs.join(a, "portfolio").join(b, ["benchmark", "date"])
+    w = Window.partitionBy(*keys).orderBy("date")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = [F.sum(x).over(upto) for x in (F.col("a"), F.col("a") * F.col("a"), F.col("b"), F.col("b") * F.col("b"))]
+    pre = both.select(*keys, F.row_number().over(w).alias("rn"), F.array(*sums).alias("s"))
+    zero = F.array(F.array(*[F.lit(0.0)] * 4))
+    packed = pre.groupBy(*keys).agg(F.concat(zero, F.transform(F.sort_array(F.collect_list(F.struct("rn", "s"))), lambda e: e["s"])).alias("cum"), F.count(F.lit(1)).cast("int").alias("n"))
+    packed = packed.withColumn("size", F.least(F.lit(block), F.col("n"))).withColumn("last", (F.ceil(F.col("n") / F.col("size")) - 1).cast("int"))
+
+    def ratio(one: Column, two: Column) -> Column:
+        mean = one / F.col("n")
+        sd = F.sqrt(F.greatest((two - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))
+        return F.when(sd > 1e-12, F.try_divide(mean, F.when(sd > 1e-12, sd))).otherwise(0.0) * per_year**0.5
+
+    def difference(s: Column) -> Column:
+        return ratio(s[0], s[1]) - ratio(s[2], s[3])
+
+    def drawn(sample: Column) -> Column:
+        def add(acc: Column, nth: Column) -> Column:
+            start = F.pmod(hash32(seed, "sharpe", sample, nth), F.col("n") - F.col("size") + 1)
+            take = F.least(F.col("size"), F.col("n") - nth * F.col("size"))
+            high, low = F.element_at("cum", (start + take + 1).cast("int")), F.element_at("cum", (start + 1).cast("int"))
+            return F.array(*[acc[k] + high[k] - low[k] for k in range(4)])
+
+        return difference(F.aggregate(F.sequence(F.lit(0), F.col("last")), F.array(*[F.lit(0.0)] * 4), add))
+
+    rows = packed.withColumn("seen", difference(F.element_at("cum", -1))).withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(SAMPLES_A_ROW))))
+    own = F.sequence(F.col("low"), F.least(F.col("low") + SAMPLES_A_ROW, F.lit(samples)) - 1)
+    each = rows.select(*keys, "seen", F.explode(F.transform(own, drawn)).alias("d"))
+    far = F.round(F.abs(F.col("d") - F.col("seen")), 9) >= F.round(F.abs("seen"), 9)
+    return each.groupBy(*keys).agg(
+        F.max("seen").alias("difference"),
+        F.percentile("d", F.lit((1 - level) / 2)).alias("ci_low"),
+        F.percentile("d", F.lit((1 + level) / 2)).alias("ci_high"),
+        ((F.count_if(far) + 1) / (F.count(F.lit(1)) + 1)).alias("pvalue"),
+    )

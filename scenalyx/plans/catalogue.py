@@ -11,7 +11,9 @@ from ..operators import moments as M
 from ..operators import panel as P
 from ..operators import portfolio as B
 from ..operators import scoring as S
+from ..runtime import cut
 from ..sources.tables import keep_last, table
+from . import oracle_base as O
 from .oracle_base import with_base
 
 QUERIES: dict = {}
@@ -29,12 +31,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _panel(spark: SparkSession, d: str) -> DataFrame:
-    return P.fill(P.cleaned(P.price_panel(table(spark, d, "lineitem"), table(spark, d, "part"), "week")))
+#: Bootstrap samples of score contrasts, confidence sets and Sharpe differences, and the seed of all draws.
+SAMPLES, SHARPE_SAMPLES, SEED = 5000, 2000, 7
+
+
+def _panel(spark: SparkSession, d: str, grain: str = "week") -> DataFrame:
+    return P.fill(P.cleaned(P.price_panel(table(spark, d, "lineitem"), table(spark, d, "part"), grain)))
+
+
+# What several branches of a plan read is made once: returns, scenarios and scores are small tables beside the prices.
 
 
 def _rets(spark, d):
-    return P.returns(P.complete(_panel(spark, d)))
+    return cut(P.returns(P.complete(_panel(spark, d))))
 
 
 def _term(spark, d):
@@ -46,11 +55,25 @@ def _is(spark, d):
 
 
 def _obs(spark, d):
-    return _term(spark, d).where("segment = 'oos' and is_nonoverlap").select("asset", "date", F.col("tret").alias("y"))
+    return _observed(_term(spark, d))
 
 
 def _scen(spark, d):
-    return M.scenario_models(_is(spark, d)).coalesce(4)
+    return _sets(_term(spark, d))
+
+
+def _sets(term):
+    return cut(M.scenario_models(term.where("segment = 'is'")))
+
+
+def _observed(term):
+    return term.where("segment = 'oos' and is_nonoverlap").select("asset", "date", F.col("tret").alias("y"))
+
+
+def _both(spark, d):
+    """Scenario sets and observations of one run over the panel."""
+    term = cut(_term(spark, d))
+    return _sets(term), _observed(term)
 
 
 def _r(df: DataFrame, *cols: str) -> DataFrame:
@@ -92,9 +115,12 @@ def dedup_keep_last(spark, d):
     return _r(keep_last(e, ["hour", "event_type"], "seq").select("hour", "event_type", "event_id", "value"))
 
 
-@query("returns_daily", f"SELECT date, asset, {R('ret')} FROM (SELECT date, asset, price / p0 - 1 AS ret FROM lagged WHERE p0 IS NOT NULL)")
+_DAILY = "SELECT *, last_value(raw IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS price FROM (SELECT d.date, a.asset, px.raw FROM (SELECT DISTINCT date FROM dpx) d CROSS JOIN (SELECT DISTINCT asset FROM dpx) a LEFT JOIN dpx px ON px.date = d.date AND px.asset = a.asset)"
+
+
+@query("returns_daily", f"SELECT date, asset, {R('ret')} FROM (SELECT date, asset, price / lag(price) OVER (PARTITION BY asset ORDER BY date) - 1 AS ret FROM (SELECT *, count(price) OVER (PARTITION BY date) AS have, count(*) OVER (PARTITION BY date) AS n FROM ({_DAILY})) WHERE have = n) WHERE ret IS NOT NULL")
 def returns_daily(spark, d):
-    return _r(P.returns(P.complete(_panel(spark, d)), exclude_imputed=False), "date", "asset", "ret")
+    return _r(P.returns(P.complete(_panel(spark, d, "day")), exclude_imputed=False), "date", "asset", "ret")
 
 
 @query("returns_endpoint_exclusion", f"SELECT date, asset, {R('ret')} FROM returns")
@@ -112,14 +138,24 @@ def zero_run_quality(spark, d):
     return _r(P.quality(_panel(spark, d), _rets(spark, d)), "asset", "segment", "n", "zero_rate", "vol", "max_zero_run")
 
 
-@query("quality_flags_by_segment", "SELECT asset, flag_is, flag_oos, flag_oos AND NOT flag_is AS deteriorates FROM (SELECT asset, bool_or(bad) FILTER (segment = 'is') AS flag_is, bool_or(bad) FILTER (segment = 'oos') AS flag_oos FROM (SELECT *, zero_rate > 0.03 OR max_zero_run > 5 OR round(vol, 8) > 0.16 AS bad FROM quality) GROUP BY asset)")
+@query("zero_run_quality_full", f"SELECT asset, 'full' AS segment, count(*) AS n, round(avg(CASE WHEN ret = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) + 0.0::DOUBLE AS zero_rate, round(stddev_pop(ret), 6) + 0.0::DOUBLE AS vol FROM returns GROUP BY asset UNION ALL SELECT asset, segment, n, {R('zero_rate', 'vol')} FROM quality")
+def zero_run_quality_full(spark, d):
+    return _r(P.quality(_panel(spark, d), P.with_full_segment(_rets(spark, d))), "asset", "segment", "n", "zero_rate", "vol")
+
+
+@query("quality_flags_by_segment", "SELECT asset, flag_is, flag_oos, flag_oos AND NOT flag_is AS deteriorates FROM (SELECT asset, coalesce(bool_or(bad) FILTER (segment = 'is'), FALSE) AS flag_is, coalesce(bool_or(bad) FILTER (segment = 'oos'), FALSE) AS flag_oos FROM (SELECT *, zero_rate > 0.03 OR max_zero_run > 5 AS bad FROM quality) GROUP BY asset)")
 def quality_flags_by_segment(spark, d):
-    return P.flags(P.quality(_panel(spark, d), _rets(spark, d)), 0.03, 5, 0.16)
+    return P.flags(P.quality(_panel(spark, d), _rets(spark, d)), 0.03, 5)
 
 
-@query("universe_selection", f"SELECT c.asset, reason = '' AS selected, reason, sum((reason = '')::INT) OVER () >= 2 AS enough, {R('vol_oos')} FROM (SELECT asset, concat_ws('+', CASE WHEN round(vol, 8) > 0.16 THEN 'volatility' END, CASE WHEN max_zero_run > 5 THEN 'zero_run' END) AS reason FROM quality WHERE segment = 'is') c LEFT JOIN (SELECT asset, vol AS vol_oos FROM quality WHERE segment = 'oos') o USING (asset)")
+@query("universe_selection", f"SELECT c.asset, reason = '' AS selected, reason, sum((reason = '')::INT) OVER () >= 2 AS enough, {R('zero_rate_oos', 'vol_oos')} FROM (SELECT asset, concat_ws('+', CASE WHEN zero_rate > 0.03 THEN 'zero_rate' END, CASE WHEN max_zero_run > 5 THEN 'zero_run' END) AS reason FROM quality WHERE segment = 'is') c LEFT JOIN (SELECT asset, zero_rate AS zero_rate_oos, vol AS vol_oos FROM quality WHERE segment = 'oos') o USING (asset)")
 def universe_selection(spark, d):
-    return _r(P.universe(P.quality(_panel(spark, d), _rets(spark, d)), 0.16, 5))
+    return _r(P.universe(P.quality(_panel(spark, d), _rets(spark, d)), 0.03, 5))
+
+
+@query("price_profile", f"SELECT asset, count(*) AS n_obs, {R('unique_ratio', 'low', 'high').replace('unique_ratio,', 'count(DISTINCT raw) / count(*)::DOUBLE,', 1).replace('low,', 'min(raw),', 1).replace('high,', 'max(raw),', 1)} FROM grid WHERE raw IS NOT NULL GROUP BY asset")
+def price_profile(spark, d):
+    return _r(P.price_profile(_panel(spark, d)))
 
 
 @query("terminal_overlapping", f"SELECT segment, asset, date, rn, {R('tret')} FROM term")
@@ -198,13 +234,27 @@ def corr_matrix_oos(spark, d):
     return _r(M.pairs(r, []).where("asset_i < asset_j").groupBy("asset_i", "asset_j").agg(F.corr("di", "dj").alias("rho")))
 
 
-@query("mm_objective_components", f"SELECT model, k, {R('f')} FROM (SELECT s.model, k, avg(CASE k WHEN 1 THEN pow((s.m1 - t.m1) / sqrt(t.m2), 2) WHEN 2 THEN pow((s.m2 - t.m2) / t.m2, 2) WHEN 3 THEN pow((s.m3 - t.m3) / pow(t.m2, 1.5), 2) ELSE pow((s.m4 - t.m4) / (t.m2 * t.m2), 2) END) AS f FROM moments s JOIN moments t ON t.model = 'ewma' AND s.asset = t.asset CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY 1, 2)")
+_MM = """SELECT s.model, k::VARCHAR AS term, sum(CASE k WHEN 1 THEN 2.0 * pow((s.m1 - t.m1) / sqrt(t.m2), 2) WHEN 2 THEN 1.5 * pow((s.m2 - t.m2) / t.m2, 2) WHEN 3 THEN 0.5 * pow((s.m3 - t.m3) / pow(t.m2, 1.5), 2) ELSE 0.3 * pow((s.m4 - t.m4) / (t.m2 * t.m2), 2) END) AS f FROM moments s JOIN moments t ON t.model = 'ewma' AND s.asset = t.asset CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY 1, 2
+    UNION ALL SELECT c.model, 'cov', sum(0.05 * pow((c.value - t.value) / greatest(sqrt(i.m2 * j.m2), 0.001), 2)) FROM cov c JOIN cov t ON t.model = 'ewma' AND c.asset_i = t.asset_i AND c.asset_j = t.asset_j JOIN moments i ON i.model = 'ewma' AND i.asset = c.asset_i JOIN moments j ON j.model = 'ewma' AND j.asset = c.asset_j WHERE c.asset_i < c.asset_j GROUP BY 1"""
+
+
+@query("mm_objective_components", f"SELECT model, term, {R('f')} FROM ({_MM})")
 def mm_objective_components(spark, d):
-    m = M.moments(_scen(spark, d), ["model", "asset"])
+    from ..operators import dynamics as D
+
+    s = _scen(spark, d)
+    m = M.moments(s, ["model", "asset"])
     t = m.where("model = 'ewma'").select("asset", *[F.col(f"m{k}").alias(f"t{k}") for k in range(1, 5)])
     sd = F.sqrt("t2")
-    parts = F.array(*[F.struct(F.lit(k).alias("k"), F.pow((F.col(f"m{k}") - F.col(f"t{k}")) / F.pow(sd, F.lit(float(k))), F.lit(2.0)).alias("f")) for k in range(1, 5)])
-    return _r(m.join(F.broadcast(t), "asset").select("model", F.explode(parts).alias("e")).groupBy("model", F.col("e.k").alias("k")).agg(F.avg("e.f").alias("f")))
+    parts = F.array(*[F.struct(F.lit(str(k)).alias("term"), (w * F.pow((F.col(f"m{k}") - F.col(f"t{k}")) / F.pow(sd, F.lit(float(k))), F.lit(2.0))).alias("f")) for k, w in enumerate(D.MOMENT_WEIGHTS, 1)])
+    own = m.join(t, "asset").select("model", F.explode(parts).alias("e")).groupBy("model", F.col("e.term").alias("term")).agg(F.sum("e.f").alias("f"))
+    c = cut(M.covariance(s, ["model"]))
+    aim = c.where("model = 'ewma'").select("asset_i", "asset_j", F.col("value").alias("aim"))
+    scale = lambda name: aim.where("asset_i = asset_j").select(F.col("asset_i").alias(name), F.sqrt("aim").alias(f"sd_{name}"))
+    off = c.where("asset_i < asset_j").join(aim, ["asset_i", "asset_j"]).join(scale("asset_i"), "asset_i").join(scale("asset_j"), "asset_j")
+    gap = (F.col("value") - F.col("aim")) / F.greatest(F.col("sd_asset_i") * F.col("sd_asset_j"), F.lit(D.COV_FLOOR))
+    pair = off.groupBy("model").agg(F.sum(D.COV_WEIGHT * gap * gap).alias("f")).select("model", F.lit("cov").alias("term"), "f")
+    return _r(own.unionByName(pair))
 
 
 # scores
@@ -222,32 +272,32 @@ def expected_shortfall(spark, d):
 
 @query("crps_by_window", f"SELECT model, date, {R('mean_crps')} FROM (SELECT model, date, avg(crps) AS mean_crps FROM crps GROUP BY 1, 2)")
 def crps_by_window(spark, d):
-    return _r(S.crps(_scen(spark, d), _obs(spark, d)).groupBy("model", "date").agg(F.avg("crps").alias("mean_crps")))
+    return _r(S.crps(*_both(spark, d)).groupBy("model", "date").agg(F.avg("crps").alias("mean_crps")))
 
 
 @query("energy_score_exact", f"SELECT model, date, {R('energy')} FROM energy")
 def energy_score_exact(spark, d):
-    return _r(S.energy(_scen(spark, d), _obs(spark, d)))
+    return _r(S.energy(*_both(spark, d)))
 
 
 @query("variogram_score", f"SELECT model, date, {R('variogram')} FROM variogram")
 def variogram_score(spark, d):
-    return _r(S.variogram(_scen(spark, d), _obs(spark, d)))
+    return _r(S.variogram(*_both(spark, d)))
 
 
 @query("coverage_kupiec_lr", f"SELECT model, asset, n, hits, {R('lr_uc')} FROM kupiec")
 def coverage_kupiec_lr(spark, d):
-    return _r(S.kupiec(S.hits(_scen(spark, d), _obs(spark, d), ALPHA), ALPHA))
+    return _r(S.kupiec(S.hits(*_both(spark, d), ALPHA), ALPHA))
 
 
 @query("coverage_christoffersen_lr", f"SELECT model, asset, n00, n01, n10, n11, {R('lr_ind')} FROM christoffersen")
 def coverage_christoffersen_lr(spark, d):
-    return _r(S.christoffersen(S.hits(_scen(spark, d), _obs(spark, d), ALPHA)))
+    return _r(S.christoffersen(S.hits(*_both(spark, d), ALPHA)))
 
 
 @query("conditional_coverage_p", f"SELECT model, asset, {R('lr_cc', 'p_cc')} FROM (SELECT model, asset, lr_uc + lr_ind AS lr_cc, exp(-(lr_uc + lr_ind) / 2) AS p_cc FROM kupiec JOIN christoffersen USING (model, asset))")
 def conditional_coverage_p(spark, d):
-    h = S.hits(_scen(spark, d), _obs(spark, d), ALPHA)
+    h = S.hits(*_both(spark, d), ALPHA)
     lr = F.col("lr_uc") + F.col("lr_ind")
     return _r(S.kupiec(h, ALPHA).join(S.christoffersen(h), ["model", "asset"]).select("model", "asset", lr.alias("lr_cc"), F.exp(-lr / 2).alias("p_cc")))
 
@@ -255,7 +305,7 @@ def conditional_coverage_p(spark, d):
 def _pit(spark, d):
     from ..functions.expr import uniform
 
-    r = S.ranked(_scen(spark, d), _obs(spark, d))
+    r = S.ranked(*_both(spark, d))
     v = uniform(11, "pit", F.col("model"), F.col("asset"), F.col("date"))
     return r.select("model", "asset", "date", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("f_below") + v * (F.col("f") - F.col("f_below")))).alias("u"))
 
@@ -287,17 +337,22 @@ def ks_statistic(spark, d):
 
 
 def _scores(spark, d):
-    return S.crps(_scen(spark, d), _obs(spark, d)).groupBy("model", "date").agg(F.avg("crps").alias("score")).coalesce(2)
+    return cut(S.crps(*_both(spark, d)).groupBy("model", "date").agg(F.avg("crps").alias("score")))
 
 
 def _diff(spark, d):
-    return I.paired(_scores(spark, d), "ewma", "score")
+    return cut(I.paired(_scores(spark, d), "ewma", "score"))
 
 
 def _folded(spark, d):
     return _diff(spark, d).withColumn("fold", F.year("date"))
 
 
+#: The differences as the makers of SQL want them.
+_ONE = "SELECT benchmark, 0 AS seg, date, diff FROM diff"
+_FOLD = "SELECT benchmark, year(date) AS seg, date, diff FROM diff"
+
+
 @query("paired_differences", f"SELECT benchmark, date, {R('diff')} FROM diff")
 def paired_differences(spark, d):
     return _r(_diff(spark, d))
@@ -308,82 +363,100 @@ def pooled_scores(spark, d):
     return _r(_scores(spark, d).groupBy("model").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n")))
 
 
-@query("acf_pooled", "SELECT benchmark, lag, round(sum(c * CASE WHEN lag = 0 THEN c ELSE b END) / max(n), 10) AS acov FROM (SELECT benchmark, k.lag, n, c, lag(c, k.lag::INT) OVER (PARTITION BY benchmark, fold, k.lag ORDER BY date) AS b FROM (SELECT *, year(date) AS fold, diff - avg(diff) OVER (PARTITION BY benchmark) AS c, count(*) OVER (PARTITION BY benchmark) AS n FROM diff) CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS lag) k) GROUP BY 1, 2")
+@query("acf_pooled", f"SELECT benchmark, lag::INT AS lag, round(acov, 10) AS acov FROM ({O.acov_sql(_FOLD, 'benchmark', '3', True)})")
 def acf_pooled(spark, d):
-    return I.autocovariance(_folded(spark, d), ["benchmark"], 3, ["fold"]).withColumn("acov", F.round("acov", 10))
+    return I.autocovariance(_folded(spark, d), ["benchmark"], 3, ["fold"]).select("benchmark", F.col("lag").cast("int").alias("lag"), F.round("acov", 10).alias("acov"))
 
 
-_NW = "SELECT benchmark, bw, n, mean, sum(CASE WHEN lag = 0 THEN acov ELSE 2 * (1 - lag / (bw + 1.0::DOUBLE)) * acov END) AS lrv FROM (SELECT benchmark, lag, max(n) AS n, max(mean) AS mean, floor(4 * pow(max(n) / 100.0::DOUBLE, 2.0::DOUBLE / 9.0::DOUBLE)) AS bw, sum(c * CASE WHEN lag = 0 THEN c ELSE b END) / max(n) AS acov FROM (SELECT benchmark, k.lag, n, mean, c, lag(c, k.lag::INT) OVER (PARTITION BY benchmark, k.lag ORDER BY date) AS b FROM (SELECT *, avg(diff) OVER (PARTITION BY benchmark) AS mean, diff - avg(diff) OVER (PARTITION BY benchmark) AS c, count(*) OVER (PARTITION BY benchmark) AS n FROM diff) CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS lag) k) GROUP BY 1, 2) WHERE lag <= bw GROUP BY ALL"
+@query("newey_west", f"SELECT benchmark, bw, n, round(lrv, 10) AS lrv FROM ({O.nw_sql(_ONE, 'benchmark')})")
+def newey_west(spark, d):
+    return I.newey_west(_diff(spark, d), ["benchmark"]).select("benchmark", "bw", "n", F.round("lrv", 10).alias("lrv"))
 
 
-def _nw(spark, d):
-    diff = _diff(spark, d)
-    counts = diff.groupBy("benchmark").agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean"))
-    return I.newey_west(I.autocovariance(diff, ["benchmark"], 8), counts, ["benchmark"])
+@query("newey_west_grouped", f"SELECT benchmark, bw, n, round(lrv, 10) AS lrv FROM ({O.nw_sql(_FOLD, 'benchmark', True)})")
+def newey_west_grouped(spark, d):
+    return I.newey_west(_folded(spark, d), ["benchmark"], ["fold"]).select("benchmark", "bw", "n", F.round("lrv", 10).alias("lrv"))
 
 
-@query("newey_west", f"SELECT benchmark, bw::BIGINT AS bw, n, round(lrv, 10) AS lrv FROM ({_NW})")
-def newey_west(spark, d):
-    return _nw(spark, d).select("benchmark", "bw", "n", F.round("lrv", 10).alias("lrv"))
+@query("newey_west_long", "SELECT asset, bw, n, round(lrv, 9) AS lrv FROM (" + O.nw_sql("SELECT event_type AS asset, 0 AS seg, event_id AS date, value AS diff FROM events", "asset") + ")")
+def newey_west_long(spark, d):
+    """The long-run variance of every event type's values: series whose automatic lag grows with their length."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("asset"), F.col("event_id").alias("date"), F.col("value").alias("diff"))
+    return I.newey_west(e, ["asset"]).select("asset", "bw", "n", F.round("lrv", 9).alias("lrv"))
 
 
-@query("dm_statistic", f"SELECT benchmark, {R('dm')} FROM (SELECT benchmark, CASE WHEN lrv > 0 THEN mean / sqrt(lrv / n) * sqrt(greatest((n + 1 - 2 * (bw + 1) + (bw + 1) * bw / n::DOUBLE) / n, 0.0::DOUBLE)) END AS dm FROM ({_NW}))")
+@query("dm_statistic", f"SELECT benchmark, {R('dm')} FROM ({O.dm_sql(_ONE, 'benchmark')})")
 def dm_statistic(spark, d):
-    return _r(I.diebold_mariano(_nw(spark, d)), "benchmark", "dm")
+    return _r(I.diebold_mariano(I.newey_west(_diff(spark, d), ["benchmark"])), "benchmark", "dm")
+
 
+@query("dm_pvalue", f"SELECT benchmark, {R('pvalue')} FROM ({O.dm_sql(_ONE, 'benchmark')})")
+def dm_pvalue(spark, d):
+    return _r(I.diebold_mariano(I.newey_west(_diff(spark, d), ["benchmark"])), "benchmark", "pvalue")
 
-def _boot_sql(fold: str, tag: str) -> str:
-    return f"""SELECT benchmark, mean_diff, 2 * mean_diff - quantile_cont(mean, 0.975) AS ci_low, 2 * mean_diff - quantile_cont(mean, 0.025) AS ci_high, (count(*) FILTER (abs(round(mean - mean_diff, 12)) >= abs(round(mean_diff, 12))) + 1) / (count(*) + 1)::DOUBLE AS pvalue, avg((mean < 0)::INT::DOUBLE) AS p_better
-    FROM (SELECT benchmark, sample, sum(cum[start + take + 1] - cum[start + 1]) / sum(take) AS mean
-        FROM (SELECT *, ('0x' || substr(md5('7|block|' || {tag} sample || '|' || block), 1, 8))::BIGINT % (n - size + 1) AS start, least(size, n - block * size) AS take
-            FROM (SELECT benchmark, fold, n, cum, least(4, n) AS size, unnest(range(0, (ceil(n / least(4, n)::DOUBLE))::BIGINT)) AS block, sample FROM (SELECT benchmark, fold, count(*) AS n, list_concat([0.0::DOUBLE], list(cum ORDER BY rn)) AS cum FROM (SELECT benchmark, {fold} AS fold, row_number() OVER (PARTITION BY benchmark, {fold} ORDER BY date) AS rn, sum(diff) OVER (PARTITION BY benchmark, {fold} ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum FROM diff) GROUP BY 1, 2) CROSS JOIN range(0, 500) s(sample)))
-        GROUP BY 1, 2) JOIN (SELECT benchmark, avg(diff) AS mean_diff FROM diff GROUP BY 1) USING (benchmark) GROUP BY benchmark, mean_diff"""
 
+@query("politis_white_block", f"SELECT benchmark, n, m, bandwidth, {R('raw')}, block, capped FROM ({O.block_sql(_ONE, 'benchmark')})")
+def politis_white_block(spark, d):
+    return _blocks_out(I.block_length(_diff(spark, d), ["benchmark"]))
 
-_CI = f"SELECT benchmark, {R('mean_diff', 'ci_low', 'ci_high', 'pvalue', 'p_better')} FROM "
 
+@query("politis_white_grouped", f"SELECT benchmark, n, m, bandwidth, {R('raw')}, block, capped FROM ({O.block_sql(_FOLD, 'benchmark', True)})")
+def politis_white_grouped(spark, d):
+    return _blocks_out(I.block_length(_folded(spark, d), ["benchmark"], ["fold"]))
 
-def _boot(spark, d):
-    diff = _diff(spark, d)
-    return I.bootstrap_ci(diff, I.block_means(diff, ["benchmark"], 4, 500, 7), ["benchmark"])
 
+def _blocks_out(b):
+    return _r(b.select("benchmark", F.col("n").cast("long").alias("n"), F.col("m").cast("long").alias("m"), F.col("bandwidth").cast("long").alias("bandwidth"), "raw", "block", "capped"))
 
-@query("block_bootstrap_ci", f"{_CI} ({_boot_sql('0', '')})")
-def block_bootstrap_ci(spark, d):
-    return _r(_boot(spark, d))
 
+_CI = f"SELECT benchmark, {R('mean_diff', 'ci_low', 'median', 'ci_high', 'pvalue', 'p_better')} FROM "
+
+
+def _boot_sql(source: str, grouped: bool) -> str:
+    return O.ci_sql(source, "benchmark", O.means_sql(source, "benchmark", O.sizes_sql(source, "benchmark", grouped), SAMPLES, SEED, "seg || '|' ||" if grouped else ""))
 
-@query("grouped_block_bootstrap", f"{_CI} ({_boot_sql('year(date)', "fold || '|' ||")})")
-def grouped_block_bootstrap(spark, d):
-    diff = _folded(spark, d)
-    return _r(I.bootstrap_ci(diff, I.block_means(diff, ["benchmark"], 4, 500, 7, ["fold"]), ["benchmark"]))
 
+def _boot(diff, within=None):
+    blocks = cut(I.resolved_blocks(diff, ["benchmark"], within))
+    return I.bootstrap_ci(diff, I.block_means(diff, ["benchmark"], blocks, SAMPLES, SEED, within), ["benchmark"])
 
-_HOLM = "SELECT {keys}, pvalue, least(1.0::DOUBLE, max((m - rk + 1) * pvalue) OVER (PARTITION BY {family} ORDER BY rk ROWS UNBOUNDED PRECEDING)) AS holm FROM (SELECT *, row_number() OVER (PARTITION BY {family} ORDER BY pvalue, {order}) AS rk, count(*) OVER (PARTITION BY {family}) AS m FROM ({source}))"
+
+@query("block_bootstrap_ci", f"{_CI} ({_boot_sql(_ONE, False)})")
+def block_bootstrap_ci(spark, d):
+    return _r(_boot(_diff(spark, d)))
+
+
+@query("grouped_block_bootstrap", f"{_CI} ({_boot_sql(_FOLD, True)})")
+def grouped_block_bootstrap(spark, d):
+    return _r(_boot(_folded(spark, d), ["fold"]))
 
 
-@query("holm_adjust", f"SELECT benchmark, {R('pvalue', 'holm')} FROM ({_HOLM.format(keys='benchmark', family='1', order='benchmark', source=_boot_sql('0', ''))})")
+@query("holm_adjust", f"SELECT benchmark, {R('pvalue', 'holm')} FROM ({O.holm_sql(_boot_sql(_ONE, False), '1', 'benchmark')})")
 def holm_adjust(spark, d):
-    return _r(I.holm(_boot(spark, d).withColumn("one", F.lit(1)), ["one"], ["benchmark"]), "benchmark", "pvalue", "holm")
+    return _r(I.holm(_boot(_diff(spark, d)).withColumn("one", F.lit(1)), ["one"], ["benchmark"]), "benchmark", "pvalue", "holm")
 
 
-@query("holm_by_family", f"SELECT model, asset, {R('pvalue', 'holm')} FROM ({_HOLM.format(keys='model, asset', family='model', order='asset', source='SELECT model, asset, round(exp(-(lr_uc + lr_ind) / 2), 9) AS pvalue FROM kupiec JOIN christoffersen USING (model, asset)')})")
+@query("holm_by_family", f"SELECT model, asset, {R('pvalue', 'holm')} FROM ({O.holm_sql('SELECT model, asset, round(exp(-(lr_uc + lr_ind) / 2), 9) AS pvalue FROM kupiec JOIN christoffersen USING (model, asset)', 'model', 'asset')})")
 def holm_by_family(spark, d):
-    h = S.hits(_scen(spark, d), _obs(spark, d), ALPHA)
+    h = S.hits(*_both(spark, d), ALPHA)
     p = S.kupiec(h, ALPHA).join(S.christoffersen(h), ["model", "asset"]).select("model", "asset", F.round(F.exp(-(F.col("lr_uc") + F.col("lr_ind")) / 2), 9).alias("pvalue"))
     return _r(I.holm(p, ["model"], ["asset"]), "model", "asset", "pvalue", "holm")
 
 
-@query("mcs_statistics")
+_LOSS = "SELECT model, 0 AS seg, date, score AS diff FROM scores"
+_SET = O.means_sql(_LOSS, "model", O.sizes_sql(_LOSS, "model", fixed=4), SAMPLES, SEED)
+
+
+@query("mcs_statistics", f"SELECT model_i, model_j, {R('diff', 'sd', 't')} FROM (SELECT model_i, model_j, max(gap) AS diff, sqrt(avg(e * e)) AS sd, max(gap) / nullif(sqrt(avg(e * e)), 0) AS t FROM (SELECT a.model AS model_i, b.model AS model_j, a.m - b.m AS gap, a.mean - b.mean - a.m + b.m AS e FROM (SELECT * FROM ({_SET}) JOIN (SELECT model, avg(score) AS m FROM scores GROUP BY 1) USING (model)) a JOIN (SELECT * FROM ({_SET}) JOIN (SELECT model, avg(score) AS m FROM scores GROUP BY 1) USING (model)) b ON a.sample = b.sample AND a.model < b.model) GROUP BY 1, 2)")
 def mcs_statistics(spark, d):
-    return _r(I.confidence_set_statistics(_scores(spark, d), "score", 4, 500, 7))
+    return _r(I.confidence_set_statistics(_scores(spark, d), "score", 4, SAMPLES, SEED))
 
 
-@query("stability_ranks", f"SELECT model, {R('mean_rank')}, min_rank, max_rank, wins, folds FROM (SELECT model, avg(rk) AS mean_rank, min(rk) AS min_rank, max(rk) AS max_rank, count(*) FILTER (rk = 1) AS wins, count(*) AS folds FROM (SELECT model, fold, rank() OVER (PARTITION BY fold ORDER BY round(score, 9)) AS rk FROM (SELECT model, year(date) AS fold, avg(score) AS score FROM scores GROUP BY 1, 2)) GROUP BY model)")
+@query("stability_ranks", f"SELECT model, {R('mean_rank', 'median_rank')}, min_rank, max_rank, wins, folds FROM (SELECT model, avg(rk) AS mean_rank, median(rk) AS median_rank, min(rk) AS min_rank, max(rk) AS max_rank, count(*) FILTER (rk = 1) AS wins, count(*) AS folds FROM (SELECT model, fold, rank() OVER (PARTITION BY fold ORDER BY round(score, 9)) AS rk FROM (SELECT model, year(date) AS fold, avg(score) AS score FROM scores GROUP BY 1, 2)) GROUP BY model)")
 def stability_ranks(spark, d):
     f = _scores(spark, d).groupBy("model", F.year("date").alias("fold")).agg(F.avg("score").alias("score"))
     r = f.withColumn("rk", F.rank().over(Window.partitionBy("fold").orderBy(F.round("score", 9))).cast("long"))
-    return _r(r.groupBy("model").agg(F.avg("rk").alias("mean_rank"), F.min("rk").alias("min_rank"), F.max("rk").alias("max_rank"), F.count_if(F.col("rk") == 1).alias("wins"), F.count(F.lit(1)).alias("folds")))
+    return _r(r.groupBy("model").agg(F.avg("rk").alias("mean_rank"), F.median("rk").alias("median_rank"), F.min("rk").alias("min_rank"), F.max("rk").alias("max_rank"), F.count_if(F.col("rk") == 1).alias("wins"), F.count(F.lit(1)).alias("folds")))
 
 
 @query("fold_excess", f"SELECT model, fold, {R('excess')} FROM (SELECT model, fold, score - min(score) OVER (PARTITION BY fold) AS excess FROM (SELECT model, year(date)::INT AS fold, avg(score) AS score FROM scores GROUP BY 1, 2))")
@@ -419,47 +492,67 @@ def equal_inverse_variance(spark, d):
     return _r(B.closed_form(_rets(spark, d).where("segment = 'is'")))
 
 
-@query("rebalance_calendar", "SELECT date_trunc('quarter', date)::DATE AS quarter, min(date) AS rebalance_date FROM returns GROUP BY 1")
+@query("rebalance_calendar", "SELECT date_trunc('quarter', date)::DATE AS quarter, min(date) AS rebalance_date FROM returns WHERE segment = 'oos' GROUP BY 1")
 def rebalance_calendar(spark, d):
-    return B.calendar(_rets(spark, d))
+    return B.calendar(_rets(spark, d).where("segment = 'oos'"))
+
+
+def _walked(r):
+    return B.walk_forward(r, B.calendar(r.where("segment = 'oos'")), 100)
 
 
 @query("asof_training_cov", "SELECT rebalance_date, asset, n, round(var, 8) AS var, round(weight, 6) AS weight FROM schedule")
 def asof_training_cov(spark, d):
-    r = _rets(spark, d)
-    return B.walk_forward(r, B.calendar(r), 100).select("rebalance_date", "asset", "n", F.round("var", 8).alias("var"), F.round("weight", 6).alias("weight"))
+    return _walked(_rets(spark, d)).select("rebalance_date", "asset", "n", F.round("var", 8).alias("var"), F.round("weight", 6).alias("weight"))
 
 
-@query("schedule_anti_join", "SELECT DISTINCT rebalance_date FROM schedule WHERE rebalance_date NOT IN (SELECT date FROM returns)")
+@query("schedule_anti_join", "SELECT DISTINCT rebalance_date FROM (SELECT rebalance_date FROM schedule UNION ALL SELECT rebalance_date + 1 FROM schedule) WHERE rebalance_date NOT IN (SELECT date FROM returns)")
 def schedule_anti_join(spark, d):
+    """Scheduled dates outside the calendar, of a schedule in which each rebalancing is followed by one a day later."""
     r = _rets(spark, d)
-    s = B.walk_forward(r, B.calendar(r), 100).select("rebalance_date").distinct()
+    s = _walked(r).select("rebalance_date")
+    s = s.unionByName(s.select(F.date_add("rebalance_date", 1).alias("rebalance_date"))).distinct()
     return s.join(r.select(F.col("date").alias("rebalance_date")).distinct(), "rebalance_date", "left_anti")
 
 
+def _plans(r):
+    """(portfolio, rebalance_date, asset, weight): both closed-form portfolios, set once and walked forward."""
+    oos = r.where("segment = 'oos'")
+    s = _walked(r).withColumn("even", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("rebalance_date")))
+    each = lambda inverse, even: F.explode(F.array(F.struct(F.lit(inverse).alias("portfolio"), F.col("weight").alias("weight")), F.struct(F.lit(even).alias("portfolio"), F.col("even").alias("weight")))).alias("e")
+    walked = s.select("rebalance_date", "asset", each("WF_InverseVariance", "WF_EqualWeight"))
+    once = B.closed_form(r.where("segment = 'is'")).select("asset", F.col("inverse_variance").alias("weight"), F.col("equal").alias("even")).crossJoin(oos.agg(F.min("date").alias("rebalance_date")))  # one row
+    once = once.select("rebalance_date", "asset", each("InverseVariance", "EqualWeight"))
+    return walked.unionByName(once).select("e.portfolio", "rebalance_date", "asset", "e.weight")
+
+
 def _ledger(spark, d):
-    r = _rets(spark, d).coalesce(2)
-    s = B.walk_forward(r, B.calendar(r), 100)
-    s = s.withColumn("even", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("rebalance_date")))
-    plans = s.select("rebalance_date", "asset", F.explode(F.array(F.struct(F.lit("inverse_variance").alias("portfolio"), F.col("weight").alias("weight")), F.struct(F.lit("equal").alias("portfolio"), F.col("even").alias("weight")))).alias("e"))
-    return B.backtest(r, plans.select("rebalance_date", "asset", "e.portfolio", "e.weight"))
+    r = _rets(spark, d)
+    return cut(B.backtest(r.where("segment = 'oos'"), cut(_plans(r))))
 
 
-@query("backtest_wealth")
+@query("backtest_wealth", f"SELECT portfolio, date, {R('turnover', 'cost', 'wealth')} FROM ledger")
 def backtest_wealth(spark, d):
     return _r(_ledger(spark, d))
 
 
-@query("backtest_metrics")
+@query("backtest_metrics", f"SELECT portfolio, {R('final_wealth', 'cagr', 'volatility', 'sharpe', 'max_drawdown', 'turnover')} FROM (SELECT portfolio, arg_max(wealth, date) AS final_wealth, pow(arg_max(wealth, date), 52.0::DOUBLE / count(*)) - 1 AS cagr, stddev_samp(r) * sqrt(52.0::DOUBLE) AS volatility, avg(r) / nullif(stddev_samp(r), 0) * sqrt(52.0::DOUBLE) AS sharpe, min(dd) AS max_drawdown, sum(turnover) AS turnover FROM (SELECT *, wealth / max(wealth) OVER (PARTITION BY portfolio ORDER BY date) - 1 AS dd FROM ledger) GROUP BY portfolio)")
 def backtest_metrics(spark, d):
     return _r(B.metrics(_ledger(spark, d), 52.0))
 
 
-@query("portfolio_diagnostics", f"SELECT model, {R('mean', 'vol', 'hhi')} FROM (SELECT model, sum(p * r) AS mean, sqrt(sum(p * r * r) - pow(sum(p * r), 2)) AS vol, max(hhi) AS hhi FROM (SELECT model, date, max(p) AS p, avg(x) AS r, 1.0::DOUBLE / count(*) AS hhi FROM scen GROUP BY 1, 2) GROUP BY model)")
+_HELD = "SELECT 'equal' AS portfolio, asset, 1.0::DOUBLE / count(*) OVER () AS weight FROM (SELECT DISTINCT asset FROM returns WHERE segment = 'is') UNION ALL SELECT 'inverse_variance', asset, (1 / v) / sum(1 / v) OVER () FROM (SELECT asset, var_pop(ret) AS v FROM returns WHERE segment = 'is' GROUP BY asset)"
+_HELD_R = f"SELECT model, portfolio, date, max(p) AS p, sum(weight * x) AS r FROM scen JOIN ({_HELD}) USING (asset) GROUP BY 1, 2, 3"
+
+
+@query(
+    "portfolio_diagnostics",
+    f"SELECT model, portfolio, {R('expected_return', 'volatility', 'sharpe')}, 0.0::DOUBLE AS risk_free_rate, {R('lower_es', 'herfindahl', 'effective_assets', 'max_weight')} FROM (SELECT model, portfolio, mean AS expected_return, sd AS volatility, mean / greatest(sd, 1e-15) AS sharpe, es AS lower_es, h AS herfindahl, 1 / h AS effective_assets, top AS max_weight FROM (SELECT model, portfolio, max(mean) AS mean, sqrt(sum(p * pow(r - mean, 2))) AS sd FROM (SELECT *, sum(p * r) OVER (PARTITION BY model, portfolio) AS mean FROM ({_HELD_R})) GROUP BY 1, 2) JOIN (SELECT model, portfolio, sum(r * greatest(0.0::DOUBLE, least(p, 0.05::DOUBLE - (cum - p)))) / 0.05::DOUBLE AS es FROM (SELECT *, sum(p) OVER (PARTITION BY model, portfolio ORDER BY r, date ROWS UNBOUNDED PRECEDING) AS cum FROM ({_HELD_R})) GROUP BY 1, 2) USING (model, portfolio) JOIN (SELECT portfolio, sum(weight * weight) AS h, max(weight) AS top FROM ({_HELD}) GROUP BY 1) USING (portfolio))",
+)
 def portfolio_diagnostics(spark, d):
-    r = _scen(spark, d).groupBy("model", "date").agg(F.max("p").alias("p"), F.avg("x").alias("r"), (1.0 / F.count(F.lit(1))).alias("hhi"))
-    mean = F.sum(F.col("p") * F.col("r"))
-    return _r(r.groupBy("model").agg(mean.alias("mean"), F.sqrt(F.sum(F.col("p") * F.col("r") * F.col("r")) - mean * mean).alias("vol"), F.max("hhi").alias("hhi")))
+    r = _rets(spark, d)
+    w = B.closed_form(r.where("segment = 'is'")).select("asset", F.explode(F.array(F.struct(F.lit("equal").alias("portfolio"), F.col("equal").alias("weight")), F.struct(F.lit("inverse_variance").alias("portfolio"), F.col("inverse_variance").alias("weight")))).alias("e"))
+    return _r(B.diagnostics(cut(w.select("e.portfolio", "asset", "e.weight")), _sets(P.terminal(r)), ALPHA))
 
 
 @query("garch_variance_recursion", "SELECT asset, round(0.1::DOUBLE * v0 * (1 - pow(0.85::DOUBLE, n)) / 0.15::DOUBLE + 0.05::DOUBLE * w + pow(0.85::DOUBLE, n) * v0, 8) AS next_variance FROM (SELECT asset, max(v0) AS v0, max(n) AS n, sum(pow(0.85::DOUBLE, n - rn) * e * e) AS w FROM (SELECT asset, ret - avg(ret) OVER (PARTITION BY asset) AS e, var_pop(ret) OVER (PARTITION BY asset) AS v0, count(*) OVER (PARTITION BY asset) AS n, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn FROM returns WHERE segment = 'is') GROUP BY asset)")
@@ -471,101 +564,24 @@ def garch_variance_recursion(spark, d):
     return g.select("asset", F.round(step, 8).alias("next_variance"))
 
 
-# iterative estimators: grouped NumPy kernels
-
-
-def _grouped(df: DataFrame, key: str, fn, schema: str) -> DataFrame:
-    return df.groupBy(key).applyInPandas(fn, schema)
-
-
 def _wide(pdf):
     x = pdf.pivot(index="date", columns="asset", values="x").sort_index()
     return x, pdf.groupby("date")["p"].first().loc[x.index].to_numpy()
 
 
-def _per_model(spark, d, fn, schema: str) -> DataFrame:
-    from ..runtime import ship
-
-    ship(spark)
-
-    def run(pdf):
-        import pandas as pd
-
-        x, p = _wide(pdf)
-        return pd.DataFrame([(pdf["model"].iloc[0], *row) for row in fn(list(x.columns), x.to_numpy(), p)], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return _grouped(_scen(spark, d), "model", run, schema)
-
-
-@query("gaussian_scenarios")
-def gaussian_scenarios(spark, d):
-    from ..operators import kernels as N
-
-    def fn(assets, x, p):
-        draws = N.gaussian(*N.weighted_moments(x, p), 1000, 7)
-        return [(i, a, float(v)) for i, row in enumerate(draws) for a, v in zip(assets, row, strict=True)]
-
-    return _per_model(spark, d, fn, "model string, scenario int, asset string, x double")
-
-
-@query("student_t_df")
-def student_t_df(spark, d):
-    from ..operators import kernels as N
+#: Columns of each table whose text is the same in every engine.
+_PRINTED = {"orders": ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"], "customer": ["c_custkey", "c_name", "c_nationkey"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"]}
 
-    return _per_model(spark, d, lambda assets, x, p: [(N.fit_df(x, p),)], "model string, df double")
 
+@query("lineage_fingerprint", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', '7', 'row', {', '.join(f'coalesce({c}::VARCHAR, chr(0))' for c in cols)})), 1, 8))::BIGINT)::BIGINT AS fingerprint FROM {t}" for t, cols in _PRINTED.items()))
+def lineage_fingerprint(spark, d):
+    """Rows and the sum of row hashes of each table: order and layout do not matter, and equal rows count each."""
+    from functools import reduce
 
-@query("hrp")
-def hrp(spark, d):
-    from ..operators import kernels as N
-
-    return _per_model(spark, d, lambda assets, x, p: list(zip(assets, N.hierarchical_risk_parity(N.weighted_moments(x, p)[1]).tolist(), strict=True)), "model string, asset string, weight double")
-
-
-@query("min_variance")
-def min_variance(spark, d):
-    from ..operators import kernels as N
-
-    return _per_model(spark, d, lambda assets, x, p: list(zip(assets, N.min_variance(N.weighted_moments(x, p)[1], cap=0.4).tolist(), strict=True)), "model string, asset string, weight double")
-
-
-@query("garch_fit")
-def garch_fit(spark, d):
-    from ..operators import kernels as N
-    from ..runtime import ship
-
-    ship(spark)
-
-    def run(pdf):
-        import pandas as pd
-
-        e = pdf.sort_values("date")["ret"].to_numpy()
-        return pd.DataFrame([(pdf["asset"].iloc[0], *N.fit_garch(e - e.mean()))], columns=["asset", "alpha", "beta", "next_variance"])
-
-    return _grouped(_rets(spark, d).where("segment = 'is'"), "asset", run, "asset string, alpha double, beta double, next_variance double")
-
-
-@query("politis_white_block")
-def politis_white_block(spark, d):
-    from ..operators import kernels as N
-    from ..runtime import ship
-
-    ship(spark)
-
-    def run(pdf):
-        import pandas as pd
-
-        return pd.DataFrame([(pdf["benchmark"].iloc[0], N.politis_white(pdf.sort_values("date")["diff"].to_numpy()))], columns=["benchmark", "block"])
-
-    return _grouped(_diff(spark, d), "benchmark", run, "benchmark string, block int")
-
+    from ..functions.expr import hash32
 
-@query("lineage_fingerprint")
-def lineage_fingerprint(spark, d):
-    names = ("lineitem", "part", "orders", "events")
-    out = None
-    for n in names:
-        t = table(spark, d, n)
-        f = t.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*t.columns)).alias("fingerprint")).withColumn("name", F.lit(n))
-        out = f if out is None else out.unionByName(f)
-    return out
+    parts = []
+    for name, cols in _PRINTED.items():
+        row = hash32(SEED, "row", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])
+        parts.append(table(spark, d, name).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row).alias("fingerprint")).withColumn("name", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)

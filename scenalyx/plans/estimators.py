@@ -1,16 +1,26 @@
-"""Queries of the iterative estimators: a kernel runs once per model, start or chunk of paths."""
+"""Queries of the iterative estimators: a kernel runs once per model, asset, start or chunk of draws."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..operators import dynamics as D
 from ..operators import inference as I
 from ..operators import kernels as N
-from ..runtime import ship
-from .catalogue import _ledger, _nw, _rets, _scen, _scores, _wide, query
+from ..operators import models as G
+from ..operators import moments as M
+from ..operators import panel as P
+from ..operators import portfolio as B
+from ..runtime import cut, ship
+from .catalogue import ALPHA, SAMPLES, SEED, _both, _pit, _rets, _scen, _sets, _wide, query
+
+#: Scenarios of a drawn set, of moment matching, and of one task's share of draws; steps of a simulated path.
+DRAWS, MATCHED, CHUNK, HORIZON = 10_000, 500, 1000, 5
+CAP = 0.25
 
 
 def _moments_of(x, p):
@@ -19,129 +29,380 @@ def _moments_of(x, p):
     return np.vstack([mean, *(p @ d**k for k in (2, 3, 4))]), cov
 
 
-def _dcc(spark, d):
-    """One row: the fitted state as arrays."""
+# scenario sets
+
+
+def _garch(rets: DataFrame) -> DataFrame:
+    """One row an asset: the variance recursion's fit and the standardised residuals by date."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("date")
+        r = pdf["ret"].to_numpy()
+        e = r - r.mean()
+        alpha, beta, ahead = N.fit_garch(e)
+        z = e / np.sqrt(N.garch_variance(e, alpha, beta)[:-1])
+        return pd.DataFrame([(pdf["asset"].iloc[0], r.mean(), alpha, beta, ahead, float((e * e).mean()), z)], columns=["asset", "mean", "alpha", "beta", "next_variance", "target", "z"])
+
+    return rets.groupBy("asset").applyInPandas(run, "asset string, mean double, alpha double, beta double, next_variance double, target double, z array<double>")
+
+
+def _dcc(spark, rets: DataFrame) -> DataFrame:
+    """One row: the fitted state as arrays. Variances are fitted asset by asset, then the correlations on their residuals."""
     ship(spark)
 
     def run(pdf):
-        x = pdf.pivot(index="date", columns="asset", values="ret").sort_index().dropna()
-        mean = x.to_numpy().mean(0)
-        fit = D.fit_dcc(x.to_numpy() - mean)
-        df = N.fit_df(x.to_numpy(), np.full(len(x), 1 / len(x)))
-        return pd.DataFrame([{"assets": list(x.columns), "mean": mean, "df": df} | {k: v.ravel() if isinstance(v, np.ndarray) else v for k, v in fit.items()}])
+        pdf = pdf.sort_values("asset")
+        z = np.column_stack(pdf["z"].to_list())
+        fit = D.fit_correlation(z)
+        own = {c: pdf[c].to_numpy() for c in ("mean", "alpha", "beta", "next_variance", "target")}
+        return pd.DataFrame([{"assets": list(pdf["asset"])} | {k: v.ravel() if isinstance(v, np.ndarray) else v for k, v in (fit | own).items()}])
 
     arrays = ("mean", "base", "next_q", "alpha", "beta", "next_variance", "target")
     schema = "assets array<string>, df double, a double, b double, loss double, " + ", ".join(f"{k} array<double>" for k in arrays)
-    rets = _rets(spark, d).where("segment = 'is'").select("date", "asset", "ret")
-    return rets.groupBy(F.lit(1).alias("fold")).applyInPandas(lambda pdf: run(pdf)[[c.strip().split()[0] for c in schema.split(",")]], schema)
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    states = _garch(rets.where("segment = 'is'").select("date", "asset", "ret"))  # a row an asset
+    return states.groupBy(F.lit(1).alias("fold")).applyInPandas(lambda pdf: run(pdf)[names], schema)
 
 
 @query("dcc_fit")
 def dcc_fit(spark, d):
-    f = _dcc(spark, d)
+    f = _dcc(spark, _rets(spark, d))
     return f.select("a", "b", "df", F.explode(F.arrays_zip("assets", "alpha", "beta", "next_variance")).alias("e")).select("a", "b", "df", F.col("e.assets").alias("asset"), "e.alpha", "e.beta", "e.next_variance")
 
 
-@query("dcc_simulation")
-def dcc_simulation(spark, d, paths: int = 10_000, horizon: int = 5, chunk: int = 1000):
-    """10,000 paths in chunks, each with its own seed; recentred on the common mean of all paths."""
-    chunks = -(-paths // chunk)
+@query("dcc_diagnostics")
+def dcc_diagnostics(spark, d):
+    total = F.transform(F.arrays_zip("alpha", "beta"), lambda e: e["alpha"] + e["beta"])
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+    f = _dcc(spark, _rets(spark, d)).withColumn("total", total)
+    return f.select("a", "b", (F.col("a") + F.col("b")).alias("persistence"), F.col("df").alias("innovation_df"), mean(F.col("alpha")).alias("mean_alpha"), mean(F.col("beta")).alias("mean_beta"), mean(F.col("total")).alias("mean_persistence"), F.array_max("total").alias("max_persistence"))
+
+
+def _simulated(state: DataFrame, centre: DataFrame, seed: int) -> DataFrame:
+    """(scenario, asset, x): paths in chunks, each with its own seed, recentred on the mean that every model is given."""
 
     def run(frames):
         for pdf in frames:
             for row in pdf.itertuples():
                 n = len(row.assets)
                 fit = {k: np.array(getattr(row, k)) for k in ("alpha", "beta", "next_variance", "target")} | {k: np.array(getattr(row, k)).reshape(n, n) for k in ("base", "next_q")} | {"a": row.a, "b": row.b}
-                x = D.simulate_dcc(fit, np.array(row.mean), row.df, min(chunk, paths - row.chunk * chunk), horizon, 1000 + row.chunk)
-                yield pd.DataFrame({"scenario": np.repeat(np.arange(len(x)) + row.chunk * chunk, n), "asset": list(row.assets) * len(x), "x": x.ravel(), "centre": np.tile((1 + np.array(row.mean)) ** horizon - 1, len(x))})
+                x = D.simulate_dcc(fit, np.array(row.mean), row.df, min(CHUNK, DRAWS - row.chunk * CHUNK), HORIZON, 1000 * seed + row.chunk)
+                yield pd.DataFrame({"scenario": np.repeat(np.arange(len(x)) + row.chunk * CHUNK, n), "asset": list(row.assets) * len(x), "x": x.ravel()})
+
+    x = cut(_chunks(state).mapInPandas(run, "scenario long, asset string, x double"))
+    # a grouped mean, so that no asset's paths meet in one task
+    shift = x.groupBy("asset").agg(F.avg("x").alias("own")).join(centre, "asset").select("asset", (F.col("mean") - F.col("own")).alias("shift"))
+    return x.join(shift, "asset").select("scenario", "asset", (F.col("x") + F.col("shift")).alias("x"))
 
-    state = _dcc(spark, d).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(chunks, "chunk")
-    x = state.mapInPandas(run, "scenario long, asset string, x double, centre double")
-    # two passes over seeded draws: a grouped mean and a small broadcast, so that no asset's paths meet in one task
-    shift = x.groupBy("asset").agg((F.max("centre") - F.avg("x")).alias("shift"))
-    return x.join(F.broadcast(shift), "asset").select("scenario", "asset", (F.col("x") + F.col("shift")).alias("x"))
 
+def _chunks(state: DataFrame) -> DataFrame:
+    n = -(-DRAWS // CHUNK)
+    return state.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(n, "chunk")
 
-def _starts(spark, d, n: int):
+
+def _centre(scen: DataFrame) -> DataFrame:
+    """(asset, mean) of the weighted windows."""
+    return scen.where("model = 'ewma'").groupBy("asset").agg(F.sum(F.col("p") * F.col("x")).alias("mean"))
+
+
+@query("dcc_simulation")
+def dcc_simulation(spark, d):
+    r = _rets(spark, d)
+    return _simulated(_dcc(spark, r), _centre(_sets(P.terminal(r))), SEED)
+
+
+def _targets(spark, scen: DataFrame, bounds: tuple[float, float] = (4.5, 60.0)) -> DataFrame:
+    """One row: assets, mean, covariance, and the tails' degrees of freedom of the weighted windows."""
     ship(spark)
-    return _scen(spark, d).where("model = 'ewma'").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
+    def run(pdf):
+        x, p = _wide(pdf)
+        mean, cov = N.weighted_moments(x.to_numpy(), p)
+        fit = N.fit_df(x.to_numpy(), p, *bounds)
+        return pd.DataFrame([(list(x.columns), mean, cov.ravel(), fit["df"], fit["loglik"], fit["gain"], fit["at_bound"], float(1 / (p @ p)))], columns=["assets", "mean", "cov", "df", "loglik", "gain", "at_bound", "ess"])
 
-@query("moment_match_bcd")
-def moment_match_bcd(spark, d, scenarios: int = 100, starts: int = 5):
-    """Best of five starts by G: (start, f, g, rounds, n_eff)."""
+    return scen.where("model = 'ewma'").groupBy("model").applyInPandas(run, "assets array<string>, mean array<double>, cov array<double>, df double, loglik double, gain double, at_bound boolean, ess double")
+
+
+def _elliptical(state: DataFrame, seed: int, tails: bool) -> DataFrame:
+    """(scenario, asset, x): draws of the mean and covariance, Gaussian or of the state's degrees of freedom."""
+
+    def run(frames):
+        for pdf in frames:
+            for row in pdf.itertuples():
+                n = len(row.assets)
+                mean, cov, size = np.array(row.mean), np.array(row.cov).reshape(n, n), min(CHUNK, DRAWS - row.chunk * CHUNK)
+                own = 1000 * seed + row.chunk
+                x = N.student_t(mean, cov, row.df, size, own) if tails else N.gaussian(mean, cov, size, own)
+                yield pd.DataFrame({"scenario": np.repeat(np.arange(size) + row.chunk * CHUNK, n), "asset": list(row.assets) * size, "x": x.ravel()})
+
+    return _chunks(state).mapInPandas(run, "scenario long, asset string, x double")
+
+
+def registry(spark, rets: DataFrame, scen: DataFrame, settings: Settings | None = None) -> dict:
+    """Scenario sets by name, each a function of its seed: (scenario, asset, p, x)."""
+    settings = settings or Settings()
+    state = cut(_targets(spark, scen, settings.df_bounds))
+    df, _ = G.resolved_df(settings.df_mode, settings.df, lambda: state.select("df", "loglik", "gain", "at_bound", "ess").first().asDict())
+    state = state.withColumn("df", F.lit(df))
+    even = lambda df: df.withColumn("p", F.lit(1.0 / DRAWS))
+
+    def historical(_seed):
+        own = scen.where("model = 'ewma'")
+        nth = own.select("date").distinct().withColumn("scenario", F.row_number().over(Window.orderBy("date")).cast("long") - 1)  # as many rows as windows
+        return own.join(nth, "date").select("scenario", "asset", "x", "p")
+
+    return {
+        "gaussian_terminal": lambda seed: even(_elliptical(state, seed, False)),
+        "student_t_terminal": lambda seed: even(_elliptical(state, seed, True)),
+        "historical_weighted": historical,
+        "dcc_garch": lambda seed: even(_simulated(_dcc(spark, rets), _centre(scen), seed)),
+    }
+
+
+def scenario_sets(spark, d, include=("gaussian_terminal", "student_t_terminal", "historical_weighted", "dcc_garch"), seed: int = 42) -> dict[str, DataFrame]:
+    r = _rets(spark, d)
+    return G.dispatch(registry(spark, r, _sets(P.terminal(r))), list(include), seed)
+
+
+@query("gaussian_scenarios")
+def gaussian_scenarios(spark, d):
+    return scenario_sets(spark, d, ["gaussian_terminal"])["gaussian_terminal"].select("scenario", "asset", "p", "x")
+
+
+@query("student_t_scenarios")
+def student_t_scenarios(spark, d):
+    return scenario_sets(spark, d, ["student_t_terminal"])["student_t_terminal"].select("scenario", "asset", "p", "x")
+
+
+@query("scenario_dispatch")
+def scenario_dispatch(spark, d):
+    """Every model's set in one table."""
+    out = None
+    for name, s in scenario_sets(spark, d).items():
+        s = s.select(F.lit(name).alias("model"), "scenario", "asset", "p", "x")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("student_t_df")
+def student_t_df(spark, d):
+    return _targets(spark, _scen(spark, d)).select("df", "loglik", "gain", "at_bound", "ess")
+
+
+@query("garch_fit")
+def garch_fit(spark, d):
+    ship(spark)
+    return _garch(_rets(spark, d).where("segment = 'is'").select("date", "asset", "ret")).select("asset", "alpha", "beta", "next_variance")
+
+
+# moment matching
+
+
+def matched(spark, scen: DataFrame, scenarios: int, starts: int, rounds: int, p_step: str = "mirror", x_step: str = "joint") -> DataFrame:
+    """One row a start: how it ended, and its X (by rows) and p."""
+    ship(spark)
 
     def run(pdf):
         x, p = _wide(pdf)
         start, (m, cov) = int(pdf["start"].iloc[0]), _moments_of(x.to_numpy(), p)
-        first = N.gaussian(m[0], cov, scenarios, 100 + start)
-        _, q, f, g, rounds = D.match_moments(D.MomentTarget(m, cov), first)
-        return pd.DataFrame([(start, f, g, rounds, float(1 / (q @ q)))], columns=["start", "f", "g", "rounds", "n_eff"])
+        rng = np.random.default_rng(123 + 1000 * start)
+        q = rng.exponential(1.0, scenarios)
+        out = D.Matching(D.MomentTarget(m, cov), 1e-5, p_step, x_step).run(N.gaussian(m[0], cov, scenarios, 123 + 1000 * start), q / q.sum(), rounds, 2, 3, 1e-5)
+        out |= {"start": start, "assets": list(x.columns), "n_eff": float(1 / (out["p"] @ out["p"])), "x": out["x"].ravel()}
+        return pd.DataFrame([{c: out[c] for c in names}])
+
+    schema = "start int, f double, g double, rounds int, converged boolean, stationary boolean, x_residual double, p_residual double, n_eff double, assets array<string>, path array<double>, p array<double>, x array<double>"
+    names = [c.strip().split()[0] for c in schema.split(", ")]
+    own = scen.where("model = 'ewma'").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+    out = cut(own.groupBy("start").applyInPandas(run, schema))
+    out = out.withColumn("eligible", F.col("converged") & F.col("stationary"))
+    rank = F.row_number().over(Window.orderBy(F.desc("eligible"), "g", "start"))  # a row a start
+    return out.withColumn("chosen", rank == 1)
+
+
+def chosen(found: DataFrame, strict: bool = False) -> DataFrame:
+    """(scenario, asset, p, x) of the start of least G among those converged and stationary; of all where there is none, unless strict."""
+    if strict and found.where("eligible").isEmpty():
+        raise ArithmeticError("no start converged to a stationary point")
+    rows = found.where("chosen").select("assets", "x", F.posexplode("p").alias("scenario", "p"))
+    rows = rows.select("scenario", "p", "x", "assets", F.posexplode("assets").alias("k", "asset"))
+    at = F.col("scenario") * F.size("assets") + F.col("k") + 1
+    return rows.select("scenario", "asset", "p", F.element_at("x", at).alias("x"))
 
-    return _starts(spark, d, starts).groupBy("start").applyInPandas(run, "start int, f double, g double, rounds int, n_eff double").orderBy("g", "start").limit(1)
 
+@query("moment_match_bcd")
+def moment_match_bcd(spark, d):
+    return chosen(matched(spark, _scen(spark, d), MATCHED, 5, 150))
+
+
+@query("moment_match_starts")
+def moment_match_starts(spark, d):
+    """How every start ended, by G, with the one chosen."""
+    return matched(spark, _scen(spark, d), MATCHED, 5, 150).select("start", "f", "g", "rounds", "converged", "stationary", "x_residual", "p_residual", "eligible", "chosen", "n_eff")
+
+
+@query("moment_match_steps")
+def moment_match_steps(spark, d):
+    """The alternative steps on a smaller problem: projected p steps, x by columns in sequence and from one snapshot."""
+    out, scen = None, _scen(spark, d)
+    for p_step, x_step in (("mirror", "joint"), ("projected", "joint"), ("mirror", "sequential"), ("mirror", "jacobi")):
+        s = matched(spark, scen, 60, 2, 20, p_step, x_step).select(F.lit(p_step).alias("p_step"), F.lit(x_step).alias("x_step"), "start", "f", "g", "rounds")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("moment_match_histories")
+def moment_match_histories(spark, d):
+    """G of every start after every round, shorter histories padded with their last value; whether it ever rose."""
+    s = matched(spark, _scen(spark, d), 60, 3, 40).select("start", "path")
+    longest = F.max(F.size("path")).over(Window.partitionBy())  # a row a start
+    rows = s.withColumn("n", longest).select("start", "path", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("round"))
+    rows = rows.select("start", "round", F.coalesce(F.get("path", F.col("round")), F.element_at("path", -1)).alias("g"))
+    step = F.col("g") - F.lag("g").over(Window.partitionBy("start").orderBy("round"))
+    return rows.withColumn("falls", F.coalesce(step <= 1e-9, F.lit(True)))
+
+
+# portfolios
+
+
+def _per_model(spark, scen: DataFrame, fn, schema: str) -> DataFrame:
+    ship(spark)
+
+    def run(pdf):
+        x, p = _wide(pdf)
+        return pd.DataFrame([(pdf["model"].iloc[0], *row) for row in fn(list(x.columns), x.to_numpy(), p)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return scen.groupBy("model").applyInPandas(run, schema)
+
+
+_WEIGHTS = "model string, asset string, weight double"
+
+
+def _hrp(assets, x, p):
+    return list(zip(assets, N.hierarchical_risk_parity(N.weighted_moments(x, p)[1]).tolist(), strict=True))
 
-@query("max_sharpe")
-def max_sharpe(spark, d, starts: int = 20):
-    """Weights of the best of 20 starts (equal weights and seeded draws from the simplex)."""
+
+def _calm(cap: float):
+    return lambda assets, x, p: list(zip(assets, N.min_variance(N.weighted_moments(x, p)[1], ridge=0.01, cap=cap).tolist(), strict=True))
+
+
+def _tail(alpha: float, cap: float):
+    def fn(assets, x, p):
+        w, loss = D.min_cvar(x, p, alpha, cap)
+        return [(a, float(v), loss) for a, v in zip(assets, w, strict=True)]
+
+    return fn
+
+
+def _sharpest(spark, scen: DataFrame, cap: float, starts: int = 20) -> DataFrame:
+    """Weights of the best of the starts (equal weights and seeded draws from the simplex) on one scenario set."""
+    ship(spark)
 
     def run(pdf):
         x, p = _wide(pdf)
         start, (mean, cov) = int(pdf["start"].iloc[0]), N.weighted_moments(x.to_numpy(), p)
         n = len(mean)
-        w, loss = D.max_sharpe(mean, cov, np.random.default_rng(start).dirichlet(np.ones(n)) if start else np.full(n, 1 / n), cap=0.4)
+        w, loss = D.max_sharpe(mean, cov, np.random.default_rng(start).dirichlet(np.ones(n)) if start else np.full(n, 1 / n), cap=cap)
         return pd.DataFrame([(start, loss, list(x.columns), w)], columns=["start", "loss", "assets", "weights"])
 
-    found = _starts(spark, d, starts).groupBy("start").applyInPandas(run, "start int, loss double, assets array<string>, weights array<double>")
+    own = scen.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+    found = own.groupBy("start").applyInPandas(run, "start int, loss double, assets array<string>, weights array<double>")
     best = found.agg(F.min_by(F.arrays_zip("assets", "weights"), F.struct("loss", "start")).alias("w"))
     return best.select(F.explode("w").alias("e")).select(F.col("e.assets").alias("asset"), F.col("e.weights").alias("weight"))
 
 
-@query("min_cvar")
-def min_cvar(spark, d):
-    ship(spark)
+def optimised(spark, scen: DataFrame, alpha: float, cap: float) -> dict[str, DataFrame]:
+    """(asset, weight) of every optimised portfolio on one scenario set."""
+    return {
+        "HRP": _per_model(spark, scen, _hrp, _WEIGHTS),
+        "MinVariance": _per_model(spark, scen, _calm(cap), _WEIGHTS),
+        "MinTailLoss": _per_model(spark, scen, _tail(alpha, cap), _WEIGHTS + ", tail_loss double"),
+        "MaxSharpe": _sharpest(spark, scen, cap),
+    }
 
-    def run(pdf):
-        x, p = _wide(pdf)
-        w, loss = D.min_cvar(x.to_numpy(), p, cap=0.4)
-        return pd.DataFrame({"model": pdf["model"].iloc[0], "asset": list(x.columns), "weight": w, "tail_loss": loss})
 
-    return _scen(spark, d).groupBy("model").applyInPandas(run, "model string, asset string, weight double, tail_loss double")
+@query("hrp")
+def hrp(spark, d):
+    return _per_model(spark, _scen(spark, d), _hrp, _WEIGHTS)
 
 
-@query("sharpe_diff_bootstrap")
-def sharpe_diff_bootstrap(spark, d):
-    """Inverse variance against equal weights, both walked forward."""
+@query("min_variance")
+def min_variance(spark, d):
+    return _per_model(spark, _scen(spark, d), _calm(CAP), _WEIGHTS)
+
+
+@query("max_sharpe")
+def max_sharpe(spark, d):
+    return _sharpest(spark, _scen(spark, d).where("model = 'ewma'"), CAP)
+
+
+@query("min_cvar")
+def min_cvar(spark, d):
+    return _per_model(spark, _scen(spark, d), _tail(ALPHA, CAP), _WEIGHTS + ", tail_loss double")
+
+
+@query("walk_forward_hrp")
+def walk_forward_hrp(spark, d):
+    """Hierarchical weights at every rebalancing, from the covariance of all earlier rows."""
     ship(spark)
+    r = _rets(spark, d)
+    marks = B.calendar(r.where("segment = 'oos'")).select("rebalance_date")
+    # few rebalancings: each earlier row is read once for each
+    train = r.join(F.broadcast(marks), F.col("date") < F.col("rebalance_date"))
+    even = train.select("rebalance_date", "date", "asset", F.col("ret").alias("x"), (1.0 / F.count(F.lit(1)).over(Window.partitionBy("rebalance_date", "asset"))).alias("p"))
+    cov = M.covariance(even, ["rebalance_date"])
 
     def run(pdf):
-        w = pdf.pivot(index="date", columns="portfolio", values="wealth").sort_index()
-        r = (w / w.shift(1).fillna(1.0) - 1).to_numpy()
-        names = list(w.columns)
-        return pd.DataFrame([D.sharpe_difference(r[:, names.index("inverse_variance")], r[:, names.index("equal")], 52.0, 2000, 7)], columns=["difference", "ci_low", "ci_high", "pvalue"])
+        names = sorted(set(pdf["asset_i"]))
+        at = {a: i for i, a in enumerate(names)}
+        c = np.zeros((len(names), len(names)))
+        for i, j, v in zip(pdf["asset_i"], pdf["asset_j"], pdf["value"], strict=True):
+            c[at[i], at[j]] = c[at[j], at[i]] = v
+        return pd.DataFrame({"rebalance_date": pdf["rebalance_date"].iloc[0], "asset": names, "weight": N.hierarchical_risk_parity(c)})
 
-    return _ledger(spark, d).select("portfolio", "date", "wealth").groupBy(F.lit(1).alias("pair")).applyInPandas(run, "difference double, ci_low double, ci_high double, pvalue double")
+    return cov.groupBy("rebalance_date").applyInPandas(run, "rebalance_date date, asset string, weight double")
+
+
+# inference
 
 
 @query("confidence_set")
 def confidence_set(spark, d, alpha: float = 0.1):
+    """For every metric the order in which models leave, their p-values, and the set; the block is that of the metric's last contrast."""
+    from ..operators import scoring as S
+
     ship(spark)
+    long = cut(S.long_scores(S.observation_scores(*_both(spark, d))))
+    others = [r["model"] for r in long.select("model").distinct().collect() if r["model"] != "ewma"]
+    a = long.where("model = 'ewma'").select("metric", "date", F.col("score").alias("a"))
+    diff = long.where("model <> 'ewma'").join(a, ["metric", "date"]).select("metric", F.col("model").alias("benchmark"), "date", (F.col("a") - F.col("score")).alias("diff"))
+    last = I.resolved_blocks(diff, ["metric", "benchmark"]).where(F.col("benchmark") == max(others)).select("metric", "block")
+    losses = long.select("metric", "model", "date", F.col("score").alias("diff"))
+    blocks = losses.select("metric", "model").distinct().join(last, "metric")
+    means = I.block_means(losses, ["metric", "model"], cut(blocks), SAMPLES, SEED, stream=["metric"])
+    seen = losses.groupBy("metric", "model").agg(F.avg("diff").alias("seen"))
 
     def run(pdf):
-        x = pdf.pivot(index="date", columns="model", values="score").sort_index()
-        out = D.confidence_set(x.to_numpy(), 4, 2000, 7)
-        return pd.DataFrame([(x.columns[c], step, p, p > alpha) for c, step, p in out], columns=["model", "left_at", "pvalue", "in_set"])
+        x = pdf.pivot(index="sample", columns="model", values="mean").sort_index()
+        own = pdf.groupby("model")["seen"].first().loc[x.columns].to_numpy()
+        return pd.DataFrame([(pdf["metric"].iloc[0], x.columns[c], step, p, t, p > alpha) for c, step, p, t in D.eliminate(own, x.to_numpy())], columns=["metric", "model", "left_at", "pvalue", "statistic", "in_set"])
 
-    return _scores(spark, d).select("date", "model", "score").groupBy(F.lit(1).alias("metric")).applyInPandas(run, "model string, left_at int, pvalue double, in_set boolean")
+    # samples x models rows of a metric
+    return means.join(seen, ["metric", "model"]).groupBy("metric").applyInPandas(run, "metric string, model string, left_at int, pvalue double, statistic double, in_set boolean")
 
 
-@query("dm_pvalue")
-def dm_pvalue(spark, d):
-    """Two-sided t p-value (n - 1 degrees) of the corrected statistic; null where it is undefined."""
+@query("ks_pvalues")
+def ks_pvalues(spark, d):
+    """Exact p-values of the uniformity test of every asset's transforms, Holm-adjusted within the model."""
     ship(spark)
+    w = Window.partitionBy("model", "asset")
+    u = _pit(spark, d).withColumn("rn", F.row_number().over(w.orderBy("u", "date"))).withColumn("n", F.count(F.lit(1)).over(w))
+    ks = u.groupBy("model", "asset").agg(F.max(F.greatest(F.col("rn") / F.col("n") - F.col("u"), F.col("u") - (F.col("rn") - 1) / F.col("n"))).alias("ks"), F.max("n").alias("n"))
 
     def run(frames):
         for pdf in frames:
-            yield pd.DataFrame({"benchmark": pdf["benchmark"], "pvalue": [None if pd.isna(t) or n < 2 else D.t_two_sided(t, n - 1) for t, n in zip(pdf["dm"], pdf["n"], strict=True)]})
+            yield pdf.assign(pvalue=[D.kolmogorov_tail(k, int(n)) for k, n in zip(pdf["ks"], pdf["n"], strict=True)])
 
-    return I.diebold_mariano(_nw(spark, d)).select("benchmark", "dm", "n").mapInPandas(run, "benchmark string, pvalue double")
+    out = I.holm(ks.mapInPandas(run, "model string, asset string, ks double, n long, pvalue double"), ["model"], ["asset"])
+    return out.withColumn("rejects", F.col("holm") < 0.05)
