@@ -30,8 +30,9 @@ comes once from each batch. Units of a gram that a batch holds in many extents a
 dealt by their extents, and told open without being asked about.
 
 Identity: a string is known by two identifiers, of its first q bytes and of its
-last q bytes (and those between, for small q), each from 64 bits of hash; unit
-extents by 48 bits of hash beside the 32 and the partition of their gram.
+last q bytes (and those between, for small q), each from 48 bits of hash and the
+partition that sorts them, which other bits choose; unit extents by 48 bits of hash
+beside the 32 and the partition of their gram.
 
 Defined cases: null text is empty; texts shorter than width lose nothing; rows
 of equal doc_id do not affect one another; rows without a doc_id lose nothing
@@ -359,23 +360,26 @@ def needed(starts: np.ndarray, steps: list[int]) -> list[np.ndarray]:
 class State:
     """Open regions of a batch of texts: rows (doc_id, print), regions (row, begin, length), starts, and the numbers of identifiers."""
 
-    SHAPES = (("doc", "<i8"), ("print", "<u8"), ("row", "<u4"), ("begin", "<u8"), ("length", "<u8"), ("starts", "u1"), ("number", "<u4"))
+    SHAPES = (("doc", "<i8"), ("print", "<u8"), ("row", "<u4"), ("begin", "<u8"), ("length", "<u8"), ("starts", "u1"))
 
     def __init__(self, **arrays):
+        """number counts identifiers from 1; 0 is a place without one."""
         self.__dict__.update(arrays)
 
     def pack(self) -> bytes:
         raw = [np.ascontiguousarray(getattr(self, name).astype(kind)).tobytes() for name, kind in self.SHAPES]
+        width = 3 if int(self.number.max(initial=0)) < 1 << 24 else 4
+        raw.append(bytes([width]) + K.planes(self.number.astype(np.uint64), width))
         return struct.pack(f"<{len(raw)}Q", *map(len, raw)) + b"".join(raw)
 
     @classmethod
     def unpack(cls, blob: bytes) -> State:
-        n = len(cls.SHAPES)
+        n = len(cls.SHAPES) + 1
         sizes, at, out = struct.unpack_from(f"<{n}Q", blob), 8 * n, {}
-        for (name, kind), size in zip(cls.SHAPES, sizes, strict=True):
+        for (name, kind), size in zip(cls.SHAPES, sizes[:-1], strict=True):
             out[name] = np.frombuffer(blob, kind, size // np.dtype(kind).itemsize, at)
             at += size
-        return cls(**out)
+        return cls(**out, number=K.unplanes(blob[at + 1 :], blob[at]).astype(np.int64))
 
     def mask(self) -> np.ndarray:
         return np.unpackbits(self.starts, count=int(self.length.sum())).astype(bool)
@@ -391,6 +395,9 @@ def _posted(part_keys, flush, first, second, docs, last):
     A posting says whether two documents of the batch hold the key; in the last round, the smallest that does.
     """
     n = len(part_keys)
+    if second is None:
+        bits = key_bits(n)
+        first = ((first >> K.U64(32)) * K.U64(n) >> K.U64(32) << K.U64(bits)) | (first & K.U64((1 << bits) - 1))
     order = np.argsort(first) if second is None else np.lexsort((second, first))
     f, d = first[order], docs[order]
     s = None if second is None else second[order]
@@ -401,22 +408,39 @@ def _posted(part_keys, flush, first, second, docs, last):
     at = np.flatnonzero(head)
     low = np.minimum.reduceat(d, at) if len(at) else d
     several = low != np.maximum.reduceat(d, at) if len(at) else np.zeros(0, bool)
-    part = _deal_by_id(K.mix(f[at]) if s is None else K.mix(K.mix(f[at]) ^ s[at]), n)
+    part = (f[at] >> K.U64(bits)).astype(np.int64) if s is None else _deal_by_id(K.mix(K.mix(f[at]) ^ s[at]), n)
     by = np.argsort(part, kind="stable")  # numbers go by part, and by key within
     place = np.empty(len(by), np.int64)
-    place[by] = np.arange(len(by))
+    place[by] = np.arange(1, len(by) + 1)
     number = np.empty(len(order), np.int64)
     number[order] = place[np.cumsum(head) - 1]
     rows, cut_at = [], np.searchsorted(part[by], np.arange(n + 1))
     for k in np.flatnonzero(np.diff(cut_at)):
         i = by[cut_at[k] : cut_at[k + 1]]
-        a = K.planes(np.diff(f[at[i]], prepend=K.U64(0)), 8)
+        own = f[at[i]] & K.U64((1 << bits) - 1) if s is None else f[at[i]]
+        a = K.planes(np.diff(own, prepend=K.U64(0)), 6 if s is None else 8)
         b = None if s is None else K.planes(s[at[i]], 8)
-        c = low[i].tobytes() if last else np.packbits(several[i]).tobytes()
+        if last:
+            ids, index = np.unique(low[i], return_inverse=True)
+            c = struct.pack("<I", len(ids)) + ids.tobytes() + index.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32).tobytes()
+        else:
+            c = np.packbits(several[i]).tobytes()
         rows.append((int(part_keys[k]), POSTING, flush, int(k), a, b, c))
     return rows, number
 
 
+def key_bits(n: int) -> int:
+    """Bits of a gram's hash beside its partition, of n."""
+    return min(48, 64 - n.bit_length())
+
+
+def _smallest(c: bytes, n: int) -> np.ndarray:
+    """Documents of the n postings of a last round."""
+    (k,) = struct.unpack_from("<I", c)
+    ids = np.frombuffer(c, np.int64, k, 4)
+    return ids[np.frombuffer(c, np.uint16 if len(c) == 4 + 8 * k + 2 * n else np.uint32, n, 4 + 8 * k)]
+
+
 def _round_batch(rows):
     c = list(zip(*rows, strict=True)) if rows else [[]] * 7
     types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -522,10 +546,13 @@ def _buckets(part_keys, last):
         first, second, third, source, rows = [], [], [], [], []
         for batch in batches:
             for part, _, flush, sub, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                k = np.cumsum(K.unplanes(a, 8), dtype=np.uint64)
+                if b is None:  # the partition completes the key
+                    k = np.cumsum(K.unplanes(a, 6), dtype=np.uint64) | (K.U64(place_of[part]) << K.U64(key_bits(len(part_keys))))
+                else:
+                    k = np.cumsum(K.unplanes(a, 8), dtype=np.uint64)
                 first.append(k)
                 second.append(np.zeros(len(k), np.uint64) if b is None else K.unplanes(b, 8))
-                third.append(np.frombuffer(c, np.int64) if last else np.unpackbits(np.frombuffer(c, np.uint8), count=len(k)).astype(np.int64))
+                third.append(_smallest(c, len(k)) if last else np.unpackbits(np.frombuffer(c, np.uint8), count=len(k)).astype(np.int64))
                 source.append(len(k))
                 rows.append((flush, sub, part))
         if not rows:
@@ -573,8 +600,8 @@ def _advance(part_keys, width, gram, k):
             bits = [np.unpackbits(np.frombuffer(a, np.uint8), count=struct.unpack("<Q", b)[0]) for a, b in answers]
             smaller = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)
             docs = state.docs()[mask]
-            live = state.number != NONE
-            number = state.number.astype(np.int64)
+            live = state.number > 0
+            number = state.number - 1
             # within the batch the smallest document of a bucket is known here
             low = np.full(len(smaller), np.iinfo(np.int64).max)
             np.minimum.at(low, number[live], docs[live])
@@ -593,8 +620,8 @@ def _advance(part_keys, width, gram, k):
         ids = np.concatenate([np.zeros(0, np.uint64), *(K.unplanes(a, 8) for a, _ in answers)])
         here = np.zeros(len(mask), np.uint64)
         places = np.flatnonzero(need[k])
-        live = state.number != NONE
-        here[places[live]] = ids[state.number[live]]
+        live = state.number > 0
+        here[places[live]] = ids[state.number[live] - 1]
         offset = steps[k + 1] - steps[k]
         ahead = np.zeros(len(mask), np.uint64)
         ahead[: len(mask) - offset] = here[offset:]
@@ -602,7 +629,7 @@ def _advance(part_keys, width, gram, k):
         one, two = here[ask], ahead[ask]
         both = (one > 0) & (two > 0)  # without an identifier on either side, no other document can have it
         rows, own = _posted(part_keys, flush, one[both], two[both], state.docs()[ask][both], k + 1 == len(steps) - 1)
-        number = np.full(len(one), NONE, np.uint32)
+        number = np.zeros(len(one), np.int64)
         number[both] = own
         rows.append((int(part_keys[flush % len(part_keys)]), STATE, flush, 0, State(**(state.__dict__ | {"number": number})).pack(), None, None))
         yield from _round_batches(rows)
@@ -626,9 +653,6 @@ def _advance(part_keys, width, gram, k):
     return run
 
 
-NONE = 0xFFFFFFFF
-
-
 def _cover(starts, n, width):
     """Bytes covered by the width-byte strings at the starts (within their texts)."""
     step = np.bincount(starts, minlength=n + width + 1) - np.bincount(starts + width, minlength=n + width + 1)
