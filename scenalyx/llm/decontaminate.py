@@ -11,8 +11,8 @@ set that documents scan in two steps:
 * around a probe that meets, the windows themselves are looked up and compared
   word by word, and the words inside them are hit.
 
-The set is broadcast while the benchmark has at most ``broadcast_windows``
-windows (counted first; about 200 bytes each), beyond that the probes are joined
+The set is broadcast while windows, the items that have them and the probes' runs
+take at most ``broadcast_bytes`` (added up first), beyond that the probes are joined
 by a shuffle on their hash. Hits are combined per (document, position) before
 they are shuffled; a position has at most one window per length, so no group
 grows with the corpus.
@@ -102,14 +102,16 @@ def scan(source: DataFrame, windows: DataFrame, lengths: list[int], small: bool)
     return lines.unionByName(back.select("doc_id", "row", "n_words", "p.k", first.alias("at"), F.slice("words", first, F.col("p.q") - first + F.col("p.k")).alias("context")))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_windows: int = 100_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash, spans of every row of docs.
 
     ``spans`` lists the hit runs of words as (first word, number of words), from 1.
     """
     windows = cut(item_windows(items, n))
-    stats = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set("k").alias("lengths")).first()
-    small = stats["n"] <= broadcast_windows
+    size = F.octet_length("window") + F.octet_length(F.array_join("items", ",")) + 64
+    runs = 40 * (F.col("k") - F.floor((F.col("k") + 1) / 2) + 1)
+    stats = windows.agg(F.coalesce(F.sum(size + runs), F.lit(0)).alias("bytes"), F.collect_set("k").alias("lengths")).first()
+    small = stats["bytes"] <= broadcast_bytes
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
     met = cut(scan(source, windows, sorted(stats["lengths"]), small))
     count = met.where("k = 0").select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"))

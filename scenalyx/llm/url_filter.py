@@ -1,10 +1,10 @@
 """URL filters: rules first, then logistic regression on hashed character n-grams.
 
 Everything that touches the corpus is a map of DataFrame functions, without
-Python; only the sample shuffles, as it takes each ruled url once. Only the small labelled table reaches the driver (at most
-``max_labelled`` rows, a documented bound), where plain full-batch gradient
-descent fits the weights; these go back into the plan as one array literal of
-``2 ** bits`` numbers.
+Python; only the sample shuffles, as it takes each labelled url once, those of
+smallest hash. Only that small table reaches the driver (at most ``max_labelled``
+rows, a documented bound), where plain full-batch gradient descent fits the
+weights; these go back into the plan as one array literal of ``2 ** bits`` numbers.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; path: then up to ``?``, ``#`` or the end. A null url or one without
@@ -105,7 +105,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, n: int = 3,
 
     labelled (url, block) holds the training rows; without it, a sample of what the rules decide.
     """
-    labelled = labelled_by_rules(pages, max_labelled) if labelled is None else labelled.select("url", F.col("block").cast("int").alias("block")).where("block is not null").limit(max_labelled)
+    labelled = labelled_by_rules(pages, max_labelled) if labelled is None else labelled.select("url", F.col("block").cast("int").alias("block")).where("block is not null").distinct().orderBy(F.xxhash64("url"), "url", "block").limit(max_labelled)
     host, path = parts(F.col("url"))
     train = labelled.select(ngram_slots(host, path, n, bits).alias("slots"), "block").collect()
     bias, weights = fit([(r["slots"], r["block"]) for r in train], bits)

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scenalyx.llm import bpe, url_filter
@@ -216,7 +217,7 @@ def test_bpe_fuzz(library):
         assert ids[at[k] : at[k + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
+@pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_decontaminate(spark, docs, empty, limit):
     item_rows = [(1, " ".join(words(BASE)[5:30])), (2, "Short text"), (3, None), (4, ".."), (5, "la la"), (6, " ".join(words(BASE)[20:31]))]
     items = spark.createDataFrame(item_rows, "item_id long, text string")
@@ -237,11 +238,11 @@ def test_decontaminate(spark, docs, empty, limit):
                     hit |= set(range(a, a + k))
                     found |= win[tuple(w[a : a + k])]
         want[(d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))] += 1
-    got = decontaminate(docs, items, broadcast_windows=limit).collect()
+    got = decontaminate(docs, items, broadcast_bytes=limit).collect()
     assert collections.Counter(tuple(r)[:6] for r in got) == want
     assert all(sum(s.n for s in r.spans) == r.n_hit for r in got)
-    assert decontaminate(empty, items, broadcast_windows=limit).count() == 0
-    assert {r.contaminated for r in decontaminate(docs, items.where("false"), broadcast_windows=limit).collect()} == {False}
+    assert decontaminate(empty, items, broadcast_bytes=limit).count() == 0
+    assert {r.contaminated for r in decontaminate(docs, items.where("false"), broadcast_bytes=limit).collect()} == {False}
 
 
 def brute_dedup(rows, width=50):
@@ -298,8 +299,6 @@ def test_suffix_dedup_long_texts(spark):
 
 
 def test_homes_are_the_jvms(spark):
-    from pyspark.sql import functions as F
-
     ids = [0, 1, -1, 200, 400, 2**63 - 1, -(2**63), 123456789012]
     rows = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", suffix_dedup_module.home_of(F.col("doc_id"), 200).alias("home")).collect()
     assert {r.doc_id: r.home for r in rows} == dict(zip(ids, suffix_dedup_module._home(ids, 200).tolist(), strict=True))
@@ -378,6 +377,8 @@ def test_quality_rules(docs, empty):
     assert collections.Counter(tuple(r)[:7] for r in got) == want
     assert all(r.kept == (not r.base_failed and r.host_rate <= 0.5) for r in got)
     assert quality_rules(empty).count() == 0
+    # as many hosts as no broadcast would take
+    assert collections.Counter(tuple(r) for r in quality_rules(docs, broadcast_hosts=0).collect()) == collections.Counter(tuple(r) for r in got)
 
 
 def test_sharding(docs, empty):
@@ -397,6 +398,21 @@ def test_sharding(docs, empty):
     assert max(size(even)) < max(size(one))
 
 
+def test_sharding_values(docs):
+    """Shards, grown shards, slots' bytes and places against plain Python: the virtual slot is XXH64 of the identifier."""
+    slot_of = lambda i: 42 if i is None else int(suffix_dedup_module._home([i], 4096)[0])
+    one, two = initial(4), grow(initial(4))
+    size = lambda t: len((t or "").encode()) + 1
+    load = collections.Counter()
+    for i, t in ROWS:
+        load[slot_of(i)] += size(t)
+    want = collections.Counter((i, size(t), one.shards[slot_of(i)], two.shards[slot_of(i)], slot_of(i), load[slot_of(i)], 1) for i, t in ROWS)
+    rows = shard(docs, 4).collect()
+    assert collections.Counter((r.doc_id, r.size, r.shard, r.grown_shard, r.virtual_slot, r.slot_bytes, r.map_version) for r in rows) == want
+    by = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.virtual_slot for r in by] == [s for k in range(4) for s in sorted(r.virtual_slot for r in rows if r.shard == k)]
+
+
 def test_sharding_map_store(spark, docs):
     store = MapStore(spark)
     rows = shard(docs, 4, store=store).collect()
@@ -444,9 +460,37 @@ def test_urls(spark):
     assert all((sum(weights[s] for s in slots) / len(slots) ** 0.5 + bias > 0) == bool(y) for slots, y in rows)
 
 
-def test_urls_sample_takes_each_url_once(spark):
-    from pyspark.sql import functions as F
+def test_urls_scores_and_held_out(spark):
+    """The model's scores against plain Python, and its verdicts on urls that it was not fitted on."""
+    import xxhash
+
+    rng = np.random.default_rng(12)
+    word = lambda pool: "".join(rng.choice([*pool], 6))
+    rows = [(f"http://{word('bcdfg')}.info/{word('casino')}", 1) for _ in range(150)] + [(f"http://{word('aeiou')}.info/{word('school')}", 0) for _ in range(150)]
+    order = rng.permutation(300)
+    fitted, held = [rows[i] for i in order[:200]], [rows[i] for i in order[200:]]
+    labelled = spark.createDataFrame(fitted + [(None, 1), ("http://x.info/y", None)], "url string, block int")
+    pages = spark.createDataFrame(list(enumerate(u for u, _ in held)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.block_score) for r in filter_urls(pages, labelled).collect()}
+
+    def slots(url):
+        out, rest = [], (url or "").partition("://")[2]
+        host, _, path = rest.partition("/")
+        for mark, part in (("h", f"^{host}$"), ("p", f"^/{path}$" if rest else "^$")):
+            for k in range(len(part) - 2):
+                seed = xxhash.xxh64_intdigest(mark.encode(), 42)
+                out.append(np.array([xxhash.xxh64_intdigest(part[k : k + 3].encode(), seed)], np.uint64).view(np.int64)[0] % 4096)
+        return out
+
+    bias, weights = url_filter.fit(sorted([(slots(u), b) for u, b in [*fitted, (None, 1)]], key=lambda x: str(x)), 12)
+    for k, (url, _) in enumerate(held):
+        s = slots(url)
+        z = sum(weights[i] for i in s) / len(s) ** 0.5 + bias
+        assert got[k][1] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+    assert sum((got[k][0] == "block") == bool(b) for k, (_, b) in enumerate(held)) / len(held) > 0.95
+
 
+def test_urls_sample_takes_each_url_once(spark):
     def pages(urls):
         return spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
 
@@ -503,6 +547,108 @@ def test_toxic_held_out(spark):
     assert sum(r.keep for r in clean) / len(clean) > 0.95
 
 
+def test_classifier_scores_by_hand(spark):
+    """Scores of the corpus against a plain reading of the models, text by text."""
+    from scenalyx.llm import cotraining as C
+    from scenalyx.llm import kernels as K
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    models = C.train(docs, labels, rounds=1)
+    some = docs.where("doc_id % 23 = 0")
+    got = {r.row.doc_id: r for r in C.score_rows(some, models).collect()}
+    sure = lambda z: 1 / (1 + np.exp(-z))
+    for r in some.collect():
+        raw = (r.text or "").encode()
+        tokens = [w for w in re.split(rb"[ \t-\r]+", raw) if w]
+        meta = lambda m: sum((m.meta[0][zlib.crc32((r.source or "").encode()) % C.SOURCES], m.meta[0][C.SOURCES + zlib.crc32((r.lang or "").encode()) % C.LANGS], m.meta[1]))  # noqa: B023, E731
+        size, words_ = max(len(raw), 1), max(len(tokens), 1)
+        low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in tokens]
+        count = lambda keep: sum(keep(c) for c in raw) / size  # noqa: B023, E731
+        numbers = np.array([
+            np.log1p(len(raw)), np.log1p(raw.count(b"\n")), count(lambda c: 65 <= c <= 90), count(lambda c: 33 <= c < 127 and not chr(c).isalnum()), count(lambda c: 48 <= c <= 57),
+            count(lambda c: c == 32 or 9 <= c <= 13), len(set(low)) / words_, size / words_ / 10, np.log1p(len(tokens)),
+        ])
+        odds = lambda m: meta(m) + np.clip((numbers - m.mean) / m.scale, -8, 8) @ m.meta[0][C.SOURCES + C.LANGS :]  # noqa: B023, E731
+        hashed = K.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        w, bias = models.quality.text
+        z = sum(w[int(h >> np.uint64(64 - C.BITS))] for h in hashed)
+        for k, t in enumerate(tokens):
+            z += w[(1 << C.BITS) + ((t[-1] * 257 + (t[-2] if len(t) > 1 else 0)) * 40503 & 0xFFFF) % (1 << 12)]
+            z += w[-1] * (k > 0 and low[k] == low[k - 1])
+        both = [np.clip(s * x + t, -30, 30) for x, (s, t) in zip((z / words_ + bias, odds(models.quality)), models.quality.calibration, strict=True)]
+        score = sure(sum(both) / 2) if tokens else 0.0
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-6)
+        assert got[r.doc_id].keep == (score >= 0.5 and bool(tokens) and got[r.doc_id].toxic_score < 0.5)
+
+
+def test_names_may_clash(spark, docs):
+    """Columns of any name in any table, and timestamps that keep their microseconds."""
+    import datetime
+
+    import corpus_pipeline as C
+
+    when = datetime.datetime(2024, 5, 6, 7, 8, 9, 123456)
+    names = ["__source", "__keep", "row", "keep", "score", "part", "kind", "a", "carry", "text_hash", "key", "id", "label"]
+    wide = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(n).alias(n) for n in names], F.lit(when).alias("at"))
+    labels = spark.createDataFrame([(i, i % 2, 0, "x", "y") for i in range(1, 14)], "doc_id long, quality int, toxic int, text string, held string")
+    labels.write.mode("overwrite").parquet("file:///tmp/clash-tables/labels.parquet")
+    items = spark.createDataFrame([(1, " ".join(words(BASE)[5:30]), 3, "z")], "item_id long, text string, k int, window string")
+    items.write.mode("overwrite").parquet("file:///tmp/clash-tables/benchmark.parquet")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, wide, "file:///tmp/clash-tables")
+        assert out.schema == wide.schema or [f.dataType for f in out.schema] == [f.dataType for f in wide.schema], name
+        rows = out.collect()
+        assert out.columns == wide.columns and all(r.at == when and r["__source"] == "__source" and r.key == "key" for r in rows), name
+    assert C.packed(spark, wide, "").count() >= len(ROWS)
+    assert op_rows(spark, wide, items, labels) == len(ROWS)
+
+
+def op_rows(spark, wide, items, labels):
+    """Rows of every operator on a table of clashing names: as many as it has, for those that give one a row."""
+    found = {
+        jaccard_components(wide).count(), token_counts(wide, PATH).count(), decontaminate(wide, items).count(), suffix_dedup(wide).count(), sst_round_trip(wide, PATH).count(),
+        quality_rules(wide).count(), shard(wide).count(), document_scores(wide, labels).count(),
+    }
+    assert len(found) == 1
+    return found.pop()
+
+
+def test_pipeline_edges(spark, docs):
+    """Every stage on no rows, null and repeated identifiers, null columns, and tables without the extra columns."""
+    import corpus_pipeline as C
+
+    d = "/root/testdata/sf0.001"
+    for _, stage in C.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), d).count() == 0
+    bare = spark.createDataFrame([(None, BASE), (None, BASE), (1, None), (1, "a few plain words about nothing in particular"), (2, "")], "doc_id long, text string")
+    assert C.near_duplicates(spark, bare, d).count() == 5
+    assert collections.Counter(tuple(r) for r in C.repeated_passages(spark, bare, d).collect()) == collections.Counter(tuple(r) for r in bare.collect())
+    assert C.decontaminated(spark, bare, d).count() == 5
+    assert C.quality(spark, bare, d).where("text is null or text = ''").count() == 0
+    assert C.packed(spark, bare, d).count() == 5 and C.packed(spark, bare.where("false"), d).count() == 0
+
+
+def test_long_texts_of_the_other_operators(spark):
+    """One text of megabytes, one word of megabytes, and a short one."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    long = " ".join(rng.choice(vocabulary, 300_000))
+    rows = [(1, long), (2, "y" * (1 << 20)), (3, "short text"), (4, long[: len(long) // 2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    lib = Tokenizer.from_file(PATH)
+    ids = {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    assert {r.doc_id: r.n_tokens for r in token_counts(df, PATH).collect()} == ids
+    assert {r.doc_id: r.n_tokens - 1 for r in sst_round_trip(df, PATH).collect()} == ids
+    pieces = pack(df, PATH).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n - 1 for r in pieces} == ids
+    item = spark.createDataFrame([(9, " ".join(long.split()[250_000:250_012]))], "item_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate(df, item).collect()} == {1: (300_000, 12), 2: (1, 0), 3: (2, 0), 4: (len(rows[3][1].split()), 0)}
+    assert {r.doc_id: r.n_words for r in quality_rules(df).collect()} == {1: 300_000, 2: 1, 3: 2, 4: len(rows[3][1].split())}
+    assert {r.doc_id: r.size for r in shard(df, 4).collect()} == {i: len(t) + 1 for i, t in rows}
+    assert document_scores(df, spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")).count() == 4
+
+
 def test_quality_classifier_edges(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = quality_scores(docs, none).collect()
