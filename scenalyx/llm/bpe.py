@@ -219,7 +219,7 @@ class ByteBpe:
 
     def _rows(self, data, begin, end):
         """Row of each pre-token in the worker's table of tokens."""
-        key = K.span_hash(K.prefix_hash(data), begin, end)
+        key = K.long_spans(K.span_hash(K.prefix_hash(data), begin, end), data, begin, end)
         distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, distinct)
         at[at == len(self.known)] = 0
