@@ -13,14 +13,14 @@ from .steps import Run
 
 
 def fold_excess(run: Run) -> DataFrame:
-    """Each fold's mean score over the best fold's, in basis points."""
-    f = run.read("rolling_scores").groupBy("fold").agg(F.avg("mean_crps").alias("score"))
-    return f.withColumn("excess_bp", (F.col("score") - F.min("score").over(Window.partitionBy())) * 1e4)  # a row a fold
+    """Each model's mean score over the best of the fold, in basis points."""
+    f = run.read("rolling_scores").groupBy("model", "fold").agg(F.avg("mean_crps").alias("score"))
+    return f.withColumn("excess_bp", (F.col("score") - F.min("score").over(Window.partitionBy("fold"))) * 1e4)
 
 
 def forest(run: Run) -> DataFrame:
     """Contrasts with their intervals, in the order of a forest plot."""
-    c = run.read("comparison").select("metric", "benchmark", "mean_diff", "ci_low", "ci_high", "holm", "ci_excludes_zero", "is_primary")
+    c = run.read("rolling_comparison").select("metric", "benchmark", "mean_diff", "ci_low", "ci_high", "holm", "ci_excludes_zero", "is_primary")
     return c.withColumn("place", F.row_number().over(Window.orderBy("metric", "mean_diff", "benchmark")))  # a row a contrast
 
 

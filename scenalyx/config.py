@@ -41,6 +41,7 @@ class Settings:
     confidence: float = 0.95
     multiple_testing: str = "holm"
     support: int | None = 100
+    energy_pairs: int = 100_000
     seed: int = 42
     folds: tuple[str, ...] = field(default=("2000-01-01", "2000-07-01"))
 
@@ -61,6 +62,7 @@ class Settings:
         need(0 < self.alpha < 1 and 0 < self.cap <= 1 and 0 < self.confidence < 1, "alpha, cap and confidence are shares")
         need(self.samples >= 100 and self.block > 0 and self.block_mode in ("auto", "fixed"), "100 samples and a block of 1 at least")
         need(self.multiple_testing == "holm", "only holm adjusts for many tests")
+        need(self.energy_pairs > 0, "the pair term needs draws")
         need(self.support is None or self.support >= 2, "a support has two scenarios at least")
         need(list(self.folds) == sorted(set(self.folds)) and len(self.folds) > 0, "folds have to begin on distinct, ascending dates")
 

@@ -61,7 +61,7 @@ def backtest(rets: DataFrame, schedule: DataFrame, cost_bps: float = 20.0) -> Da
     seg = days.join(F.broadcast(ports)).join(marks.withColumn("date", F.col("rebalance_date")), ["portfolio", "date"], "left")
     seg = seg.withColumn("segment_start", F.last("rebalance_date", ignorenulls=True).over(seg_w)).where("segment_start is not null").select("portfolio", "date", "segment_start")
     w = schedule.select("portfolio", F.col("rebalance_date").alias("segment_start"), "asset", "weight")
-    cell = seg.join(rets.select("date", "asset", "ret"), "date").join(F.broadcast(w), ["portfolio", "segment_start", "asset"])
+    cell = seg.join(rets.select("date", "asset", "ret"), "date").join(w, ["portfolio", "segment_start", "asset"])
     grow = F.exp(F.sum(F.log1p("ret")).over(Window.partitionBy("portfolio", "segment_start", "asset").orderBy("date")))
     cell = cell.withColumn("value", F.col("weight") * grow)
     day = cell.groupBy("portfolio", "segment_start", "date").agg(F.sum("value").alias("growth"))
@@ -75,7 +75,7 @@ def backtest(rets: DataFrame, schedule: DataFrame, cost_bps: float = 20.0) -> Da
     tops = day.groupBy("portfolio", "segment_start").agg(F.max_by("growth", "date").alias("g")).join(turn, ["portfolio", "segment_start"])
     chain = F.sum(F.log(F.col("g") * (1 - F.col("cost")))).over(Window.partitionBy("portfolio").orderBy("segment_start").rowsBetween(Window.unboundedPreceding, -1))
     tops = tops.withColumn("base", F.exp(F.coalesce(chain, F.lit(0.0))) * (1 - F.col("cost")))
-    out = day.join(F.broadcast(tops.select("portfolio", "segment_start", "turnover", "cost", "base")), ["portfolio", "segment_start"])
+    out = day.join(tops.select("portfolio", "segment_start", "turnover", "cost", "base"), ["portfolio", "segment_start"])
     first = F.col("date") == F.col("segment_start")
     return out.select("portfolio", "date", F.when(first, F.col("turnover")).otherwise(0.0).alias("turnover"), F.when(first, F.col("cost")).otherwise(0.0).alias("cost"), (F.col("base") * F.col("growth")).alias("wealth"))
 

@@ -106,10 +106,10 @@ def _pair_draws(sv: DataFrame, dist, pairs: int, seed: int) -> DataFrame:
     return sides[0].join(sides[1], ["model", "draw"]).groupBy("model").agg((F.avg(dist(F.col("one"), F.col("two"))) / 2).alias("half"))
 
 
-def observation_scores(scen: DataFrame, obs: DataFrame) -> DataFrame:
-    """(model, date, mean_crps, energy, variogram) of every observation date."""
+def observation_scores(scen: DataFrame, obs: DataFrame, pairs: int | None = None, seed: int = 7) -> DataFrame:
+    """(model, date, mean_crps, energy, variogram) of every observation date; the energy's pair term exact, or from so many draws."""
     by_date = crps(scen, obs).groupBy("model", "date").agg(F.avg("crps").alias("mean_crps"))
-    return by_date.join(energy(scen, obs), ["model", "date"]).join(variogram(scen, obs), ["model", "date"])
+    return by_date.join(energy(scen, obs, pairs=pairs, seed=seed), ["model", "date"]).join(variogram(scen, obs), ["model", "date"])
 
 
 def long_scores(frame: DataFrame) -> DataFrame:

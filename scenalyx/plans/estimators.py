@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..operators import checks
 from ..operators import dynamics as D
 from ..operators import inference as I
 from ..operators import kernels as N
@@ -15,8 +20,10 @@ from ..operators import models as G
 from ..operators import moments as M
 from ..operators import panel as P
 from ..operators import portfolio as B
+from ..operators import scoring as S
 from ..runtime import cut, ship
-from .catalogue import ALPHA, SAMPLES, SEED, _both, _pit, _rets, _scen, _sets, _wide, query
+from . import oracle_base as O
+from .catalogue import ALPHA, SAMPLES, SEED, R, _both, _pit, _r, _rets, _scen, _sets, _wide, query
 
 #: Scenarios of a drawn set, of moment matching, and of one task's share of draws; steps of a simulated path.
 DRAWS, MATCHED, CHUNK, HORIZON = 10_000, 500, 1000, 5
@@ -263,6 +270,45 @@ def moment_match_histories(spark, d):
     return rows.withColumn("falls", F.coalesce(step <= 1e-9, F.lit(True)))
 
 
+# rolling origins
+
+
+#: Begins of the folds of the registered query.
+FOLDS = ("2000-01-01", "2000-07-01", "2001-01-01", "2001-07-01")
+
+
+def rolling(spark, rets: DataFrame, settings: Settings) -> DataFrame:
+    """(fold, model, date, scores): every model fitted on what came before a fold, judged on the fold's own windows.
+
+    Windows never reach across a fold's begin. A fold without windows on either side is an error.
+    """
+
+    def fold(at: tuple[int, tuple[str, str]]) -> DataFrame:
+        k, (begin, end) = at
+        own = rets.where(F.col("date") < end).select("date", "asset", "ret", F.when(F.col("date") < begin, "is").otherwise("oos").alias("segment"))
+        own = cut(own)
+        windows = cut(P.terminal(own, settings.horizon))
+        scen = cut(M.scenario_models(windows.where("segment = 'is'")))
+        obs = checks.some_rows(windows.where("segment = 'oos' and is_nonoverlap").select("asset", "date", F.col("tret").alias("y")), f"windows of fold {k}")
+        sets = G.dispatch(registry(spark, own, scen, settings), list(settings.models), settings.seed)
+        sets["moment_matching"] = chosen(matched(spark, scen, settings.matched_scenarios, settings.starts, settings.rounds, settings.p_step, settings.x_step), settings.strict)
+        # the scenario's number stands for its date
+        day = F.date_add(F.lit("1900-01-01").cast("date"), F.col("scenario").cast("int"))
+        every = cut(reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("model"), "asset", day.alias("date"), "p", "x") for name, df in sets.items()]))
+        return cut(S.observation_scores(every, cut(obs), settings.energy_pairs, settings.seed)).select(F.lit(k).alias("fold"), "*")
+
+    # folds share nothing, and their small jobs leave most of a cluster idle
+    ship(spark)
+    spans = list(enumerate(zip(settings.folds, [*settings.folds[1:], "9999-12-31"], strict=True)))
+    with ThreadPoolExecutor(len(spans)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(fold), spans))
+
+
+@query("rolling_origin")
+def rolling_origin(spark, d):
+    return rolling(spark, _rets(spark, d).select("date", "asset", "ret"), Settings(folds=FOLDS))
+
+
 # portfolios
 
 
@@ -367,11 +413,16 @@ def walk_forward_hrp(spark, d):
 # inference
 
 
-@query("confidence_set")
+def _set_sql() -> str:
+    losses = "SELECT metric, model, 0 AS seg, date, score AS diff FROM long_scores"
+    contrasts = "SELECT metric, benchmark, 0 AS seg, date, diff FROM contrast"
+    sizes = f"SELECT metric, model, block FROM (SELECT DISTINCT metric, model FROM long_scores) JOIN (SELECT metric, block FROM ({O.sizes_sql(contrasts, 'metric, benchmark')}) WHERE benchmark = (SELECT max(model) FROM scores WHERE model <> 'ewma')) USING (metric)"
+    return O.elimination_sql("SELECT metric, model, avg(score) AS m FROM long_scores GROUP BY 1, 2", O.means_sql(losses, "metric, model", sizes, SAMPLES, SEED, "metric || '|' ||"), 3)
+
+
+@query("confidence_set", f"SELECT metric, model, left_at::INT AS left_at, {R('pvalue', 'statistic')}, pvalue > 0.1 AS in_set FROM ({_set_sql()})")
 def confidence_set(spark, d, alpha: float = 0.1):
     """For every metric the order in which models leave, their p-values, and the set; the block is that of the metric's last contrast."""
-    from ..operators import scoring as S
-
     ship(spark)
     long = cut(S.long_scores(S.observation_scores(*_both(spark, d))))
     others = [r["model"] for r in long.select("model").distinct().collect() if r["model"] != "ewma"]
@@ -389,7 +440,7 @@ def confidence_set(spark, d, alpha: float = 0.1):
         return pd.DataFrame([(pdf["metric"].iloc[0], x.columns[c], step, p, t, p > alpha) for c, step, p, t in D.eliminate(own, x.to_numpy())], columns=["metric", "model", "left_at", "pvalue", "statistic", "in_set"])
 
     # samples x models rows of a metric
-    return means.join(seen, ["metric", "model"]).groupBy("metric").applyInPandas(run, "metric string, model string, left_at int, pvalue double, statistic double, in_set boolean")
+    return _r(means.join(seen, ["metric", "model"]).groupBy("metric").applyInPandas(run, "metric string, model string, left_at int, pvalue double, statistic double, in_set boolean"))
 
 
 @query("ks_pvalues")

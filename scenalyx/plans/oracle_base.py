@@ -139,3 +139,24 @@ def ci_sql(source: str, keys: str, means: str) -> str:
 def holm_sql(source: str, family: str, order: str) -> str:
     """The rows of source with holm, from its pvalue."""
     return f"SELECT * EXCLUDE (rk, m, step), CASE WHEN pvalue IS NOT NULL THEN least(1.0::DOUBLE, step) END AS holm FROM (SELECT *, max((m - rk + 1) * pvalue) OVER (PARTITION BY {family} ORDER BY rk ROWS UNBOUNDED PRECEDING) AS step FROM (SELECT *, row_number() OVER (PARTITION BY {family} ORDER BY pvalue NULLS LAST, {order}) AS rk, count(pvalue) OVER (PARTITION BY {family}) AS m FROM ({source})))"
+
+
+def elimination_sql(seen: str, means: str, models: int) -> str:
+    """metric, model, left_at, pvalue, statistic of the range statistic's elimination, one step after the other.
+
+    seen: metric, model, m; means: metric, model, sample, mean.
+    """
+    left, gone, steps = f"SELECT metric, model FROM ({seen})", [], []
+    for k in range(1, models):
+        own = f"SELECT * FROM ({left}) JOIN ({seen}) USING (metric, model) JOIN ({means}) USING (metric, model)"
+        pair = f"SELECT a.metric, a.model AS i, b.model AS j, a.sample, a.m - b.m AS gap, a.mean - b.mean - a.m + b.m AS noise FROM ({own}) a JOIN ({own}) b ON a.metric = b.metric AND a.sample = b.sample AND a.model <> b.model"
+        scaled = f"SELECT *, CASE WHEN sd > 0 THEN gap / sd ELSE 0 END AS t, CASE WHEN sd > 0 THEN abs(noise) / sd ELSE 0 END AS far FROM (SELECT *, sqrt(avg(noise * noise) OVER (PARTITION BY metric, i, j)) AS sd FROM ({pair}))"
+        steps.append((f"p{k}", f"SELECT metric, (1 + count(*) FILTER (far >= top)) / (count(*) + 1)::DOUBLE AS p, max(top) AS statistic FROM (SELECT metric, sample, max(far) AS far, max(top) AS top FROM (SELECT *, max(abs(t)) OVER (PARTITION BY metric) AS top FROM ({scaled})) GROUP BY 1, 2) GROUP BY 1"))
+        steps.append((f"w{k}", f"SELECT metric, arg_max(i, t) AS model FROM ({scaled}) GROUP BY 1"))
+        gone.append(f"SELECT metric, model FROM w{k}")
+        left = f"SELECT metric, model FROM ({seen}) WHERE (metric, model) NOT IN ({' UNION ALL '.join(gone)})"
+    best = [f"greatest({', '.join(f'p{j}.p' for j in range(1, k + 1))})" if k > 1 else "p1.p" for k in range(1, models)]
+    joins = lambda k: "".join(f" JOIN p{j} USING (metric)" for j in range(1, k + 1))
+    rows = [f"SELECT metric, w{k}.model, {k} AS left_at, {best[k - 1]} AS pvalue, p{k}.statistic FROM w{k}{joins(k)}" for k in range(1, models)]
+    rows.append(f"SELECT metric, model, {models} AS left_at, 1.0::DOUBLE AS pvalue, 0.0::DOUBLE AS statistic FROM ({left})")
+    return f"WITH {', '.join(f'{n} AS MATERIALIZED ({q})' for n, q in steps)} {' UNION ALL '.join(rows)}"

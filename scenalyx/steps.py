@@ -113,7 +113,7 @@ def evaluate(run: Run) -> None:
     """Scores by observation, marginal tables, comparison with every benchmark, calibration at equal support."""
     s = run.settings
     scen, obs = _sets(run), cut(_observations(run))
-    run.write(S.observation_scores(scen, obs), "observation_scores")
+    run.write(S.observation_scores(scen, obs, s.energy_pairs, s.seed), "observation_scores")
     run.write(S.marginal_table(scen, obs, s.alpha), "marginal")
     scores = run.read("observation_scores")
     block = s.block if s.block_mode == "fixed" else None
@@ -187,27 +187,27 @@ def liquidity(run: Run) -> None:
         raise ValueError("too few assets pass the quality rules")
     scen, obs = _sets(run), _observations(run)
     place = lambda df, name: df.groupBy("model").agg(F.avg("mean_crps").alias("m")).select("model", F.rank().over(Window.orderBy(F.round("m", 12))).cast("long").alias(name))
-    own = S.observation_scores(scen.join(kept, "asset", "left_semi"), obs.join(kept, "asset", "left_semi"))
+    own = S.observation_scores(scen.join(kept, "asset", "left_semi"), obs.join(kept, "asset", "left_semi"), s.energy_pairs, s.seed)
     both = place(run.read("observation_scores"), "rank_all").join(place(own, "rank_liquid"), "model", "outer")
     run.write(both.withColumn("shift", F.col("rank_liquid") - F.col("rank_all")), "liquidity")
 
 
 def rolling(run: Run) -> None:
-    """Historical sets made anew at the begin of every fold from what came before, scored within the fold."""
+    """Every model made anew at the begin of every fold from what came before, scored within the fold; pooled scores and stability."""
+    from .plans import estimators as E
+
     s = run.settings
     r = checks.unique(run.read("returns"), "date", "asset").select("date", "asset", "ret")
-    begins = run.spark.createDataFrame([(k, b, e) for k, (b, e) in enumerate(zip(s.folds, [*s.folds[1:], "9999-12-31"], strict=True))], "fold int, begin string, end string")
-    begins = begins.select("fold", F.to_date("begin").alias("begin"), F.to_date("end").alias("end"))
-    # a row a fold
-    cells = r.join(F.broadcast(begins), F.col("date") < F.col("end")).withColumn("segment", F.when(F.col("date") < F.col("begin"), "train").otherwise("evaluate"))
-    w = cut(P.terminal(cells, s.horizon, ("fold", "segment")))
-    weights = M.ewma(w.where("segment = 'train'"), s.half_life, ("fold",))
-    scen = cut(w.where("segment = 'train'").join(weights, ["fold", "date"]).select(F.col("fold").cast("string").alias("model"), "asset", "date", "p", F.col("tret").alias("x")))
-    obs = cut(w.where("segment = 'evaluate' and is_nonoverlap").select("fold", "asset", "date", F.col("tret").alias("y")))
-    scores = S.observation_scores(scen, obs.select("asset", "date", "y"))
-    # a fold's set is judged on the fold's dates alone
-    own = obs.select(F.col("fold").cast("string").alias("model"), "date").distinct()
-    run.write(scores.join(own, ["model", "date"]).select(F.col("model").cast("int").alias("fold"), "date", "mean_crps", "energy", "variogram"), "rolling_scores")
+    run.write(E.rolling(run.spark, r, s), "rolling_scores")
+    scores = run.read("rolling_scores")
+    pooled = scores.groupBy("model").agg(*(F.avg(c).alias(c) for c in ("mean_crps", "energy", "variogram")), F.count(F.lit(1)).alias("n"))
+    run.write(pooled, "rolling_pooled")
+    rank = F.rank().over(Window.partitionBy("fold").orderBy(F.round("m", 12)))
+    ranks = scores.groupBy("model", "fold").agg(F.avg("mean_crps").alias("m")).withColumn("rank", rank)
+    run.write(ranks.groupBy("model").agg(F.avg("rank").alias("mean_rank"), F.median("rank").alias("median_rank"), F.min("rank").alias("min_rank"), F.max("rank").alias("max_rank"), F.count_if(F.col("rank") == 1).alias("wins"), F.count(F.lit(1)).alias("folds")), "rolling_stability")
+    block = s.block if s.block_mode == "fixed" else None
+    long = S.long_scores(scores.select("fold", "model", "date", "mean_crps", "energy", "variogram"))
+    run.write(I.focal_table(long, "moment_matching", list(s.models), s.samples, s.seed, ["fold"], block, ("mean_crps", s.models[0])), "rolling_comparison")
 
 
 def snapshot(run: Run) -> None:
@@ -248,7 +248,7 @@ WRITES: dict[str, tuple[str, ...]] = {
     "portfolio": ("weights", "portfolio_figures"),
     "backtest": ("ledger", "metrics", "sharpe_contrasts"),
     "liquidity": ("universe", "liquidity"),
-    "rolling": ("rolling_scores",),
+    "rolling": ("rolling_scores", "rolling_pooled", "rolling_stability", "rolling_comparison"),
 }
 
 

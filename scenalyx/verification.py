@@ -54,6 +54,7 @@ def _full(run: Run) -> list[tuple[str, Callable[[], tuple[bool, str]]]]:
         ("every family is adjusted", lambda: _holds(read("sharpe_contrasts"), F.col("holm") >= F.col("pvalue") - 1e-12)),
         ("the universe was chosen in sample", lambda: _holds(read("universe"), F.col("selected") == (F.col("reason") == ""))),
         ("folds have scores", lambda: _holds(read("rolling_scores").agg(F.count_distinct("fold").alias("k")), F.col("k") == len(run.settings.folds))),
+        ("folded contrasts are adjusted", lambda: _holds(read("rolling_comparison"), F.col("holm") >= F.col("pvalue") - 1e-12)),
         *stages,
     ]
 
