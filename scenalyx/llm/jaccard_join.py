@@ -19,8 +19,11 @@ Plan
    connected is bounded from above by popcounts of hashed bitmaps, and what
    passes is intersected exactly, as sorted arrays.
    A tile of a group with more than ``group_limit`` sets or ``group_bytes`` is
-   dealt over several salts; what the salts have not joined yet meets in a second
-   pass, where only sets outside the tile's largest class are copied to every salt.
+   dealt over several cells. What these have not joined yet meets in a second pass:
+   the tile's largest class, and the sets outside it, each in blocks, with a cell for
+   every two blocks but those of the largest class; a cell compares across its two
+   blocks only, so each pair of sets is looked at once, and sets outside the largest
+   class are what is copied.
 
 Equal sets count as one, the smallest doc_id. Links inside a class that is already
 connected are not needed for components, so copies are never expanded into pairs.
@@ -415,9 +418,14 @@ def _members(num: int, den: int):
     return run
 
 
-def tile_links(docs, sizes, sets, num, den, end):
-    """Links that connect the similar sets of one tile: those a spanning forest needs."""
+def tile_links(docs, sizes, sets, num, den, end, label=None, side=None):
+    """Links that connect the similar sets of one tile: those a spanning forest needs.
+
+    Sets of equal label are connected already; sets of one side (but side 0) are not compared.
+    """
     order = np.lexsort((docs, sizes))
+    label = np.arange(len(docs)) if label is None else np.unique(label, return_inverse=True)[1][order]
+    side = np.zeros(len(docs), np.int64) if side is None else side[order]
     docs, sizes = docs[order], sizes[order]
     sets = [sets[i] for i in order]
     m, bits = len(docs), 256
@@ -429,12 +437,12 @@ def tile_links(docs, sizes, sets, num, den, end):
         np.bitwise_or.at(maps[i], (slot >> K.U64(6)).astype(np.int64), K.U64(1) << (slot & K.U64(63)))
     kept = np.bitwise_count(maps).sum(1, dtype=np.int64)
     lost = sizes - kept  # shingles that share a bit with another of the set
-    label, out = np.arange(m), []
+    out = []
     for i in range(1, m):
         begin = int(np.searchsorted(sizes, -(-num * int(sizes[i]) // den)))
         # the other classes only, nearest in size first
         near = np.flatnonzero(label[begin:i] != label[i]) + begin
-        near = near[sizes[near] <= end - 1]
+        near = near[(sizes[near] <= end - 1) & ((side[near] != side[i]) | (side[i] == 0))]
         if not len(near):
             continue
         bound = np.minimum(np.bitwise_count(maps[near] & maps[i]).sum(1, dtype=np.int64) + np.minimum(lost[near], lost[i]), sizes[near])
@@ -450,29 +458,28 @@ def tile_links(docs, sizes, sets, num, den, end):
 
 
 def _links(num: int, den: int):
+    """Links of every cell (grp, tile, cell) of rows (..., doc_id, size, items, component, side)."""
+
     def run(batches):
-        key, docs, sizes, sets = None, [], [], []
+        key, rows = None, []
 
         def close():
-            if len(docs) < 2:
+            if len(rows) < 2:
                 return
+            docs, sizes, items, label, side = zip(*rows, strict=True)
             end = band_starts(max(sizes), num, den)[key[1] + 1]
-            found = tile_links(np.array(docs), np.array(sizes), sets, num, den, int(end))
+            sets = [np.frombuffer(x, np.uint64) for x in items]
+            found = tile_links(np.array(docs), np.array(sizes), sets, num, den, int(end), np.array(label), np.array(side))
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            grp, tile, salt, doc, size = (batch.column(i).to_pylist() for i in range(5))
-            items = batch.column(5)
-            for i in range(len(grp)):
-                now = (grp[i], tile[i], salt[i])
-                if now != key:
+            for grp, tile, cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (grp, tile, cell) != key:
                     yield from close()
-                    key, docs, sizes, sets = now, [], [], []
-                docs.append(doc[i])
-                sizes.append(size[i])
-                sets.append(np.frombuffer(items[i].as_py(), np.uint64))
+                    key, rows = (grp, tile, cell), []
+                rows.append(row)
         yield from close()
 
     return run
@@ -488,7 +495,7 @@ def joined(known: DataFrame, links: DataFrame, tables: Scratch) -> DataFrame:
     return moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(more.join(known.select("node"), "node", "left_anti"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, group_limit: int = 4096, group_bytes: int = 32 << 20, frequent: int = FREQUENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, group_limit: int = 1024, group_bytes: int = 32 << 20, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text, ...)."""
     spark = session_of(docs)
     tables = Scratch(spark)
@@ -523,25 +530,37 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     dealt = tables.written(members.join(counts.withColumn("salts", salts), ["grp", "tile"]).coalesce(few), "jaccard-tiles")
 
     def links(placed: DataFrame) -> DataFrame:
-        """Of (doc_id, grp, tile, salts, spread): links that the cells (grp, tile, salt) find."""
-        every = F.sequence(F.lit(0), F.col("salts") - 1)
-        own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-        rows = placed.withColumn("salt", F.explode(F.when(F.col("spread"), every).otherwise(own)))
-        rows = rows.select("doc_id", "grp", "tile", "salt").join(sets.select("doc_id", "size", "items"), "doc_id")
-        cells = rows.select("grp", "tile", "salt", "doc_id", "size", "items").repartition(parts, "grp", "tile", "salt").sortWithinPartitions("grp", "tile", "salt")
+        """Of (doc_id, grp, tile, component, places (cell, side)): links that the cells find."""
+        rows = placed.withColumn("place", F.explode("places")).select("doc_id", "grp", "tile", "place.cell", "component", "place.side")
+        rows = rows.join(sets.select("doc_id", "size", "items"), "doc_id").select("grp", "tile", "cell", "doc_id", "size", "items", "component", "side")
+        cells = rows.repartition(parts, "grp", "tile", "cell").sortWithinPartitions("grp", "tile", "cell")
         return map_arrow(cells, _links(num, den), "a long, b long")
 
-    first = tables.written(links(dealt.withColumn("spread", F.lit(False))), "jaccard-links")
+    def place(cell, side):
+        return F.struct(cell.cast("long").alias("cell"), side.cast("int").alias("side"))
+
+    block = lambda of: F.pmod(F.xxhash64("doc_id"), of)
+    once = F.array(place(block(F.col("salts")), F.lit(0)))
+    first = tables.written(links(dealt.select("doc_id", "grp", "tile", F.col("doc_id").alias("component"), once.alias("places"))), "jaccard-links")
     final = tables.written(components(first.unionByName(split), tables), "jaccard-classes")
     large = dealt.where("salts > 1")
     if large.limit(1).count():
         label = final.withColumnRenamed("node", "doc_id")
         open_ = tables.written(large.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "jaccard-large")
-        sizes = open_.groupBy("grp", "tile", "component").agg(F.count(F.lit(1)).alias("n"))
-        most = sizes.groupBy("grp", "tile").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("classes"))
-        open_ = open_.join(most.where("classes > 1"), ["grp", "tile"])
-        again = open_.select("doc_id", "grp", "tile", "salts", (F.col("component") != F.col("main")).alias("spread"))
-        late = tables.written(links(again), "jaccard-late")
+        sizes = open_.groupBy("grp", "tile", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+        blocks = lambda n, size: F.greatest(F.ceil(n / group_limit), F.ceil(size * 8 / group_bytes), F.lit(1))
+        most = sizes.groupBy("grp", "tile").agg(F.max_by(F.struct("component", "n", "s"), F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("main.n < n")
+        most = most.select("grp", "tile", F.col("main.component").alias("main"), blocks(F.col("main.n"), F.col("main.s")).alias("inner"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("outer"))
+        open_ = open_.join(most, ["grp", "tile"])
+        # cells: a block of the main class with one outside it, then two blocks outside it
+        inner, outer = F.col("inner"), F.col("outer")
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        of_main = F.transform(upto(outer), lambda j: place(block(inner) * outer + j, F.lit(1)))
+        own = block(outer)
+        with_main = F.transform(upto(inner), lambda i: place(i * outer + own, F.lit(2)))
+        outside = F.transform(upto(outer), lambda k: place(inner * outer + F.least(own, k) * outer + F.greatest(own, k), F.when(k == own, 0).when(own < k, 1).otherwise(2)))
+        places = F.when(F.col("component") == F.col("main"), of_main).otherwise(F.concat(with_main, outside))
+        late = tables.written(links(open_.select("doc_id", "grp", "tile", "component", places.alias("places"))), "jaccard-late")
         final = joined(final, late, tables)
     classes = reps.select(*prints, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select(*prints, F.coalesce("component", "rep").alias("component"))

@@ -132,6 +132,22 @@ def test_jaccard_random_groups(spark, frequent, limit):
         assert got == brute_components(rows, n, num, den)
 
 
+@pytest.mark.parametrize("limit", [7, 1024])
+def test_jaccard_large_group(spark, limit):
+    """One group of near copies that a tile holds in many blocks: chains, and sets outside its largest class."""
+    rng = np.random.default_rng(31)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(110):
+        t = list(base)
+        for k in rng.choice(80, int(rng.choice([0, 1, 2, 3, 5])), replace=False):
+            t[k] = f"e{rng.integers(60)}"
+        rows.append((i * 3, " ".join(t)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), group_limit=limit, frequent=3).collect()}
+    want = brute_components(rows, 4, 85, 100)
+    assert got == want and 5 < len({c for _, c in want.values()}) < 100
+
+
 def test_jaccard_long_texts(spark):
     """A text beyond a chunk and one beyond a batch, near copies of both, and one word of megabytes."""
     long = " ".join(f"v{i * i % 100_003}" for i in range(300_000))
