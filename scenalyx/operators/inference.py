@@ -130,6 +130,17 @@ def resolved_blocks(diff: DataFrame, keys: list[str], within: list[str] | None =
     return found.select(*keys, F.coalesce("block", F.least(F.lit(fallback), F.col("n").cast("int"))).alias("block"), "raw", F.coalesce("capped", F.lit(False)).alias("capped"))
 
 
+def block_starts(diff: DataFrame, keys: list[str], blocks: DataFrame, samples: int, seed: int, within: list[str] | None = None, stream: list[str] | None = None) -> DataFrame:
+    """(keys, within, sample, block, start, take): the rows that a moving-block bootstrap takes, as spans of places in a segment."""
+    seg = [*keys, *(within or [])]
+    n = diff.groupBy(*seg).agg(F.count(F.lit(1)).cast("int").alias("n")).join(blocks.select(*keys, F.col("block").alias("size")), keys)
+    n = n.withColumn("size", F.greatest(F.least("size", "n"), F.lit(1))).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    each = n.withColumn("block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / F.col("size")) - 1).cast("int"))))
+    tag = [F.col(k).cast("string") for k in [*(stream or []), *(within or [])]]
+    start = F.pmod(hash32(seed, "block", *tag, F.col("sample"), F.col("block")), F.col("n") - F.col("size") + 1)
+    return each.select(*seg, "sample", "block", start.alias("start"), F.least(F.col("size"), F.col("n") - F.col("block") * F.col("size")).alias("take"))
+
+
 def block_means(diff: DataFrame, keys: list[str], blocks: DataFrame, samples: int, seed: int, within: list[str] | None = None, stream: list[str] | None = None) -> DataFrame:
     """(keys, sample, mean) of a moving-block bootstrap in which blocks stay in their segments, and segments keep their lengths.
 

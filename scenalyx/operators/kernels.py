@@ -24,6 +24,23 @@ def weighted_moments(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mean, (d * p[:, None]).T @ d
 
 
+def shrunk_moments(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(mean, covariance, intensity): off-diagonal terms shrunk by their noise over their size, then made positive.
+
+    A covariance with an eigenvalue well below 0 is an error; one at 0 gets a small multiple of the unit matrix.
+    """
+    mean, cov = weighted_moments(x, p)
+    d, off = x - mean, ~np.eye(x.shape[1], dtype=bool)
+    noise = (np.square(p)[:, None, None] * np.square(d[:, :, None] * d[:, None, :] - cov)).sum(0)[off].sum()
+    size = np.square(cov[off]).sum()
+    intensity = 1.0 if size == 0 else float(np.clip(noise / size, 0, 1))
+    out = np.where(off, (1 - intensity) * (cov + cov.T) / 2, cov)
+    low = float(np.linalg.eigvalsh(out).min())
+    if low < -1e-12:
+        raise ValueError("the covariance is not positive")
+    return mean, out if low > 0 else out + 1e-10 * np.eye(len(out)), intensity
+
+
 def gaussian(mean, cov, n: int, seed: int) -> np.ndarray:
     return mean + np.random.default_rng(seed).standard_normal((n, len(mean))) @ np.linalg.cholesky(nearest_psd(cov)).T
 

@@ -1,4 +1,10 @@
-"""Weights, weighted moments, pair covariances, shrinkage, scenario sets."""
+"""Weights, weighted moments, pair covariances, shrinkage, scenario sets.
+
+Scenarios are (model, asset, date, p, x) with every asset on every date of a model.
+Defined cases: a scenario without probability counts nothing; assets that are not
+correlated at all shrink fully; equal (model, asset, date) rows count each; no rows
+give no rows; extra columns are dropped.
+"""
 
 from __future__ import annotations
 

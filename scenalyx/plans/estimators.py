@@ -31,7 +31,7 @@ CAP = 0.25
 
 
 def _moments_of(x, p):
-    mean, cov = N.weighted_moments(x, p)
+    mean, cov, _ = N.shrunk_moments(x, p)
     d = x - mean
     return np.vstack([mean, *(p @ d**k for k in (2, 3, 4))]), cov
 
@@ -124,8 +124,8 @@ def _targets(spark, scen: DataFrame, bounds: tuple[float, float] = (4.5, 60.0))
 
     def run(pdf):
         x, p = _wide(pdf)
-        mean, cov = N.weighted_moments(x.to_numpy(), p)
-        fit = N.fit_df(x.to_numpy(), p, *bounds)
+        mean, cov, _ = N.shrunk_moments(x.to_numpy(), p)
+        fit = N.fit_df(x.to_numpy(), p, *bounds, mean=mean, cov=cov)
         return pd.DataFrame([(list(x.columns), mean, cov.ravel(), fit["df"], fit["loglik"], fit["gain"], fit["at_bound"], float(1 / (p @ p)))], columns=["assets", "mean", "cov", "df", "loglik", "gain", "at_bound", "ess"])
 
     return scen.where("model = 'ewma'").groupBy("model").applyInPandas(run, "assets array<string>, mean array<double>, cov array<double>, df double, loglik double, gain double, at_bound boolean, ess double")

@@ -12,6 +12,7 @@ CTES: list[tuple[str, str]] = [
     ("complete", "SELECT date, asset, raw, price FROM (SELECT *, count(price) OVER (PARTITION BY date) AS have, count(*) OVER (PARTITION BY date) AS n FROM filled) WHERE have = n"),
     ("lagged", "SELECT date, asset, price, raw IS NOT NULL AS obs, lag(price) OVER w AS p0, lag(raw IS NOT NULL) OVER w AS obs0 FROM complete WINDOW w AS (PARTITION BY asset ORDER BY date)"),
     ("returns", "SELECT date, asset, ret, CASE WHEN date <= DATE '1999-12-31' THEN 'is' ELSE 'oos' END AS segment FROM (SELECT date, asset, price / p0 - 1 AS ret, min((obs AND obs0)::INT) OVER (PARTITION BY date) AS ok FROM lagged WHERE p0 IS NOT NULL) WHERE ok = 1"),
+    ("zs", "SELECT asset, (ret - avg(ret) OVER (PARTITION BY asset)) / stddev_pop(ret) OVER (PARTITION BY asset) AS z, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn, count(*) OVER (PARTITION BY asset) AS n FROM returns WHERE segment = 'is'"),
     ("zero_runs", "SELECT asset, segment, max(CASE WHEN flag = 1 THEN n ELSE 0 END) AS max_zero_run FROM (SELECT asset, segment, flag, island, count(*) AS n FROM (SELECT asset, segment, flag, rn - row_number() OVER (PARTITION BY asset, segment, flag ORDER BY date) AS island FROM (SELECT *, (ret = 0)::INT AS flag, row_number() OVER (PARTITION BY asset, segment ORDER BY date) AS rn FROM returns)) GROUP BY ALL) GROUP BY 1, 2"),
     ("quality", "SELECT * FROM (SELECT asset, segment, count(*) AS n, avg(CASE WHEN ret = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS zero_rate, stddev_pop(ret) AS vol FROM returns GROUP BY 1, 2) JOIN zero_runs USING (asset, segment)"),
     ("term", "SELECT segment, asset, date, rn, exp(s) - 1 AS tret, (rn - 5) % 5 = 0 AS is_nonoverlap FROM (SELECT segment, asset, date, row_number() OVER w AS rn, sum(ln(1 + ret)) OVER (PARTITION BY segment, asset ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s FROM returns WINDOW w AS (PARTITION BY segment, asset ORDER BY date)) WHERE rn >= 5"),

@@ -18,7 +18,7 @@ from ..operators import portfolio as B
 from ..operators import scoring as S
 from ..runtime import cut
 from . import oracle_base as O
-from .catalogue import ALPHA, SAMPLES, SEED, SHARPE_SAMPLES, R, _both, _ledger, _obs, _panel, _pit, _r, _rets, _scen, _sets, query
+from .catalogue import ALPHA, SAMPLES, SEED, SHARPE_SAMPLES, R, _both, _diff, _ledger, _obs, _panel, _pit, _r, _rets, _scen, _sets, query
 
 FOCAL, BENCHMARKS, PRIMARY = "ewma", ["recent", "uniform"], ("mean_crps", "uniform")
 
@@ -131,6 +131,27 @@ def forest_plot(spark, d):
     return _r(t.withColumn("place", place), "metric", "benchmark", "mean_diff", "ci_low", "ci_high", "ci_excludes_zero", "place")
 
 
+@query("bootstrap_index", f"SELECT benchmark, sample, block, ('0x' || substr(md5('{SEED}|block|' || sample || '|' || block), 1, 8))::BIGINT % (n - size + 1) AS start, least(size, n - block * size) AS take FROM (SELECT *, unnest(range(0, ceil(n / size::DOUBLE)::BIGINT)) AS block FROM (SELECT benchmark, n, least(4, n) AS size, unnest(range(0, 200)) AS sample FROM (SELECT benchmark, count(*) AS n FROM diff GROUP BY 1)))")
+def bootstrap_index(spark, d):
+    """The spans that 200 samples of blocks of 4 take."""
+    diff = _diff(spark, d)
+    out = I.block_starts(diff, ["benchmark"], I.resolved_blocks(diff, ["benchmark"], fixed=4), 200, SEED)
+    return out.select("benchmark", *(F.col(c).cast("long").alias(c) for c in ("sample", "block", "start", "take")))
+
+
+@query("dcc_correlation_recursion", "SELECT asset_i, asset_j, round(q / sqrt(qi * qj), 6) + 0.0::DOUBLE AS next_rho FROM (SELECT p.asset_i, p.asset_j, p.q, i.q AS qi, j.q AS qj FROM (SELECT asset_i, asset_j, 0.05::DOUBLE * base * (1 - pow(0.92::DOUBLE, n)) / 0.08::DOUBLE + 0.03::DOUBLE * w + pow(0.92::DOUBLE, n) * base AS q FROM (SELECT asset_i, asset_j, avg(zz) AS base, count(*) AS n, sum(pow(0.92::DOUBLE, n_all - rn) * zz) AS w FROM (SELECT a.asset AS asset_i, b.asset AS asset_j, a.z * b.z AS zz, a.rn, a.n AS n_all FROM zs a JOIN zs b ON a.rn = b.rn AND a.asset <= b.asset) GROUP BY 1, 2)) p JOIN (SELECT asset_i AS a, 0.05::DOUBLE * base * (1 - pow(0.92::DOUBLE, n)) / 0.08::DOUBLE + 0.03::DOUBLE * w + pow(0.92::DOUBLE, n) * base AS q FROM (SELECT asset AS asset_i, avg(z * z) AS base, count(*) AS n, sum(pow(0.92::DOUBLE, n - rn) * z * z) AS w FROM zs GROUP BY 1)) i ON i.a = p.asset_i JOIN (SELECT asset_i AS a, 0.05::DOUBLE * base * (1 - pow(0.92::DOUBLE, n)) / 0.08::DOUBLE + 0.03::DOUBLE * w + pow(0.92::DOUBLE, n) * base AS q FROM (SELECT asset AS asset_i, avg(z * z) AS base, count(*) AS n, sum(pow(0.92::DOUBLE, n - rn) * z * z) AS w FROM zs GROUP BY 1)) j ON j.a = p.asset_j) WHERE asset_i < asset_j")
+def dcc_correlation_recursion(spark, d):
+    """Next correlations by the recursion 0.05 base + 0.03 z z' + 0.92 before, over standardised in-sample returns."""
+    w = Window.partitionBy("asset")
+    r = _rets(spark, d).where("segment = 'is'").withColumn("z", (F.col("ret") - F.avg("ret").over(w)) / F.stddev_pop("ret").over(w))
+    zz = M.pairs(r.select("date", "asset", F.col("z").alias("d"), F.lit(1.0).alias("p")), [])
+    steps = zz.groupBy("asset_i", "asset_j").agg(F.avg(F.col("di") * F.col("dj")).alias("base"), F.transform(F.sort_array(F.collect_list(F.struct("date", (F.col("di") * F.col("dj")).alias("zz")))), lambda e: e["zz"]).alias("zz"))
+    q = cut(steps.select("asset_i", "asset_j", F.aggregate("zz", F.col("base"), lambda acc, x: 0.05 * F.col("base") + 0.03 * x + 0.92 * acc).alias("q")))
+    own = lambda name: q.where("asset_i = asset_j").select(F.col("asset_i").alias(name), F.col("q").alias(f"q_{name}"))
+    out = q.where("asset_i < asset_j").join(own("asset_i"), "asset_i").join(own("asset_j"), "asset_j")
+    return _r(out.select("asset_i", "asset_j", (F.col("q") / F.sqrt(F.col("q_asset_i") * F.col("q_asset_j"))).alias("next_rho")))
+
+
 # calibration
 
 

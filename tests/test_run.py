@@ -55,6 +55,19 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(csv).count() == 3 == spark.read.option("header", True).csv(f"file://{tmp_path}/t.csv").count()
 
 
+def test_wide_csv(spark, tmp_path):
+    from scenalyx.sources.tables import read_wide_csv
+
+    (tmp_path / "r.csv").write_text("date,B.SN,A.SN\n2024-01-02,0.5,-0.25\n2024-01-03,0,1e-3\n")
+    got = read_wide_csv(spark, f"file://{tmp_path}/r.csv", ["A", "B"], ".SN").orderBy("date", "asset").collect()
+    assert [(r.asset, r.value) for r in got] == [("A", -0.25), ("B", 0.5), ("A", 1e-3), ("B", 0.0)]
+    with pytest.raises(ValueError, match="missing: Z"):
+        read_wide_csv(spark, f"file://{tmp_path}/r.csv", ["Z"], ".SN")
+    (tmp_path / "bad.csv").write_text("date,A\n2024-01-02,\n")
+    with pytest.raises(ValueError, match="not finite"):
+        read_wide_csv(spark, f"file://{tmp_path}/bad.csv", ["A"])
+
+
 def test_two_level_header(spark, tmp_path):
     (tmp_path / "w.csv").write_text("Price,Close,Close,Open\nTicker,B,A,A\n2024-01-02,1.5,2.5,9\n2024-01-03,,3.5,9\n")
     got = sinks.FieldPrices(f"file://{tmp_path}/w.csv", ["A", "B"]).prices(spark).orderBy("date", "asset").collect()
