@@ -37,4 +37,16 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS n
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated FROM t LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_ngram_jaccard_join": _JACCARD, "op4_benchmark_decontamination": _LEAKS, "op7_quality_rules": _RULES}
+_REPEATS = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, (length(hex(encode(coalesce(text, '')))) // 2)::BIGINT AS n FROM documents),
+starts AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM t WHERE n >= 50)),
+least_doc AS (SELECT s, min(doc_id) AS d FROM starts GROUP BY s),
+gone AS (SELECT doc_id, p FROM starts JOIN least_doc USING (s) WHERE d < doc_id),
+islands AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, (p - lag(p, 1, -99) OVER (PARTITION BY doc_id ORDER BY p) > 50)::INT AS fresh FROM gone)),
+spans AS (SELECT doc_id, min(p) AS b, max(p) + 50 AS e FROM islands GROUP BY doc_id, k),
+edges AS (SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS before FROM spans),
+kept AS (SELECT doc_id, sum(e - b)::BIGINT AS removed, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) || substr(any_value(h), 2 * max(e) + 1) AS k FROM edges JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": _JACCARD, "op4_benchmark_decontamination": _LEAKS, "op5_suffix_array_dedup": _REPEATS, "op7_quality_rules": _RULES}
