@@ -9,7 +9,7 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class Settings:
-    """What a run is made with; defaults are those of the registered queries."""
+    """What a run is made with; defaults (fixed values) are those of the registered queries."""
 
     grain: str = "week"
     end_train: str = "1999-12-31"

@@ -186,6 +186,7 @@ def support_resampled(spark, d):
 # portfolios
 
 
+#: Portfolios, their evaluation designs and baselines.
 _PAIRS = [("WF_InverseVariance", "expanding_window_walk_forward", "WF_EqualWeight"), ("InverseVariance", "static_single_shot_oos", "EqualWeight"), ("WF_EqualWeight", "rebalancing_effect", "EqualWeight"), ("WF_InverseVariance", "rebalancing_effect", "InverseVariance")]
 _SHARPE_BLOCK = 20
 
