@@ -28,19 +28,10 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
 
-def with_window_hashes(d: DataFrame, n: int) -> DataFrame:
-    """Column h: the hash of every window of n words, in order, from hashes of shorter runs by doubling."""
-    join = lambda a, b: F.xxhash64(a, b)
-    d = d.withColumn("run", F.transform("words", lambda w: F.xxhash64(w))).withColumn("one", F.col("run"))
-    have = 1
-    while have * 2 <= n:
-        d = d.withColumn("run", F.zip_with("run", F.slice("run", F.lit(have + 1), F.greatest(F.size("run"), F.lit(1))), join))
-        have *= 2
-    while have < n:
-        d = d.withColumn("run", F.zip_with("run", F.slice("one", F.lit(have + 1), F.greatest(F.size("one"), F.lit(1))), join))
-        have += 1
-    # runs that reach past the end were padded: they go
-    return d.withColumn("h", F.slice("run", F.lit(1), F.greatest(F.col("n") - (n - 1), F.lit(0)))).drop("run", "one")
+def window_hashes(words: Column, n: Column, size: int) -> Column:
+    """The hash of every window of ``size`` words, in order."""
+    each = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
+    return F.when(n >= size, each).otherwise(F.array().cast("array<bigint>"))
 
 
 def base_figures(docs: DataFrame, window: int = 5) -> DataFrame:
@@ -48,7 +39,7 @@ def base_figures(docs: DataFrame, window: int = 5) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), text.alias("text"))
     d = d.withColumn("words", F.array_remove(F.split("text", BLANKS), "")).withColumn("n", F.size("words"))
-    d = with_window_hashes(d, window)
+    d = d.withColumn("h", window_hashes(F.col("words"), F.col("n"), window))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.regexp_replace(x, BLANKS, "")) > 0)
     d = d.select(
         "doc_id",
