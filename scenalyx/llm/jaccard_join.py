@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .spark import Scratch, components, cut, map_arrow, partitions, session_of, targets
 
-FLUSH_BYTES, FLUSH_DOCS = 16 << 20, 60_000
+FLUSH_BYTES, FLUSH_DOCS = 8 << 20, 60_000
 KEY_BITS = 40
 FREQUENT = 16
 ROW = "part int, kind int, flush long, a binary, b binary, c binary"

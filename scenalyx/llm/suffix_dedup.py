@@ -60,7 +60,7 @@ from .spark import Scratch, map_arrow, partitions, session_of, target_column, ta
 
 WIDTH, SAMPLE, QGRAM = 50, 20, 25
 FLUSH_BYTES = 6 << 20
-FLUSH_PLACES = 1_000_000
+FLUSH_PLACES = 500_000
 #: A batch deals the units of a gram by their extents if it holds it in more extents than these.
 MANY_EXTENTS = 64
 ROW = "part int, kind int, ids binary, a binary, b binary, c binary"
