@@ -49,4 +49,70 @@ kept AS (SELECT doc_id, sum(e - b)::BIGINT AS removed, count(*) AS spans, string
 SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_ngram_jaccard_join": _JACCARD, "op4_benchmark_decontamination": _LEAKS, "op5_suffix_array_dedup": _REPEATS, "op7_quality_rules": _RULES}
+_AUDIT = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+least_doc AS (SELECT text, min(doc_id) AS d FROM t GROUP BY text),
+lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT t.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 200,
+     100 * len(list_distinct(w)) < 50 * len(w),
+     100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 3 * length(t.text),
+     regexp_matches(t.text, '[#$%&*|]'),
+     coalesce(t.doc_id > d, false)] AS fails
+  FROM t JOIN least_doc USING (text) LEFT JOIN lab ON lab.doc_id = t.doc_id),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+perms AS (
+  SELECT a.c || b.c || d.c || e.c || f.c AS filter_order FROM l a, l b, l d, l e, l f
+  WHERE len(list_distinct([a.c, b.c, d.c, e.c, f.c])) = 5),
+steps AS (SELECT filter_order, s AS step, substr(filter_order, s, 1) AS filter, ascii(substr(filter_order, s, 1)) - 64 AS k FROM perms CROSS JOIN range(1, 6) r(s)),
+firsts AS (SELECT part, filter_order, fails, n, good, toxic, coalesce(list_min(list_filter(range(1, 6), lambda s: fails[ascii(substr(filter_order, s, 1)) - 64])), 0) AS first FROM g CROSS JOIN perms),
+cells AS (
+  SELECT part, filter_order, step, filter,
+    coalesce(sum(n) FILTER (first = 0 OR first > step), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (first = step), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails[k] AND first < step), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails[k] AND len(list_filter(fails, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (first = step), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (first = step), 0)::BIGINT AS toxic_lost
+  FROM firsts JOIN steps USING (filter_order) GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM cells
+"""
+
+
+def _clusters(rounds: int) -> str:
+    """Rounds of assignment as one chain of expressions: v are the vectors, c0 the starts."""
+    steps = [
+        """v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        """c0 AS (
+  SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS k, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v)
+  QUALIFY row_number() OVER (ORDER BY h) <= 16)""",
+    ]
+    for r in range(rounds + 1):
+        distance = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+        steps.append(f"""a{r} AS (
+  SELECT vec_id, v, k, c, d FROM (SELECT vec_id, v, k, c, {distance} AS d FROM v CROSS JOIN c{r})
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT k, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r} CROSS JOIN range(1, 65) j(i) GROUP BY k, i)""")
+            steps.append(f"""n{r} AS (
+  SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM m{r} GROUP BY k)""")
+            steps.append(f"c{r + 1} AS (SELECT c{r}.k, coalesce(n{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN n{r} USING (k))")
+    return (
+        "WITH "
+        + ",\n".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps)
+        + f"""
+SELECT vec_id, k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds}
+"""
+    )
+
+
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": _JACCARD, "op4_benchmark_decontamination": _LEAKS, "op5_suffix_array_dedup": _REPEATS, "op7_quality_rules": _RULES, "op11_centroid_clustering": _clusters(3), "op13_filter_interaction_audit": _AUDIT}

@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import cluster
 from .cotraining import document_scores
+from .curriculum import mix
 from .decontaminate import decontaminate
+from .filter_audit import audit
 from .jaccard_join import jaccard_components
 from .packing import pack
 from .quality_rules import quality_rules
@@ -65,6 +68,18 @@ def op10(spark, d):
     return document_scores(_read(spark, d, "documents"), _read(spark, d, "labels"))
 
 
+def op11(spark, d):
+    return cluster(_read(spark, d, "embeddings"), clusters=16, rounds=3, dims=64, scale=64)
+
+
+def op12(spark, d):
+    return mix(_read(spark, d, "documents"))
+
+
+def op13(spark, d):
+    return audit(_read(spark, d, "documents"), _read(spark, d, "labels"), part="lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1,
@@ -77,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8,
         "op9_url_filter": op9,
         "op10_quality_classifier": op10,
+        "op11_centroid_clustering": op11,
+        "op12_source_mix": op12,
+        "op13_filter_interaction_audit": op13,
     }
 
 

@@ -61,10 +61,27 @@ def free_shuffles(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def owned_checkpoints(spark: SparkSession):
+    """Checkpoints made in this block are deleted once no frame on this driver reads them.
+
+    Spark looks at the setting when it makes a checkpoint, so others are left as the
+    deployment wants them.
+    """
+    key, conf = "spark.cleaner.referenceTracking.cleanCheckpoints", spark.sparkContext._jsc.sc().conf()
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint; its files go when the frame does."""
-    checkpoint_dir(session_of(df))
-    with free_shuffles(session_of(df)):
+    """Cut lineage with a reliable checkpoint; its files go when the frame and all that was made from it do."""
+    spark = session_of(df)
+    checkpoint_dir(spark)
+    with free_shuffles(spark), owned_checkpoints(spark):
         return df.checkpoint(eager=True)
 
 
