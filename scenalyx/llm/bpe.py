@@ -8,8 +8,9 @@ one by one because a pair that a merge creates always ranks after that merge.
 Sequences without a pair leave the array; what survives are the tokens.
 
 A worker keeps the tokens of pre-tokens it has met, up to ``CACHE_ROWS``.
-Texts that hold a special string of the vocabulary go to the tokenizers library
-itself, whose default treatment of such strings then holds.
+Texts that hold an added token of the vocabulary, special or not, go to the tokenizers
+library itself, whose default treatment of such strings then holds. So do all texts
+under a file that is not plain (see ``plain``).
 
 With ``library=True`` the merging is left out: the tokenizers library encodes
 each distinct pre-token once per worker, and texts are put together from its ids.
@@ -45,30 +46,89 @@ def _classes() -> np.ndarray:
     return out
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    letter, extra = {}, 256
+    for b in range(256):
+        if b in shown:
+            letter[b] = chr(b)
+        else:
+            letter[b] = chr(extra)
+            extra += 1
+    return [letter[b] for b in range(256)]
+
+
+def _merges(model: dict) -> list[tuple[str, str]]:
+    return [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+
+
+def plain(spec: dict) -> bool:
+    """Whether a file's tokens are those of rank-synchronous merging after the byte-level split.
+
+    Normalizers, other splits, prefixes, suffixes, dropout and words taken whole are
+    not; nor are vocabularies that lack a byte or a merge's product, merges that repeat,
+    and merges of a part that only a later merge makes.
+    """
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") is not None or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space", True) or not pre.get("use_regex", True):
+        return False
+    if any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "dropout")):
+        return False
+    vocab, made = model["vocab"], set()
+    if any(x not in vocab for x in byte_letters()):
+        return False
+    merges = _merges(model)
+    late = {a + b for a, b in merges}
+    for a, b in merges:
+        late_parts = [x for x in (a, b) if x in late and x not in made]
+        if late_parts or a not in vocab or b not in vocab or a + b not in vocab:
+            return False
+        made.add(a + b)
+    return len(set(merges)) == len(merges)
+
+
+class Library:
+    """Tokens of whole texts by the tokenizers library."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.width = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+
+    def ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64)
+
+    def encode(self, data, offsets):
+        """Token ids of all texts together, and each text's offsets among them."""
+        pieces = [self.ids(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        at = np.append(0, np.cumsum([len(p) for p in pieces])).astype(np.int64)
+        return (np.concatenate(pieces) if pieces else np.zeros(0, np.int64)).astype(np.int32), at
+
+    def count(self, data, offsets) -> np.ndarray:
+        return np.diff(self.encode(data, offsets)[1])
+
+
 class ByteBpe:
-    """Tokens of texts under a byte-level BPE vocabulary file of the tokenizers library."""
+    """Tokens of texts under a plain byte-level BPE vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, library: bool = False):
+    def __init__(self, path: str, spec: dict, library: bool = False):
         self.library = library
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.path = path
-        self.special = [t["content"].encode() for t in spec.get("added_tokens", []) if t.get("special")]
-        self.width = max(vocab.values()) + 1
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        letter, extra = {}, 256
-        for b in range(256):
-            if b in shown:
-                letter[b] = chr(b)
-            else:
-                letter[b] = chr(extra)
-                extra += 1
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.width = max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens", []))]) + 1
+        letter = byte_letters()
         self.byte_id = np.array([vocab[letter[b]] for b in range(256)], np.int32)
         pairs, made = [], []
-        for m in spec["model"]["merges"]:
-            a, b = m.split(" ") if isinstance(m, str) else m
-            pairs.append(vocab[a] * 65536 + vocab[b])
+        for a, b in _merges(spec["model"]):
+            pairs.append(vocab[a] << 32 | vocab[b])
             made.append(vocab[a + b])
         self._index(np.array(pairs, np.uint64), np.array(made, np.int32))
         self.classes = _classes()
@@ -76,8 +136,8 @@ class ByteBpe:
         self._reset()
 
     def _index(self, pairs, made):
-        size = 1 << 20
-        self.shift = K.U64(44)
+        bits = max(20, (4 * len(pairs)).bit_length())
+        size, self.shift = 1 << bits, K.U64(64 - bits)
         self.slot_key = np.full(size, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.slot_rank = np.full(size, NO_RANK, np.int32)
         rank = np.arange(len(pairs), dtype=np.int32)
@@ -95,7 +155,7 @@ class ByteBpe:
         self.made = made
 
     def _rank(self, a, b):
-        key = a.astype(np.uint64) * K.U64(65536) + b.astype(np.uint64)
+        key = a.astype(np.uint64) << K.U64(32) | b.astype(np.uint64)
         at = (K.mix(key) >> self.shift).astype(np.int64)
         found = self.slot_key[at]
         out = np.where(found == key, self.slot_rank[at], NO_RANK)
@@ -257,24 +317,14 @@ class ByteBpe:
                 i = raw.find(s, i + 1)
         return sorted(found)
 
-    def _tokenizer(self):
+    def _tokenizer(self) -> Library:
         if self._library is None:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_file(self.path)
-            self._library.no_truncation()
-            self._library.no_padding()
+            self._library = Library(self.path)
         return self._library
 
-    def _by_library(self, text: bytes) -> np.ndarray:
-        return np.array(self._tokenizer().encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64)
-
     def _encoded(self, words: list[str]):
         """The library's ids of single pre-tokens: (ids, offsets)."""
-        out = [x.ids for x in self._tokenizer().encode_batch_fast(words, add_special_tokens=False)]
+        out = [x.ids for x in self._tokenizer().tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         at = np.zeros(len(out) + 1, np.int64)
         np.cumsum([len(x) for x in out], out=at[1:])
         return np.fromiter((i for x in out for i in x), np.int32, int(at[-1])), at
@@ -287,7 +337,7 @@ class ByteBpe:
             row = self._rows(data, begin, np.append(begin[1:], len(data)))
             out = K.segment_sum(np.diff(self.at)[row], np.searchsorted(begin, offsets))
         for d in self._special_texts(data, offsets):
-            out[d] = len(self._by_library(data[offsets[d] : offsets[d + 1]].tobytes()))
+            out[d] = len(self._tokenizer().ids(data[offsets[d] : offsets[d + 1]].tobytes()))
         return out
 
     def encode(self, data, offsets):
@@ -304,18 +354,20 @@ class ByteBpe:
         if odd:
             pieces = [ids[at[i] : at[i + 1]] for i in range(len(at) - 1)]
             for d in odd:
-                pieces[d] = self._by_library(data[offsets[d] : offsets[d + 1]].tobytes()).astype(ids.dtype)
+                pieces[d] = self._tokenizer().ids(data[offsets[d] : offsets[d + 1]].tobytes()).astype(ids.dtype)
             at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
             ids = np.concatenate(pieces)
         return ids, at
 
 
-_loaded: dict[tuple[str, bool], ByteBpe] = {}
+_loaded: dict[tuple[str, bool], ByteBpe | Library] = {}
 
 
-def load(path: str, library: bool = False) -> ByteBpe:
+def load(path: str, library: bool = False) -> ByteBpe | Library:
     """One per worker process."""
     key = (path, library)
     if key not in _loaded:
-        _loaded[key] = ByteBpe(path, library)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        _loaded[key] = ByteBpe(path, spec, library) if plain(spec) else Library(path)
     return _loaded[key]

@@ -115,7 +115,7 @@ def _heads(keys):
 
 
 #: What a batch tells of each of its documents.
-ENTRY = np.dtype([("doc", "<i8"), ("size", "<i8"), ("h1", "<u8"), ("h2", "<u8"), ("common", "<i4"), ("named", "?"), ("posts", "?")])
+ENTRY = np.dtype([("doc", "<i8"), ("size", "<i8"), ("h1", "<u8"), ("h2", "<u8"), ("text", "<i8"), ("common", "<i4"), ("named", "?"), ("posts", "?")])
 
 
 def _post(n: int, part_keys: np.ndarray, frequent: int):
@@ -147,9 +147,11 @@ def _post(n: int, part_keys: np.ndarray, frequent: int):
             ids = batch.column(0)
             named = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            texts = batch.column(2).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in K.chunks(batch, "text"):
                 h, doc, at = _sets(data, offsets, n)
                 entry = np.zeros(b - a, ENTRY)
+                entry["text"] = texts[a:b]
                 entry["doc"], entry["size"], entry["named"] = ids[a:b], np.diff(at), named[a:b]
                 entry["h1"], entry["h2"] = _prints(h, at)
                 for i in np.flatnonzero(entry["named"] & (entry["size"] > 0)).tolist():
@@ -230,7 +232,7 @@ def _count(part_keys: np.ndarray, frequent: int):
     return run
 
 
-SETS = "doc_id long, n_shingles long, h1 long, h2 long, singles long, rare binary, counts binary"
+SETS = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, singles long, rare binary, counts binary"
 
 
 def _judge(num: int, den: int):
@@ -252,7 +254,7 @@ def _judge(num: int, den: int):
         blob = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() if asks[i] else None for i in range(len(entry))], pa.binary())
         signed = lambda name: pa.array(np.ascontiguousarray(entry[name]).view(np.int64))
         doc = pa.array(np.ascontiguousarray(entry["doc"]), mask=~entry["named"])
-        yield pa.RecordBatch.from_arrays([doc, signed("size"), signed("h1"), signed("h2"), pa.array(singles), blob(key), blob(count)], [x.split()[0] for x in SETS.split(", ")])
+        yield pa.RecordBatch.from_arrays([doc, signed("text"), signed("size"), signed("h1"), signed("h2"), pa.array(singles), blob(key), blob(count)], [x.split()[0] for x in SETS.split(", ")])
 
     def run(batches):
         entry, rare, frequent = None, [], []
@@ -500,6 +502,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     spark = session_of(docs)
     tables = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     keys = targets(spark, partitions(spark))
     parts = len(keys)
     posted = map_arrow(docs, _post(n, keys, frequent), ROW)
@@ -509,15 +512,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     known = info.where("doc_id is not null and n_shingles > 0")
     prints = ["h1", "h2", "n_shingles"]
-    reps = tables.written(known.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.max_by(F.struct("singles", "rare", "counts"), F.col("rare").isNotNull()).alias("ask")), "jaccard-reps")
+    # a set is told by one of its rows: other texts under the same doc_id are other sets, and stay away from the join
+    first = F.min(F.struct("doc_id", "text_hash"))
+    reps = tables.written(known.groupBy(*prints).agg(first["doc_id"].alias("rep"), first["text_hash"].alias("rep_text"), F.max_by(F.struct("singles", "rare", "counts"), F.col("rare").isNotNull()).alias("ask")), "jaccard-reps")
     few = max(1, parts // 8)
     # one document of several sets joins their classes
     split = known.join(reps.select(*prints, "rep"), prints).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
     split = known.join(reps.select(*prints, "rep"), prints).join(split, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
     split = tables.written(split.distinct().coalesce(few), "jaccard-split")
 
-    asks = reps.where("ask.rare is not null").select(F.col("rep").alias("doc_id"), *prints, "ask.*")
-    sets = map_arrow(docs.join(asks, "doc_id"), _prefixes(n, num, den, parts), "doc_id long, h1 long, size long, items binary, posts binary")
+    asks = reps.where("ask.rare is not null").select(F.col("rep").alias("doc_id"), F.col("rep_text").alias("text_hash"), *prints, "ask.*")
+    sets = map_arrow(docs.join(asks, ["doc_id", "text_hash"]), _prefixes(n, num, den, parts), "doc_id long, h1 long, size long, items binary, posts binary")
     sets = tables.written(sets.dropDuplicates(["doc_id", "h1"]), "jaccard-asking")  # rows may repeat
     found = map_arrow(sets.select("doc_id", "size", "posts"), _candidates(num, den, keys), "part int, keys binary, ids binary")
     stars = map_arrow(found.repartition(parts, "part"), _stars, "a long, b long")

@@ -1,8 +1,8 @@
 """Token counts of every whole text under a public vocabulary file.
 
-A map over the rows: nothing is shuffled. ``.json`` byte-level BPE files are
-counted by rank-synchronous array merging (see ``bpe``); other files go to their
-own library (tokenizers for .json, sentencepiece for .model).
+A map over the rows: nothing is shuffled. Plain byte-level BPE files
+(.json) are counted by rank-synchronous array merging (see ``bpe``); other files go to
+their own library (tokenizers for .json, sentencepiece for .model).
 
 Defined cases: null text counts as empty (0 tokens); equal rows count alike;
 null doc_ids and other columns pass or are ignored.
@@ -10,8 +10,6 @@ null doc_ids and other columns pass or are ignored.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,30 +20,10 @@ from . import kernels as K
 from .spark import map_arrow
 
 
-def _is_byte_bpe(path: str) -> bool:
-    if not path.endswith(".json"):
-        return False
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre = spec.get("pre_tokenizer") or {}
-    return spec["model"].get("type") == "BPE" and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
-
-
 def counter(path: str):
     """(data, offsets) -> tokens of each text."""
-    if _is_byte_bpe(path):
-        return bpe.load(path).count
     if path.endswith(".json"):
-        from tokenizers import Tokenizer
-
-        lib = Tokenizer.from_file(path)
-        lib.no_truncation()
-        lib.no_padding()
-
-        def split(data, offsets):
-            return [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-
-        return lambda data, offsets: np.array([len(lib.encode(t, add_special_tokens=False).ids) for t in split(data, offsets)], np.int64)
+        return bpe.load(path).count
     from sentencepiece import SentencePieceProcessor
 
     piece = SentencePieceProcessor(model_file=path)

@@ -276,3 +276,87 @@ def test_tables_of_a_call_go(spark, tmp_path):
     assert frame.count() == 3 and tables.held
     tables.drop()
     assert not tables.held
+
+
+def test_many_texts_of_one_id(spark):
+    """Different texts under one doc_id are other sets: the join that fetches texts grows with the rows."""
+    from scenalyx.llm.jaccard_join import jaccard_components
+
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(7, f"{passage} " + " ".join(f"r{k}w{i}" for i in range(3))) for k in range(2000)] + [(7, "equal rows of one id " * 5)] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = jaccard_components(df).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {7}
+    joined = spark_join_rows(spark)
+    assert max(joined) >= len(rows) and max(joined) <= 20 * len(rows)
+
+
+def spark_join_rows(spark):
+    """Output rows of the joins of all executions that the session has kept."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    out = []
+    for e in range(store.executionsCount()):
+        run = store.executionsList().apply(e)
+        metrics = store.executionMetrics(run.executionId())
+        nodes = store.planGraph(run.executionId()).allNodes()
+        for k in range(nodes.size()):
+            node = nodes.apply(k)
+            if "Join" in node.name():
+                for m in range(node.metrics().size()):
+                    metric = node.metrics().apply(m)
+                    found = metrics.get(metric.accumulatorId())
+                    if metric.name() == "number of output rows" and found.isDefined():
+                        out.append(int(str(found.get()).replace(",", "")))
+    return out
+
+
+# --- vocabulary files ----------------------------------------------------------------------------
+
+
+def vocabulary(tmp_path, name, extra=0, merges=(), added=(), **model):
+    """A byte-level file: ``extra`` unused tokens first, so that ids may pass 65,536."""
+    import json
+
+    from scenalyx.llm import bpe
+
+    vocab = {f"unused{i}": i for i in range(extra)}
+    for token in [*bpe.byte_letters(), *(a + b for a, b in merges)]:
+        vocab.setdefault(token, len(vocab))
+    tokens = [{"id": len(vocab) + k, "content": t, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": special} for k, (t, special) in enumerate(added)]
+    spec = {"version": "1.0", "added_tokens": tokens, "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "post_processor": None, "decoder": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}
+    spec["model"] = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": vocab, "merges": [f"{a} {b}" for a, b in merges]} | model
+    path = tmp_path / f"{name}.json"
+    path.write_text(json.dumps(spec))
+    return str(path)
+
+
+MERGES = [("d", "e"), ("a", "b"), ("ab", "c"), ("de", "de"), ("x", "f")]
+WIDE = [(chr(97 + i % 26), chr(97 + i // 26)) for i in range(26 * 26)]
+
+
+@pytest.mark.parametrize(
+    ("name", "given", "is_plain"),
+    [
+        ("plain", dict(merges=MERGES), True),
+        ("wide", dict(extra=65_500, merges=WIDE), True),
+        ("added", dict(merges=MERGES, added=[("foo", False), ("<end>", True)]), True),
+        ("whole", dict(merges=MERGES, ignore_merges=True), False),
+        ("suffix", dict(merges=[], end_of_word_suffix="</w>"), False),
+        ("late part", dict(merges=[("ab", "c"), ("a", "b"), ("b", "c")]), False),
+    ],
+)
+def test_counts_equal_the_library(spark, tmp_path, name, given, is_plain):
+    import json
+
+    from scenalyx.llm import bpe
+    from scenalyx.llm.token_count import token_counts
+    from tokenizers import Tokenizer
+
+    path = vocabulary(tmp_path, name, **given)
+    assert bpe.plain(json.loads(open(path).read())) == is_plain
+    rng = np.random.default_rng(3)
+    texts = ["de", "xfoo", "foo<end> de", "dedede abcabc", "", None] + ["".join(rng.choice(list("abcdefoxz <>é"), 60)) for _ in range(60)]
+    library = Tokenizer.from_file(path)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_tokens for r in token_counts(df, path).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}

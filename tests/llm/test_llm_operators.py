@@ -222,7 +222,7 @@ def test_token_counts(docs, empty):
 
 @pytest.mark.parametrize("library", [False, True])
 def test_bpe_fuzz(library):
-    lib, own = Tokenizer.from_file(PATH), bpe.ByteBpe(PATH, library)
+    lib, own = Tokenizer.from_file(PATH), bpe.load(PATH, library)
     rng = np.random.default_rng(9)
     pool = [*"abst'rvmle  \n\t\r\x85\xa0é漢😀٣12!?.-", "'s", "'ll", "  ", "<|endoftext|>", " the", "aaa"]
     texts = ["".join(rng.choice(pool, rng.integers(0, 40))) for _ in range(2000)]
