@@ -12,15 +12,17 @@ autocovariance of lag 1 and more; no rows give no rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import hash32, t_two_sided
-from ..runtime import cut
+from ..runtime import cut, ship
 from . import checks
-
-#: Samples that one row of the bootstrap makes: a contrast's samples are dealt over tasks.
-SAMPLES_A_ROW = 250
+from .ordered import BLOCK, haloed, placed
+from .resampling import BUCKET, block_sums
 
 
 def paired(scores: DataFrame, focal: str, metric: str) -> DataFrame:
@@ -32,38 +34,67 @@ def paired(scores: DataFrame, focal: str, metric: str) -> DataFrame:
     return b.join(a, "date").select("benchmark", "date", (F.col("a") - F.col("b")).alias("diff"))
 
 
-def usable(diff: DataFrame, keys: list[str], within: list[str] | None) -> DataFrame:
-    """Without segments of one observation, which have no dependence to show."""
-    if not within:
-        return diff
-    return diff.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy(*keys, *within))).where("own > 1").drop("own")
-
-
 def auto_lag(n: Column) -> Column:
     """floor(4 (n / 100)^(2/9))."""
     return F.floor(4 * F.pow(n / 100.0, F.lit(2.0 / 9.0))).cast("int")
 
 
-def centred(diff: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
-    """c (from the contrast's mean), n, mean, shortest (rows of the shortest segment), rn (place in its segment)."""
-    w, seg = Window.partitionBy(*keys), Window.partitionBy(*keys, *(within or []))
-    d = diff.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("mean", F.avg("diff").over(w)).withColumn("own", F.count(F.lit(1)).over(seg))
-    return d.withColumn("c", F.col("diff") - F.col("mean")).withColumn("shortest", F.min("own").over(w)).withColumn("rn", F.row_number().over(seg.orderBy("date"))).drop("own")
+def segments(diff: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
+    """(keys, within, own, total): rows and sum of every segment."""
+    return diff.groupBy(*keys, *(within or [])).agg(F.count(F.lit(1)).alias("own"), F.sum("diff").alias("total"))
+
+
+def contrasts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mean, shortest) of segments: rows, mean, and rows of the shortest segment."""
+    return parts.groupBy(*keys).agg(F.sum("own").alias("n"), (F.sum("total") / F.sum("own")).alias("mean"), F.min("own").alias("shortest"))
+
+
+#: Lags beyond which products are taken by a transform, in n log n.
+FEW_LAGS = 48
+
+
+def lagged_products(c: np.ndarray, own: int, lags: int) -> np.ndarray:
+    """Sums of c[t] c[t + lag] over the first ``own`` places t, for lags 0 to ``lags``; c goes on behind them."""
+    if lags <= FEW_LAGS:
+        return np.array([c[: max(0, min(own, len(c) - k))] @ c[k : k + own] for k in range(lags + 1)])
+    size = 1 << (len(c) + own).bit_length()
+    both = np.fft.irfft(np.conj(np.fft.rfft(c[:own], size)) * np.fft.rfft(c, size), size)
+    out = np.zeros(lags + 1)
+    out[: len(c)] = both[: min(lags + 1, len(c))]
+    return out
+
+
+def _block_products(keys: list[str]):
+    def fn(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("rn")
+        lags = int(block["lags"].iloc[0])
+        found = lagged_products(block["diff"].to_numpy() - block["mean"].iloc[0], int(block["own"].sum()), lags)
+        return pd.DataFrame({k: [block[k].iloc[0]] * (lags + 1) for k in keys} | {"lag": np.arange(lags + 1), "s": found})
+
+    return fn
 
 
 def autocovariance(diff: DataFrame, keys: list[str], lags: int | Column, within: list[str] | None = None) -> DataFrame:
     """(keys, lag, acov, n, mean, shortest): products never cross the segments of ``within``; centred on the contrast's mean.
 
-    ``lags`` may depend on n and shortest. A row meets the one ``lag`` places before by an equi-join on its place.
+    ``lags`` may depend on n and shortest. A segment is dealt into blocks of consecutive
+    rows, at least four times as long as the lags reach, that each know the first rows
+    of the next; a block makes the products of all lags at once. So rows are shuffled
+    in proportion to n, whatever the lags.
     """
     seg = [*keys, *(within or [])]
-    c = centred(usable(diff, keys, within), keys, within)
+    parts = segments(diff, keys, within)
+    # segments of one observation have no dependence to show
+    parts = cut(parts.where("own > 1") if within else parts)
     last = F.lit(lags) if isinstance(lags, int) else lags
-    early = c.select(*seg, F.col("rn").alias("at"), F.col("c").alias("b"))
-    late = c.withColumn("lag", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int")))).withColumn("at", F.col("rn") - F.col("lag"))
-    both = late.join(early, [*seg, "at"], "left")
-    one = lambda name: F.max(name).alias(name)
-    return both.groupBy(*keys, "lag").agg((F.sum(F.coalesce(F.col("c") * F.col("b"), F.lit(0.0))) / F.max("n")).alias("acov"), one("n"), one("mean"), one("shortest"))
+    stats = cut(contrasts(parts, keys).withColumn("lags", F.greatest(last, F.lit(0)).cast("int")))
+    rows = diff.select(*seg, "date", F.col("diff").cast("double").alias("diff")).join(parts.select(*seg), seg, "left_semi")
+    rows = placed(rows, seg, ["date"]).join(stats.select(*keys, "mean", "lags"), keys)
+    blocks = haloed(rows, seg, "rn", F.greatest(F.lit(BLOCK), 4 * F.col("lags")), F.col("lags"))
+    ship(diff.sparkSession)
+    schema = T.StructType([*(diff.schema[k] for k in keys), T.StructField("lag", T.IntegerType()), T.StructField("s", T.DoubleType())])
+    sums = blocks.groupBy(*seg, "block_no").applyInPandas(_block_products(keys), schema).groupBy(*keys, "lag").agg(F.sum("s").alias("s"))
+    return sums.join(stats, keys).select(*keys, "lag", (F.col("s") / F.col("n")).alias("acov"), "n", "mean", "shortest")
 
 
 def newey_west(diff: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
@@ -123,7 +154,7 @@ def resolved_blocks(diff: DataFrame, keys: list[str], within: list[str] | None =
     Series too short for the automatic rule take the fallback.
     """
     if fixed is not None:
-        size = centred(diff, keys, within).groupBy(*keys).agg(F.min("shortest").alias("shortest"))
+        size = contrasts(segments(diff, keys, within), keys)
         block = F.least(F.lit(max(1, fixed)), F.col("shortest")).cast("int")
         return size.select(*keys, block.alias("block"), F.lit(None).cast("double").alias("raw"), F.lit(False).alias("capped"))
     found = block_length(diff, keys, within)
@@ -141,32 +172,15 @@ def block_starts(diff: DataFrame, keys: list[str], blocks: DataFrame, samples: i
     return each.select(*seg, "sample", "block", start.alias("start"), F.least(F.col("size"), F.col("n") - F.col("block") * F.col("size")).alias("take"))
 
 
-def block_means(diff: DataFrame, keys: list[str], blocks: DataFrame, samples: int, seed: int, within: list[str] | None = None, stream: list[str] | None = None) -> DataFrame:
+def block_means(diff: DataFrame, keys: list[str], blocks: DataFrame, samples: int, seed: int, within: list[str] | None = None, stream: list[str] | None = None, bucket: int = BUCKET) -> DataFrame:
     """(keys, sample, mean) of a moving-block bootstrap in which blocks stay in their segments, and segments keep their lengths.
 
-    A segment is one row of prefix sums per ``SAMPLES_A_ROW`` samples; every sample adds up its blocks within the row,
-    so what grows with samples x blocks is never a table. ``stream`` names the keys that draw apart from one another.
+    Blocks are summed by look-ups in running sums (see ``resampling``), so what grows
+    with samples x blocks is never a table. ``stream`` names the keys that draw apart from one another.
     """
     seg = [*keys, *(within or [])]
-    w = Window.partitionBy(*seg).orderBy("date")
-    pre = diff.withColumn("rn", F.row_number().over(w) - 1).withColumn("cum", F.sum("diff").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    packed = pre.groupBy(*seg).agg(F.concat(F.array(F.lit(0.0)), F.transform(F.sort_array(F.collect_list(F.struct("rn", "cum"))), lambda s: s["cum"])).alias("cum"), F.count(F.lit(1)).cast("int").alias("n"))
-    size = F.greatest(F.least(F.col("block"), F.col("n")), F.lit(1))
-    packed = packed.join(blocks.select(*keys, "block"), keys).withColumn("size", size).withColumn("last", (F.ceil(F.col("n") / F.col("size")) - 1).cast("int"))
-    rows = packed.withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(SAMPLES_A_ROW))))
-    tag = [F.col(k).cast("string") for k in [*(stream or []), *(within or [])]]
-
-    def total(sample: Column) -> Column:
-        def add(acc: Column, block: Column) -> Column:
-            start = F.pmod(hash32(seed, "block", *tag, sample, block), F.col("n") - F.col("size") + 1)
-            take = F.least(F.col("size"), F.col("n") - block * F.col("size"))
-            return acc + F.element_at("cum", (start + take + 1).cast("int")) - F.element_at("cum", (start + 1).cast("int"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.col("last")), F.lit(0.0), add)
-
-    own = F.sequence(F.col("low"), F.least(F.col("low") + SAMPLES_A_ROW, F.lit(samples)) - 1)
-    sums = rows.select(*keys, "n", F.explode(F.transform(own, lambda s: F.struct(s.alias("sample"), total(s).alias("sum")))).alias("e"))
-    return sums.groupBy(*keys, F.col("e.sample").alias("sample")).agg((F.sum("e.sum") / F.sum("n")).alias("mean"))
+    sums = block_sums(diff, seg, ["date"], {"sum": F.col("diff")}, blocks, keys, samples, seed, "block", [*(stream or []), *(within or [])], bucket)
+    return sums.groupBy(*keys, "sample").agg((F.sum("sum") / F.sum("n")).alias("mean"))
 
 
 def bootstrap_ci(diff: DataFrame, means: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import checks
+from .resampling import block_sums
+from .scoring import expected_shortfall
 
 
 def inverse_weights(var: Column, over) -> Column:
@@ -103,10 +105,7 @@ def metrics(ledger: DataFrame, per_year: float = 252.0) -> DataFrame:
 
 def tail_mean(scen: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """(keys, lower_es) of (keys, date, p, x): the lower tail of mass alpha, with the fraction of the scenario that alpha cuts."""
-    w = Window.partitionBy(*keys).orderBy("x", "date")
-    c = scen.withColumn("cum", F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    take = F.greatest(F.lit(0.0), F.least(F.col("p"), F.lit(alpha) - (F.col("cum") - F.col("p"))))
-    return c.groupBy(*keys).agg((F.sum(F.col("x") * take) / F.lit(alpha)).alias("lower_es"))
+    return expected_shortfall(scen, keys, alpha).withColumnRenamed("es", "lower_es")
 
 
 def diagnostics(weights: DataFrame, scen: DataFrame, alpha: float = 0.05, risk_free: float = 0.0) -> DataFrame:
@@ -124,44 +123,24 @@ def diagnostics(weights: DataFrame, scen: DataFrame, alpha: float = 0.05, risk_f
 def sharpe_bootstrap(returns: DataFrame, pairs: DataFrame, block: int, samples: int, seed: int, per_year: float = 252.0, level: float = 0.95) -> DataFrame:
     """(portfolio, design, benchmark, difference, ci_low, ci_high, pvalue): both series of a pair take the same blocks.
 
-    ``returns`` is (portfolio, date, r), ``pairs`` (portfolio, design, benchmark). Block sums of r and r^2 come from prefix
-    sums of each pair's packed series; percentile interval, add-one p-value of the distance from the observed difference.
+    ``returns`` is (portfolio, date, r), ``pairs`` (portfolio, design, benchmark). Block sums of r and r^2 come from
+    running sums of each pair's series; percentile interval, add-one p-value of the distance from the observed difference.
     """
-    from ..functions.expr import hash32
-    from .inference import SAMPLES_A_ROW
-
     a = returns.select("portfolio", "date", F.col("r").alias("a"))
     b = returns.select(F.col("portfolio").alias("benchmark"), "date", F.col("r").alias("b"))
     keys = ["portfolio", "design", "benchmark"]
     both = pairs.join(a, "portfolio").join(b, ["benchmark", "date"])
-    w = Window.partitionBy(*keys).orderBy("date")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    sums = [F.sum(x).over(upto) for x in (F.col("a"), F.col("a") * F.col("a"), F.col("b"), F.col("b") * F.col("b"))]
-    pre = both.select(*keys, F.row_number().over(w).alias("rn"), F.array(*sums).alias("s"))
-    zero = F.array(F.array(*[F.lit(0.0)] * 4))
-    packed = pre.groupBy(*keys).agg(F.concat(zero, F.transform(F.sort_array(F.collect_list(F.struct("rn", "s"))), lambda e: e["s"])).alias("cum"), F.count(F.lit(1)).cast("int").alias("n"))
-    packed = packed.withColumn("size", F.least(F.lit(block), F.col("n"))).withColumn("last", (F.ceil(F.col("n") / F.col("size")) - 1).cast("int"))
+    moments = {"a1": F.col("a"), "a2": F.col("a") * F.col("a"), "b1": F.col("b"), "b2": F.col("b") * F.col("b")}
 
     def ratio(one: Column, two: Column) -> Column:
         mean = one / F.col("n")
         sd = F.sqrt(F.greatest((two - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))
         return F.when(sd > 1e-12, F.try_divide(mean, F.when(sd > 1e-12, sd))).otherwise(0.0) * per_year**0.5
 
-    def difference(s: Column) -> Column:
-        return ratio(s[0], s[1]) - ratio(s[2], s[3])
-
-    def drawn(sample: Column) -> Column:
-        def add(acc: Column, nth: Column) -> Column:
-            start = F.pmod(hash32(seed, "sharpe", sample, nth), F.col("n") - F.col("size") + 1)
-            take = F.least(F.col("size"), F.col("n") - nth * F.col("size"))
-            high, low = F.element_at("cum", (start + take + 1).cast("int")), F.element_at("cum", (start + 1).cast("int"))
-            return F.array(*[acc[k] + high[k] - low[k] for k in range(4)])
-
-        return difference(F.aggregate(F.sequence(F.lit(0), F.col("last")), F.array(*[F.lit(0.0)] * 4), add))
-
-    rows = packed.withColumn("seen", difference(F.element_at("cum", -1))).withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(SAMPLES_A_ROW))))
-    own = F.sequence(F.col("low"), F.least(F.col("low") + SAMPLES_A_ROW, F.lit(samples)) - 1)
-    each = rows.select(*keys, "seen", F.explode(F.transform(own, drawn)).alias("d"))
+    difference = ratio(F.col("a1"), F.col("a2")) - ratio(F.col("b1"), F.col("b2"))
+    seen = both.groupBy(*keys).agg(*(F.sum(v).alias(c) for c, v in moments.items()), F.count(F.lit(1)).alias("n")).select(*keys, difference.alias("seen"))
+    draws = block_sums(both, keys, ["date"], moments, pairs.select(*keys).distinct().withColumn("block", F.lit(block)), keys, samples, seed, "sharpe", [])
+    each = draws.select(*keys, difference.alias("d")).join(seen, keys)
     far = F.round(F.abs(F.col("d") - F.col("seen")), 9) >= F.round(F.abs("seen"), 9)
     return each.groupBy(*keys).agg(
         F.max("seen").alias("difference"),

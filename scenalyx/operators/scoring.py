@@ -1,4 +1,4 @@
-"""Proper scores, tail measures, coverage tests and calibration as window plans.
+"""Proper scores, tail measures, coverage tests and calibration from sums over sorted values.
 
 Scenarios are (model, asset, date, p, x), observations (asset, date, y). Defined
 cases: equal scenario values share their probability at that value; an observation
@@ -9,14 +9,15 @@ observations without scenarios, have no scores; no rows give no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import value_sums
+
 
 def cumulative(scen: DataFrame, keys: list[str]) -> DataFrame:
-    """cum: probability up to and with each scenario in order of x (dates break ties)."""
-    w = Window.partitionBy(*keys).orderBy("x", "date")
-    return scen.withColumn("cum", F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """(keys, x, p, cum): each distinct value with its probability and that up to and with it."""
+    return value_sums(scen, keys, "x", {"p": F.col("p")}).select(*keys, "x", "p", F.col("p_upto").alias("cum"))
 
 
 def value_at_risk(scen: DataFrame, keys: list[str], alpha: float) -> DataFrame:
@@ -26,36 +27,50 @@ def value_at_risk(scen: DataFrame, keys: list[str], alpha: float) -> DataFrame:
 
 def expected_shortfall(scen: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """Mean of the lower tail of mass alpha, with the fraction of the scenario that alpha cuts."""
-    c = cumulative(scen, keys)
-    take = F.greatest(F.lit(0.0), F.least(F.col("p"), F.lit(alpha) - (F.col("cum") - F.col("p"))))
-    return c.groupBy(*keys).agg((F.sum(F.col("x") * take) / F.lit(alpha)).alias("es"))
+    return cumulative(scen, keys).groupBy(*keys).agg(_tail_mean(alpha).alias("es"))
 
 
-def ranked(scen: DataFrame, obs: DataFrame) -> DataFrame:
-    """One window over scenarios and observations together: per (model, asset, observation date) F(y), F(y-) and S(y).
+def tail(scen: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """(keys, var, es): both of one pass over the sorted values."""
+    reached = F.when(F.round("cum", 12) >= alpha, F.col("x"))
+    return cumulative(scen, keys).groupBy(*keys).agg(F.min(reached).alias("var"), _tail_mean(alpha).alias("es"))
 
-    Replaces the scenarios x observations product: both sides are sorted once.
-    """
+
+def _tail_mean(alpha: float) -> Column:
+    """Over (x, p, cum); a value that several scenarios share is cut like one of their joint probability."""
+    take = F.greatest(F.lit(0.0), F.least(F.col("p"), F.lit(alpha) - (F.col("cum") - F.col("p"))))
+    return F.sum(F.col("x") * take) / F.lit(alpha)
+
+
+def distribution(scen: DataFrame, obs: DataFrame) -> DataFrame:
+    """(model, asset, y, p, px, f, s): every value of scenarios and observations with its own and all lower probability, and their sums of p x."""
     models = scen.select("model").distinct()
-    y = obs.join(F.broadcast(models)).select("model", "asset", "date", F.col("y").alias("v"), F.lit(0.0).alias("p"), F.lit(0.0).alias("px"), F.lit(1).alias("o"))
-    x = scen.select("model", "asset", "date", F.col("x").alias("v"), "p", (F.col("p") * F.col("x")).alias("px"), F.lit(0).alias("o"))
-    both = x.unionByName(y)
-    w = Window.partitionBy("model", "asset")
-    upto = w.orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("f", F.sum("p").over(upto)).withColumn("s", F.sum("px").over(upto)).withColumn("at", F.sum("p").over(Window.partitionBy("model", "asset", "v"))).withColumn("total", F.sum("px").over(w))
-    return both.where("o = 1").select("model", "asset", "date", F.col("v").alias("y"), "f", (F.col("f") - F.col("at")).alias("f_below"), "s", "total")
+    y = obs.join(F.broadcast(models)).select("model", "asset", "y", F.lit(0.0).alias("p"), F.lit(0.0).alias("px"))
+    x = scen.select("model", "asset", F.col("x").alias("y"), "p", (F.col("p") * F.col("x")).alias("px"))
+    d = value_sums(x.unionByName(y), ["model", "asset"], "y", {"p": F.col("p"), "px": F.col("px")})
+    return d.withColumnsRenamed({"p_upto": "f", "px_upto": "s"})
+
+
+def _at_observations(d: DataFrame, obs: DataFrame) -> DataFrame:
+    total = d.groupBy("model", "asset").agg(F.sum("px").alias("total"))
+    return obs.select("asset", "date", "y").join(d, ["asset", "y"]).join(total, ["model", "asset"]).select("model", "asset", "date", "y", "f", (F.col("f") - F.col("p")).alias("f_below"), "s", "total")
 
 
-def pair_term(scen: DataFrame) -> DataFrame:
-    """Half the expected distance of two scenarios, once per model and asset, from prefix sums."""
-    w = Window.partitionBy("model", "asset").orderBy("x", "date").rowsBetween(Window.unboundedPreceding, -1)
-    d = scen.withColumn("below", F.coalesce(F.sum("p").over(w), F.lit(0.0))).withColumn("px_below", F.coalesce(F.sum(F.col("p") * F.col("x")).over(w), F.lit(0.0)))
-    return d.groupBy("model", "asset").agg(F.sum(F.col("p") * (F.col("x") * F.col("below") - F.col("px_below"))).alias("half"))
+def ranked(scen: DataFrame, obs: DataFrame) -> DataFrame:
+    """Per (model, asset, observation date): F(y), F(y-), S(y) and the mean.
+
+    Replaces the scenarios x observations product: the values of both sides are sorted
+    once, in ranges, and observations look theirs up.
+    """
+    return _at_observations(distribution(scen, obs), obs)
 
 
 def crps(scen: DataFrame, obs: DataFrame) -> DataFrame:
-    """(model, asset, date, crps)."""
-    r = ranked(scen, obs).join(pair_term(scen), ["model", "asset"])
+    """(model, asset, date, crps); the half expected distance of two scenarios is a sum over the same sorted values."""
+    d = distribution(scen, obs)
+    below = F.col("y") * (F.col("f") - F.col("p")) - (F.col("s") - F.col("px"))
+    half = d.groupBy("model", "asset").agg(F.sum(F.col("p") * below).alias("half"))
+    r = _at_observations(d, obs).join(half, ["model", "asset"])
     first = F.col("y") * (2 * F.col("f") - 1) + F.col("total") - 2 * F.col("s")
     return r.select("model", "asset", "date", (first - F.col("half")).alias("crps"))
 
@@ -135,7 +150,7 @@ def marginal_table(scen: DataFrame, obs: DataFrame, alpha: float) -> DataFrame:
     keys = ["model", "asset"]
     h = hits(scen, obs, alpha)
     out = crps(scen, obs).groupBy(*keys).agg(F.avg("crps").alias("crps"))
-    for part in (value_at_risk(scen, keys, alpha), expected_shortfall(scen, keys, alpha), kupiec(h, alpha), christoffersen(h).select(*keys, "lr_ind")):
+    for part in (tail(scen, keys, alpha), kupiec(h, alpha), christoffersen(h).select(*keys, "lr_ind")):
         out = out.join(part, keys)
     cc = F.col("lr_uc") + F.col("lr_ind")
     return out.select(*keys, "crps", "var", "es", "n", "hits", (F.col("hits") / F.col("n")).alias("rate"), "lr_uc", chi2_tail(F.col("lr_uc")).alias("p_uc"), "lr_ind", chi2_tail(F.col("lr_ind")).alias("p_ind"), cc.alias("lr_cc"), F.exp(-cc / 2).alias("p_cc"))

@@ -11,6 +11,7 @@ from ..operators import moments as M
 from ..operators import panel as P
 from ..operators import portfolio as B
 from ..operators import scoring as S
+from ..operators.ordered import value_sums
 from ..runtime import cut
 from ..sources.tables import keep_last, table
 from . import oracle_base as O
@@ -328,9 +329,10 @@ def pit_dispersion(spark, d):
 
 @query("ks_statistic", f"SELECT model, asset, {R('ks')} FROM (SELECT model, asset, max(greatest(rn / n - u, u - (rn - 1) / n)) AS ks FROM (SELECT *, row_number() OVER (PARTITION BY model, asset ORDER BY u, date)::DOUBLE AS rn, count(*) OVER (PARTITION BY model, asset) AS n FROM pit) GROUP BY 1, 2)")
 def ks_statistic(spark, d):
-    w = Window.partitionBy("model", "asset")
-    u = _pit(spark, d).withColumn("rn", F.row_number().over(w.orderBy("u", "date"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return _r(u.groupBy("model", "asset").agg(F.max(F.greatest(F.col("rn") / F.col("n") - F.col("u"), F.col("u") - (F.col("rn") - 1) / F.col("n"))).alias("ks")))
+    u = value_sums(_pit(spark, d), ["model", "asset"], "u", {"own": F.lit(1.0)})
+    n = u.groupBy("model", "asset").agg(F.max("own_upto").alias("n"))
+    above, below = F.col("own_upto") / F.col("n") - F.col("u"), F.col("u") - (F.col("own_upto") - F.col("own")) / F.col("n")
+    return _r(u.join(n, ["model", "asset"]).groupBy("model", "asset").agg(F.max(F.greatest(above, below)).alias("ks")))
 
 
 # inference

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextmanager
+def owned_checkpoints(spark: SparkSession):
+    """Checkpoints made in this block are deleted once no frame on this driver reads them.
+
+    Spark looks at the setting when it makes a checkpoint, so others are left as the
+    deployment wants them.
+    """
+    key, conf = "spark.cleaner.referenceTracking.cleanCheckpoints", spark.sparkContext._jsc.sc().conf()
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A table that several branches of a plan read: made once, in the shared folder, with its lineage cut."""
+    """A table that several branches of a plan read: made once, in the shared folder, with its lineage cut.
+
+    Its files go when the frame and all that was made from it do.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with owned_checkpoints(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def partitions(spark: SparkSession) -> int:
+    """Shuffle width: a setting of the deployment, in proportion to its input."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
