@@ -18,9 +18,12 @@ sources and layouts say nothing of it. A document stays if it is good and not to
 
 Bounds: at most ``max_labelled`` labelled ids for each target, those of smallest
 hash and of each the row of smallest text hash, are gathered for fitting (a
-documented parameter that does not grow with the corpus), and at most eight times
-``per_round`` pseudo-labelled rows a round. Rounds and scoring are maps over all
-rows; texts never move.
+documented parameter that does not grow with the corpus), of these as many as have
+``max_bytes`` of features, and at most eight times ``per_round`` pseudo-labelled rows
+a round, with as many bytes at most. No document with a label, gathered or not, is
+given a pseudo-label: their ids go to all tasks up to ``BROADCAST_IDS`` (8 bytes each);
+of more, the documents' ids are joined by a shuffle. Rounds and scoring are maps over
+all rows; texts do not move unless by that shuffle.
 
 Defined cases: a text without words scores 0, is rejected and teaches nothing; null
 source, language and doc_id are values like others; a doc_id with several labels
@@ -41,7 +44,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +57,10 @@ TEXT_SIZE = (1 << BITS) + (1 << 12) + 1
 SOURCES, LANGS, NUMBERS = 64, 16, 9
 META_SIZE = SOURCES + LANGS + NUMBERS
 MARK_BITS, MARKS, EVIDENCE = 18, 4096, 14.0
+#: Share of held-out rows on which a view has to be right where it is as sure, and how many rows show it.
+TRUST, SHOWN = 0.98, 12
+BROADCAST_IDS = 4_000_000
+MAX_BYTES = 256 << 20
 BEGINNINGS = (3, 4, 5, 6, 8)
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -273,6 +281,7 @@ class Target:
         self.mean, self.scale = numbers.mean(0), numbers.std(0) + 1e-6
         self.taught: tuple[dict[int, float], dict[int, float]] = ({}, {})
         self.seen: set[int] = set()
+        self.ended = False
         self.fit()
 
     def teach(self, view: int, label: float, rows: list) -> None:
@@ -306,12 +315,48 @@ class Target:
             w = np.concatenate([np.ones(len(base)), np.full(len(extra), 0.5)])  # pseudo-labels weigh half
             self.fitted.append(fit_logistic(self.views[v].take(index), y, w))
 
+    def _checked(self) -> np.ndarray:
+        return np.flatnonzero(self.held) if self.held.any() else np.arange(self.known)
+
+    def _odds(self, view: int) -> np.ndarray:
+        """Log-odds of the labelled rows that check what was learned."""
+        w, b = self.fitted[view]
+        return self.views[view].times(w)[self._checked()] + b
+
+    def trusted(self, view: int, label: int) -> float:
+        """The least sureness from which on the view was right about TRUST of the held-out rows it gives this label."""
+        p = 1 / (1 + np.exp(-np.clip(self._odds(view) * (1 if label else -1), -30, 30)))
+        order = np.argsort(-p, kind="stable")
+        right = np.cumsum(self.label[self._checked()][order] == label) / np.arange(1, len(order) + 1)
+        enough = np.flatnonzero((right >= TRUST) & (np.arange(1, len(order) + 1) >= SHOWN))
+        return float(p[order][enough[-1]]) if len(enough) else np.inf
+
+    def loss(self) -> float:
+        """Log-loss of the joint, calibrated odds on held-out rows."""
+        y, model = self.label[self._checked()], self.model()
+        z = [np.clip(s * self._odds(v) + t, -30, 30) for v, (s, t) in enumerate(model.calibration)]
+        joint = (z[0] + z[1]) / 2 if self.marks is None else z[0] + z[1] - np.log(model.prior / (1 - model.prior))
+        return float(np.logaddexp(0, np.where(y > 0, -joint, joint)).mean())
+
+    def exchange(self, chosen: dict[tuple[int, int], list]) -> None:
+        """Teach each view what the other is most sure of, by (view, label), and keep that if held-out rows do not speak against it."""
+        before, state = self.loss(), (list(self.rows), tuple(dict(t) for t in self.taught), self.views, self.fitted)
+        trusted = {at: self.trusted(*at) for at in chosen}
+        for (view, label), rows in chosen.items():
+            self.teach(1 - view, float(label), [r["x"] for r in rows if r["x"]["sure"] >= trusted[view, label]])
+        if len(self.rows) == len(state[0]):
+            self.ended = True
+            return
+        self.fit()
+        if self.loss() > before:
+            self.rows, self.taught, self.views, self.fitted = state
+            self.ended = True
+
     def model(self, calibrated: bool = True) -> Model:
         if self.constant is not None:
             return Model(None, None, None, None, None, self.constant, marks=self.marks)
-        check = np.flatnonzero(self.held) if self.held.any() else np.arange(self.known)
-        same = (1.0, 0.0)
-        calibration = [_calibrate(self.views[v].times(self.fitted[v][0])[check] + self.fitted[v][1], self.label[check]) if calibrated else same for v in (0, 1)]
+        y = self.label[self._checked()]
+        calibration = [_calibrate(self._odds(v), y) if calibrated else (1.0, 0.0) for v in (0, 1)]
         return Model(*self.fitted, self.mean, self.scale, calibration, prior=float(self.label.mean()), marks=self.marks)
 
 
@@ -354,10 +399,17 @@ def _toxic_score(model: Model | None, chosen, data, offsets, meta):
     return 1 / (1 + np.exp(-np.clip(z[0] + z[1] - np.log(model.prior / (1 - model.prior)), -30, 30)))
 
 
+def _within(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted ids."""
+    if not len(ids):
+        return np.zeros(len(x), bool)
+    return ids[np.minimum(np.searchsorted(ids, x), len(ids) - 1)] == x
+
+
 SUREST = f"combo int, sure double, print long, {FEATURES}"
 
 
-def _surest(models: list[Model | None], most: int, sure: float, ids: np.ndarray, taught: set[int]):
+def _surest(models: list[Model | None], most: int, sure: float, ids: Broadcast, taught: set[int]):
     """Of every (target, view, label), the texts without a label of which a task is most sure, with their features."""
 
     def run(batches):
@@ -367,7 +419,7 @@ def _surest(models: list[Model | None], most: int, sure: float, ids: np.ndarray,
         floor = dict.fromkeys(best, sure)
         for batch in batches:
             doc_ids = batch.column(batch.schema.get_field_index("doc_id"))
-            known = np.isin(doc_ids.fill_null(0).to_numpy(zero_copy_only=False), ids) & doc_ids.is_valid().to_numpy(zero_copy_only=False)
+            known = _within(doc_ids.fill_null(0).to_numpy(zero_copy_only=False), ids.value) & doc_ids.is_valid().to_numpy(zero_copy_only=False)
             for a, b, data, offsets in K.chunks(batch, "text"):
                 first, _, *rest = _chunk_views(batch, a, b, data, offsets)
                 free = ~known[a:b] & (np.diff(first) > 0)
@@ -401,31 +453,41 @@ def _surest(models: list[Model | None], most: int, sure: float, ids: np.ndarray,
     return run
 
 
-def _exchange(docs: DataFrame, targets: list[Target | None], ids: np.ndarray, per_round: int, sure: float) -> None:
-    """One round over all documents: each view teaches the other the texts of which it is most sure."""
-    tables = Scratch(docs.sparkSession)
-    models = [None if t is None or t.constant is not None else t.model(calibrated=False) for t in targets]
+def _unlabelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """Rows to score (doc_id, text, source, lang), and the sorted ids among them that have a label."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_views_of(docs))
+    columns = [F.col(c).isNotNull() for c in ("quality", "toxic") if c in labels.columns]
+    known = labels.where(reduce(lambda a, b: a | b, columns) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    if known.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return rows.join(known, "doc_id", "left_anti"), spark.sparkContext.broadcast(np.zeros(0, np.int64))
+    return rows, spark.sparkContext.broadcast(np.sort(np.array([r["doc_id"] for r in known.collect()], np.int64)))
+
+
+def _exchange(rows: DataFrame, ids: Broadcast, targets: list[Target | None], per_round: int, sure: float) -> bool:
+    """One round over all documents: each view teaches the other the texts of which it is most sure. Whether another may follow."""
+    tables = Scratch(rows.sparkSession)
+    models = [None if t is None or t.constant is not None or t.ended else t.model(calibrated=False) for t in targets]
     if models == [None, None]:
-        return
+        return False
     taught = set().union(*(t.seen for t, m in zip(targets, models, strict=True) if m is not None))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_views_of(docs))
     found = tables.written(map_arrow(rows, _surest(models, per_round, sure, ids, taught), SUREST), "surest")
     each = found.groupBy("combo", "print").agg(F.max("sure").alias("sure"))
     # a top-k each, taken in the tasks first
     top = [each.where(F.col("combo") == c).orderBy(F.desc("sure"), "print").limit(per_round) for c in range(8) if models[c >> 2] is not None]
     top = reduce(DataFrame.unionByName, top).select("combo", "print")
-    picked = found.join(F.broadcast(top), ["combo", "print"]).groupBy("combo", "print").agg(F.max_by(F.struct("sure", "slots", "parts", "marks", "meta"), F.struct("sure", "meta")).alias("x"))
-    by_combo: dict[int, list] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["combo"], -r["x"]["sure"], r["print"])):  # per_round of each combo
-        by_combo.setdefault(r["combo"], []).append(r)
-    for combo, chosen in by_combo.items():
-        target = targets[combo >> 2]
-        target.seen |= {r["print"] for r in chosen}
-        target.teach(1 - (combo >> 1 & 1), float(combo & 1), [r["x"] for r in chosen])
-    for target, m in zip(targets, models, strict=True):
+    features = F.struct("sure", "slots", "parts", "marks", "meta")
+    picked = found.join(F.broadcast(top), ["combo", "print"]).groupBy("combo", "print").agg(F.max_by(features, F.struct("sure", "meta")).alias("x"))
+    by_target: list[dict[tuple[int, int], list]] = [{}, {}]
+    for r in sorted(within_bytes(picked, F.struct("x.*"), "print").collect(), key=lambda r: (r["combo"], -r["x"]["sure"], r["print"])):  # per_round of each combo
+        target, view, label = r["combo"] >> 2, r["combo"] >> 1 & 1, r["combo"] & 1
+        by_target[target].setdefault((view, label), []).append(r)
+        targets[target].seen.add(r["print"])
+    for target, m, chosen in zip(targets, models, by_target, strict=True):
         if m is not None:
-            target.fit()
+            target.exchange(chosen)
     tables.drop()
+    return True
 
 
 def _score(models: Models, threshold: float):
@@ -462,7 +524,14 @@ def _labelled(labels: DataFrame, column: str, name: str, most: int) -> DataFrame
     return known.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, toxic: bool = True, rounds: int = 2, per_round: int = 100, sure: float = 0.95) -> Models:
+def within_bytes(rows: DataFrame, features: Column, order: str, most: int = MAX_BYTES) -> DataFrame:
+    """The rows, in order of a hash, up to so many bytes of features; only for tables of bounded rows."""
+    size = sum((F.coalesce(F.octet_length(features[c]), F.lit(0)) for c in ("slots", "parts", "marks", "meta")), F.lit(0))
+    upto = F.sum(size.cast("long")).over(Window.orderBy(F.xxhash64(order), order))
+    return rows.withColumn("upto", upto).where(F.col("upto") <= most).drop("upto")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, toxic: bool = True, rounds: int = 2, per_round: int = 100, sure: float = 0.95, max_bytes: int = MAX_BYTES) -> Models:
     """Fit on a bounded sample of labelled rows and, in each round, the surest of all unlabelled ones."""
     tables = Scratch(docs.sparkSession)
     toxic = toxic and "toxic" in labels.columns
@@ -477,12 +546,15 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, toxic: b
     picked = picked.groupBy(F.col("id").alias("doc_id")).agg(F.min_by(row, F.struct(F.xxhash64("text"), "source", "lang")).alias("row")).select("doc_id", "row.*")
     picked = tables.written(picked, "labelled")
     marks = choose_marks(picked) if toxic else np.zeros(0, np.int64)
-    rows = map_arrow(picked, _gather(marks), f"doc_id long, label int, toxic int, held boolean, {FEATURES}").collect()
+    gathered = tables.written(map_arrow(picked, _gather(marks), f"doc_id long, label int, toxic int, held boolean, {FEATURES}"), "gathered")
+    rows = within_bytes(gathered, F.struct("slots", "parts", "marks", "meta"), "doc_id", max_bytes).collect()
     tables.drop()
     targets = [Target(rows), Target(rows, marks) if toxic else None]
-    ids = np.array([r["doc_id"] for r in rows], np.int64)
-    for _ in range(rounds):
-        _exchange(docs, targets, ids, per_round, sure)
+    if rounds:
+        every, ids = _unlabelled(docs, labels)
+        for _ in range(rounds):
+            if not _exchange(every, ids, targets, per_round, sure):
+                break
     return Models(targets[0].model(), targets[1].model() if toxic else None)
 
 

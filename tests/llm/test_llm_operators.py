@@ -560,14 +560,13 @@ def test_toxic_held_out(spark):
     scored = document_scores(docs, labels.where("doc_id % 2 = 0"))
     rows = scored.join(labels.where("doc_id % 2 = 1"), "doc_id").select("keep", "quality", "toxic").collect()
     toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0 and r.quality == 1]
-    assert len(toxic) > 100 and sum(not r.keep for r in toxic) / len(toxic) > 0.8
+    assert len(toxic) > 100 and sum(not r.keep for r in toxic) / len(toxic) > 0.9
     assert sum(r.keep for r in clean) / len(clean) > 0.95
 
 
 def test_classifier_scores_by_hand(spark):
     """Scores of the corpus against a plain reading of the models, text by text."""
     from scenalyx.llm import cotraining as C
-    from scenalyx.llm import kernels as K
 
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -576,30 +575,108 @@ def test_classifier_scores_by_hand(spark):
     got = {r.row.doc_id: r for r in C.score_rows(some, models).collect()}
     sure = lambda z: 1 / (1 + np.exp(-z))
     for r in some.collect():
-        raw = (r.text or "").encode()
-        tokens = [w for w in re.split(rb"[ \t-\r]+", raw) if w]
-        meta = lambda m: sum((m.meta[0][zlib.crc32((r.source or "").encode()) % C.SOURCES], m.meta[0][C.SOURCES + zlib.crc32((r.lang or "").encode()) % C.LANGS], m.meta[1]))  # noqa: B023, E731
-        size, words_ = max(len(raw), 1), max(len(tokens), 1)
-        low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in tokens]
-        count = lambda keep: sum(keep(c) for c in raw) / size  # noqa: B023, E731
-        numbers = np.array([
-            np.log1p(len(raw)), np.log1p(raw.count(b"\n")), count(lambda c: 65 <= c <= 90), count(lambda c: 33 <= c < 127 and not chr(c).isalnum()), count(lambda c: 48 <= c <= 57),
-            count(lambda c: c == 32 or 9 <= c <= 13), len(set(low)) / words_, size / words_ / 10, np.log1p(len(tokens)),
-        ])
-        odds = lambda m: meta(m) + np.clip((numbers - m.mean) / m.scale, -8, 8) @ m.meta[0][C.SOURCES + C.LANGS :]  # noqa: B023, E731
-        hashed = K.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
-        w, bias = models.quality.text
-        z = sum(w[int(h >> np.uint64(64 - C.BITS))] for h in hashed)
-        for k, t in enumerate(tokens):
-            z += w[(1 << C.BITS) + ((t[-1] * 257 + (t[-2] if len(t) > 1 else 0)) * 40503 & 0xFFFF) % (1 << 12)]
-            z += w[-1] * (k > 0 and low[k] == low[k - 1])
-        both = [np.clip(s * x + t, -30, 30) for x, (s, t) in zip((z / words_ + bias, odds(models.quality)), models.quality.calibration, strict=True)]
-        score = sure(sum(both) / 2) if tokens else 0.0
+        both = [np.clip(s * x + t, -30, 30) for x, (s, t) in zip(quality_odds_by_hand(models.quality, r), models.quality.calibration, strict=True)]
+        has_words = bool(words(r.text))
+        score = sure(sum(both) / 2) if has_words else 0.0
         assert got[r.doc_id].score == pytest.approx(score, abs=1e-6)
-        assert got[r.doc_id].keep == (score >= 0.5 and bool(tokens) and got[r.doc_id].toxic_score < 0.5)
+        assert got[r.doc_id].keep == (score >= 0.5 and has_words and got[r.doc_id].toxic_score < 0.5)
+
+
+def quality_odds_by_hand(m, r):
+    """Uncalibrated log-odds of the text view and the metadata view of one document."""
+    from scenalyx.llm import cotraining as C
+    from scenalyx.llm import kernels as K
+
+    raw = (r.text or "").encode()
+    tokens = [w for w in re.split(rb"[ \t-\r]+", raw) if w]
+    size, words_ = max(len(raw), 1), max(len(tokens), 1)
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in tokens]
+    count = lambda keep: sum(keep(c) for c in raw) / size
+    numbers = np.array([
+        np.log1p(len(raw)), np.log1p(raw.count(b"\n")), count(lambda c: 65 <= c <= 90), count(lambda c: 33 <= c < 127 and not chr(c).isalnum()), count(lambda c: 48 <= c <= 57),
+        count(lambda c: c == 32 or 9 <= c <= 13), len(set(low)) / words_, size / words_ / 10, np.log1p(len(tokens)),
+    ])
+    meta = m.meta[0][zlib.crc32((r.source or "").encode()) % C.SOURCES] + m.meta[0][C.SOURCES + zlib.crc32((r.lang or "").encode()) % C.LANGS] + m.meta[1]
+    meta += np.clip((numbers - m.mean) / m.scale, -8, 8) @ m.meta[0][C.SOURCES + C.LANGS :]
+    hashed = K.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    w, bias = m.text
+    z = sum(w[int(h >> np.uint64(64 - C.BITS))] for h in hashed)
+    for k, t in enumerate(tokens):
+        z += w[(1 << C.BITS) + ((t[-1] * 257 + (t[-2] if len(t) > 1 else 0)) * 40503 & 0xFFFF) % (1 << 12)]
+        z += w[-1] * (k > 0 and low[k] == low[k - 1])
+    return z / words_ + bias, meta
+
+
+def test_one_round_of_the_exchange_by_hand(spark, monkeypatch):
+    """Each view is taught the texts without a label of which the other is surest, from its trusted sureness on."""
+    from scenalyx.llm import cotraining as C
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    seen, own = {}, C._exchange
+
+    def watched(rows, ids, targets, per_round, sure):
+        q = targets[0]
+        seen["model"], seen["trusted"], seen["losses"] = q.model(calibrated=False), {(v, x): q.trusted(v, x) for v in (0, 1) for x in (0, 1)}, [q.loss()]
+        taught = []
+        monkeypatch.setattr(q, "teach", lambda view, label, rows: (taught.extend((view, label, r["sure"]) for r in rows), C.Target.teach(q, view, label, rows)))
+        out = own(rows, ids, targets, per_round, sure)
+        seen["taught"] = taught
+        seen["losses"].append(q.loss())
+        return out
+
+    monkeypatch.setattr(C, "_exchange", watched)
+    C.train(docs, labels.where("doc_id % 3 = 0"), rounds=1, per_round=20, sure=0.9, max_labelled=40)
+    known = {r.doc_id for r in labels.where("doc_id % 3 = 0").collect()}
+    assert len(known) > 40  # labelled ids beyond the sample are not taught either
+    want = []
+    rows = {}
+    for r in docs.collect():
+        if words(r.text) and r.doc_id not in known:
+            rows.setdefault(r.text, []).append(quality_odds_by_hand(seen["model"], r))
+    for view in (0, 1):
+        for label in (0, 1):
+            p = [max(1 / (1 + np.exp(-np.clip(z[view], -30, 30) * (1 if label else -1))) for z in zs) for zs in rows.values()]
+            top = [x for x in sorted(p, reverse=True) if x >= 0.9][:20]
+            want += [(1 - view, float(label), x) for x in top if x >= seen["trusted"][view, label]]
+    assert len(want) > 20
+    got = seen["taught"]
+    assert [g[:2] for g in sorted(got)] == [w[:2] for w in sorted(want)]
+    assert np.allclose(sorted(g[2] for g in got), sorted(w[2] for w in want), atol=1e-6)
+    assert seen["losses"][1] <= seen["losses"][0]
+
+
+def test_exchange_is_undone_where_it_hurts():
+    """Labels that held-out rows contradict are taken back, and end the exchange."""
+    import json
+
+    from scenalyx.llm import cotraining as C
+
+    rng = np.random.default_rng(2)
+
+    def row(i, label):
+        slots = np.unique(rng.integers(0, 40, 8) + 40 * label).astype(np.int32)
+        return {"doc_id": i, "label": label, "toxic": None, "held": False, "sure": 0.99, "slots": slots.tobytes(), "parts": np.full(len(slots), 0.1, np.float32).tobytes(), "marks": b"", "meta": json.dumps([label, 0, [float(label)] * C.NUMBERS])}
+
+    target = C.Target([row(i, i % 2) for i in range(300)])
+    loss, n = target.loss(), len(target.rows)
+    assert target.trusted(0, 1) < 1 and target.trusted(1, 0) < 1
+    wrong = [{"x": row(1000 + i, 0)} for i in range(300)]
+    target.exchange({(0, 1): wrong, (1, 1): wrong})
+    assert target.ended and len(target.rows) == n and target.loss() == loss
+    right = C.Target([row(i, i % 2) for i in range(300)])
+    right.exchange({(0, 1): [{"x": row(2000 + i, 1)} for i in range(20)], (0, 0): [{"x": row(3000 + i, 0)} for i in range(20)]})
+    assert right.loss() <= loss
+
+
+def test_gathered_bytes_are_bounded(spark):
+    from scenalyx.llm import cotraining as C
+
+    df = spark.createDataFrame([(i, bytes(100), b"", b"", "") for i in range(50)], "doc_id long, slots binary, parts binary, marks binary, meta string")
+    assert C.within_bytes(df, F.struct("slots", "parts", "marks", "meta"), "doc_id", 1000).count() == 10
 
 
-def test_names_may_clash(spark, docs):
+def test_names_may_clash(spark, docs, tmp_path):
     """Columns of any name in any table, and timestamps that keep their microseconds."""
     import datetime
 
@@ -609,11 +686,11 @@ def test_names_may_clash(spark, docs):
     names = ["__source", "__keep", "row", "keep", "score", "part", "kind", "a", "carry", "text_hash", "key", "id", "label"]
     wide = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(n).alias(n) for n in names], F.lit(when).alias("at"))
     labels = spark.createDataFrame([(i, i % 2, 0, "x", "y") for i in range(1, 14)], "doc_id long, quality int, toxic int, text string, held string")
-    labels.write.mode("overwrite").parquet("file:///tmp/clash-tables/labels.parquet")
+    labels.write.mode("overwrite").parquet(f"file://{tmp_path}/labels.parquet")
     items = spark.createDataFrame([(1, " ".join(words(BASE)[5:30]), 3, "z")], "item_id long, text string, k int, window string")
-    items.write.mode("overwrite").parquet("file:///tmp/clash-tables/benchmark.parquet")
+    items.write.mode("overwrite").parquet(f"file://{tmp_path}/benchmark.parquet")
     for name, stage in C.STAGES[:-1]:
-        out = stage(spark, wide, "file:///tmp/clash-tables")
+        out = stage(spark, wide, f"file://{tmp_path}")
         assert out.schema == wide.schema or [f.dataType for f in out.schema] == [f.dataType for f in wide.schema], name
         rows = out.collect()
         assert out.columns == wide.columns and all(r.at == when and r["__source"] == "__source" and r.key == "key" for r in rows), name
