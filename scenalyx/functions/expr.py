@@ -57,3 +57,19 @@ def chi2_tail(x: Column) -> Column:
     total = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, add, lambda a: a["sum"])
     # beyond 60 nothing of the tail is left in a double's six digits
     return F.when(x > 60, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - 2 / math.sqrt(math.pi) * F.exp(-z * z) * total))
+
+
+#: Coefficients of Stirling's series of log-gamma in 1 / x, 1 / x^3, ...
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of x > 0, by Stirling's series at x + 8; null elsewhere."""
+    y = x + 8
+    series = F.lit(0.0)
+    for k, c in enumerate(_STIRLING):
+        series = series + c / F.pow(y, F.lit(2.0 * k + 1))
+    shift = x
+    for k in range(1, 8):
+        shift = shift * (x + k)
+    return F.when(x > 0, (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(shift))

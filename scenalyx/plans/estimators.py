@@ -71,12 +71,6 @@ def _dcc(spark, rets: DataFrame) -> DataFrame:
     return states.groupBy(F.lit(1).alias("fold")).applyInPandas(lambda pdf: run(pdf)[names], schema)
 
 
-@query("dcc_fit")
-def dcc_fit(spark, d):
-    f = _dcc(spark, _rets(spark, d))
-    return f.select("a", "b", "df", F.explode(F.arrays_zip("assets", "alpha", "beta", "next_variance")).alias("e")).select("a", "b", "df", F.col("e.assets").alias("asset"), "e.alpha", "e.beta", "e.next_variance")
-
-
 @query("dcc_diagnostics")
 def dcc_diagnostics(spark, d):
     total = F.transform(F.arrays_zip("alpha", "beta"), lambda e: e["alpha"] + e["beta"])
@@ -197,12 +191,6 @@ def student_t_df(spark, d):
     return _targets(spark, _scen(spark, d)).select("df", "loglik", "gain", "at_bound", "ess")
 
 
-@query("garch_fit")
-def garch_fit(spark, d):
-    ship(spark)
-    return _garch(_rets(spark, d).where("segment = 'is'").select("date", "asset", "ret")).select("asset", "alpha", "beta", "next_variance")
-
-
 # moment matching
 
 
