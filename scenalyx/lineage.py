@@ -41,15 +41,18 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:
-    """Write beside the target, then rename over it: readers see the old file or the new one."""
+    """Write beside the target, then rename over it in one call: readers see the old file or the new one, never none."""
     fs, at = _fs(spark, path)
     _, draft = _fs(spark, path + ".draft")
     stream = fs.create(draft, True)
     stream.write(bytearray(json.dumps(value, indent=1, sort_keys=True).encode()))
     stream.close()
-    fs.delete(at, False)
-    if not fs.rename(draft, at):
-        raise OSError(f"could not place {path}")
+    jvm = spark.sparkContext._jvm
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(draft, at, over)
 
 
 def read_json(spark: SparkSession, path: str):

@@ -12,6 +12,8 @@ autocovariance of lag 1 and more; no rows give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -210,11 +212,12 @@ def holm(p: DataFrame, family: list[str], order: list[str]) -> DataFrame:
     return d.withColumn("holm", F.when(F.col("pvalue").isNotNull(), F.least(F.lit(1.0), step))).drop("rk", "m")
 
 
-def focal_table(scores: DataFrame, focal: str, benchmarks: list[str], samples: int, seed: int, within: list[str] | None = None, block: int | None = None, primary: tuple[str, str] | None = None) -> DataFrame:
+def focal_table(scores: DataFrame, focal: str, benchmarks: list[str], samples: int, seed: int, within: list[str] | None = None, block: int | None = None, primary: tuple[str, str] | None = None, level: float = 0.95) -> DataFrame:
     """The focal model against every benchmark on every metric, one row a contrast.
 
     ``scores`` is long: (metric, model, [within], date, score). Bootstrap interval and p-value, Holm over all rows,
-    Diebold-Mariano, the block length with its diagnostics, and the flags that reports read.
+    Diebold-Mariano, the block length with its diagnostics, and the flags that reports read; intervals and
+    rejections at ``level``.
     """
     keys = ["metric", "benchmark"]
     own = checks.complete_pairs(scores, [focal, *benchmarks], ["metric", *(within or []), "date"])
@@ -225,15 +228,44 @@ def focal_table(scores: DataFrame, focal: str, benchmarks: list[str], samples: i
     diff = cut(both.select(*keys, *(within or []), "date", (F.col("a") - F.col("b")).alias("diff")))
     means = both.groupBy(*keys).agg(F.avg("a").alias("focal_mean"), F.avg("b").alias("benchmark_mean"))
     blocks = cut(resolved_blocks(diff, keys, within, block))
-    ci = bootstrap_ci(diff, block_means(diff, keys, blocks, samples, seed, within, stream=keys), keys)
+    ci = bootstrap_ci(diff, block_means(diff, keys, blocks, samples, seed, within, stream=keys), keys, level)
     dm = diebold_mariano(newey_west(diff, keys, within)).select(*keys, "n", "bw", "lrv", "dm", F.col("pvalue").alias("dm_pvalue"))
     out = holm(ci.withColumn("one", F.lit(1)), ["one"], keys).drop("one").join(blocks, keys).join(dm, keys).join(means, keys)
     out = out.withColumn("relative_pct", 100 * F.col("mean_diff") / F.greatest(F.abs("benchmark_mean"), F.lit(1e-15)))
-    out = out.withColumn("reject", F.col("holm") < 0.05).withColumn("ci_excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
+    out = out.withColumn("reject", F.col("holm") < round(1 - level, 12)).withColumn("ci_excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
     metric, benchmark = primary or (None, None)
     return out.withColumn("is_primary", F.coalesce((F.col("metric") == F.lit(metric)) & (F.col("benchmark") == F.lit(benchmark)), F.lit(False)))
 
 
+def sensitivity(scores: DataFrame, focal: str, benchmarks: list[str], samples: int, seed: int, grid: tuple[int, ...], within: list[str] | None = None, primary: tuple[str, str] | None = None, level: float = 0.95) -> DataFrame:
+    """The comparison at fixed block lengths: focal_table with ``requested``, the length asked for."""
+    parts = [focal_table(scores, focal, benchmarks, samples, seed, within, b, primary, level).withColumn("requested", F.lit(b)) for b in grid]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def confidence_sets(scores: DataFrame, blocks: DataFrame, alpha: float, samples: int, seed: int, within: list[str] | None = None) -> DataFrame:
+    """(metric, model, left_at, pvalue, statistic, in_set): the order in which models leave each metric's set, and who stays at ``alpha``.
+
+    ``scores`` is long, as for focal_table; ``blocks`` has (metric, block). All models of a metric draw the same blocks,
+    which stay in the segments of ``within``.
+    """
+    from .dynamics import eliminate
+
+    ship(scores.sparkSession)
+    losses = cut(scores.select("metric", "model", *(within or []), "date", F.col("score").alias("diff")))
+    own = losses.select("metric", "model").distinct().join(blocks.select("metric", "block"), "metric")
+    means = block_means(losses, ["metric", "model"], cut(own), samples, seed, within, stream=["metric"])
+    seen = losses.groupBy("metric", "model").agg(F.avg("diff").alias("seen"))
+
+    def run(pdf):
+        x = pdf.pivot(index="sample", columns="model", values="mean").sort_index()
+        own = pdf.groupby("model")["seen"].first().loc[x.columns].to_numpy()
+        return pd.DataFrame([(pdf["metric"].iloc[0], x.columns[c], step, p, t, p > alpha) for c, step, p, t in eliminate(own, x.to_numpy())], columns=["metric", "model", "left_at", "pvalue", "statistic", "in_set"])
+
+    # samples x models rows of a metric
+    return means.join(seen, ["metric", "model"]).groupBy("metric").applyInPandas(run, "metric string, model string, left_at int, pvalue double, statistic double, in_set boolean")
+
+
 def confidence_set_statistics(scores: DataFrame, metric: str, block: int, samples: int, seed: int) -> DataFrame:
     """(model_i, model_j, diff, sd, t): studentised mean loss differences with bootstrap variance; all models draw alike."""
     losses = scores.select("model", "date", F.col(metric).alias("diff"))

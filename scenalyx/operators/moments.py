@@ -8,7 +8,7 @@ give no rows; extra columns are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HALF_LIFE = 55.0
@@ -24,9 +24,9 @@ def ewma(windows: DataFrame, half_life: float = HALF_LIFE, keys: tuple[str, ...]
     return raw.select(*keys, "date", (F.col("u") / F.sum("u").over(w)).alias("p"))
 
 
-def scenario_models(windows: DataFrame, recent: int = 250) -> DataFrame:
+def scenario_models(windows: DataFrame, recent: int = 250, half_life: float = HALF_LIFE) -> DataFrame:
     """(model, asset, date, p, x) of three historical scenario sets over the same windows."""
-    by_date = ewma(windows)
+    by_date = ewma(windows, half_life)
     n = F.count(F.lit(1)).over(Window.partitionBy())
     nth = F.row_number().over(Window.orderBy(F.desc("date")))
     by_date = by_date.withColumn("n", n).withColumn("back", nth)
@@ -66,6 +66,37 @@ def covariance(scen: DataFrame, keys: list[str]) -> DataFrame:
     return pairs(deviations(scen, keys), keys).groupBy(*keys, "asset_i", "asset_j").agg(F.sum(F.col("p") * F.col("di") * F.col("dj")).alias("value"))
 
 
+def expanding_covariance(rets: DataFrame, marks: DataFrame) -> DataFrame:
+    """(rebalance_date, asset_i, asset_j, n, mean_i, mean_j, cov): each pair over all dates before each of ``marks``.
+
+    Dates are dealt to the periods between marks, each pair's (n, means, co-moment) of a
+    period is one row, and the periods are merged from the first on: a row of returns is
+    read once, whatever the number of marks. A pair without earlier dates has no row.
+    """
+    ends = [r["rebalance_date"] for r in marks.select("rebalance_date").distinct().orderBy("rebalance_date").collect()]  # one a rebalancing
+    bounds = F.array(*[F.lit(d) for d in ends]).cast("array<date>")
+    rows = rets.where(F.col("date") < F.lit(max(ends))) if ends else rets.where("false")
+    # a period is named by the number of marks that are not after the date
+    period = F.size(F.filter(bounds, lambda e: e <= F.col("date")))
+    both = pairs(rows.select("date", "asset", F.lit(1.0).alias("p"), F.col("ret").alias("d")), [])
+    one = both.groupBy("asset_i", "asset_j", period.alias("period")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg("di").alias("mi"), F.avg("dj").alias("mj"), (F.covar_pop("di", "dj") * F.count(F.lit(1))).alias("c")
+    )
+    none = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mi", "mj", "c")])
+
+    def merge(a: Column, b: Column) -> Column:
+        n, di, dj = a["n"] + b["n"], b["mi"] - a["mi"], b["mj"] - a["mj"]
+        share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+        return F.struct(n.alias("n"), (a["mi"] + di * share).alias("mi"), (a["mj"] + dj * share).alias("mj"), (a["c"] + b["c"] + di * dj * a["n"] * share).alias("c"))
+
+    # a row a period: as many as rebalancings
+    found = one.groupBy("asset_i", "asset_j").agg(F.collect_list(F.struct("period", "n", "mi", "mj", "c")).alias("s"))
+    upto = lambda k: F.aggregate(F.filter("s", lambda x: x["period"] <= k), none, merge)
+    nth = F.explode(F.sequence(F.lit(0), F.lit(max(len(ends) - 1, 0))))
+    out = found.select("asset_i", "asset_j", "s", nth.alias("k")).select("asset_i", "asset_j", "k", upto(F.col("k")).alias("m")).where("m.n > 0")
+    return out.select(F.get(bounds, F.col("k")).alias("rebalance_date"), "asset_i", "asset_j", F.col("m.n").cast("long").alias("n"), F.col("m.mi").alias("mean_i"), F.col("m.mj").alias("mean_j"), (F.col("m.c") / F.col("m.n")).alias("cov"))
+
+
 def shrinkage(scen: DataFrame, keys: list[str]) -> DataFrame:
     """Ledoit-Wolf-type intensity: noise of the off-diagonal terms over their size, clipped to [0, 1]."""
     pr = pairs(deviations(scen, keys), keys).where("asset_i < asset_j")

@@ -79,13 +79,19 @@ def coverage(panel: DataFrame) -> DataFrame:
     )
 
 
-def returns(panel: DataFrame, split: str = SPLIT, exclude_imputed: bool = True) -> DataFrame:
-    """(date, asset, ret, segment): lag-1 returns; a date goes if an end point of any asset was imputed."""
+def returns(panel: DataFrame, split: str = SPLIT, exclude_imputed: bool = True, begin: str | None = None) -> DataFrame:
+    """(date, asset, ret, segment): lag-1 returns; a date goes if an end point of any asset was imputed.
+
+    In sample up to and with ``split``; out of sample from ``begin`` on (the day after, if
+    none is given). What lies between belongs to neither and goes.
+    """
     seen = F.col("raw").isNotNull()
     r = panel.select("date", "asset", "price", seen.alias("obs"), F.lag("price").over(by_asset()).alias("p0"), F.lag(seen).over(by_asset()).alias("obs0")).where("p0 is not null")
     r = r.withColumn("ret", F.try_divide(F.col("price"), F.when(F.col("p0") > 0, F.col("p0"))) - 1).where("ret is not null")
     if exclude_imputed:
         r = r.withColumn("ok", F.min((F.col("obs") & F.col("obs0")).cast("int")).over(Window.partitionBy("date"))).where("ok = 1")
+    if begin is not None:
+        r = r.where((F.col("date") <= F.lit(split).cast("date")) | (F.col("date") >= F.lit(begin).cast("date")))
     return r.select("date", "asset", "ret", F.when(F.col("date") <= F.lit(split).cast("date"), "is").otherwise("oos").alias("segment"))
 
 

@@ -276,7 +276,7 @@ def rolling(spark, rets: DataFrame, settings: Settings) -> DataFrame:
         own = rets.where(F.col("date") < end).select("date", "asset", "ret", F.when(F.col("date") < begin, "is").otherwise("oos").alias("segment"))
         own = cut(own)
         windows = cut(P.terminal(own, settings.horizon))
-        scen = cut(M.scenario_models(windows.where("segment = 'is'")))
+        scen = cut(M.scenario_models(windows.where("segment = 'is'"), half_life=settings.half_life))
         obs = checks.some_rows(windows.where("segment = 'oos' and is_nonoverlap").select("asset", "date", F.col("tret").alias("y")), f"windows of fold {k}")
         sets = G.dispatch(registry(spark, own, scen, settings), list(settings.models), settings.seed)
         sets["moment_matching"] = chosen(matched(spark, scen, settings.matched_scenarios, settings.starts, settings.rounds, settings.p_step, settings.x_step), settings.strict)
@@ -382,10 +382,7 @@ def walk_forward_hrp(spark, d):
     ship(spark)
     r = _rets(spark, d)
     marks = B.calendar(r.where("segment = 'oos'")).select("rebalance_date")
-    # few rebalancings: each earlier row is read once for each
-    train = r.join(F.broadcast(marks), F.col("date") < F.col("rebalance_date"))
-    even = train.select("rebalance_date", "date", "asset", F.col("ret").alias("x"), (1.0 / F.count(F.lit(1)).over(Window.partitionBy("rebalance_date", "asset"))).alias("p"))
-    cov = M.covariance(even, ["rebalance_date"])
+    cov = M.expanding_covariance(r, marks).withColumnRenamed("cov", "value")
 
     def run(pdf):
         names = sorted(set(pdf["asset_i"]))
@@ -401,34 +398,38 @@ def walk_forward_hrp(spark, d):
 # inference
 
 
-def _set_sql() -> str:
-    losses = "SELECT metric, model, 0 AS seg, date, score AS diff FROM long_scores"
-    contrasts = "SELECT metric, benchmark, 0 AS seg, date, diff FROM contrast"
-    sizes = f"SELECT metric, model, block FROM (SELECT DISTINCT metric, model FROM long_scores) JOIN (SELECT metric, block FROM ({O.sizes_sql(contrasts, 'metric, benchmark')}) WHERE benchmark = (SELECT max(model) FROM scores WHERE model <> 'ewma')) USING (metric)"
-    return O.elimination_sql("SELECT metric, model, avg(score) AS m FROM long_scores GROUP BY 1, 2", O.means_sql(losses, "metric, model", sizes, SAMPLES, SEED, "metric || '|' ||"), 3)
+def _set_sql(grouped: bool) -> str:
+    seg = "year(date)" if grouped else "0"
+    losses = f"SELECT metric, model, {seg} AS seg, date, score AS diff FROM long_scores"
+    contrasts = f"SELECT metric, benchmark, {seg} AS seg, date, diff FROM contrast"
+    last = f"SELECT metric, block FROM ({O.sizes_sql(contrasts, 'metric, benchmark', grouped)}) WHERE benchmark = (SELECT max(model) FROM scores WHERE model <> 'ewma')"
+    sizes = f"SELECT metric, model, block FROM (SELECT DISTINCT metric, model FROM long_scores) JOIN ({last}) USING (metric)"
+    stream = "metric || '|' ||" + (" seg || '|' ||" if grouped else "")
+    seen = "SELECT metric, model, avg(score) AS m FROM long_scores GROUP BY 1, 2"
+    gone = O.elimination_sql(seen, O.means_sql(losses, "metric, model", sizes, SAMPLES, SEED, stream), 3)
+    return f"SELECT metric, model, left_at::INT AS left_at, {R('pvalue', 'statistic')}, pvalue > 0.1 AS in_set FROM ({gone})"
 
 
-@query("confidence_set", f"SELECT metric, model, left_at::INT AS left_at, {R('pvalue', 'statistic')}, pvalue > 0.1 AS in_set FROM ({_set_sql()})")
-def confidence_set(spark, d, alpha: float = 0.1):
-    """For every metric the order in which models leave, their p-values, and the set; the block is that of the metric's last contrast."""
-    ship(spark)
-    long = cut(S.long_scores(S.observation_scores(*_both(spark, d))))
+def _sets_of(long, within):
     others = [r["model"] for r in long.select("model").distinct().collect() if r["model"] != "ewma"]
-    a = long.where("model = 'ewma'").select("metric", "date", F.col("score").alias("a"))
-    diff = long.where("model <> 'ewma'").join(a, ["metric", "date"]).select("metric", F.col("model").alias("benchmark"), "date", (F.col("a") - F.col("score")).alias("diff"))
-    last = I.resolved_blocks(diff, ["metric", "benchmark"]).where(F.col("benchmark") == max(others)).select("metric", "block")
-    losses = long.select("metric", "model", "date", F.col("score").alias("diff"))
-    blocks = losses.select("metric", "model").distinct().join(last, "metric")
-    means = I.block_means(losses, ["metric", "model"], cut(blocks), SAMPLES, SEED, stream=["metric"])
-    seen = losses.groupBy("metric", "model").agg(F.avg("diff").alias("seen"))
+    at = ["metric", *(within or []), "date"]
+    a = long.where("model = 'ewma'").select(*at, F.col("score").alias("a"))
+    diff = long.where("model <> 'ewma'").join(a, at).select(*at, F.col("model").alias("benchmark"), (F.col("a") - F.col("score")).alias("diff"))
+    last = I.resolved_blocks(diff, ["metric", "benchmark"], within).where(F.col("benchmark") == max(others))
+    return _r(I.confidence_sets(long, last.select("metric", "block"), 0.1, SAMPLES, SEED, within))
+
+
+@query("confidence_set", _set_sql(False))
+def confidence_set(spark, d):
+    """For every metric the order in which models leave, their p-values, and the set; the block is that of the metric's last contrast."""
+    return _sets_of(cut(S.long_scores(S.observation_scores(*_both(spark, d)))), None)
 
-    def run(pdf):
-        x = pdf.pivot(index="sample", columns="model", values="mean").sort_index()
-        own = pdf.groupby("model")["seen"].first().loc[x.columns].to_numpy()
-        return pd.DataFrame([(pdf["metric"].iloc[0], x.columns[c], step, p, t, p > alpha) for c, step, p, t in D.eliminate(own, x.to_numpy())], columns=["metric", "model", "left_at", "pvalue", "statistic", "in_set"])
 
-    # samples x models rows of a metric
-    return _r(means.join(seen, ["metric", "model"]).groupBy("metric").applyInPandas(run, "metric string, model string, left_at int, pvalue double, statistic double, in_set boolean"))
+@query("confidence_set_grouped", _set_sql(True))
+def confidence_set_grouped(spark, d):
+    """The same with blocks that stay within their year."""
+    long = S.long_scores(S.observation_scores(*_both(spark, d))).withColumn("fold", F.year("date"))
+    return _sets_of(cut(long), ["fold"])
 
 
 @query("ks_pvalues")

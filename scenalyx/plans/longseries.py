@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import density as K
 from ..operators import inference as I
+from ..operators import moments as M
 from ..operators import ordered as D
+from ..operators import portfolio as B
 from ..operators import scoring as S
 from ..runtime import cut
 from ..sources.tables import table
 from . import oracle_base as O
-from .catalogue import ALPHA, SEED, R, _r, query
+from .catalogue import ALPHA, SEED, R, _r, _rets, _scen, query
 
 #: Samples of the bootstrap of one series of all events; its blocks are one or two events long.
 LONG_SAMPLES = 200
@@ -91,3 +94,51 @@ def long_block_bootstrap(spark, d):
     diff = cut(_events(spark, d).select(F.lit("all").alias("asset"), "date", F.col("value").alias("diff")))
     blocks = cut(I.resolved_blocks(diff, ["asset"]))
     return _r(I.bootstrap_ci(diff, I.block_means(diff, ["asset"], blocks, LONG_SAMPLES, SEED), ["asset"]), "asset", "mean_diff", "ci_low", "median", "ci_high")
+
+
+GRID, WIDTH = 64, 0.3
+
+
+def _density_sql(source: str, keys: str) -> str:
+    """Every value's two shares of the grid, summed at every point directly; source has (keys, x, w)."""
+    by = f"PARTITION BY {keys}"
+    return f"""
+SELECT * FROM (
+WITH v AS (
+  SELECT *, sum(w * x) OVER ({by}) / sum(w) OVER ({by}) AS mean, sum(w) OVER ({by}) AS total, sum(w * w) OVER ({by}) AS squares, min(x) OVER ({by}) AS low, max(x) OVER ({by}) AS high
+  FROM ({source})),
+h AS (SELECT *, {WIDTH} * sqrt(sum(w * pow(x - mean, 2)) OVER ({by}) / total / (1 - squares / total / total)) AS width, (high - low) / {GRID - 1} AS step FROM v),
+b AS (SELECT *, least(floor((x - low) / step), {GRID - 2}) AS bin, (x - low) / step - least(floor((x - low) / step), {GRID - 2}) AS part FROM h),
+p AS (
+  SELECT {keys}, point, max(low) + point * max(step) AS x,
+    sum(w / total * ((1 - part) * exp(-pow((point - bin) * step / width, 2) / 2) + part * exp(-pow((point - bin - 1) * step / width, 2) / 2)) / width / sqrt(2 * pi())) AS density
+  FROM b CROSS JOIN range(0, {GRID}) g(point) GROUP BY {keys}, point)
+SELECT {keys}, point::INT AS point, {R("x", "density")} FROM p)"""
+
+
+@query("scenario_density", _density_sql("SELECT model, asset, x, p AS w FROM scen WHERE p > 0", "model, asset"))
+def scenario_density(spark, d):
+    """Density of every asset's scenario values, as the marginal panels draw it."""
+    values = _scen(spark, d).select("model", "asset", "x", F.col("p").alias("w"))
+    return _r(K.density(values, ["model", "asset"], GRID, WIDTH))
+
+
+@query("long_density", _density_sql("SELECT event_type AS asset, value AS x, 1.0::DOUBLE AS w FROM events", "asset"))
+def long_density(spark, d):
+    """Density of the values of all events of each type."""
+    return _r(K.density(_events(spark, d).select("asset", F.col("value").alias("x"), F.lit(1.0).alias("w")), ["asset"], GRID, WIDTH))
+
+
+@query(
+    "expanding_covariance",
+    f"""
+SELECT m.rebalance_date, x.asset AS asset_i, y.asset AS asset_j, count(*) AS n, round(avg(x.ret), 8) AS mean_i, round(avg(y.ret), 8) AS mean_j, round(covar_pop(x.ret, y.ret), 9) AS cov
+FROM (SELECT min(date) AS rebalance_date FROM returns WHERE segment = 'oos' GROUP BY date_trunc('quarter', date)) m
+JOIN returns x ON x.date < m.rebalance_date JOIN returns y ON x.date = y.date AND x.asset <= y.asset
+GROUP BY ALL""",
+)
+def expanding_covariance(spark, d):
+    """Covariances of all pairs before every rebalancing, from merged periods."""
+    r = _rets(spark, d)
+    found = M.expanding_covariance(r, B.calendar(r.where("segment = 'oos'")))
+    return found.select("rebalance_date", "asset_i", "asset_j", "n", F.round("mean_i", 8).alias("mean_i"), F.round("mean_j", 8).alias("mean_j"), F.round("cov", 9).alias("cov"))

@@ -112,8 +112,7 @@ _GRID = (2, 4, 8)
 def block_sensitivity(spark, d):
     """The comparison at fixed block lengths."""
     long = cut(_long(spark, d))
-    parts = [I.focal_table(long, FOCAL, BENCHMARKS, SAMPLES, SEED, block=b, primary=PRIMARY).withColumn("requested", F.lit(b)) for b in _GRID]
-    return _compared(reduce(DataFrame.unionByName, parts), "requested")
+    return _compared(I.sensitivity(long, FOCAL, BENCHMARKS, SAMPLES, SEED, _GRID, primary=PRIMARY), "requested")
 
 
 @query("fold_score_calibration", f"SELECT model, fold, {R('score', 'ratio')} FROM (SELECT model, year(date) AS fold, avg(score) AS score FROM scores GROUP BY 1, 2) JOIN (SELECT model, year(date) AS fold, var_pop(u) * 12 AS ratio FROM pit GROUP BY 1, 2) USING (model, fold)")

@@ -1,15 +1,19 @@
 """Price sources, and sinks of tables and scenario sets.
 
-A source gives (date, asset, raw); an empty answer is an error, never a substitute.
+A source gives (date, asset, raw); an empty answer is an error, at the latest when it
+is stored (``staged``), never a substitute.
 Scenario sets are stored as one row a scenario, with its values as an array in the
 order of the assets. Writing a table replaces the former one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Protocol
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks
@@ -30,7 +34,7 @@ class OrderPrices:
         self.folder = folder
 
     def prices(self, spark: SparkSession, grain: str) -> DataFrame:
-        return checks.some_rows(price_panel(table(spark, self.folder, "lineitem"), table(spark, self.folder, "part"), grain), "prices")
+        return price_panel(table(spark, self.folder, "lineitem"), table(spark, self.folder, "part"), grain)
 
     def tables(self) -> list[str]:
         return [f"{self.folder}/{name}.parquet" for name in ("lineitem", "part")]
@@ -53,6 +57,44 @@ class FieldPrices:
         return checks.some_rows(out, "prices")
 
 
+@contextmanager
+def staged(df: DataFrame, path: str, rules: dict[str, Column]) -> Iterator[DataFrame]:
+    """Write df beside the target, observing its rows as they pass; the block may look at what was written, then it takes the target's place.
+
+    One evaluation of df: rows, and rows that break a rule, are counted while they are
+    written. No rows, a broken rule (null counts as broken) or an error in the block
+    leave the target as it was.
+    """
+    spark = df.sparkSession
+    seen, names = Observation(), list(rules)
+    counts = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(f"broken_{k}") for k, ok in enumerate(rules.values())]
+    draft, former = f"{path}.draft-{uuid4().hex}", f"{path}.former-{uuid4().hex}"
+    fs, at = _file_system(spark, draft)
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("n"), *counts).write.parquet(draft)
+        found = seen.get
+        if not found["n"]:
+            raise ValueError(f"no rows: {path}")
+        broken = {name: found[f"broken_{k}"] for k, name in enumerate(names) if found[f"broken_{k}"]}
+        if broken:
+            raise ValueError(f"rows that break a rule of {path}: {broken}")
+        yield spark.read.parquet(draft)
+        _, target = _file_system(spark, path)
+        _, aside = _file_system(spark, former)
+        if fs.exists(target):
+            fs.rename(target, aside)
+        if not fs.rename(at, target):
+            raise OSError(f"could not place {path}")
+        fs.delete(aside, True)
+    finally:
+        fs.delete(at, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def write_table(df: DataFrame, path: str, csv: str | None = None) -> str:
     """A result table as Parquet, and as CSV if asked."""
     df.write.mode("overwrite").parquet(path)

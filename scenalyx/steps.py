@@ -8,7 +8,7 @@ step is a declarative plan; what iterates runs as grouped kernels on the executo
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -51,10 +51,16 @@ class Run:
 
 
 def download(run: Run) -> None:
-    """Raw prices, filled within the limit; profile of coverage; nothing is filled that was never seen."""
+    """Raw prices, filled within the limit; profile of coverage; nothing is filled that was never seen.
+
+    The source is read once: its rows are judged while they are written, and coverage by
+    what was written. Bad prices leave no table.
+    """
     s = run.settings
-    raw = checks.covered(checks.positive(P.cleaned(run.source.prices(run.spark, s.grain)), "raw"), s.min_coverage)
-    run.write(P.fill(raw, s.fill_limit), "prices")
+    filled = P.fill(P.cleaned(run.source.prices(run.spark, s.grain)), s.fill_limit)
+    positive = F.col("raw").isNull() | (F.col("raw") > 0)
+    with sinks.staged(filled, run.path("prices"), {"prices over 0": positive}) as stored:
+        checks.covered(stored, s.min_coverage)
     run.write(P.coverage(run.read("prices")), "coverage")
 
 
@@ -64,7 +70,7 @@ def transform(run: Run) -> None:
     prices = run.read("prices")
     observed = prices.select("date", "asset", F.col("raw").isNotNull().alias("seen"))
     checks.aligned(prices.select("date", "asset"), observed, "date", "asset")
-    run.write(checks.compoundable(P.returns(P.complete(prices), s.end_train)), "returns")
+    run.write(checks.compoundable(P.returns(P.complete(prices), s.end_train, begin=s.start_oos)), "returns")
     r = run.read("returns")
     run.write(P.terminal(r, s.horizon), "windows")
     q = P.quality(prices, P.with_full_segment(r))
@@ -76,6 +82,10 @@ def _windows(run: Run) -> DataFrame:
     return checks.some_rows(run.read("windows").where("segment = 'is'"), "in-sample windows")
 
 
+def _history(run: Run) -> DataFrame:
+    return cut(M.scenario_models(_windows(run), half_life=run.settings.half_life))
+
+
 def _observations(run: Run) -> DataFrame:
     w = run.read("windows").where("segment = 'oos' and is_nonoverlap")
     return checks.some_rows(w.select("asset", "date", F.col("tret").alias("y")), "out-of-sample windows")
@@ -86,7 +96,7 @@ def mm(run: Run) -> None:
     from .plans import estimators as E
 
     s = run.settings
-    scen = cut(M.scenario_models(_windows(run)))
+    scen = _history(run)
     found = cut(E.matched(run.spark, scen, s.matched_scenarios, s.starts, s.rounds, s.p_step, s.x_step))
     run.write(found.drop("assets", "path", "p", "x"), "starts")
     sinks.write_scenarios(E.chosen(found, s.strict), run.path("scenarios_moment_matching"))
@@ -97,7 +107,7 @@ def benchmarks(run: Run) -> None:
     from .plans import estimators as E
 
     s = run.settings
-    registry = E.registry(run.spark, run.read("returns"), cut(M.scenario_models(_windows(run))), s)
+    registry = E.registry(run.spark, run.read("returns"), _history(run), s)
     for name, scen in G.dispatch(registry, list(s.models), s.seed).items():
         sinks.write_scenarios(scen, run.path(f"scenarios_{name}"))
 
@@ -115,9 +125,7 @@ def evaluate(run: Run) -> None:
     scen, obs = _sets(run), cut(_observations(run))
     run.write(S.observation_scores(scen, obs, s.energy_pairs, s.seed), "observation_scores")
     run.write(S.marginal_table(scen, obs, s.alpha), "marginal")
-    scores = run.read("observation_scores")
-    block = s.block if s.block_mode == "fixed" else None
-    run.write(I.focal_table(S.long_scores(scores), "moment_matching", list(s.models), s.samples, s.seed, block=block, primary=("mean_crps", s.models[0])), "comparison")
+    _compare(run, S.long_scores(run.read("observation_scores")), None, "")
     if s.support:
         chosen = G.resampled(scen.select("model", "date", "p").distinct(), s.support, s.seed, ["model"], "date")
         scen = cut(_redrawn(chosen, scen))
@@ -125,6 +133,22 @@ def evaluate(run: Run) -> None:
     run.write(C.summary(run.read("calibration")), "calibration_summary")
 
 
+#: Block lengths at which comparisons are repeated (fixed values).
+SENSITIVITY = (2, 4, 8)
+
+
+def _compare(run: Run, long: DataFrame, within: list[str] | None, prefix: str) -> None:
+    """The matched set against every other: contrasts, the same at fixed blocks, and each metric's confidence set."""
+    s = run.settings
+    primary, others = ("mean_crps", s.models[0]), list(s.models)
+    block = s.block if s.block_mode == "fixed" else None
+    run.write(I.focal_table(long, "moment_matching", others, s.samples, s.seed, within, block, primary, s.confidence), f"{prefix}comparison")
+    run.write(I.sensitivity(long, "moment_matching", others, s.samples, s.seed, SENSITIVITY, within, primary, s.confidence), f"{prefix}sensitivity")
+    last = run.read(f"{prefix}comparison").where(F.col("benchmark") == others[-1]).select("metric", "block")
+    alpha = round(1 - s.confidence, 12)
+    run.write(I.confidence_sets(long, last, alpha, s.samples, s.seed + 500_000, within), f"{prefix}confidence_sets")
+
+
 def _redrawn(chosen: DataFrame, scen: DataFrame) -> DataFrame:
     """Drawn scenarios with the values of those they were drawn from; the draw's number stands for the date."""
     nth = F.when(F.col("draw").isNull(), F.col("date")).otherwise(F.date_add(F.lit("1900-01-01").cast("date"), F.col("draw")))
@@ -177,19 +201,35 @@ def backtest(run: Run) -> None:
     run.write(I.holm(contrasts, ["design"], ["portfolio"]), "sharpe_contrasts")
 
 
+def liquid(run: Run) -> Run:
+    """The run on the assets that pass the quality rules, whose tables stand in a folder of their own."""
+    return replace(run, folder=run.path("liquid"))
+
+
 def liquidity(run: Run) -> None:
-    """Scores on the assets that pass the quality rules in sample, beside those on all assets."""
+    """Everything made anew on the assets that pass the quality rules in sample, beside what all assets gave.
+
+    Windows and returns are those of the run, of fewer assets; targets, matching, the other
+    models, scores, comparisons, portfolios and backtest are computed from them.
+    """
     s = run.settings
     chosen = P.universe(run.read("quality"), s.max_zero_rate, s.max_zero_run, s.min_assets)
     run.write(chosen, "universe")
     kept = run.read("universe").where("selected").select("asset")
     if kept.count() < s.min_assets:
         raise ValueError("too few assets pass the quality rules")
-    scen, obs = _sets(run), _observations(run)
-    place = lambda df, name: df.groupBy("model").agg(F.avg("mean_crps").alias("m")).select("model", F.rank().over(Window.orderBy(F.round("m", 12))).cast("long").alias(name))
-    own = S.observation_scores(scen.join(kept, "asset", "left_semi"), obs.join(kept, "asset", "left_semi"), s.energy_pairs, s.seed)
-    both = place(run.read("observation_scores"), "rank_all").join(place(own, "rank_liquid"), "model", "outer")
+    own = liquid(run)
+    for name in ("returns", "windows"):
+        own.write(run.read(name).join(kept, "asset", "left_semi"), name)
+    for step in (mm, benchmarks, evaluate, portfolio, backtest):
+        step(own)
+    place = lambda r, name: r.read("observation_scores").groupBy("model").agg(F.avg("mean_crps").alias(f"crps_{name}")).withColumn(f"rank_{name}", F.rank().over(Window.orderBy(F.round(f"crps_{name}", 12))).cast("long"))
+    both = place(run, "all").join(place(own, "liquid"), "model", "outer")
     run.write(both.withColumn("shift", F.col("rank_liquid") - F.col("rank_all")), "liquidity")
+    figures = ("cagr", "volatility", "sharpe", "max_drawdown", "final_wealth", "turnover")
+    of = lambda r, name: r.read("metrics").select("portfolio", *(F.col(c).alias(f"{c}_{name}") for c in figures))
+    metrics = of(run, "all").join(of(own, "liquid"), "portfolio", "outer")
+    run.write(metrics.withColumn("delta_sharpe", F.col("sharpe_liquid") - F.col("sharpe_all")), "liquidity_portfolios")
 
 
 def rolling(run: Run) -> None:
@@ -205,9 +245,7 @@ def rolling(run: Run) -> None:
     rank = F.rank().over(Window.partitionBy("fold").orderBy(F.round("m", 12)))
     ranks = scores.groupBy("model", "fold").agg(F.avg("mean_crps").alias("m")).withColumn("rank", rank)
     run.write(ranks.groupBy("model").agg(F.avg("rank").alias("mean_rank"), F.median("rank").alias("median_rank"), F.min("rank").alias("min_rank"), F.max("rank").alias("max_rank"), F.count_if(F.col("rank") == 1).alias("wins"), F.count(F.lit(1)).alias("folds")), "rolling_stability")
-    block = s.block if s.block_mode == "fixed" else None
-    long = S.long_scores(scores.select("fold", "model", "date", "mean_crps", "energy", "variogram"))
-    run.write(I.focal_table(long, "moment_matching", list(s.models), s.samples, s.seed, ["fold"], block, ("mean_crps", s.models[0])), "rolling_comparison")
+    _compare(run, S.long_scores(scores.select("fold", "model", "date", "mean_crps", "energy", "variogram")), ["fold"], "rolling_")
 
 
 def snapshot(run: Run) -> None:
@@ -232,7 +270,7 @@ NEEDS: dict[str, tuple[str, ...]] = {
     "evaluate": ("mm", "benchmarks"),
     "portfolio": ("mm", "benchmarks"),
     "backtest": ("portfolio",),
-    "liquidity": ("evaluate",),
+    "liquidity": ("evaluate", "backtest"),
     "rolling": ("transform",),
     "snapshot": ("backtest", "liquidity", "rolling"),
 }
@@ -244,16 +282,19 @@ WRITES: dict[str, tuple[str, ...]] = {
     "transform": ("returns", "windows", "quality", "flags"),
     "mm": ("starts", "scenarios_moment_matching"),
     "benchmarks": (),  # one for each model
-    "evaluate": ("observation_scores", "marginal", "comparison", "calibration", "calibration_summary"),
+    "evaluate": ("observation_scores", "marginal", "comparison", "sensitivity", "confidence_sets", "calibration", "calibration_summary"),
     "portfolio": ("weights", "portfolio_figures"),
     "backtest": ("ledger", "metrics", "sharpe_contrasts"),
-    "liquidity": ("universe", "liquidity"),
-    "rolling": ("rolling_scores", "rolling_pooled", "rolling_stability", "rolling_comparison"),
+    "liquidity": ("universe", "liquidity", "liquidity_portfolios", "liquid/returns", "liquid/windows"),  # and what the stages on these write
+    "rolling": ("rolling_scores", "rolling_pooled", "rolling_stability", "rolling_comparison", "rolling_sensitivity", "rolling_confidence_sets"),
 }
 
 
 def writes(run: Run, stage: str) -> list[str]:
-    names = WRITES[stage] if stage != "benchmarks" else [f"scenarios_{m}" for m in run.settings.models]
+    models = [f"scenarios_{m}" for m in run.settings.models]
+    names = list(WRITES[stage]) if stage != "benchmarks" else models
+    if stage == "liquidity":
+        names += [f"liquid/{n}" for of in ("mm", "evaluate", "portfolio", "backtest") for n in WRITES[of]] + [f"liquid/{n}" for n in models]
     return [run.path(n) for n in names]
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lineage
-from .steps import WRITES, Run, writes
+from .steps import SENSITIVITY, WRITES, Run, writes
 
 
 def _holds(df: DataFrame, ok: Column) -> tuple[bool, str]:
@@ -53,6 +53,12 @@ def _full(run: Run) -> list[tuple[str, Callable[[], tuple[bool, str]]]]:
         ("turnover costs", lambda: _holds(read("ledger"), F.abs(F.col("cost") - F.col("turnover") * run.settings.cost_bps / 1e4) < 1e-12)),
         ("every family is adjusted", lambda: _holds(read("sharpe_contrasts"), F.col("holm") >= F.col("pvalue") - 1e-12)),
         ("the universe was chosen in sample", lambda: _holds(read("universe"), F.col("selected") == (F.col("reason") == ""))),
+        ("the liquid run has the chosen assets only", lambda: _holds(read("liquid/windows").select("asset").distinct().join(read("universe"), "asset", "left"), F.col("selected"))),
+        ("the liquid run was calibrated on its own", lambda: _holds(read("liquid/starts").agg(F.count_if("chosen").alias("n")), F.col("n") == 1)),
+        *[(f"{n}: every metric has a set, and a last model of p-value 1", lambda n=n: _holds(read(n).groupBy("metric").agg(F.count_if("in_set").alias("k"), F.max("pvalue").alias("top")), (F.col("k") > 0) & (F.col("top") == 1))) for n in ("confidence_sets", "rolling_confidence_sets", "liquid/confidence_sets")],
+        *[(f"{n}: p-values rise along the order in which models leave", lambda n=n: _holds(read(n).withColumn("before", F.lag("pvalue").over(Window.partitionBy("metric").orderBy("left_at"))), F.coalesce(F.col("pvalue") >= F.col("before"), F.lit(True)))) for n in ("confidence_sets", "rolling_confidence_sets")],
+        ("sensitivity covers the contrasts", lambda: _holds(read("sensitivity").groupBy("metric", "benchmark").agg(F.count_distinct("requested").alias("k")), F.col("k") == len(SENSITIVITY))),
+        ("nothing lies between the samples", lambda: _holds(read("returns"), (F.col("date") <= run.settings.end_train) | (F.col("date") >= run.settings.start_oos))),
         ("folds have scores", lambda: _holds(read("rolling_scores").agg(F.count_distinct("fold").alias("k")), F.col("k") == len(run.settings.folds))),
         ("folded contrasts are adjusted", lambda: _holds(read("rolling_comparison"), F.col("holm") >= F.col("pvalue") - 1e-12)),
         *stages,

@@ -95,7 +95,7 @@ def test_run_plan_resume_verify(spark, tmp_path, capsys):
     run.write(run.read("weights").limit(3), "weights")
     bad = {r.check_name for r in verification.verify(run).collect() if not r.passed}
     assert {"lineage of portfolio", "lineage of backtest"} <= bad
-    assert [s for s, w, _ in steps.plan(run, "all") if w == "run"] == ["portfolio", "backtest", "snapshot"]
+    assert [s for s, w, _ in steps.plan(run, "all") if w == "run"] == ["portfolio", "backtest", "liquidity", "snapshot"]
 
 
 def test_command_line(tmp_path, capsys, spark):
