@@ -9,8 +9,10 @@ like any other; a manifest without inputs or outputs is an error.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,12 @@ def _records(spark: SparkSession, paths: list[str]) -> list[dict]:
     return [r.asDict() for r in file_hashes(spark, sorted(set(paths))).orderBy("table", "file").collect()]  # a row a file
 
 
+def fingerprints(spark: SparkSession, paths: list[str]) -> list[dict]:
+    """(table, sha256): one hash over the hashes of a table's files, in the order of their names."""
+    every = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file", "sha256"))), lambda s: s["sha256"]), ",")  # one entry a file
+    return [r.asDict() for r in file_hashes(spark, paths).groupBy("table").agg(F.sha2(every, 256).alias("sha256")).collect()]
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -107,6 +115,23 @@ def validate(spark: SparkSession, path: str, metadata: dict | None = None) -> li
     return found
 
 
+def environment(spark: SparkSession) -> dict[str, str]:
+    """Versions of what a run depends on."""
+    import importlib.metadata as meta
+    import platform
+
+    found = {name: meta.version(name) for name in ("numpy", "pandas", "pyarrow")}
+    return found | {"python": platform.python_version(), "spark": spark.version, "system": platform.platform()}
+
+
+def code_fingerprint() -> str:
+    """SHA-256 over the names and bytes of the package's modules."""
+    root, seen = Path(__file__).resolve().parent, hashlib.sha256()
+    for p in sorted(root.rglob("*.py")):
+        seen.update(str(p.relative_to(root)).encode() + b"\0" + p.read_bytes() + b"\0")
+    return seen.hexdigest()
+
+
 def require(spark: SparkSession, path: str) -> None:
     """An error unless the stage's files are those of its manifest."""
     found = validate(spark, path)

@@ -7,6 +7,7 @@ not converge says so in its result; inputs may not hold nulls.
 from __future__ import annotations
 
 import math
+from typing import Protocol
 
 import numpy as np
 
@@ -88,6 +89,12 @@ def simulate_dcc(fit: dict, mean: np.ndarray, df: float, paths: int, horizon: in
 MOMENT_WEIGHTS, COV_WEIGHT, MOMENT_FLOOR, COV_FLOOR = (2.0, 1.5, 0.5, 0.3), 0.05, 1e-6, 1e-3
 
 
+class Objective(Protocol):
+    """What block-coordinate descent can lower: a value of (x, p) with its gradients in both."""
+
+    def value_and_gradients(self, x: np.ndarray, p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]: ...
+
+
 class MomentTarget:
     """Scaled distance of (x, p) from four central moments and the covariances of each pair, with its gradients."""
 
@@ -148,13 +155,13 @@ def descend(f, x: np.ndarray, rounds: int = 40):
 
 
 class Matching:
-    """Block-coordinate descent of G(x, p) = F(x, p) + entropy * KL(p, uniform): p, then x, never upwards.
+    """Block-coordinate descent of G(x, p) = F(x, p) + entropy * KL(p, uniform), F any objective: p, then x, never upwards.
 
     p steps: ``mirror`` (exponentiated gradient) or ``projected`` (gradient on the simplex). x steps: ``joint``,
     ``sequential`` (a column at a time) or ``jacobi`` (all columns from one snapshot; sequential where G would rise).
     """
 
-    def __init__(self, target: MomentTarget, entropy: float = 1e-5, p_step: str = "mirror", x_step: str = "joint"):
+    def __init__(self, target: Objective, entropy: float = 1e-5, p_step: str = "mirror", x_step: str = "joint"):
         if p_step not in ("mirror", "projected") or x_step not in ("joint", "sequential", "jacobi"):
             raise ValueError("unknown step")
         self.target, self.entropy, self.p_step, self.x_step = target, entropy, p_step, x_step

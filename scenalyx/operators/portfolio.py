@@ -8,10 +8,16 @@ schedule with dates outside the returns is an error; no rows give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut, ship
 from . import checks
+from .moments import expanding_covariance
 from .resampling import block_sums
 from .scoring import expected_shortfall
 
@@ -35,17 +41,49 @@ def calendar(rets: DataFrame) -> DataFrame:
     return rets.groupBy(F.trunc("date", "quarter").alias("quarter")).agg(F.min("date").alias("rebalance_date"))
 
 
-def walk_forward(rets: DataFrame, rebalances: DataFrame, min_history: int = 250) -> DataFrame:
-    """(rebalance_date, asset, n, var, weight): inverse variance over all earlier rows.
+#: From (rebalance_date, asset_i, asset_j, n, mean_i, mean_j, cov), each pair once, to (rebalance_date, asset, weight).
+Estimator = Callable[[DataFrame], DataFrame]
+
+
+def _variances(stats: DataFrame) -> DataFrame:
+    return stats.where("asset_i = asset_j").select("rebalance_date", F.col("asset_i").alias("asset"), "n", F.col("cov").alias("var"))
+
+
+def inverse_variance(stats: DataFrame) -> DataFrame:
+    by_date = Window.partitionBy("rebalance_date")  # a row an asset
+    return _variances(stats).select("rebalance_date", "asset", inverse_weights(F.col("var"), by_date).alias("weight"))
+
+
+def equal_weight(stats: DataFrame) -> DataFrame:
+    own = _variances(stats)
+    return own.select("rebalance_date", "asset", (1.0 / F.count(F.lit(1)).over(Window.partitionBy("rebalance_date"))).alias("weight"))
+
+
+def hierarchical(stats: DataFrame) -> DataFrame:
+    """Risk parity by bisection of the single-linkage tree: the covariances of a date, assets x assets numbers, are one group."""
+    from .kernels import hierarchical_risk_parity
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["asset_i"]))
+        at = {a: i for i, a in enumerate(names)}
+        c = np.zeros((len(names), len(names)))
+        for i, j, v in zip(pdf["asset_i"], pdf["asset_j"], pdf["cov"], strict=True):
+            c[at[i], at[j]] = c[at[j], at[i]] = v
+        return pd.DataFrame({"rebalance_date": pdf["rebalance_date"].iloc[0], "asset": names, "weight": hierarchical_risk_parity(c)})
+
+    ship(stats.sparkSession)
+    return stats.groupBy("rebalance_date").applyInPandas(run, "rebalance_date date, asset string, weight double")
+
+
+def walk_forward(rets: DataFrame, rebalances: DataFrame, min_history: int = 250, estimator: Estimator = inverse_variance) -> DataFrame:
+    """(rebalance_date, asset, n, var, weight): the estimator's weights from all earlier rows, merged period by period.
 
-    Expanding sums by one window over returns and rebalance dates together, in place of a range join.
+    A date before which any asset has fewer rows than ``min_history`` has no weights at all.
     """
-    assets = rets.select("asset").distinct()
-    marks = rebalances.select(F.col("rebalance_date").alias("date")).join(F.broadcast(assets)).select("date", "asset", F.lit(None).cast("double").alias("ret"), F.lit(1).alias("mark"))
-    both = rets.select("date", "asset", "ret", F.lit(0).alias("mark")).unionByName(marks)
-    w = Window.partitionBy("asset").orderBy(F.datediff("date", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
-    e = both.withColumn("n", F.count("ret").over(w)).withColumn("var", F.var_pop("ret").over(w)).where((F.col("mark") == 1) & (F.col("n") >= min_history))
-    return e.select(F.col("date").alias("rebalance_date"), "asset", "n", "var", inverse_weights(F.col("var"), Window.partitionBy("date")).alias("weight"))
+    stats = expanding_covariance(rets, rebalances)
+    ready = stats.groupBy("rebalance_date").agg(F.min("n").alias("least")).where(F.col("least") >= min_history)
+    stats = cut(stats.join(ready.select("rebalance_date"), "rebalance_date"))
+    return _variances(stats).join(estimator(stats), ["rebalance_date", "asset"]).select("rebalance_date", "asset", "n", "var", "weight")
 
 
 def backtest(rets: DataFrame, schedule: DataFrame, cost_bps: float = 20.0) -> DataFrame:

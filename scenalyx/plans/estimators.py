@@ -16,6 +16,7 @@ from ..operators import checks
 from ..operators import dynamics as D
 from ..operators import inference as I
 from ..operators import kernels as N
+from ..operators import matching
 from ..operators import models as G
 from ..operators import moments as M
 from ..operators import panel as P
@@ -258,6 +259,28 @@ def moment_match_histories(spark, d):
     return rows.withColumn("falls", F.coalesce(step <= 1e-9, F.lit(True)))
 
 
+@query("moment_match_partitioned")
+def moment_match_partitioned(spark, d, scenarios: int = 20_000, rounds: int = 2):
+    """A set whose X and p stay partitioned: G after every round, F, and the residuals of what was reached."""
+    scen = _scen(spark, d).where("model = 'ewma'")
+    found = matching.Set(matching.started(spark, _target(scen), scenarios, 123), _target(scen))
+    path = found.run(rounds, x_rounds=4, p_rounds=2)
+    gx, gp = found.residuals()
+    rows = [(k, float(g), float(found.point.f), float(gx), float(gp), scenarios) for k, g in enumerate(path)]  # one a round
+    return spark.createDataFrame(rows, "round int, g double, f double, x_residual double, p_residual double, scenarios long")
+
+
+def _target(scen: DataFrame) -> D.MomentTarget:
+    """Moments and shrunk covariances of one set, from aggregates: the driver sees assets x assets numbers."""
+    m = {r["asset"]: [r[f"m{k}"] for k in (1, 2, 3, 4)] for r in M.moments(scen, ["asset"]).collect()}
+    names = sorted(m)
+    at = {a: i for i, a in enumerate(names)}
+    cov = np.zeros((len(names), len(names)))
+    for r in M.shrunk(M.covariance(scen, ["model"]), M.shrinkage(scen, ["model"]), ["model"]).collect():
+        cov[at[r["asset_i"]], at[r["asset_j"]]] = cov[at[r["asset_j"]], at[r["asset_i"]]] = r["value"]
+    return D.MomentTarget(np.array([m[a] for a in names]).T, N.nearest_psd(cov))
+
+
 # rolling origins
 
 
@@ -379,20 +402,9 @@ def min_cvar(spark, d):
 @query("walk_forward_hrp")
 def walk_forward_hrp(spark, d):
     """Hierarchical weights at every rebalancing, from the covariance of all earlier rows."""
-    ship(spark)
     r = _rets(spark, d)
     marks = B.calendar(r.where("segment = 'oos'")).select("rebalance_date")
-    cov = M.expanding_covariance(r, marks).withColumnRenamed("cov", "value")
-
-    def run(pdf):
-        names = sorted(set(pdf["asset_i"]))
-        at = {a: i for i, a in enumerate(names)}
-        c = np.zeros((len(names), len(names)))
-        for i, j, v in zip(pdf["asset_i"], pdf["asset_j"], pdf["value"], strict=True):
-            c[at[i], at[j]] = c[at[j], at[i]] = v
-        return pd.DataFrame({"rebalance_date": pdf["rebalance_date"].iloc[0], "asset": names, "weight": N.hierarchical_risk_parity(c)})
-
-    return cov.groupBy("rebalance_date").applyInPandas(run, "rebalance_date date, asset string, weight double")
+    return B.walk_forward(r, marks, 1, B.hierarchical).select("rebalance_date", "asset", "weight")
 
 
 # inference

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -249,9 +250,16 @@ def rolling(run: Run) -> None:
 
 
 def snapshot(run: Run) -> None:
-    """One file that lists every stage's manifest, and the settings."""
+    """Copies of the result tables under a name of their own, and one file with settings, environment, code and every stage's manifest."""
     found = {stage: lineage.read_json(run.spark, run.manifest(stage)) for stage in NEEDS if stage != "snapshot"}
-    lineage.write_json(run.spark, f"{run.folder}/snapshot.json", {"settings": asdict(run.settings), "stages": found})
+    name = f"snapshots/{datetime.now(UTC).strftime('%Y%m%dT%H%M%S%fZ')}"
+    for table in KEPT:
+        run.write(run.read(table), f"{name}/{table}")
+    copies = [run.path(f"{name}/{table}") for table in KEPT]
+    hashes = {r["table"].rsplit("/", 1)[1]: r["sha256"] for r in lineage.fingerprints(run.spark, copies)}
+    value = {"settings": asdict(run.settings), "environment": lineage.environment(run.spark), "code": lineage.code_fingerprint(), "folder": name, "tables": hashes, "stages": found}
+    lineage.write_json(run.spark, run.path(f"{name}/snapshot.json"), value)
+    lineage.write_json(run.spark, run.path("snapshot.json"), value)
 
 
 def reuse(run: Run) -> None:
@@ -261,6 +269,9 @@ def reuse(run: Run) -> None:
         raise RuntimeError(f"the stored prices cannot be used: {', '.join(found)}")
 
 
+#: Result tables that a snapshot copies.
+KEPT = ("coverage", "quality", "flags", "starts", "observation_scores", "marginal", "comparison", "sensitivity", "confidence_sets", "calibration", "calibration_summary", "weights", "portfolio_figures", "metrics", "sharpe_contrasts", "universe", "liquidity", "liquidity_portfolios", "rolling_scores", "rolling_pooled", "rolling_stability", "rolling_comparison", "rolling_sensitivity", "rolling_confidence_sets")
+
 #: Every stage with what it needs, in the order of a whole run.
 NEEDS: dict[str, tuple[str, ...]] = {
     "download": (),

@@ -146,3 +146,48 @@ def test_density_is_close_to_the_sum_over_all_values(spark):
         else:
             assert r.density is None
     assert len(got) == 800
+
+
+def test_walk_forward_takes_an_estimator(spark):
+    from scenalyx.operators import kernels, portfolio
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 3)) * [0.01, 0.02, 0.04]
+    rows = [(d, a, float(x[k, j])) for k, d in enumerate(days(80)) for j, a in enumerate("abc")]
+    frame = spark.createDataFrame(rows, "date date, asset string, ret double")
+    marks = spark.createDataFrame([(days(80)[k],) for k in (10, 40, 79)], "rebalance_date date")
+    for estimator, want in (
+        (portfolio.inverse_variance, lambda c: (1 / np.diag(c)) / (1 / np.diag(c)).sum()),
+        (portfolio.equal_weight, lambda c: np.full(3, 1 / 3)),
+        (portfolio.hierarchical, kernels.hierarchical_risk_parity),
+        (lambda stats: stats.where("asset_i = asset_j").select("rebalance_date", F.col("asset_i").alias("asset"), (F.col("asset_i") == "b").cast("double").alias("weight")), lambda c: np.array([0.0, 1.0, 0.0])),
+    ):
+        got = {(r.rebalance_date, r.asset): r for r in portfolio.walk_forward(frame, marks, 20, estimator).collect()}
+        assert {d for d, _ in got} == {days(80)[40], days(80)[79]}  # ten rows are too few
+        for k in (40, 79):
+            w = want(np.cov(x[:k].T, bias=True))
+            assert [got[days(80)[k], a].weight for a in "abc"] == pytest.approx(w.tolist())
+            assert got[days(80)[k], "a"].n == k
+    short = spark.createDataFrame([r for r in rows if r[1] != "c" or r[0] >= days(80)[30]], frame.schema)
+    assert {r.rebalance_date for r in portfolio.walk_forward(short, marks, 20).collect()} == {days(80)[79]}  # one short history, no weights
+
+
+def test_matching_takes_any_objective():
+    from scenalyx.operators import dynamics
+
+    class Mean:
+        """Distance of the mean from 1."""
+
+        def value_and_gradients(self, x, p):
+            gap = p @ x - 1
+            return float(gap @ gap), 2 * p[:, None] * gap, 2 * x @ gap
+
+    rng = np.random.default_rng(1)
+    out = dynamics.Matching(Mean(), 0.0).run(rng.normal(size=(50, 2)), np.full(50, 0.02), rounds=20)
+    assert out["f"] < 1e-10 and out["p"].sum() == pytest.approx(1)
+
+
+def test_environment_and_code(spark):
+    found = lineage.environment(spark)
+    assert found["spark"] == spark.version and set(found) == {"numpy", "pandas", "pyarrow", "python", "spark", "system"}
+    assert lineage.code_fingerprint() == lineage.code_fingerprint() and len(lineage.code_fingerprint()) == 64
