@@ -22,6 +22,7 @@ from ..operators import moments as M
 from ..operators import panel as P
 from ..operators import portfolio as B
 from ..operators import scoring as S
+from ..operators import tailrisk
 from ..runtime import cut, ship
 from . import oracle_base as O
 from .catalogue import ALPHA, SAMPLES, SEED, R, _both, _pit, _r, _rets, _scen, _sets, _wide, query
@@ -396,7 +397,8 @@ def max_sharpe(spark, d):
 
 @query("min_cvar")
 def min_cvar(spark, d):
-    return _per_model(spark, _scen(spark, d), _tail(ALPHA, CAP), _WEIGHTS + ", tail_loss double")
+    """Weights of least expected shortfall of every set, and that shortfall, by cuts from partitioned scenarios."""
+    return tailrisk.min_cvar(_scen(spark, d), ALPHA, CAP).select("model", "asset", "weight", "tail_loss")
 
 
 @query("walk_forward_hrp")
