@@ -90,12 +90,20 @@ def R(*cols: str) -> str:
 # panel and quality
 
 
-@query("panel_coverage", f"SELECT asset, count(*) AS n_dates, count(raw) AS n_obs, round(avg(CASE WHEN raw IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS coverage, min(CASE WHEN raw IS NOT NULL THEN date END) AS first_obs, max(CASE WHEN raw IS NOT NULL THEN date END) AS last_obs, count(*) FILTER (raw IS NULL AND price IS NOT NULL) AS imputed, count(*) FILTER (price IS NULL) AS unresolved FROM filled GROUP BY asset")
+@query("panel_coverage", (
+    f"SELECT asset, count(*) AS n_dates, count(raw) AS n_obs, round(avg(CASE WHEN raw IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS coverage, min(CASE WHEN raw IS NOT NULL THEN date END) AS first_obs, max(CASE WHEN raw IS NOT NULL THEN date END) AS last_obs, count(*) FILTER (raw IS NULL AND price IS NOT NULL) AS imputed, count(*) FILTER (price IS NULL) AS unresolved"
+    f" FROM filled GROUP BY asset"
+))
 def panel_coverage(spark, d):
     return _r(P.coverage(_panel(spark, d)))
 
 
-@query("panel_gap_runs", "SELECT asset, max(CASE WHEN flag = 1 THEN n ELSE 0 END) AS longest_gap FROM (SELECT asset, flag, island, count(*) AS n FROM (SELECT asset, flag, rn - row_number() OVER (PARTITION BY asset, flag ORDER BY date) AS island FROM (SELECT asset, date, (raw IS NULL)::INT AS flag, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn FROM grid)) GROUP BY ALL) GROUP BY asset")
+@query("panel_gap_runs", (
+    "SELECT asset, max(CASE WHEN flag = 1 THEN n ELSE 0 END) AS longest_gap FROM (SELECT asset, flag, island, count(*) AS n"
+    " FROM (SELECT asset, flag, rn - row_number() OVER (PARTITION BY asset, flag ORDER BY date) AS island"
+    " FROM (SELECT asset, date, (raw IS NULL)::INT AS flag, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn"
+    " FROM grid)) GROUP BY ALL) GROUP BY asset"
+))
 def panel_gap_runs(spark, d):
     return P.longest_run(_panel(spark, d), ["asset"], F.col("raw").isNull(), "longest_gap")
 
@@ -116,10 +124,18 @@ def dedup_keep_last(spark, d):
     return _r(keep_last(e, ["hour", "event_type"], "seq").select("hour", "event_type", "event_id", "value"))
 
 
-_DAILY = "SELECT *, last_value(raw IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS price FROM (SELECT d.date, a.asset, px.raw FROM (SELECT DISTINCT date FROM dpx) d CROSS JOIN (SELECT DISTINCT asset FROM dpx) a LEFT JOIN dpx px ON px.date = d.date AND px.asset = a.asset)"
+_DAILY = (
+    "SELECT *, last_value(raw IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS price"
+    " FROM (SELECT d.date, a.asset, px.raw FROM (SELECT DISTINCT date FROM dpx) d CROSS"
+    " JOIN (SELECT DISTINCT asset FROM dpx) a LEFT JOIN dpx px ON px.date = d.date AND px.asset = a.asset)"
+)
 
 
-@query("returns_daily", f"SELECT date, asset, {R('ret')} FROM (SELECT date, asset, price / lag(price) OVER (PARTITION BY asset ORDER BY date) - 1 AS ret FROM (SELECT *, count(price) OVER (PARTITION BY date) AS have, count(*) OVER (PARTITION BY date) AS n FROM ({_DAILY})) WHERE have = n) WHERE ret IS NOT NULL")
+@query("returns_daily", (
+    f"SELECT date, asset, {R('ret')} FROM (SELECT date, asset, price / lag(price) OVER (PARTITION BY asset ORDER BY date) - 1 AS ret"
+    f" FROM (SELECT *, count(price) OVER (PARTITION BY date) AS have, count(*) OVER (PARTITION BY date) AS n"
+    f" FROM ({_DAILY})) WHERE have = n) WHERE ret IS NOT NULL"
+))
 def returns_daily(spark, d):
     return _r(P.returns(P.complete(_panel(spark, d, "day")), exclude_imputed=False), "date", "asset", "ret")
 
@@ -139,17 +155,31 @@ def zero_run_quality(spark, d):
     return _r(P.quality(_panel(spark, d), _rets(spark, d)), "asset", "segment", "n", "zero_rate", "vol", "max_zero_run")
 
 
-@query("zero_run_quality_full", f"SELECT asset, 'full' AS segment, count(*) AS n, round(avg(CASE WHEN ret = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) + 0.0::DOUBLE AS zero_rate, round(stddev_pop(ret), 6) + 0.0::DOUBLE AS vol FROM returns GROUP BY asset UNION ALL SELECT asset, segment, n, {R('zero_rate', 'vol')} FROM quality")
+@query("zero_run_quality_full", (
+    f"SELECT asset, 'full' AS segment, count(*) AS n, round(avg(CASE WHEN ret = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) + 0.0::DOUBLE AS zero_rate, round(stddev_pop(ret), 6) + 0.0::DOUBLE AS vol"
+    f" FROM returns GROUP BY asset UNION ALL SELECT asset, segment, n, {R('zero_rate', 'vol')}"
+    f" FROM quality"
+))
 def zero_run_quality_full(spark, d):
     return _r(P.quality(_panel(spark, d), P.with_full_segment(_rets(spark, d))), "asset", "segment", "n", "zero_rate", "vol")
 
 
-@query("quality_flags_by_segment", "SELECT asset, flag_is, flag_oos, flag_oos AND NOT flag_is AS deteriorates FROM (SELECT asset, coalesce(bool_or(bad) FILTER (segment = 'is'), FALSE) AS flag_is, coalesce(bool_or(bad) FILTER (segment = 'oos'), FALSE) AS flag_oos FROM (SELECT *, zero_rate > 0.03 OR max_zero_run > 5 AS bad FROM quality) GROUP BY asset)")
+@query("quality_flags_by_segment", (
+    "SELECT asset, flag_is, flag_oos, flag_oos AND NOT flag_is AS deteriorates"
+    " FROM (SELECT asset, coalesce(bool_or(bad) FILTER (segment = 'is'), FALSE) AS flag_is, coalesce(bool_or(bad) FILTER (segment = 'oos'), FALSE) AS flag_oos"
+    " FROM (SELECT *, zero_rate > 0.03 OR max_zero_run > 5 AS bad FROM quality)"
+    " GROUP BY asset)"
+))
 def quality_flags_by_segment(spark, d):
     return P.flags(P.quality(_panel(spark, d), _rets(spark, d)), 0.03, 5)
 
 
-@query("universe_selection", f"SELECT c.asset, reason = '' AS selected, reason, sum((reason = '')::INT) OVER () >= 2 AS enough, {R('zero_rate_oos', 'vol_oos')} FROM (SELECT asset, concat_ws('+', CASE WHEN zero_rate > 0.03 THEN 'zero_rate' END, CASE WHEN max_zero_run > 5 THEN 'zero_run' END) AS reason FROM quality WHERE segment = 'is') c LEFT JOIN (SELECT asset, zero_rate AS zero_rate_oos, vol AS vol_oos FROM quality WHERE segment = 'oos') o USING (asset)")
+@query("universe_selection", (
+    f"SELECT c.asset, reason = '' AS selected, reason, sum((reason = '')::INT) OVER () >= 2 AS enough, {R('zero_rate_oos', 'vol_oos')}"
+    f" FROM (SELECT asset, concat_ws('+', CASE WHEN zero_rate > 0.03 THEN 'zero_rate' END, CASE WHEN max_zero_run > 5 THEN 'zero_run' END) AS reason"
+    f" FROM quality WHERE segment = 'is') c LEFT JOIN (SELECT asset, zero_rate AS zero_rate_oos, vol AS vol_oos"
+    f" FROM quality WHERE segment = 'oos') o USING (asset)"
+))
 def universe_selection(spark, d):
     return _r(P.universe(P.quality(_panel(spark, d), _rets(spark, d)), 0.03, 5))
 
@@ -183,7 +213,11 @@ def effective_sample_size(spark, d):
     return _r(w.groupBy("model").agg((1 / F.sum(F.col("p") * F.col("p"))).alias("ess")))
 
 
-@query("entropy_kl_gini", f"SELECT model, {R('ess', 'entropy', 'kl', 'gini')} FROM (SELECT model, 1 / sum(p * p) AS ess, -sum(p * ln(p)) AS entropy, sum(p * ln(p * n)) AS kl, 1 + 1 / max(n)::DOUBLE - 2 * avg(cum) AS gini FROM (SELECT *, count(*) OVER (PARTITION BY model) AS n, sum(p) OVER (PARTITION BY model ORDER BY p, date ROWS UNBOUNDED PRECEDING) AS cum FROM weights) GROUP BY model)")
+@query("entropy_kl_gini", (
+    f"SELECT model, {R('ess', 'entropy', 'kl', 'gini')} FROM (SELECT model, 1 / sum(p * p) AS ess, -sum(p * ln(p)) AS entropy, sum(p * ln(p * n)) AS kl, 1 + 1 / max(n)::DOUBLE - 2 * avg(cum) AS gini"
+    f" FROM (SELECT *, count(*) OVER (PARTITION BY model) AS n, sum(p) OVER (PARTITION BY model ORDER BY p, date ROWS UNBOUNDED PRECEDING) AS cum"
+    f" FROM weights) GROUP BY model)"
+))
 def entropy_kl_gini(spark, d):
     return _r(M.concentration(_scen(spark, d).select("model", "date", "p").distinct(), ["model"]))
 
@@ -215,7 +249,12 @@ def weighted_covariance(spark, d):
     return M.covariance(_scen(spark, d), ["model"]).withColumn("value", F.round("value", 8))
 
 
-_SHRINK = "SELECT model, CASE WHEN sum(s * s) = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, sum(noise) / sum(s * s))) END AS intensity FROM (SELECT model, asset_i, asset_j, max(s) AS s, sum(p * p * pow(di * dj - s, 2)) AS noise FROM (SELECT *, sum(p * di * dj) OVER (PARTITION BY model, asset_i, asset_j) AS s FROM pairs WHERE asset_i < asset_j) GROUP BY ALL) GROUP BY model"
+_SHRINK = (
+    "SELECT model, CASE WHEN sum(s * s) = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, sum(noise) / sum(s * s))) END AS intensity"
+    " FROM (SELECT model, asset_i, asset_j, max(s) AS s, sum(p * p * pow(di * dj - s, 2)) AS noise"
+    " FROM (SELECT *, sum(p * di * dj) OVER (PARTITION BY model, asset_i, asset_j) AS s"
+    " FROM pairs WHERE asset_i < asset_j) GROUP BY ALL) GROUP BY model"
+)
 
 
 @query("shrinkage_intensity", f"SELECT model, {R('intensity')} FROM ({_SHRINK})")
@@ -327,7 +366,11 @@ def pit_dispersion(spark, d):
     return _r(g.withColumn("label", F.when(F.col("ratio") > 1.05, "underdispersed").when(F.col("ratio") < 0.95, "overdispersed").otherwise("calibrated")))
 
 
-@query("ks_statistic", f"SELECT model, asset, {R('ks')} FROM (SELECT model, asset, max(greatest(rn / n - u, u - (rn - 1) / n)) AS ks FROM (SELECT *, row_number() OVER (PARTITION BY model, asset ORDER BY u, date)::DOUBLE AS rn, count(*) OVER (PARTITION BY model, asset) AS n FROM pit) GROUP BY 1, 2)")
+@query("ks_statistic", (
+    f"SELECT model, asset, {R('ks')} FROM (SELECT model, asset, max(greatest(rn / n - u, u - (rn - 1) / n)) AS ks"
+    f" FROM (SELECT *, row_number() OVER (PARTITION BY model, asset ORDER BY u, date)::DOUBLE AS rn, count(*) OVER (PARTITION BY model, asset) AS n"
+    f" FROM pit) GROUP BY 1, 2)"
+))
 def ks_statistic(spark, d):
     u = value_sums(_pit(spark, d), ["model", "asset"], "u", {"own": F.lit(1.0)})
     n = u.groupBy("model", "asset").agg(F.max("own_upto").alias("n"))
@@ -449,12 +492,25 @@ _LOSS = "SELECT model, 0 AS seg, date, score AS diff FROM scores"
 _SET = O.means_sql(_LOSS, "model", O.sizes_sql(_LOSS, "model", fixed=4), SAMPLES, SEED)
 
 
-@query("mcs_statistics", f"SELECT model_i, model_j, {R('diff', 'sd', 't')} FROM (SELECT model_i, model_j, max(gap) AS diff, sqrt(avg(e * e)) AS sd, max(gap) / nullif(sqrt(avg(e * e)), 0) AS t FROM (SELECT a.model AS model_i, b.model AS model_j, a.m - b.m AS gap, a.mean - b.mean - a.m + b.m AS e FROM (SELECT * FROM ({_SET}) JOIN (SELECT model, avg(score) AS m FROM scores GROUP BY 1) USING (model)) a JOIN (SELECT * FROM ({_SET}) JOIN (SELECT model, avg(score) AS m FROM scores GROUP BY 1) USING (model)) b ON a.sample = b.sample AND a.model < b.model) GROUP BY 1, 2)")
+@query("mcs_statistics", (
+    f"SELECT model_i, model_j, {R('diff', 'sd', 't')} FROM (SELECT model_i, model_j, max(gap) AS diff, sqrt(avg(e * e)) AS sd, max(gap) / nullif(sqrt(avg(e * e)), 0) AS t"
+    f" FROM (SELECT a.model AS model_i, b.model AS model_j, a.m - b.m AS gap, a.mean - b.mean - a.m + b.m AS e"
+    f" FROM (SELECT * FROM ({_SET}) JOIN (SELECT model, avg(score) AS m FROM scores"
+    f" GROUP BY 1) USING (model)) a JOIN (SELECT * FROM ({_SET}) JOIN (SELECT model, avg(score) AS m"
+    f" FROM scores GROUP BY 1) USING (model)) b ON a.sample = b.sample AND a.model < b.model)"
+    f" GROUP BY 1, 2)"
+))
 def mcs_statistics(spark, d):
     return _r(I.confidence_set_statistics(_scores(spark, d), "score", 4, SAMPLES, SEED))
 
 
-@query("stability_ranks", f"SELECT model, {R('mean_rank', 'median_rank')}, min_rank, max_rank, wins, folds FROM (SELECT model, avg(rk) AS mean_rank, median(rk) AS median_rank, min(rk) AS min_rank, max(rk) AS max_rank, count(*) FILTER (rk = 1) AS wins, count(*) AS folds FROM (SELECT model, fold, rank() OVER (PARTITION BY fold ORDER BY round(score, 9)) AS rk FROM (SELECT model, year(date) AS fold, avg(score) AS score FROM scores GROUP BY 1, 2)) GROUP BY model)")
+@query("stability_ranks", (
+    f"SELECT model, {R('mean_rank', 'median_rank')}, min_rank, max_rank, wins, folds"
+    f" FROM (SELECT model, avg(rk) AS mean_rank, median(rk) AS median_rank, min(rk) AS min_rank, max(rk) AS max_rank, count(*) FILTER (rk = 1) AS wins, count(*) AS folds"
+    f" FROM (SELECT model, fold, rank() OVER (PARTITION BY fold ORDER BY round(score, 9)) AS rk"
+    f" FROM (SELECT model, year(date) AS fold, avg(score) AS score FROM scores"
+    f" GROUP BY 1, 2)) GROUP BY model)"
+))
 def stability_ranks(spark, d):
     f = _scores(spark, d).groupBy("model", F.year("date").alias("fold")).agg(F.avg("score").alias("score"))
     r = f.withColumn("rk", F.rank().over(Window.partitionBy("fold").orderBy(F.round("score", 9))).cast("long"))
@@ -470,7 +526,12 @@ def fold_excess(spark, d):
 _FOLDS = [(y, f"{y - 1}-12-31", f"{y}-01-01", f"{y}-12-31") for y in (1998, 1999, 2000, 2001)]
 
 
-@query("fold_range_join", "SELECT fold, role, asset, count(*) AS n, round(avg(ret), 6) + 0.0::DOUBLE AS mean FROM (SELECT f AS fold, CASE WHEN year(date) < f THEN 'train' ELSE 'evaluate' END AS role, asset, ret FROM returns JOIN (SELECT unnest([1998, 1999, 2000, 2001]) AS f) ON year(date) <= f) GROUP BY ALL")
+@query("fold_range_join", (
+    "SELECT fold, role, asset, count(*) AS n, round(avg(ret), 6) + 0.0::DOUBLE AS mean"
+    " FROM (SELECT f AS fold, CASE WHEN year(date) < f THEN 'train' ELSE 'evaluate' END AS role, asset, ret"
+    " FROM returns JOIN (SELECT unnest([1998, 1999, 2000, 2001]) AS f) ON year(date) <= f)"
+    " GROUP BY ALL"
+))
 def fold_range_join(spark, d):
     folds = spark.createDataFrame(_FOLDS, "fold int, train_end string, begin string, end string").select("fold", *[F.to_date(c).alias(c) for c in ("train_end", "begin", "end")])
     role = F.when(F.col("date") <= F.col("train_end"), "train").when(F.col("date").between(F.col("begin"), F.col("end")), "evaluate")
@@ -479,7 +540,11 @@ def fold_range_join(spark, d):
     return _r(j.groupBy("fold", "role", "asset").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean")))
 
 
-@query("rank_comparison_outer", f"SELECT model, rank_all, rank_late, rank_late - rank_all AS shift FROM (SELECT model, rank() OVER (ORDER BY round(avg(score), 9)) AS rank_all FROM scores GROUP BY model) FULL JOIN (SELECT model, rank() OVER (ORDER BY round(avg(score), 9)) AS rank_late FROM scores WHERE date >= DATE '2001-01-01' GROUP BY model) USING (model)")
+@query("rank_comparison_outer", (
+    f"SELECT model, rank_all, rank_late, rank_late - rank_all AS shift FROM (SELECT model, rank() OVER (ORDER BY round(avg(score), 9)) AS rank_all"
+    f" FROM scores GROUP BY model) FULL JOIN (SELECT model, rank() OVER (ORDER BY round(avg(score), 9)) AS rank_late"
+    f" FROM scores WHERE date >= DATE '2001-01-01' GROUP BY model) USING (model)"
+))
 def rank_comparison_outer(spark, d):
     s = _scores(spark, d)
     rk = lambda df, name: df.groupBy("model").agg(F.avg("score").alias("s")).select("model", F.rank().over(Window.orderBy(F.round("s", 9))).cast("long").alias(name))
@@ -538,18 +603,37 @@ def backtest_wealth(spark, d):
     return _r(_ledger(spark, d))
 
 
-@query("backtest_metrics", f"SELECT portfolio, {R('final_wealth', 'cagr', 'volatility', 'sharpe', 'max_drawdown', 'turnover')} FROM (SELECT portfolio, arg_max(wealth, date) AS final_wealth, pow(arg_max(wealth, date), 52.0::DOUBLE / count(*)) - 1 AS cagr, stddev_samp(r) * sqrt(52.0::DOUBLE) AS volatility, avg(r) / nullif(stddev_samp(r), 0) * sqrt(52.0::DOUBLE) AS sharpe, min(dd) AS max_drawdown, sum(turnover) AS turnover FROM (SELECT *, wealth / max(wealth) OVER (PARTITION BY portfolio ORDER BY date) - 1 AS dd FROM ledger) GROUP BY portfolio)")
+@query("backtest_metrics", (
+    f"SELECT portfolio, {R('final_wealth', 'cagr', 'volatility', 'sharpe', 'max_drawdown', 'turnover')}"
+    f" FROM (SELECT portfolio, arg_max(wealth, date) AS final_wealth, pow(arg_max(wealth, date), 52.0::DOUBLE / count(*)) - 1 AS cagr, stddev_samp(r) * sqrt(52.0::DOUBLE) AS volatility, avg(r) / nullif(stddev_samp(r), 0) * sqrt(52.0::DOUBLE) AS sharpe, min(dd) AS max_drawdown, sum(turnover) AS turnover"
+    f" FROM (SELECT *, wealth / max(wealth) OVER (PARTITION BY portfolio ORDER BY date) - 1 AS dd"
+    f" FROM ledger) GROUP BY portfolio)"
+))
 def backtest_metrics(spark, d):
     return _r(B.metrics(_ledger(spark, d), 52.0))
 
 
-_HELD = "SELECT 'equal' AS portfolio, asset, 1.0::DOUBLE / count(*) OVER () AS weight FROM (SELECT DISTINCT asset FROM returns WHERE segment = 'is') UNION ALL SELECT 'inverse_variance', asset, (1 / v) / sum(1 / v) OVER () FROM (SELECT asset, var_pop(ret) AS v FROM returns WHERE segment = 'is' GROUP BY asset)"
+_HELD = (
+    "SELECT 'equal' AS portfolio, asset, 1.0::DOUBLE / count(*) OVER () AS weight"
+    " FROM (SELECT DISTINCT asset FROM returns WHERE segment = 'is') UNION ALL SELECT 'inverse_variance', asset, (1 / v) / sum(1 / v) OVER ()"
+    " FROM (SELECT asset, var_pop(ret) AS v FROM returns WHERE segment = 'is'"
+    " GROUP BY asset)"
+)
 _HELD_R = f"SELECT model, portfolio, date, max(p) AS p, sum(weight * x) AS r FROM scen JOIN ({_HELD}) USING (asset) GROUP BY 1, 2, 3"
 
 
 @query(
     "portfolio_diagnostics",
-    f"SELECT model, portfolio, {R('expected_return', 'volatility', 'sharpe')}, 0.0::DOUBLE AS risk_free_rate, {R('lower_es', 'herfindahl', 'effective_assets', 'max_weight')} FROM (SELECT model, portfolio, mean AS expected_return, sd AS volatility, mean / greatest(sd, 1e-15) AS sharpe, es AS lower_es, h AS herfindahl, 1 / h AS effective_assets, top AS max_weight FROM (SELECT model, portfolio, max(mean) AS mean, sqrt(sum(p * pow(r - mean, 2))) AS sd FROM (SELECT *, sum(p * r) OVER (PARTITION BY model, portfolio) AS mean FROM ({_HELD_R})) GROUP BY 1, 2) JOIN (SELECT model, portfolio, sum(r * greatest(0.0::DOUBLE, least(p, 0.05::DOUBLE - (cum - p)))) / 0.05::DOUBLE AS es FROM (SELECT *, sum(p) OVER (PARTITION BY model, portfolio ORDER BY r, date ROWS UNBOUNDED PRECEDING) AS cum FROM ({_HELD_R})) GROUP BY 1, 2) USING (model, portfolio) JOIN (SELECT portfolio, sum(weight * weight) AS h, max(weight) AS top FROM ({_HELD}) GROUP BY 1) USING (portfolio))",
+    (
+        f"SELECT model, portfolio, {R('expected_return', 'volatility', 'sharpe')}, 0.0::DOUBLE AS risk_free_rate, {R('lower_es', 'herfindahl', 'effective_assets', 'max_weight')}"
+        f" FROM (SELECT model, portfolio, mean AS expected_return, sd AS volatility, mean / greatest(sd, 1e-15) AS sharpe, es AS lower_es, h AS herfindahl, 1 / h AS effective_assets, top AS max_weight"
+        f" FROM (SELECT model, portfolio, max(mean) AS mean, sqrt(sum(p * pow(r - mean, 2))) AS sd"
+        f" FROM (SELECT *, sum(p * r) OVER (PARTITION BY model, portfolio) AS mean"
+        f" FROM ({_HELD_R})) GROUP BY 1, 2) JOIN (SELECT model, portfolio, sum(r * greatest(0.0::DOUBLE, least(p, 0.05::DOUBLE - (cum - p)))) / 0.05::DOUBLE AS es"
+        f" FROM (SELECT *, sum(p) OVER (PARTITION BY model, portfolio ORDER BY r, date ROWS UNBOUNDED PRECEDING) AS cum"
+        f" FROM ({_HELD_R})) GROUP BY 1, 2) USING (model, portfolio) JOIN (SELECT portfolio, sum(weight * weight) AS h, max(weight) AS top"
+        f" FROM ({_HELD}) GROUP BY 1) USING (portfolio))"
+    ),
 )
 def portfolio_diagnostics(spark, d):
     r = _rets(spark, d)
@@ -557,7 +641,12 @@ def portfolio_diagnostics(spark, d):
     return _r(B.diagnostics(cut(w.select("e.portfolio", "asset", "e.weight")), _sets(P.terminal(r)), ALPHA))
 
 
-@query("garch_variance_recursion", "SELECT asset, round(0.1::DOUBLE * v0 * (1 - pow(0.85::DOUBLE, n)) / 0.15::DOUBLE + 0.05::DOUBLE * w + pow(0.85::DOUBLE, n) * v0, 8) AS next_variance FROM (SELECT asset, max(v0) AS v0, max(n) AS n, sum(pow(0.85::DOUBLE, n - rn) * e * e) AS w FROM (SELECT asset, ret - avg(ret) OVER (PARTITION BY asset) AS e, var_pop(ret) OVER (PARTITION BY asset) AS v0, count(*) OVER (PARTITION BY asset) AS n, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn FROM returns WHERE segment = 'is') GROUP BY asset)")
+@query("garch_variance_recursion", (
+    "SELECT asset, round(0.1::DOUBLE * v0 * (1 - pow(0.85::DOUBLE, n)) / 0.15::DOUBLE + 0.05::DOUBLE * w + pow(0.85::DOUBLE, n) * v0, 8) AS next_variance"
+    " FROM (SELECT asset, max(v0) AS v0, max(n) AS n, sum(pow(0.85::DOUBLE, n - rn) * e * e) AS w"
+    " FROM (SELECT asset, ret - avg(ret) OVER (PARTITION BY asset) AS e, var_pop(ret) OVER (PARTITION BY asset) AS v0, count(*) OVER (PARTITION BY asset) AS n, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn"
+    " FROM returns WHERE segment = 'is') GROUP BY asset)"
+))
 def garch_variance_recursion(spark, d):
     w = Window.partitionBy("asset")
     r = _rets(spark, d).where("segment = 'is'").withColumn("e", F.col("ret") - F.avg("ret").over(w)).withColumn("v0", F.var_pop("ret").over(w))

@@ -42,8 +42,19 @@ def normalised_weights(spark, d):
     return G.normalised(w, ["model"]).select("model", "date", F.round("p", 9).alias("p"))
 
 
-_RHO = "SELECT c.model, c.asset_i, c.asset_j, c.value / sqrt(a.value * b.value) AS rho FROM cov c JOIN cov a ON a.model = c.model AND a.asset_i = c.asset_i AND a.asset_j = c.asset_i JOIN cov b ON b.model = c.model AND b.asset_i = c.asset_j AND b.asset_j = c.asset_j WHERE c.asset_i < c.asset_j"
-_MARGINAL = f"SELECT *, hits / n::DOUBLE AS rate, {O.chi2_sql('lr_uc')} AS p_uc, {O.chi2_sql('lr_ind')} AS p_ind, lr_uc + lr_ind AS lr_cc, exp(-(lr_uc + lr_ind) / 2) AS p_cc FROM (SELECT model, asset, avg(crps) AS crps FROM crps GROUP BY 1, 2) JOIN var USING (model, asset) JOIN (SELECT model, asset, sum(x * greatest(0.0::DOUBLE, least(p, 0.05::DOUBLE - (cum - p)))) / 0.05::DOUBLE AS es FROM cum GROUP BY 1, 2) USING (model, asset) JOIN kupiec USING (model, asset) JOIN (SELECT model, asset, lr_ind FROM christoffersen) USING (model, asset)"
+_RHO = (
+    "SELECT c.model, c.asset_i, c.asset_j, c.value / sqrt(a.value * b.value) AS rho"
+    " FROM cov c JOIN cov a ON a.model = c.model AND a.asset_i = c.asset_i AND a.asset_j = c.asset_i"
+    " JOIN cov b ON b.model = c.model AND b.asset_i = c.asset_j AND b.asset_j = c.asset_j"
+    " WHERE c.asset_i < c.asset_j"
+)
+_MARGINAL = (
+    f"SELECT *, hits / n::DOUBLE AS rate, {O.chi2_sql('lr_uc')} AS p_uc, {O.chi2_sql('lr_ind')} AS p_ind, lr_uc + lr_ind AS lr_cc, exp(-(lr_uc + lr_ind) / 2) AS p_cc"
+    f" FROM (SELECT model, asset, avg(crps) AS crps FROM crps GROUP BY 1, 2) JOIN var USING (model, asset)"
+    f" JOIN (SELECT model, asset, sum(x * greatest(0.0::DOUBLE, least(p, 0.05::DOUBLE - (cum - p)))) / 0.05::DOUBLE AS es"
+    f" FROM cum GROUP BY 1, 2) USING (model, asset) JOIN kupiec USING (model, asset)"
+    f" JOIN (SELECT model, asset, lr_ind FROM christoffersen) USING (model, asset)"
+)
 
 
 @query("weighted_correlation", f"SELECT model, asset_i, asset_j, {R('rho')} FROM ({_RHO})")
@@ -58,7 +69,15 @@ def marginal_table(spark, d):
 
 @query(
     "aggregate_table",
-    f"SELECT model, {R('mean_crps', 'mean_exceedance_rate')}, coverage_rejections, {R('energy', 'variogram', 'correlation_mae')} FROM (SELECT model, avg(crps) AS mean_crps, avg(rate) AS mean_exceedance_rate, count(*) FILTER (p_uc < 0.05) AS coverage_rejections FROM ({_MARGINAL}) GROUP BY 1) JOIN (SELECT model, avg(energy) AS energy, avg(variogram) AS variogram FROM score_frame GROUP BY 1) USING (model) JOIN (SELECT model, avg(abs(rho - seen)) AS correlation_mae FROM ({_RHO}) JOIN (SELECT a.asset AS asset_i, b.asset AS asset_j, corr(a.y, b.y) AS seen FROM obs a JOIN obs b ON a.date = b.date AND a.asset < b.asset GROUP BY 1, 2) USING (asset_i, asset_j) GROUP BY 1) USING (model)",
+    (
+        f"SELECT model, {R('mean_crps', 'mean_exceedance_rate')}, coverage_rejections, {R('energy', 'variogram', 'correlation_mae')}"
+        f" FROM (SELECT model, avg(crps) AS mean_crps, avg(rate) AS mean_exceedance_rate, count(*) FILTER (p_uc < 0.05) AS coverage_rejections"
+        f" FROM ({_MARGINAL}) GROUP BY 1) JOIN (SELECT model, avg(energy) AS energy, avg(variogram) AS variogram"
+        f" FROM score_frame GROUP BY 1) USING (model) JOIN (SELECT model, avg(abs(rho - seen)) AS correlation_mae"
+        f" FROM ({_RHO}) JOIN (SELECT a.asset AS asset_i, b.asset AS asset_j, corr(a.y, b.y) AS seen"
+        f" FROM obs a JOIN obs b ON a.date = b.date AND a.asset < b.asset GROUP BY 1, 2) USING (asset_i, asset_j)"
+        f" GROUP BY 1) USING (model)"
+    ),
 )
 def aggregate_table(spark, d):
     scen, obs = _both(spark, d)
@@ -83,7 +102,11 @@ def _table_sql(grouped: bool, fixed: int | None = None) -> str:
     ci = O.holm_sql(O.ci_sql(src, keys, O.means_sql(src, keys, sizes, SAMPLES, SEED, stream)), "1", keys)
     means = "SELECT metric, benchmark, avg(fa) AS focal_mean, avg(fb) AS benchmark_mean FROM contrast GROUP BY 1, 2"
     flags = f"holm < 0.05 AS reject, ci_low > 0 OR ci_high < 0 AS ci_excludes_zero, metric = '{PRIMARY[0]}' AND benchmark = '{PRIMARY[1]}' AS is_primary"
-    return f"SELECT *, {flags}, 100 * mean_diff / greatest(abs(benchmark_mean), 1e-15) AS relative_pct FROM ({ci}) JOIN ({sizes}) USING ({keys}) JOIN (SELECT {keys}, n, bw, lrv, dm, pvalue AS dm_pvalue FROM ({O.dm_sql(src, keys, grouped)})) USING ({keys}) JOIN ({means}) USING ({keys})"
+    return (
+        f"SELECT *, {flags}, 100 * mean_diff / greatest(abs(benchmark_mean), 1e-15) AS relative_pct"
+        f" FROM ({ci}) JOIN ({sizes}) USING ({keys}) JOIN (SELECT {keys}, n, bw, lrv, dm, pvalue AS dm_pvalue"
+        f" FROM ({O.dm_sql(src, keys, grouped)})) USING ({keys}) JOIN ({means}) USING ({keys})"
+    )
 
 
 def _long(spark, d):
@@ -130,7 +153,12 @@ def forest_plot(spark, d):
     return _r(t.withColumn("place", place), "metric", "benchmark", "mean_diff", "ci_low", "ci_high", "ci_excludes_zero", "place")
 
 
-@query("bootstrap_index", f"SELECT benchmark, sample, block, ('0x' || substr(md5('{SEED}|block|' || sample || '|' || block), 1, 8))::BIGINT % (n - size + 1) AS start, least(size, n - block * size) AS take FROM (SELECT *, unnest(range(0, ceil(n / size::DOUBLE)::BIGINT)) AS block FROM (SELECT benchmark, n, least(4, n) AS size, unnest(range(0, 200)) AS sample FROM (SELECT benchmark, count(*) AS n FROM diff GROUP BY 1)))")
+@query("bootstrap_index", (
+    f"SELECT benchmark, sample, block, ('0x' || substr(md5('{SEED}|block|' || sample || '|' || block), 1, 8))::BIGINT % (n - size + 1) AS start, least(size, n - block * size) AS take"
+    f" FROM (SELECT *, unnest(range(0, ceil(n / size::DOUBLE)::BIGINT)) AS block"
+    f" FROM (SELECT benchmark, n, least(4, n) AS size, unnest(range(0, 200)) AS sample"
+    f" FROM (SELECT benchmark, count(*) AS n FROM diff GROUP BY 1)))"
+))
 def bootstrap_index(spark, d):
     """The spans that 200 samples of blocks of 4 take."""
     diff = _diff(spark, d)
@@ -138,7 +166,18 @@ def bootstrap_index(spark, d):
     return out.select("benchmark", *(F.col(c).cast("long").alias(c) for c in ("sample", "block", "start", "take")))
 
 
-@query("dcc_correlation_recursion", "SELECT asset_i, asset_j, round(q / sqrt(qi * qj), 6) + 0.0::DOUBLE AS next_rho FROM (SELECT p.asset_i, p.asset_j, p.q, i.q AS qi, j.q AS qj FROM (SELECT asset_i, asset_j, 0.05::DOUBLE * base * (1 - pow(0.92::DOUBLE, n)) / 0.08::DOUBLE + 0.03::DOUBLE * w + pow(0.92::DOUBLE, n) * base AS q FROM (SELECT asset_i, asset_j, avg(zz) AS base, count(*) AS n, sum(pow(0.92::DOUBLE, n_all - rn) * zz) AS w FROM (SELECT a.asset AS asset_i, b.asset AS asset_j, a.z * b.z AS zz, a.rn, a.n AS n_all FROM zs a JOIN zs b ON a.rn = b.rn AND a.asset <= b.asset) GROUP BY 1, 2)) p JOIN (SELECT asset_i AS a, 0.05::DOUBLE * base * (1 - pow(0.92::DOUBLE, n)) / 0.08::DOUBLE + 0.03::DOUBLE * w + pow(0.92::DOUBLE, n) * base AS q FROM (SELECT asset AS asset_i, avg(z * z) AS base, count(*) AS n, sum(pow(0.92::DOUBLE, n - rn) * z * z) AS w FROM zs GROUP BY 1)) i ON i.a = p.asset_i JOIN (SELECT asset_i AS a, 0.05::DOUBLE * base * (1 - pow(0.92::DOUBLE, n)) / 0.08::DOUBLE + 0.03::DOUBLE * w + pow(0.92::DOUBLE, n) * base AS q FROM (SELECT asset AS asset_i, avg(z * z) AS base, count(*) AS n, sum(pow(0.92::DOUBLE, n - rn) * z * z) AS w FROM zs GROUP BY 1)) j ON j.a = p.asset_j) WHERE asset_i < asset_j")
+@query("dcc_correlation_recursion", (
+    "SELECT asset_i, asset_j, round(q / sqrt(qi * qj), 6) + 0.0::DOUBLE AS next_rho"
+    " FROM (SELECT p.asset_i, p.asset_j, p.q, i.q AS qi, j.q AS qj FROM (SELECT asset_i, asset_j, 0.05::DOUBLE * base * (1 - pow(0.92::DOUBLE, n)) / 0.08::DOUBLE + 0.03::DOUBLE * w + pow(0.92::DOUBLE, n) * base AS q"
+    " FROM (SELECT asset_i, asset_j, avg(zz) AS base, count(*) AS n, sum(pow(0.92::DOUBLE, n_all - rn) * zz) AS w"
+    " FROM (SELECT a.asset AS asset_i, b.asset AS asset_j, a.z * b.z AS zz, a.rn, a.n AS n_all"
+    " FROM zs a JOIN zs b ON a.rn = b.rn AND a.asset <= b.asset) GROUP BY 1, 2)) p"
+    " JOIN (SELECT asset_i AS a, 0.05::DOUBLE * base * (1 - pow(0.92::DOUBLE, n)) / 0.08::DOUBLE + 0.03::DOUBLE * w + pow(0.92::DOUBLE, n) * base AS q"
+    " FROM (SELECT asset AS asset_i, avg(z * z) AS base, count(*) AS n, sum(pow(0.92::DOUBLE, n - rn) * z * z) AS w"
+    " FROM zs GROUP BY 1)) i ON i.a = p.asset_i JOIN (SELECT asset_i AS a, 0.05::DOUBLE * base * (1 - pow(0.92::DOUBLE, n)) / 0.08::DOUBLE + 0.03::DOUBLE * w + pow(0.92::DOUBLE, n) * base AS q"
+    " FROM (SELECT asset AS asset_i, avg(z * z) AS base, count(*) AS n, sum(pow(0.92::DOUBLE, n - rn) * z * z) AS w"
+    " FROM zs GROUP BY 1)) j ON j.a = p.asset_j) WHERE asset_i < asset_j"
+))
 def dcc_correlation_recursion(spark, d):
     """Next correlations by the recursion 0.05 base + 0.03 z z' + 0.92 before, over standardised in-sample returns."""
     w = Window.partitionBy("asset")
@@ -155,7 +194,12 @@ def dcc_correlation_recursion(spark, d):
 
 
 _DETAIL = "SELECT model, asset, count(*) AS n, avg(u) AS pit_mean, var_pop(u) AS pit_variance, round(var_pop(u) * 12, 6) AS ratio FROM pit GROUP BY 1, 2"
-_RELIABILITY = "SELECT model, asset, sum(abs(coalesce(c, 0) / n::DOUBLE - 0.1)) AS reliability FROM (SELECT model, asset, n, unnest(range(0, 10)) AS bin FROM (SELECT model, asset, count(*) AS n FROM pit GROUP BY 1, 2)) LEFT JOIN (SELECT model, asset, least(floor(round(u, 9) * 10), 9)::BIGINT AS bin, count(*) AS c FROM pit GROUP BY 1, 2, 3) USING (model, asset, bin) GROUP BY 1, 2"
+_RELIABILITY = (
+    "SELECT model, asset, sum(abs(coalesce(c, 0) / n::DOUBLE - 0.1)) AS reliability"
+    " FROM (SELECT model, asset, n, unnest(range(0, 10)) AS bin FROM (SELECT model, asset, count(*) AS n"
+    " FROM pit GROUP BY 1, 2)) LEFT JOIN (SELECT model, asset, least(floor(round(u, 9) * 10), 9)::BIGINT AS bin, count(*) AS c"
+    " FROM pit GROUP BY 1, 2, 3) USING (model, asset, bin) GROUP BY 1, 2"
+)
 _LABEL = "CASE WHEN ratio > 1.05 THEN 'underdispersed' WHEN ratio < 0.95 THEN 'overdispersed' ELSE 'calibrated' END"
 
 
@@ -166,7 +210,11 @@ def calibration_detail(spark, d):
 
 @query(
     "calibration_summary",
-    f"SELECT model, count(*) AS assets, {R('mean_ratio', 'median_ratio', 'mean_reliability').replace('round(mean_ratio', 'round(avg(ratio)').replace('round(median_ratio', 'round(median(ratio)').replace('round(mean_reliability', 'round(avg(reliability)')}, count(*) FILTER (label = 'underdispersed') AS underdispersed, count(*) FILTER (label = 'overdispersed') AS overdispersed, count(*) FILTER (label = 'calibrated') AS calibrated, round(sum(pit_mean * n) / sum(n), 6) + 0.0::DOUBLE AS pooled_mean FROM (SELECT *, {_LABEL} AS label FROM ({_DETAIL}) JOIN ({_RELIABILITY}) USING (model, asset)) GROUP BY model",
+    (
+        f"SELECT model, count(*) AS assets, {R('mean_ratio', 'median_ratio', 'mean_reliability').replace('round(mean_ratio', 'round(avg(ratio)').replace('round(median_ratio', 'round(median(ratio)').replace('round(mean_reliability', 'round(avg(reliability)')}, count(*) FILTER (label = 'underdispersed') AS underdispersed, count(*) FILTER (label = 'overdispersed') AS overdispersed, count(*) FILTER (label = 'calibrated') AS calibrated, round(sum(pit_mean * n) / sum(n), 6) + 0.0::DOUBLE AS pooled_mean"
+        f" FROM (SELECT *, {_LABEL} AS label FROM ({_DETAIL}) JOIN ({_RELIABILITY}) USING (model, asset))"
+        f" GROUP BY model"
+    ),
 )
 def calibration_summary(spark, d):
     return _r(C.summary(C.detail(_pit(spark, d))))
@@ -175,7 +223,13 @@ def calibration_summary(spark, d):
 _SUPPORT = "SELECT model, date, p, sum(p) OVER (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING) - p AS cb, sum(p) OVER (PARTITION BY model) AS total FROM weights"
 
 
-@query("support_resampled", f"SELECT model, draw::INT AS draw, date, round(p, 9) AS p FROM (SELECT model, NULL AS draw, date, p FROM weights WHERE model IN (SELECT model FROM weights GROUP BY 1 HAVING count(*) <= 100) UNION ALL SELECT d.model, draw, s.date, 0.01 FROM (SELECT model, draw, ('0x' || substr(md5('{SEED}|support|' || model || '|' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT model, unnest(range(0, 100)) AS draw FROM weights GROUP BY 1 HAVING count(*) > 100)) d ASOF JOIN (SELECT *, cb / total AS low FROM ({_SUPPORT})) s ON d.model = s.model AND d.u >= s.low)")
+@query("support_resampled", (
+    f"SELECT model, draw::INT AS draw, date, round(p, 9) AS p FROM (SELECT model, NULL AS draw, date, p"
+    f" FROM weights WHERE model IN (SELECT model FROM weights GROUP BY 1 HAVING count(*) <= 100)"
+    f" UNION ALL SELECT d.model, draw, s.date, 0.01 FROM (SELECT model, draw, ('0x' || substr(md5('{SEED}|support|' || model || '|' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u"
+    f" FROM (SELECT model, unnest(range(0, 100)) AS draw FROM weights GROUP BY 1 HAVING count(*) > 100)) d ASOF"
+    f" JOIN (SELECT *, cb / total AS low FROM ({_SUPPORT})) s ON d.model = s.model AND d.u >= s.low)"
+))
 def support_resampled(spark, d):
     """Every scenario set at the same support: sets of more than 100 scenarios are drawn anew."""
     support = _scen(spark, d).select("model", "date", "p").distinct()
@@ -195,11 +249,19 @@ def _sharpe_sql() -> str:
     keys = "portfolio, design, benchmark"
     both = f"SELECT {keys}, a.date, a.r AS a, b.r AS b FROM (VALUES {pairs}) pr({keys}) JOIN ledger a USING (portfolio) JOIN (SELECT portfolio AS benchmark, date, r FROM ledger) b USING (benchmark) WHERE a.date = b.date"
     rows = f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS k, count(*) OVER (PARTITION BY {keys}) AS n FROM ({both})"
-    drawn = f"SELECT {keys}, n, sample, nth, size, ('0x' || substr(md5('{SEED}|sharpe|' || sample || '|' || nth), 1, 8))::BIGINT % (n - size + 1) AS start, least(size, n - nth * size) AS take FROM (SELECT *, unnest(range(0, ceil(n / size::DOUBLE)::BIGINT)) AS nth FROM (SELECT DISTINCT {keys}, n, least({_SHARPE_BLOCK}, n) AS size, unnest(range(0, {SHARPE_SAMPLES})) AS sample FROM ({rows})))"
+    drawn = (
+        f"SELECT {keys}, n, sample, nth, size, ('0x' || substr(md5('{SEED}|sharpe|' || sample || '|' || nth), 1, 8))::BIGINT % (n - size + 1) AS start, least(size, n - nth * size) AS take"
+        f" FROM (SELECT *, unnest(range(0, ceil(n / size::DOUBLE)::BIGINT)) AS nth"
+        f" FROM (SELECT DISTINCT {keys}, n, least({_SHARPE_BLOCK}, n) AS size, unnest(range(0, {SHARPE_SAMPLES})) AS sample"
+        f" FROM ({rows})))"
+    )
     ratio = lambda c: f"CASE WHEN stddev_samp({c}) > 1e-12 THEN avg({c}) / stddev_samp({c}) ELSE 0 END * sqrt(52.0::DOUBLE)"
     each = f"SELECT {keys}, sample, {ratio('a')} - {ratio('b')} AS d FROM ({drawn}) w JOIN ({rows}) r USING ({keys}) WHERE r.k >= w.start AND r.k < w.start + w.take GROUP BY {keys}, sample"
     seen = f"SELECT {keys}, {ratio('a')} - {ratio('b')} AS seen FROM ({rows}) GROUP BY {keys}"
-    ci = f"SELECT {keys}, max(seen) AS difference, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high, (count(*) FILTER (round(abs(d - seen), 9) >= round(abs(seen), 9)) + 1) / (count(*) + 1)::DOUBLE AS pvalue FROM ({each}) JOIN ({seen}) USING ({keys}) GROUP BY {keys}"
+    ci = (
+        f"SELECT {keys}, max(seen) AS difference, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high, (count(*) FILTER (round(abs(d - seen), 9) >= round(abs(seen), 9)) + 1) / (count(*) + 1)::DOUBLE AS pvalue"
+        f" FROM ({each}) JOIN ({seen}) USING ({keys}) GROUP BY {keys}"
+    )
     return O.holm_sql(ci, "design", "portfolio")
 
 
@@ -217,7 +279,13 @@ def sharpe_diff_bootstrap(spark, d):
 _UNIVERSES = "SELECT portfolio, rank() OVER (ORDER BY round(sharpe, 9) DESC) AS place, sharpe FROM (SELECT portfolio, avg(r) / nullif(stddev_samp(r), 0) AS sharpe FROM ledger {where} GROUP BY 1)"
 
 
-@query("portfolio_comparison_outer", f"SELECT portfolio, design, sharpe_full, sharpe_late, round(sharpe_late - sharpe_full, 6) + 0.0::DOUBLE AS delta FROM (SELECT portfolio, CASE WHEN portfolio LIKE 'WF%' THEN 'walk_forward' ELSE 'static' END AS design, {R('sharpe_full').replace('round(sharpe_full', 'round(avg(r) / nullif(stddev_samp(r), 0)')} FROM ledger GROUP BY 1) FULL JOIN (SELECT portfolio, CASE WHEN portfolio LIKE 'WF%' THEN 'walk_forward' ELSE 'static' END AS design, {R('sharpe_late').replace('round(sharpe_late', 'round(avg(r) / nullif(stddev_samp(r), 0)')} FROM ledger WHERE date >= DATE '2000-07-01' AND portfolio <> 'EqualWeight' GROUP BY 1) USING (portfolio, design)")
+@query("portfolio_comparison_outer", (
+    f"SELECT portfolio, design, sharpe_full, sharpe_late, round(sharpe_late - sharpe_full, 6) + 0.0::DOUBLE AS delta"
+    f" FROM (SELECT portfolio, CASE WHEN portfolio LIKE 'WF%' THEN 'walk_forward' ELSE 'static' END AS design, {R('sharpe_full').replace('round(sharpe_full', 'round(avg(r) / nullif(stddev_samp(r), 0)')}"
+    f" FROM ledger GROUP BY 1) FULL JOIN (SELECT portfolio, CASE WHEN portfolio LIKE 'WF%' THEN 'walk_forward' ELSE 'static' END AS design, {R('sharpe_late').replace('round(sharpe_late', 'round(avg(r) / nullif(stddev_samp(r), 0)')}"
+    f" FROM ledger WHERE date >= DATE '2000-07-01' AND portfolio <> 'EqualWeight'"
+    f" GROUP BY 1) USING (portfolio, design)"
+))
 def portfolio_comparison_outer(spark, d):
     """Sharpe ratios of all dates beside those of a later, narrower run, matched on two keys."""
     r = B.net_returns(_ledger(spark, d)).withColumn("design", F.when(F.startswith("portfolio", F.lit("WF")), "walk_forward").otherwise("static"))
@@ -238,7 +306,14 @@ def performance_ranking(spark, d):
 # moments and charts
 
 
-@query("moment_errors", f"SELECT model, {R('mae1', 'rmse1', 'mae2', 'rmse2', 'corr_mae', 'corr_max')} FROM (SELECT s.model, avg(abs(s.m1 - t.m1) / sqrt(t.m2)) AS mae1, sqrt(avg(pow((s.m1 - t.m1) / sqrt(t.m2), 2))) AS rmse1, avg(abs(s.m2 - t.m2) / t.m2) AS mae2, sqrt(avg(pow((s.m2 - t.m2) / t.m2, 2))) AS rmse2 FROM moments s JOIN moments t ON t.model = 'ewma' AND t.asset = s.asset GROUP BY 1) JOIN (SELECT a.model, avg(abs(a.rho - b.rho)) AS corr_mae, max(abs(a.rho - b.rho)) AS corr_max FROM ({_RHO}) a JOIN ({_RHO}) b ON b.model = 'ewma' AND a.asset_i = b.asset_i AND a.asset_j = b.asset_j GROUP BY 1) USING (model)")
+@query("moment_errors", (
+    f"SELECT model, {R('mae1', 'rmse1', 'mae2', 'rmse2', 'corr_mae', 'corr_max')}"
+    f" FROM (SELECT s.model, avg(abs(s.m1 - t.m1) / sqrt(t.m2)) AS mae1, sqrt(avg(pow((s.m1 - t.m1) / sqrt(t.m2), 2))) AS rmse1, avg(abs(s.m2 - t.m2) / t.m2) AS mae2, sqrt(avg(pow((s.m2 - t.m2) / t.m2, 2))) AS rmse2"
+    f" FROM moments s JOIN moments t ON t.model = 'ewma' AND t.asset = s.asset"
+    f" GROUP BY 1) JOIN (SELECT a.model, avg(abs(a.rho - b.rho)) AS corr_mae, max(abs(a.rho - b.rho)) AS corr_max"
+    f" FROM ({_RHO}) a JOIN ({_RHO}) b ON b.model = 'ewma' AND a.asset_i = b.asset_i AND a.asset_j = b.asset_j"
+    f" GROUP BY 1) USING (model)"
+))
 def moment_errors(spark, d):
     """Scaled errors of mean and variance, and of correlations, against the weighted windows."""
     s = _scen(spark, d)
@@ -278,7 +353,11 @@ def top_scenarios(spark, d):
     return _masses(spark, d).where("k <= 30").select("model", "date", F.col("k").cast("long").alias("k"), F.round("p", 9).alias("p"))
 
 
-@query("scenario_histogram", "SELECT model, asset, least(floor(round((x - low) / nullif(high - low, 0), 9) * 20), 19)::INT AS bin, round(sum(p), 6) + 0.0::DOUBLE AS mass FROM (SELECT *, min(x) OVER (PARTITION BY asset) AS low, max(x) OVER (PARTITION BY asset) AS high FROM scen) GROUP BY 1, 2, 3")
+@query("scenario_histogram", (
+    "SELECT model, asset, least(floor(round((x - low) / nullif(high - low, 0), 9) * 20), 19)::INT AS bin, round(sum(p), 6) + 0.0::DOUBLE AS mass"
+    " FROM (SELECT *, min(x) OVER (PARTITION BY asset) AS low, max(x) OVER (PARTITION BY asset) AS high"
+    " FROM scen) GROUP BY 1, 2, 3"
+))
 def scenario_histogram(spark, d):
     """Probability in 20 equal bins of an asset's range over all models."""
     w = Window.partitionBy("asset")
@@ -321,7 +400,18 @@ def distinct_counts(spark, d):
 
 @query(
     "contract_checks",
-    "SELECT 'weights_sum_to_one' AS check_name, bool_and(abs(s - 1) < 1e-9) AS passed, count(*) AS n FROM (SELECT model, sum(p) AS s FROM weights GROUP BY 1) UNION ALL SELECT 'variances_not_negative', bool_and(m2 >= 0), count(*) FROM moments UNION ALL SELECT 'transforms_in_unit_interval', bool_and(u >= 0 AND u <= 1), count(*) FROM pit UNION ALL SELECT 'scores_not_negative', bool_and(mean_crps >= 0 AND energy >= 0 AND variogram >= 0), count(*) FROM score_frame UNION ALL SELECT 'wealth_positive', bool_and(wealth > 0), count(*) FROM ledger UNION ALL SELECT 'targets_sum_to_one', bool_and(abs(s - 1) < 1e-9), count(*) FROM (SELECT portfolio, rebalance_date, sum(weight) AS s FROM plan_weights GROUP BY 1, 2) UNION ALL SELECT 'shortfall_below_var', bool_and(es <= var + 1e-12), count(*) FROM (SELECT model, asset, sum(x * greatest(0.0::DOUBLE, least(p, 0.05::DOUBLE - (cum - p)))) / 0.05::DOUBLE AS es FROM cum GROUP BY 1, 2) JOIN var USING (model, asset)",
+    (
+        "SELECT 'weights_sum_to_one' AS check_name, bool_and(abs(s - 1) < 1e-9) AS passed, count(*) AS n"
+        " FROM (SELECT model, sum(p) AS s FROM weights GROUP BY 1) UNION ALL SELECT 'variances_not_negative', bool_and(m2 >= 0), count(*)"
+        " FROM moments UNION ALL SELECT 'transforms_in_unit_interval', bool_and(u >= 0 AND u <= 1), count(*)"
+        " FROM pit UNION ALL SELECT 'scores_not_negative', bool_and(mean_crps >= 0 AND energy >= 0 AND variogram >= 0), count(*)"
+        " FROM score_frame UNION ALL SELECT 'wealth_positive', bool_and(wealth > 0), count(*)"
+        " FROM ledger UNION ALL SELECT 'targets_sum_to_one', bool_and(abs(s - 1) < 1e-9), count(*)"
+        " FROM (SELECT portfolio, rebalance_date, sum(weight) AS s FROM plan_weights"
+        " GROUP BY 1, 2) UNION ALL SELECT 'shortfall_below_var', bool_and(es <= var + 1e-12), count(*)"
+        " FROM (SELECT model, asset, sum(x * greatest(0.0::DOUBLE, least(p, 0.05::DOUBLE - (cum - p)))) / 0.05::DOUBLE AS es"
+        " FROM cum GROUP BY 1, 2) JOIN var USING (model, asset)"
+    ),
 )
 def contract_checks(spark, d):
     """What the tables promise, one row a promise: whether it holds, and over how many rows it was judged."""
