@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import zipfile
 from contextlib import contextmanager
 from pathlib import Path
@@ -53,20 +54,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_owning = threading.Lock()
+#: Blocks of owned_checkpoints that are open, and the deployment's own setting while there are any.
+_open: list[str] = []
+
+
 @contextmanager
 def owned_checkpoints(spark: SparkSession):
     """Checkpoints made in this block are deleted once no frame on this driver reads them.
 
     Spark looks at the setting when it makes a checkpoint, so others are left as the
-    deployment wants them.
+    deployment wants them. Blocks of several threads may overlap: the last one puts the
+    setting back.
     """
     key, conf = "spark.cleaner.referenceTracking.cleanCheckpoints", spark.sparkContext._jsc.sc().conf()
-    before = conf.get(key, "false")
-    conf.set(key, "true")
+    with _owning:
+        _open.append(_open[-1] if _open else conf.get(key, "false"))
+        conf.set(key, "true")
     try:
         yield
     finally:
-        conf.set(key, before)
+        with _owning:
+            before = _open.pop()
+            if not _open:
+                conf.set(key, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
