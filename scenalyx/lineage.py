@@ -1,39 +1,37 @@
-"""Lineage of stages: a manifest per stage with the SHA-256 of every file it read and wrote.
-
-Tables are folders of Parquet files. Their hashes are a distributed query over
-``binaryFile`` (one row a file), so nothing but the manifest is read by the driver.
-A manifest is written last, beside the tables, as one JSON file that replaces the
-former one in a single rename. Folders without files, and files of no bytes, hash
-like any other; a manifest without inputs or outputs is an error.
+"""Lineage of stages: a manifest per stage with the hash of every file it read and wrote.
+
+Tables are folders of Parquet files. Their hashes are roots of hash trees over byte
+ranges (``fingerprints``), so nothing but the manifest is read by the driver. The
+leaves are kept in a table beside the manifest, and a changed file is told with its
+first changed range. A manifest is written last, as one JSON file that replaces the
+former one in a single rename; it names its table of leaves, and those of former
+manifests go afterwards. Files of no bytes are passed over, and one
+that is emptied is told as missing; a manifest without inputs or outputs is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERSION = 1
+from . import fingerprints as T
+
+VERSION = 2
 
 
 def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(table, file, sha256, bytes) of every data file below the paths."""
-    out = None
-    for p in paths:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(p)
-        rows = files.select(F.lit(p).alias("table"), F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("no paths")
-    return out
+    """(table, file, sha256, bytes, leaves) of every data file below the paths."""
+    return T.roots(T.leaves(spark, paths), T.longest(spark, paths))
 
 
-def _records(spark: SparkSession, paths: list[str]) -> list[dict]:
-    return [r.asDict() for r in file_hashes(spark, sorted(set(paths))).orderBy("table", "file").collect()]  # a row a file
+def _records(roots: DataFrame) -> list[dict]:
+    return [r.asDict() for r in roots.select("table", "file", "sha256", "bytes").orderBy("table", "file").collect()]  # a row a file
 
 
 def fingerprints(spark: SparkSession, paths: list[str]) -> list[dict]:
@@ -75,15 +73,41 @@ def read_json(spark: SparkSession, path: str):
         stream.close()
 
 
+def _leaves_of(path: str, name: str = "") -> str:
+    return f"{path}.leaves/{name}".rstrip("/")
+
+
 def write_manifest(spark: SparkSession, path: str, stage: str, inputs: list[str], outputs: list[str], metadata: dict | None = None) -> dict:
-    read, wrote = _records(spark, inputs), _records(spark, outputs)
+    if not inputs or not outputs:
+        raise ValueError("a stage has one input and one output at least")
+    every, name = sorted({*inputs, *outputs}), uuid.uuid4().hex
+    T.leaves(spark, every).write.parquet(_leaves_of(path, name))
+    stored = spark.read.parquet(_leaves_of(path, name))
+    records = _records(T.roots(stored, stored.agg(F.max("bytes")).first()[0] or 0))
+    read, wrote = ([r for r in records if r["table"] in tables] for tables in (set(inputs), set(outputs)))
+    fs, folder = _fs(spark, _leaves_of(path))
     if not read or not wrote:
+        fs.delete(_fs(spark, _leaves_of(path, name))[1], True)
         raise ValueError("a stage has one input and one output at least")
-    manifest = {"version": VERSION, "stage": stage, "created": datetime.now(UTC).isoformat(), "inputs": read, "outputs": wrote, "metadata": metadata or {}}
+    manifest = {"version": VERSION, "stage": stage, "created": datetime.now(UTC).isoformat(), "leaves": name, "inputs": read, "outputs": wrote, "metadata": metadata or {}}
     write_json(spark, path, manifest)
+    for old in fs.listStatus(folder):
+        if old.getPath().getName() != name:
+            fs.delete(old.getPath(), True)
     return manifest
 
 
+def _changed_ranges(spark: SparkSession, path: str, manifest: dict, tables: list[str]) -> dict[tuple[str, str], tuple[int, int]]:
+    """First changed range of each file of the tables; empty where the leaves are gone."""
+    kept = _leaves_of(path, manifest.get("leaves", ""))
+    fs, at = _fs(spark, kept)
+    if not manifest.get("leaves") or not fs.exists(at):
+        return {}
+    before = spark.read.parquet(kept).where(F.col("table").isin(tables))
+    first = T.changes(before, T.leaves(spark, tables)).groupBy("table", "file").agg(F.min(F.struct("start", "end")).alias("at"))
+    return {(r["table"], r["file"]): (r["at"]["start"], r["at"]["end"]) for r in first.collect()}  # a row a changed file
+
+
 def validate(spark: SparkSession, path: str, metadata: dict | None = None) -> list[str]:
     """What a manifest says and the files do not, as short texts; empty if all is as it was. With metadata, that has to agree, too."""
     try:
@@ -100,17 +124,16 @@ def validate(spark: SparkSession, path: str, metadata: dict | None = None) -> li
         if not records:
             found.append(f"no {group}")
             continue
-        there = {}
-        for table in sorted({r["table"] for r in records}):
-            fs, at = _fs(spark, table)
-            if fs.exists(at):
-                there |= {(r["table"], r["file"]): r for r in _records(spark, [table])}
+        tables = [t for t in sorted({r["table"] for r in records}) if (at := _fs(spark, t))[0].exists(at[1])]
+        there = {(r["table"], r["file"]): r for r in _records(file_hashes(spark, tables))} if tables else {}
+        unlike = [r for r in records if (now := there.get((r["table"], r["file"]))) and (now["bytes"], now["sha256"]) != (r["bytes"], r["sha256"])]
+        ranges = _changed_ranges(spark, path, manifest, sorted({r["table"] for r in unlike})) if unlike else {}
         for r in records:
-            now = there.pop((r["table"], r["file"]), None)
-            if now is None:
+            key = r["table"], r["file"]
+            if there.pop(key, None) is None:
                 found.append(f"missing: {r['file']}")
-            elif (now["bytes"], now["sha256"]) != (r["bytes"], r["sha256"]):
-                found.append(f"changed: {r['file']}")
+            elif r in unlike:
+                found.append(f"changed: {r['file']}" + (" from byte {} to {}".format(*ranges[key]) if key in ranges else ""))
         found += [f"new: {file}" for _, file in there]
     return found
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fingerprints
 from ..functions.expr import uniform
 from ..operators import calibration as C
 from ..operators import checks
@@ -429,3 +430,9 @@ def contract_checks(spark, d):
         ("shortfall_below_var", S.expected_shortfall(scen, ["model", "asset"], ALPHA).join(S.value_at_risk(scen, ["model", "asset"], ALPHA), ["model", "asset"]), F.col("es") <= F.col("var") + 1e-12),
     ]
     return reduce(DataFrame.unionByName, [df.agg(F.bool_and(ok).alias("passed"), F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), "passed", "n") for name, df, ok in judged])
+
+
+@query("file_fingerprints")
+def file_fingerprints(spark, d):
+    found = fingerprints.leaves(spark, [d])
+    return fingerprints.roots(found, fingerprints.longest(spark, [d])).select("file", "bytes", "leaves", "sha256")
