@@ -34,20 +34,30 @@ SPANS_A_TASK = 16
 _COLUMNS = "table string, file string, bytes long, leaf long, sha256 string"
 
 
-def files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(table, file, path, bytes) of every data file below the paths. Contents are not read."""
+def _load(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(paths)
+
+
+def _placed(spark: SparkSession, paths: list[str], *more: str) -> DataFrame:
+    """(table, file, path, bytes, more) in one scan; a file below several of the paths has a row for each."""
     if not paths:
         raise ValueError("no paths")
-    out = None
-    for p in sorted(set(paths)):
+    every, tables = sorted(set(paths)), []
+    for p in every:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-        below = F.expr(f"substring(path, {len(root) + 2})")
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(p)
-        # a path that is a file has nothing below it
-        rows = found.select(F.lit(p).alias("table"), F.when(below == "", F.element_at(F.split("path", "/"), -1)).otherwise(below).alias("file"), "path", F.col("length").alias("bytes"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        tables.append(F.struct(F.lit(p).alias("table"), F.lit(root).alias("root")))
+    within = lambda t: (F.col("path") == t["root"]) | F.startswith(F.col("path"), F.concat(t["root"], F.lit("/")))
+    rows = _load(spark, every).select("path", F.col("length").alias("bytes"), *more, F.explode(F.filter(F.array(*tables), within)).alias("t"))
+    # a path that is a file has nothing below it
+    below = F.when(F.col("path") == F.col("t.root"), F.element_at(F.split("path", "/"), -1)).otherwise(F.expr("substring(path, length(t.root) + 2)"))
+    return rows.select("t.table", below.alias("file"), "path", "bytes", *more)
+
+
+def files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(table, file, path, bytes) of every data file below the paths. Contents are not read."""
+    # of paths that lie within each other files are listed more than once
+    return _placed(spark, paths).dropDuplicates(["table", "file"])
 
 
 def _open(path: str):
@@ -91,33 +101,49 @@ def _hashed(leaf: int, span: int):
     return fn
 
 
-def leaves(spark: SparkSession, paths: list[str], leaf: int = LEAF, span: int = SPAN, by_range: bool = True) -> DataFrame:
-    """(table, file, bytes, leaf, sha256): a row a leaf. Without ``by_range`` files are read whole, 2 GB at most each."""
-    listed = files(spark, paths)
-    last = F.ceil(F.col("bytes") / leaf) - 1
-    schemes = listed.groupBy(F.substring_index("path", ":", 1).alias("scheme")).agg(F.min("path").alias("path"), F.sum(F.floor(last / span) + 1).alias("spans")).collect()  # a row a kind of store
-    ranged = {r["scheme"]: r["spans"] for r in schemes if by_range and _readable(r["path"])}
+def _last(leaf: int):
+    return F.ceil(F.col("bytes") / leaf) - 1
+
+
+def _survey(listed: DataFrame, leaf: int, span: int) -> list:
+    """Spans, a path and the greatest length of each kind of store: a row each."""
+    return listed.groupBy(F.substring_index("path", ":", 1).alias("scheme")).agg(F.min("path").alias("path"), F.sum(F.floor(_last(leaf) / span) + 1).alias("spans"), F.max("bytes").alias("longest")).collect()
+
+
+def _leaves(spark: SparkSession, paths: list[str], listed: DataFrame, stores: list, leaf: int, span: int, by_range: bool) -> DataFrame:
+    ranged = {r["scheme"]: r["spans"] for r in stores if by_range and _readable(r["path"])}
     mine = F.substring_index("path", ":", 1).isin(*ranged) if ranged else F.lit(False)
     out = None
     if ranged:
         ship(spark)
         spans = sum(ranged.values())
         tasks = min(spans, max(4 * spark.sparkContext.defaultParallelism, -(-spans // SPANS_A_TASK)))
-        spread = listed.where(mine).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(span).cast("long"))))
+        spread = listed.where(mine).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), _last(leaf), F.lit(span).cast("long"))))
         # a fixed number, as rows are tiny beside what they stand for
         out = spread.repartition(tasks, "path", "first").mapInPandas(_hashed(leaf, span), _COLUMNS)
-    if len(ranged) < len(schemes) or out is None:
-        whole = None
-        for p in sorted(set(paths)):
-            content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(p).select("path", "content")
-            whole = content if whole is None else whole.unionByName(content)
-        at = F.sequence(F.lit(0).cast("long"), last)
-        rows = listed.where(~mine).join(whole.dropDuplicates(["path"]), "path").select("table", "file", "bytes", F.posexplode(F.transform(at, lambda k: F.sha2(F.substring(F.col("content"), (k * leaf + 1).cast("int"), F.lit(leaf)), 256))).alias("leaf", "sha256"))
-        rows = rows.withColumn("leaf", F.col("leaf").cast("long"))
+    if len(ranged) < len(stores) or out is None:
+        at = F.sequence(F.lit(0).cast("long"), _last(leaf))
+        each = F.transform(at, lambda k: F.sha2(F.substring(F.col("content"), (k * leaf + 1).cast("int"), F.lit(leaf)), 256))
+        # hashed where they are scanned, so that no contents are shuffled
+        rows = _placed(spark, paths, "content").where(~mine).select("table", "file", "bytes", F.posexplode(each).alias("leaf", "sha256"))
+        rows = rows.withColumn("leaf", F.col("leaf").cast("long")).dropDuplicates(["table", "file", "leaf"])
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def leaves(spark: SparkSession, paths: list[str], leaf: int = LEAF, span: int = SPAN, by_range: bool = True) -> DataFrame:
+    """(table, file, bytes, leaf, sha256): a row a leaf. Without ``by_range`` files are read whole, 2 GB at most each."""
+    listed = files(spark, paths)
+    return _leaves(spark, paths, listed, _survey(listed, leaf, span), leaf, span, by_range)
+
+
+def hashed(spark: SparkSession, paths: list[str], leaf: int = LEAF) -> DataFrame:
+    """(table, file, sha256, bytes, leaves) of every data file below the paths."""
+    listed = files(spark, paths)
+    stores = _survey(listed, leaf, SPAN)
+    return roots(_leaves(spark, paths, listed, stores, leaf, SPAN, True), max((r["longest"] for r in stores), default=0), leaf)
+
+
 def roots(found: DataFrame, biggest: int, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """(table, file, sha256, bytes, leaves): a row a file; ``biggest`` is the length of the longest one."""
     node = found.select("table", "file", "bytes", F.col("leaf").alias("at"), "sha256")
@@ -133,11 +159,6 @@ def roots(found: DataFrame, biggest: int, leaf: int = LEAF, fan: int = FAN) -> D
     return node.select("table", "file", top.alias("sha256"), "bytes", F.ceil(F.col("bytes") / leaf).alias("leaves"))
 
 
-def longest(spark: SparkSession, paths: list[str]) -> int:
-    """Length of the longest file below the paths; 0 where there is none."""
-    return files(spark, paths).agg(F.max("bytes")).first()[0] or 0
-
-
 def changes(before: DataFrame, after: DataFrame, leaf: int = LEAF) -> DataFrame:
     """(table, file, start, end): the byte ranges whose leaves differ, neighbours as one; ends are exclusive.
 

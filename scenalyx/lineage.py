@@ -27,7 +27,7 @@ VERSION = 2
 
 def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(table, file, sha256, bytes, leaves) of every data file below the paths."""
-    return T.roots(T.leaves(spark, paths), T.longest(spark, paths))
+    return T.hashed(spark, paths)
 
 
 def _records(roots: DataFrame) -> list[dict]:

@@ -434,5 +434,4 @@ def contract_checks(spark, d):
 
 @query("file_fingerprints")
 def file_fingerprints(spark, d):
-    found = fingerprints.leaves(spark, [d])
-    return fingerprints.roots(found, fingerprints.longest(spark, [d])).select("file", "bytes", "leaves", "sha256")
+    return fingerprints.hashed(spark, [d]).select("file", "bytes", "leaves", "sha256")
