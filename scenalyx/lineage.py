@@ -119,22 +119,20 @@ def validate(spark: SparkSession, path: str, metadata: dict | None = None) -> li
     if manifest.get("version") != VERSION:
         return ["another version of manifests"]
     found = [] if metadata is None or manifest.get("metadata") == json.loads(json.dumps(metadata)) else ["other settings"]
-    for group in ("inputs", "outputs"):
-        records = manifest.get(group)
-        if not records:
-            found.append(f"no {group}")
-            continue
-        tables = [t for t in sorted({r["table"] for r in records}) if (at := _fs(spark, t))[0].exists(at[1])]
-        there = {(r["table"], r["file"]): r for r in _records(file_hashes(spark, tables))} if tables else {}
-        unlike = [r for r in records if (now := there.get((r["table"], r["file"]))) and (now["bytes"], now["sha256"]) != (r["bytes"], r["sha256"])]
-        ranges = _changed_ranges(spark, path, manifest, sorted({r["table"] for r in unlike})) if unlike else {}
-        for r in records:
-            key = r["table"], r["file"]
-            if there.pop(key, None) is None:
-                found.append(f"missing: {r['file']}")
-            elif r in unlike:
-                found.append(f"changed: {r['file']}" + (" from byte {} to {}".format(*ranges[key]) if key in ranges else ""))
-        found += [f"new: {file}" for _, file in there]
+    known = {group: manifest.get(group) or [] for group in ("inputs", "outputs")}
+    found += [f"no {group}" for group, records in known.items() if not records]
+    records = list({(r["table"], r["file"]): r for group in known.values() for r in group}.values())
+    tables = [t for t in sorted({r["table"] for r in records}) if (at := _fs(spark, t))[0].exists(at[1])]
+    there = {(r["table"], r["file"]): r for r in _records(file_hashes(spark, tables))} if tables else {}
+    unlike = [r for r in records if (now := there.get((r["table"], r["file"]))) and (now["bytes"], now["sha256"]) != (r["bytes"], r["sha256"])]
+    ranges = _changed_ranges(spark, path, manifest, sorted({r["table"] for r in unlike})) if unlike else {}
+    for r in records:
+        key = r["table"], r["file"]
+        if there.pop(key, None) is None:
+            found.append(f"missing: {r['file']}")
+        elif r in unlike:
+            found.append(f"changed: {r['file']}" + (" from byte {} to {}".format(*ranges[key]) if key in ranges else ""))
+    found += [f"new: {file}" for _, file in there]
     return found
 
 
