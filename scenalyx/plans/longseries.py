@@ -93,7 +93,9 @@ def long_block_bootstrap(spark, d):
     """Interval of the mean of all events' values, from moving blocks of one series."""
     diff = cut(_events(spark, d).select(F.lit("all").alias("asset"), "date", F.col("value").alias("diff")))
     blocks = cut(I.resolved_blocks(diff, ["asset"]))
-    return _r(I.bootstrap_ci(diff, I.block_means(diff, ["asset"], blocks, LONG_SAMPLES, SEED), ["asset"]), "asset", "mean_diff", "ci_low", "median", "ci_high")
+    ci = I.bootstrap_ci(diff, I.block_means(diff, ["asset"], blocks, LONG_SAMPLES, SEED), ["asset"])
+    # values have two digits, so a figure may lie halfway between two that are shown: it is told to ten digits first
+    return _r(ci.select("asset", *(F.round(c, 10).alias(c) for c in ("mean_diff", "ci_low", "median", "ci_high"))))
 
 
 GRID, WIDTH = 64, 0.3

@@ -176,3 +176,40 @@ def test_checkpoints_go_with_their_frames(spark):
         if not made & held():
             break
     assert not made & held()
+
+
+def test_drawn_hashes_side_by_side():
+    """Many blocks at once draw what one at a time does, across changes of the number of digits and for long names."""
+    from hashlib import md5
+
+    for prefix in ("7|block|0", "7|block|" + "x" * 60):
+        for blocks in (range(0, 1200), range(99_950, 100_060)):
+            want = [int.from_bytes(md5(f"{prefix}|31|{b}".encode()).digest()[:4], "big") % 977 for b in blocks]
+            assert resampling.drawn(prefix, 31, blocks, 977).tolist() == want
+
+
+def test_rows_of_long_draws_grow_with_the_series(spark):
+    """A span of draws sends its places in few rows, not one for every 4,096 rows of the series."""
+    import pyarrow as pa
+
+    rows = {}
+    for n in (400_000, 1_600_000):
+        size = 2
+        one = pa.record_batch([pa.array([v]) for v in ("p", n, size, max(resampling.BUCKET * 16, -(-n // 1024)), 0, 0)], ["prefix", "n", "size", "width", "sample", "low"])
+        out = list(resampling._ends(0)(iter([one])))
+        rows[n] = sum(b.num_rows for b in out)
+        draws = min(resampling.BLOCKS_A_ROW, n // size)
+        assert sum(len(v.as_py()) for b in out for v in b.column("places")) == 2 * 2 * draws
+    assert rows[1_600_000] < 200
+
+
+@pytest.mark.parametrize("wider", [1, 16])
+def test_buckets_of_a_long_series(spark, monkeypatch, wider):
+    monkeypatch.setattr(resampling, "WIDER", wider)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=3000)
+    df = spark.createDataFrame([("a", t, float(x)) for t, x in enumerate(v)], "b string, date int, diff double").repartition(3)
+    got = {r.sample: r["mean"] for r in inference.block_means(df, ["b"], spark.createDataFrame([("a", 2)], "b string, block int"), 6, 7, bucket=64).collect()}
+    for sample in range(6):
+        starts = resampling.drawn("7|block", sample, range(1500), 2999)
+        assert got[sample] == pytest.approx(sum(v[s] + v[s + 1] for s in starts) / 3000, abs=1e-12)
