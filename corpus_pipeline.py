@@ -9,6 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from scenalyx.llm.cotraining import score_rows, train
 from scenalyx.llm.decontaminate import decontaminate
 from scenalyx.llm.jaccard_join import jaccard_components
@@ -75,11 +76,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts and rows without a doc_id stay as they are; rows of one doc_id do not affect one another.
     """
     _clear()
-    out = suffix_dedup(docs, keep_text=True, carry=F.struct(*docs.columns), tables=_scratch(spark))
+    # a text travels once: where nothing goes, kept_text is the text
+    plain = isinstance(docs.schema["text"].dataType, T.StringType)
+    rest = [c for c in docs.columns if not (plain and c == "text")]
+    out = suffix_dedup(docs, keep_text=True, carry=F.struct(*rest), tables=_scratch(spark))
     out = out.where("n_removed = 0 or length(trim(kept_text)) > 0")
     text = F.col("kept_text").cast(docs.schema["text"].dataType)
-    values = {c: F.col(f"carry.`{c}`") for c in docs.columns}
-    values["text"] = F.when(F.col("n_removed") > 0, text).otherwise(values["text"])
+    values = {c: F.col(f"carry.`{c}`") for c in rest}
+    values["text"] = text if plain else F.when(F.col("n_removed") > 0, text).otherwise(values["text"])
     if "n_chars" in values:
         values["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(values["n_chars"])
     return out.select(*(values[c].alias(c) for c in docs.columns))

@@ -14,7 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
@@ -91,7 +91,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.held: list[tuple[DataFrame, str]] = []
+        self.held: list[tuple[DataFrame | Sliced, str]] = []
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """df as a table: smaller than a checkpoint for packed columns."""
@@ -102,7 +102,7 @@ class Scratch:
         self.held.append((out, path))
         return out
 
-    def drop(self, *frames: DataFrame) -> None:
+    def drop(self, *frames: DataFrame | Sliced) -> None:
         """Delete the tables of the given frames, or all."""
         for frame, path in list(self.held):
             if not frames or any(frame is f for f in frames):
@@ -110,6 +110,31 @@ class Scratch:
                 self.held.remove((frame, path))
 
 
+class Sliced:
+    """A table of a Scratch in numbered slices, which are added to, read and dropped by themselves."""
+
+    def __init__(self, tables: Scratch, name: str, schema: str):
+        self.spark, self.schema = tables.spark, schema
+        self.path = f"{checkpoint_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        tables.held.append((self, self.path))
+
+    def add(self, df: DataFrame, number: Column) -> None:
+        with free_shuffles(self.spark):
+            df.withColumn("slice", number).write.mode("append").partitionBy("slice").parquet(self.path)
+
+    def read(self, *numbers: int) -> DataFrame:
+        """Rows of the given slices."""
+        jvm, out = self.spark.sparkContext._jvm, self.spark.createDataFrame([], self.schema)
+        at = [f"{self.path}/slice={k}" for k in numbers]
+        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        at = [p for p in at if fs.exists(jvm.org.apache.hadoop.fs.Path(p))]  # a slice without rows has no folder
+        return self.spark.read.schema(self.schema).parquet(*at) if at else out
+
+    def drop(self, *numbers: int) -> None:
+        for k in numbers:
+            delete(self.spark, f"{self.path}/slice={k}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark can reach."""
     jvm = spark.sparkContext._jvm

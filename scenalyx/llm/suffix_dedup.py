@@ -23,7 +23,9 @@ and buckets are refined by the identifiers of other buckets.
 Places of one batch of open text are kept in the shared folder from round to round
 as a *state*: its starts, and for each place the number of its identifier among the
 batch's distinct ones. Postings and answers are arrays of equal order, so no place
-is named on the way. Texts move twice: to find the open starts, and to lose bytes.
+is named on the way. Texts move twice: to find the open starts, and to lose bytes. A round goes
+through its postings, and then its states, slice by slice, and drops each slice when it
+is done, so postings are not on disk together with their shuffle and their answers.
 
 Skew: equal postings fold within a batch, so a passage that many documents share
 comes once from each batch. Units of a gram that a batch holds in many extents are
@@ -46,6 +48,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +59,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .spark import Scratch, map_arrow, partitions, session_of, target_column, targets
+from .spark import Scratch, Sliced, map_arrow, partitions, session_of, target_column, targets
 
 WIDTH, SAMPLE, QGRAM = 50, 20, 25
 FLUSH_BYTES = 6 << 20
@@ -68,6 +71,8 @@ ROW = "part int, kind int, ids binary, a binary, b binary, c binary"
 ROUND = "part int, kind int, flush long, sub int, a binary, b binary, c binary"
 SPAN, STATE, ANSWER, POSTING = 0, 1, 2, 3
 RANK_BITS = 40
+#: A round goes through its parts in so many slices, of at least so many parts each; texts meet their answers in so many.
+SLICES, PARTS_A_SLICE, TEXT_SLICES = 8, 12, 2
 
 
 def smallest_in_windows(value: np.ndarray, w: int) -> np.ndarray:
@@ -471,12 +476,15 @@ def _prints(data, offsets):
     return np.array([xxhash.xxh3_64_intdigest(data[a:b].data) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
 
 
-def _open_starts(part_keys, width, q, gram):
-    """Documents meet the answers: spans of decided units, and the open starts' state and first postings."""
+def _open_starts(part_keys, width, q, gram, first=0):
+    """Documents meet the answers: spans of decided units, and the open starts' state and first postings.
+
+    Batches are numbered from first on, which tells those of several runs apart.
+    """
     steps = depths(width, gram)
 
     def run(batches):
-        flush = TaskContext.get().partitionId() << 32
+        flush = (first + TaskContext.get().partitionId()) << 32
         held = {"doc": [], "print": [], "row": [], "begin": [], "length": [], "starts": [], "hash": []}
         rows_held = places = 0
 
@@ -708,22 +716,38 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, q: int = QGRAM, keep_text:
     said = map_arrow(posted.repartition(n, "part"), _judge_units(keys), ROW)
     home = target_column(keys, home_of(F.col("doc_id"), n))
 
-    def met(answers: DataFrame, *carried: str) -> DataFrame:
-        """Answers and then the documents of every part."""
+    def met(answers: DataFrame, *carried: str, where: Callable[[Column], Column] = lambda part: F.lit(True)) -> DataFrame:
+        """Answers and then the documents of every part that where names."""
         own = [c for c in answers.columns if c not in ("part", "kind")]
         kinds = dict(answers.dtypes)
         answers = answers.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *(F.lit(None).cast(kind_of).alias(c) for c in carried))
         texts = held.select(home.alias("part"), F.lit(9).alias("kind"), *(F.lit(None).cast(kinds[c]).alias(c) for c in own), "doc_id", "text", *carried)
-        return answers.unionByName(texts).repartition(n, "part").sortWithinPartitions("part", "kind")
+        return answers.unionByName(texts).where(where(F.col("part"))).repartition(n, "part").sortWithinPartitions("part", "kind")
 
+    # what is on disk at once: the slices to come, what those done have left, and the shuffle of one
+    slices = max(1, min(SLICES, n // PARTS_A_SLICE))
+    of = lambda part, k: F.pmod(F.pmod(F.hash(part), F.lit(n)), F.lit(k))  # noqa: E731  (parts hash to 0 .. n - 1)
+    own = of(F.col("part"), slices)
+    number = F.when(F.col("kind") == POSTING, own).otherwise(slices + own)
     said = tables.written(said, "suffix-dedup-units")
-    now = tables.written(map_arrow(met(said), _open_starts(keys, width, sample, q), ROUND), "suffix-dedup-round")
+    now = Sliced(tables, "suffix-dedup-round", ROUND)
+    texts = min(TEXT_SLICES, slices)
+    for j in range(texts):
+        now.add(map_arrow(met(said, where=lambda part: of(part, texts) == j), _open_starts(keys, width, sample, q, j * n), ROUND), number)  # noqa: B023
     tables.drop(said)
     for k in range(len(depths(width, q))):
-        answers = map_arrow(now.where(F.col("kind") == POSTING).repartition(n, "part"), _buckets(keys, k == len(depths(width, q)) - 1), ROUND)
-        both = now.where(F.col("kind") != POSTING).unionByName(answers)
-        before, now = now, tables.written(map_arrow(both.repartition(n, "part").sortWithinPartitions("flush", "kind", "sub"), _advance(keys, width, q, k), ROUND), "suffix-dedup-round")
-        tables.drop(before)
+        answers, after = (Sliced(tables, f"suffix-dedup-{name}", ROUND) for name in ("answers", "round"))
+        for j in range(slices):
+            answers.add(map_arrow(now.read(j).repartition(n, "part"), _buckets(keys, k == len(depths(width, q)) - 1), ROUND), own)
+            now.drop(j)
+        for j in range(slices):
+            both = now.read(slices + j).unionByName(answers.read(j)).repartition(n, "part").sortWithinPartitions("flush", "kind", "sub")
+            after.add(map_arrow(both, _advance(keys, width, q, k), ROUND), number)
+            now.drop(slices + j)
+            answers.drop(j)
+        tables.drop(now, answers)
+        now = after
+    now = now.read(*range(slices, 2 * slices))
     out = map_arrow(met(now, "carry"), _remove(keep_text), T.StructType([*T._parse_datatype_string(OUT_TYPES).fields, T.StructField("carry", kind_of)]))
     lone = docs.where("doc_id is null")
     size, text = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), F.coalesce("text", F.lit(""))
