@@ -102,6 +102,11 @@ class Scratch:
         self.held.append((out, path))
         return out
 
+    def size(self, frame: DataFrame) -> int:
+        """Bytes of a table's files."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(next(path for f, path in self.held if f is frame))
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
     def drop(self, *frames: DataFrame | Sliced) -> None:
         """Delete the tables of the given frames, or all."""
         for frame, path in list(self.held):

@@ -48,7 +48,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +70,13 @@ ROW = "part int, kind int, ids binary, a binary, b binary, c binary"
 ROUND = "part int, kind int, flush long, sub int, a binary, b binary, c binary"
 SPAN, STATE, ANSWER, POSTING = 0, 1, 2, 3
 RANK_BITS = 40
-#: A round goes through its parts in so many slices, of at least so many parts each; texts meet their answers in so many.
-SLICES, PARTS_A_SLICE, TEXT_SLICES = 8, 12, 2
+#: A round goes through its parts in so many slices at most, of at least so many parts and bytes of answers each; texts meet their answers in so many.
+SLICES, PARTS_A_SLICE, BYTES_A_SLICE, TEXT_SLICES = 8, 12, 16 << 20, 4
+
+
+def slices_of(n: int, size: int) -> int:
+    """Slices of n parts, for so many bytes of answers to units: where little is open, slices would cost tasks and files and spare no disk."""
+    return max(1, min(SLICES, n // PARTS_A_SLICE, size // BYTES_A_SLICE))
 
 
 def smallest_in_windows(value: np.ndarray, w: int) -> np.ndarray:
@@ -715,33 +719,38 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, q: int = QGRAM, keep_text:
     posted = map_arrow(held.select("doc_id", "text"), _post_units(keys, width, sample), ROW)
     said = map_arrow(posted.repartition(n, "part"), _judge_units(keys), ROW)
     home = target_column(keys, home_of(F.col("doc_id"), n))
+    at = F.pmod(F.hash("part"), F.lit(n))  # parts hash to 0 .. n - 1
+
+    def dealt(rows: DataFrame, k: int) -> DataFrame:
+        """Rows of one of k slices of the parts (those whose place is its number modulo k), a task for each of its parts."""
+        return rows.repartitionById(-(-n // k), F.floor(at / k).cast("int"))
 
-    def met(answers: DataFrame, *carried: str, where: Callable[[Column], Column] = lambda part: F.lit(True)) -> DataFrame:
-        """Answers and then the documents of every part that where names."""
+    def met(answers: DataFrame, *carried: str, where: tuple[int, int] = (0, 1)) -> DataFrame:
+        """Answers and then the documents of every part, or of one (j, k) of k slices of the parts."""
         own = [c for c in answers.columns if c not in ("part", "kind")]
         kinds = dict(answers.dtypes)
         answers = answers.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *(F.lit(None).cast(kind_of).alias(c) for c in carried))
         texts = held.select(home.alias("part"), F.lit(9).alias("kind"), *(F.lit(None).cast(kinds[c]).alias(c) for c in own), "doc_id", "text", *carried)
-        return answers.unionByName(texts).where(where(F.col("part"))).repartition(n, "part").sortWithinPartitions("part", "kind")
+        j, k = where
+        return dealt(answers.unionByName(texts).where(F.pmod(at, F.lit(k)) == j), k).sortWithinPartitions("part", "kind")
 
+    said = tables.written(said, "suffix-dedup-units")
     # what is on disk at once: the slices to come, what those done have left, and the shuffle of one
-    slices = max(1, min(SLICES, n // PARTS_A_SLICE))
-    of = lambda part, k: F.pmod(F.pmod(F.hash(part), F.lit(n)), F.lit(k))  # noqa: E731  (parts hash to 0 .. n - 1)
-    own = of(F.col("part"), slices)
+    slices = slices_of(n, tables.size(said))
+    own = F.pmod(at, F.lit(slices))
     number = F.when(F.col("kind") == POSTING, own).otherwise(slices + own)
-    said = tables.written(said, "suffix-dedup-units")
     now = Sliced(tables, "suffix-dedup-round", ROUND)
     texts = min(TEXT_SLICES, slices)
     for j in range(texts):
-        now.add(map_arrow(met(said, where=lambda part: of(part, texts) == j), _open_starts(keys, width, sample, q, j * n), ROUND), number)  # noqa: B023
+        now.add(map_arrow(met(said, where=(j, texts)), _open_starts(keys, width, sample, q, j * n), ROUND), number)
     tables.drop(said)
     for k in range(len(depths(width, q))):
         answers, after = (Sliced(tables, f"suffix-dedup-{name}", ROUND) for name in ("answers", "round"))
         for j in range(slices):
-            answers.add(map_arrow(now.read(j).repartition(n, "part"), _buckets(keys, k == len(depths(width, q)) - 1), ROUND), own)
+            answers.add(map_arrow(dealt(now.read(j), slices), _buckets(keys, k == len(depths(width, q)) - 1), ROUND), own)
             now.drop(j)
         for j in range(slices):
-            both = now.read(slices + j).unionByName(answers.read(j)).repartition(n, "part").sortWithinPartitions("flush", "kind", "sub")
+            both = dealt(now.read(slices + j).unionByName(answers.read(j)), slices).sortWithinPartitions("flush", "kind", "sub")
             after.add(map_arrow(both, _advance(keys, width, q, k), ROUND), number)
             now.drop(slices + j)
             answers.drop(j)

@@ -303,6 +303,23 @@ def test_suffix_dedup_random(spark, monkeypatch, q, width, extents):
     assert collections.Counter(tuple(r) for r in suffix_dedup(df, width, q).collect()) == brute_dedup(rows, width)
 
 
+def test_suffix_dedup_slices(docs, spark, monkeypatch):
+    """Slices are for what is worth slicing: few answers go through one, whatever the number of parts; the results are the same."""
+    added, add = [], suffix_dedup_module.Sliced.add
+    monkeypatch.setattr(suffix_dedup_module.Sliced, "add", lambda self, df, number: added.append(self) or add(self, df, number))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        assert collections.Counter(tuple(r) for r in suffix_dedup(docs).collect()) == brute_dedup(ROWS)
+        assert len(added) == 5  # the texts once, and two rounds of buckets and states
+        monkeypatch.setattr("scenalyx.llm.suffix_dedup.BYTES_A_SLICE", 1)
+        monkeypatch.setattr("scenalyx.llm.suffix_dedup.PARTS_A_SLICE", 5)
+        assert collections.Counter(tuple(r) for r in suffix_dedup(docs).collect()) == brute_dedup(ROWS)
+        assert len(added) == 5 + 4 + 2 * 2 * 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_suffix_dedup_long_texts(spark):
     """A text of over 16 MiB and a short one share a passage; both go by one rule."""
     passage = "".join(f"{i * i % 99_991:05d} " for i in range(400))
