@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .spark import Scratch, map_arrow
+from .spark import Scratch, give_back, map_arrow
 
 BITS = 14
 TEXT_SIZE = (1 << BITS) + (1 << 12) + 1
@@ -555,7 +555,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, toxic: b
         for _ in range(rounds):
             if not _exchange(every, ids, targets, per_round, sure):
                 break
-    return Models(targets[0].model(), targets[1].model() if toxic else None)
+            give_back()
+    models = Models(targets[0].model(), targets[1].model() if toxic else None)
+    # the driver's process stays as large as it was when it trained, unless it gives that back
+    del rows, targets
+    give_back()
+    return models
 
 
 SCORES = ["text_score", "meta_score", "score", "toxic_score"]
