@@ -66,14 +66,18 @@ def _running(n_keys: int, names: list[str]):
     return fn
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """df with a column for each of ``sums``: its running sum within keys, in order, the row's own included."""
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], adaptive: bool = False) -> DataFrame:
+    """df with a column for each of ``sums``: its running sum within keys, in order, the row's own included.
+
+    Ranges are as many as shuffle partitions, or, if ``adaptive``, fewer where Spark joins neighbours that hold little.
+    """
     spark = df.sparkSession
     ship(spark)
     names = [f"__{k}" for k in range(len(sums))]
     rest = [c for c in df.columns if c not in keys]
     rows = df.select(*keys, *rest, *(F.coalesce(v, F.lit(0.0)).cast("double").alias(n) for n, v in zip(names, sums.values())))
-    ranges = rows.repartitionByRange(partitions(spark), *keys, *order).sortWithinPartitions(*keys, *order)
+    cols = [F.col(c) for c in (*keys, *order)]
+    ranges = (rows.repartitionByRange(*cols) if adaptive else rows.repartitionByRange(partitions(spark), *cols)).sortWithinPartitions(*cols)
     doubles = [T.StructField(f"{n}__sum", T.DoubleType()) for n in names]
     schema = T.StructType([*ranges.schema.fields, *doubles, T.StructField("__run", T.LongType())])
     local = ranges.mapInArrow(_running(len(keys), names), schema).drop(*names)
@@ -99,7 +103,8 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
 def value_sums(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
     """(keys, value, <sum> and <sum>_upto): one row for each distinct value, its own sums and those of all values up to it."""
     own = df.groupBy(*keys, value).agg(*(F.sum(v).alias(n) for n, v in sums.items()))
-    return running_sums(own, keys, [value], {f"{n}_upto": F.col(n) for n in sums})
+    # sets of scenarios are summed again and again, and small ones are not to be a task for every shuffle partition
+    return running_sums(own, keys, [value], {f"{n}_upto": F.col(n) for n in sums}, adaptive=True)
 
 
 def placed(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:

@@ -51,6 +51,25 @@ def test_running_sums_of_one_series_in_many_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_small_sets_are_no_task_for_every_partition(spark):
+    """Ranges follow the rows, not the shuffle partitions; the sums are the same in many ranges."""
+    df = spark.createDataFrame([(i % 3, i, float(i)) for i in range(90)], "k int, t int, v double")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", coalesce)}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        few = ordered.value_sums(df, ["k"], "t", {"s": F.col("v")})
+        assert few.rdd.getNumPartitions() <= 4
+        spark.conf.set(coalesce, "false")
+        many = ordered.value_sums(df, ["k"], "t", {"s": F.col("v")})
+        assert many.rdd.getNumPartitions() > 4
+        want = {(i % 3, i): float(sum(range(i % 3, i + 1, 3))) for i in range(90)}
+        assert {(r.k, r.t): r.s_upto for r in few.collect()} == {(r.k, r.t): r.s_upto for r in many.collect()} == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_value_sums_keep_ties_together(spark):
     rows = [(k, v) for k, _, _, v in series(2) if v is not None]
     got = ordered.value_sums(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"n": F.lit(1)})
