@@ -207,13 +207,8 @@ class Sparse:
     """Rows of a feature matrix as (row, slot, value) triples."""
 
     def __init__(self, row, slot, value, n, width):
-        self.row, self.slot, self.value, self.n, self.width = row, slot, value, n, width
-
-    def take(self, index):
-        new = np.full(self.n, -1)
-        new[index] = np.arange(len(index))
-        keep = new[self.row] >= 0
-        return Sparse(new[self.row[keep]], self.slot[keep], self.value[keep], len(index), self.width)
+        # twelve bytes a triple; sums are of doubles all the same
+        self.row, self.slot, self.value, self.n, self.width = row.astype(np.int32, copy=False), slot.astype(np.int32, copy=False), value, n, width
 
     def times(self, w):
         return np.bincount(self.row, w[self.slot] * self.value, self.n)
@@ -290,38 +285,40 @@ class Target:
             self.taught[view][len(self.rows)] = label
             self.rows.append(r)
 
+    def _text(self, index: np.ndarray) -> Sparse:
+        """The text view of the rows that index names."""
+        rows = [self.rows[i] for i in index]
+        slots = [np.frombuffer(r["slots" if self.marks is None else "marks"], np.int32) for r in rows]
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(s) for s in slots])
+        value = np.concatenate([np.frombuffer(r["parts"], np.float32) for r in rows]) if self.marks is None else np.ones(len(row), np.float32)
+        return Sparse(row, np.concatenate(slots), value, len(rows), TEXT_SIZE if self.marks is None else max(len(self.marks), 1))
+
+    def _meta(self, index: np.ndarray) -> Sparse:
+        """The metadata view of the rows that index names."""
+        n, at = len(index), np.arange(len(index))
+        rows = [json.loads(self.rows[i]["meta"]) for i in index]
+        dense = np.clip((np.array([m[2] for m in rows]) - self.mean) / self.scale, -8, 8)
+        slot = np.concatenate([[m[0] for m in rows], [SOURCES + m[1] for m in rows], np.tile(SOURCES + LANGS + np.arange(NUMBERS), n)])
+        return Sparse(np.concatenate([at, at, np.repeat(at, NUMBERS)]), slot, np.concatenate([np.ones(2 * n), dense.ravel()]), n, META_SIZE)
+
     def fit(self) -> None:
-        n, text_key = len(self.rows), "slots" if self.marks is None else "marks"
-        at = np.arange(n)
-        slots = [np.frombuffer(r[text_key], np.int32) for r in self.rows]
-        row = np.repeat(at, [len(s) for s in slots])
-        value = np.concatenate([np.frombuffer(r["parts"], np.float32) for r in self.rows]).astype(float) if self.marks is None else np.ones(len(row))
-        text = Sparse(row, np.concatenate(slots).astype(np.int64), value, n, TEXT_SIZE if self.marks is None else max(len(self.marks), 1))
-        meta_rows = [json.loads(r["meta"]) for r in self.rows]
-        dense = np.clip((np.array([m[2] for m in meta_rows]) - self.mean) / self.scale, -8, 8)
-        meta = Sparse(
-            np.concatenate([at, at, np.repeat(at, NUMBERS)]),
-            np.concatenate([[m[0] for m in meta_rows], [SOURCES + m[1] for m in meta_rows], np.tile(SOURCES + LANGS + np.arange(NUMBERS), n)]).astype(np.int64),
-            np.concatenate([np.ones(2 * n), dense.ravel()]),
-            n,
-            META_SIZE,
-        )
+        """Fit both views; a view's matrix is made for its rows alone and goes when its weights stand."""
         base = np.flatnonzero(~self.held)
-        self.views, self.fitted = (text, meta), []
-        for v in (0, 1):
-            extra = self.taught[v]
+        self.fitted, odds = [], []
+        for extra, view in zip(self.taught, (self._text, self._meta), strict=True):
             index = np.concatenate([base, np.array(sorted(extra), np.int64)])
             y = np.concatenate([self.label[base], [extra[i] for i in sorted(extra)]])
             w = np.concatenate([np.ones(len(base)), np.full(len(extra), 0.5)])  # pseudo-labels weigh half
-            self.fitted.append(fit_logistic(self.views[v].take(index), y, w))
+            self.fitted.append(fit_logistic(view(index), y, w))
+            odds.append(view(self._checked()).times(self.fitted[-1][0]) + self.fitted[-1][1])
+        self.odds = odds
 
     def _checked(self) -> np.ndarray:
         return np.flatnonzero(self.held) if self.held.any() else np.arange(self.known)
 
     def _odds(self, view: int) -> np.ndarray:
         """Log-odds of the labelled rows that check what was learned."""
-        w, b = self.fitted[view]
-        return self.views[view].times(w)[self._checked()] + b
+        return self.odds[view]
 
     def trusted(self, view: int, label: int) -> float:
         """The least sureness from which on the view was right about TRUST of the held-out rows it gives this label."""
@@ -340,7 +337,7 @@ class Target:
 
     def exchange(self, chosen: dict[tuple[int, int], list]) -> None:
         """Teach each view what the other is most sure of, by (view, label), and keep that if held-out rows do not speak against it."""
-        before, state = self.loss(), (list(self.rows), tuple(dict(t) for t in self.taught), self.views, self.fitted)
+        before, state = self.loss(), (list(self.rows), tuple(dict(t) for t in self.taught), self.odds, self.fitted)
         trusted = {at: self.trusted(*at) for at in chosen}
         for (view, label), rows in chosen.items():
             self.teach(1 - view, float(label), [r["x"] for r in rows if r["x"]["sure"] >= trusted[view, label]])
@@ -349,7 +346,7 @@ class Target:
             return
         self.fit()
         if self.loss() > before:
-            self.rows, self.taught, self.views, self.fitted = state
+            self.rows, self.taught, self.odds, self.fitted = state
             self.ended = True
 
     def model(self, calibrated: bool = True) -> Model:
@@ -473,9 +470,9 @@ def _exchange(rows: DataFrame, ids: Broadcast, targets: list[Target | None], per
     taught = set().union(*(t.seen for t, m in zip(targets, models, strict=True) if m is not None))
     found = tables.written(map_arrow(rows, _surest(models, per_round, sure, ids, taught), SUREST), "surest")
     each = found.groupBy("combo", "print").agg(F.max("sure").alias("sure"))
-    # a top-k each, taken in the tasks first
-    top = [each.where(F.col("combo") == c).orderBy(F.desc("sure"), "print").limit(per_round) for c in range(8) if models[c >> 2] is not None]
-    top = reduce(DataFrame.unionByName, top).select("combo", "print")
+    # a top-k each, taken in the tasks first (a limit on row numbers); a target that ended has no rows
+    place = F.row_number().over(Window.partitionBy("combo").orderBy(F.desc("sure"), "print"))
+    top = each.withColumn("place", place).where(F.col("place") <= per_round).select("combo", "print")
     features = F.struct("sure", "slots", "parts", "marks", "meta")
     picked = found.join(F.broadcast(top), ["combo", "print"]).groupBy("combo", "print").agg(F.max_by(features, F.struct("sure", "meta")).alias("x"))
     by_target: list[dict[tuple[int, int], list]] = [{}, {}]

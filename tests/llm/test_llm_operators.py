@@ -663,6 +663,31 @@ def test_one_round_of_the_exchange_by_hand(spark, monkeypatch):
     assert seen["losses"][1] <= seen["losses"][0]
 
 
+def test_training_keeps_one_matrix_at_a_time():
+    """The driver's memory while it trains stays near one view's rows: once it was 80 bytes a feature and more."""
+    import json
+    import tracemalloc
+
+    from scenalyx.llm import cotraining as C
+
+    rng = np.random.default_rng(3)
+
+    def row(i):
+        slots = np.unique(rng.integers(0, C.TEXT_SIZE // 2, 400) + C.TEXT_SIZE // 2 * (i % 2)).astype(np.int32)
+        return {"doc_id": i, "label": i % 2, "toxic": None, "held": False, "slots": slots.tobytes(), "parts": np.full(len(slots), 0.01, np.float32).tobytes(), "marks": b"", "meta": json.dumps([i % 2, 0, [0.0] * C.NUMBERS])}
+
+    rows = [row(i) for i in range(1000)]
+    features = sum(len(r["slots"]) // 4 for r in rows)
+    tracemalloc.start()
+    try:
+        target = C.Target(rows)
+        at_rest, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < 50 * features and at_rest < 10 * features
+    assert target.loss() < 0.1
+
+
 def test_exchange_is_undone_where_it_hurts():
     """Labels that held-out rows contradict are taken back, and end the exchange."""
     import json
