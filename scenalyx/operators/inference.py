@@ -255,12 +255,13 @@ def confidence_sets(scores: DataFrame, blocks: DataFrame, alpha: float, samples:
     losses = cut(scores.select("metric", "model", *(within or []), "date", F.col("score").alias("diff")))
     own = losses.select("metric", "model").distinct().join(blocks.select("metric", "block"), "metric")
     means = block_means(losses, ["metric", "model"], cut(own), samples, seed, within, stream=["metric"])
-    seen = losses.groupBy("metric", "model").agg(F.avg("diff").alias("seen"))
+    seen = losses.groupBy("metric", "model").agg(F.avg("diff").alias("seen"), F.avg(F.abs("diff")).alias("size"))
 
     def run(pdf):
         x = pdf.pivot(index="sample", columns="model", values="mean").sort_index()
-        own = pdf.groupby("model")["seen"].first().loc[x.columns].to_numpy()
-        return pd.DataFrame([(pdf["metric"].iloc[0], x.columns[c], step, p, t, p > alpha) for c, step, p, t in eliminate(own, x.to_numpy())], columns=["metric", "model", "left_at", "pvalue", "statistic", "in_set"])
+        own = pdf.groupby("model")[["seen", "size"]].first().loc[x.columns]
+        found = eliminate(own["seen"].to_numpy(), x.to_numpy(), own["size"].to_numpy())
+        return pd.DataFrame([(pdf["metric"].iloc[0], x.columns[c], step, p, t, p > alpha) for c, step, p, t in found], columns=["metric", "model", "left_at", "pvalue", "statistic", "in_set"])
 
     # samples x models rows of a metric
     return means.join(seen, ["metric", "model"]).groupBy("metric").applyInPandas(run, "metric string, model string, left_at int, pvalue double, statistic double, in_set boolean")
@@ -274,10 +275,13 @@ def confidence_set_statistics(scores: DataFrame, metric: str, block: int, sample
 
 
 def set_statistics(losses: DataFrame, means: DataFrame, keys: list[str]) -> DataFrame:
-    obs = losses.groupBy(*keys, "model").agg(F.avg("diff").alias("m"))
-    vec = means.join(obs, [*keys, "model"]).groupBy(*keys, "sample").agg(F.sort_array(F.collect_list(F.struct("model", "mean", "m"))).alias("v"))  # one entry a model
+    """(keys, model_i, model_j, diff, sd, t); t is null where the spread is rounding."""
+    from .dynamics import ROUNDING
+
+    obs = losses.groupBy(*keys, "model").agg(F.avg("diff").alias("m"), F.avg(F.abs("diff")).alias("size"))
+    vec = means.join(obs, [*keys, "model"]).groupBy(*keys, "sample").agg(F.sort_array(F.collect_list(F.struct("model", "mean", "m", "size"))).alias("v"))  # one entry a model
     one = vec.select(*keys, "v", F.explode("v").alias("i"))
     two = one.select(*keys, "i", F.explode("v").alias("j")).where("i.model < j.model")
-    d = two.select(*keys, F.col("i.model").alias("model_i"), F.col("j.model").alias("model_j"), (F.col("i.m") - F.col("j.m")).alias("diff"), (F.col("i.mean") - F.col("j.mean") - F.col("i.m") + F.col("j.m")).alias("e"))
-    g = d.groupBy(*keys, "model_i", "model_j").agg(F.max("diff").alias("diff"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("sd"))
-    return g.withColumn("t", F.when(F.col("sd") > 0, F.try_divide(F.col("diff"), F.col("sd"))))
+    d = two.select(*keys, F.col("i.model").alias("model_i"), F.col("j.model").alias("model_j"), (F.col("i.m") - F.col("j.m")).alias("diff"), (F.col("i.mean") - F.col("j.mean") - F.col("i.m") + F.col("j.m")).alias("e"), F.greatest("i.size", "j.size").alias("size"))
+    g = d.groupBy(*keys, "model_i", "model_j").agg(F.max("diff").alias("diff"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("sd"), F.max("size").alias("size"))
+    return g.withColumn("t", F.when(F.col("sd") > ROUNDING * F.col("size"), F.try_divide(F.col("diff"), F.col("sd")))).drop("size")

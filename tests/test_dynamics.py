@@ -100,6 +100,17 @@ def test_elimination():
     assert out[0][0] == 2 and out[0][2] < 0.05 and [r[2] for r in out] == sorted(r[2] for r in out) and out[-1][2] == 1
 
 
+def test_elimination_takes_rounding_for_no_spread():
+    mean = np.array([0.11, 0.12, 0.13])
+    drawn = np.stack([mean, np.nextafter(mean, 1)]).repeat(100, 0)
+    assert D.eliminate(mean, drawn) == [(0, 1, 1.0, 0.0), (1, 2, 1.0, 0.0), (2, 3, 1.0, 0.0)]
+    # signed losses: means near zero say nothing of the rounding of their sums
+    noisy = np.array([1e-16, -1e-16, 2e-16]) + 1e-15 * np.arange(-2, 3)[:, None] * [1, 2, -1]
+    assert [r[2:] for r in D.eliminate(np.zeros(3), noisy, np.ones(3))] == [(1.0, 0.0)] * 3
+    # a small spread that is none of rounding counts
+    assert D.eliminate(mean, mean + 1e-9 * np.arange(-2, 3)[:, None] * [1, 2, -1])[0][0] == 2
+
+
 def test_kolmogorov():
     # one observation: P(D >= d) = 2 (1 - d) for d over a half; tabled 5 % points
     assert D.kolmogorov_tail(0.7, 1) == pytest.approx(0.6)

@@ -117,6 +117,20 @@ def test_confidence_changes_intervals_and_rejections(spark):
     assert sets["focal"].pvalue == 1.0 and sets["focal"].in_set and sets["other"].left_at == 1
 
 
+def test_rounding_is_no_spread_of_a_confidence_set(spark):
+    """A block as long as the series draws the observed means again: they differ by rounding alone, and no model leaves for that."""
+    rng = np.random.default_rng(6)
+    rows = [("energy", m, d, float(x)) for m in ("a", "b", "c") for d, x in zip(days(19), 0.1 + rng.normal(0, 0.03, 19))]
+    scores = spark.createDataFrame(rows, "metric string, model string, date date, score double").repartition(3)
+    for block, still in ((19, True), (2, False)):
+        sizes = spark.createDataFrame([("energy", block)], "metric string, block int")
+        got = inference.confidence_sets(scores, sizes, 0.1, 200, 7).orderBy("left_at").collect()
+        assert [r.left_at for r in got] == [1, 2, 3] and all(r.statistic == 0 and r.pvalue == 1 and r.in_set for r in got) == still
+        wide = scores.groupBy("model", "date").agg(F.first("score").alias("score"))
+        pairs = inference.confidence_set_statistics(wide, "score", block, 200, 7).collect()
+        assert len(pairs) == 3 and all((r.t is None) == still for r in pairs)
+
+
 def test_expanding_covariance(spark):
     rng = np.random.default_rng(2)
     x = 1e4 + rng.normal(size=(60, 3))
