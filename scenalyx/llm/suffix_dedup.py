@@ -71,7 +71,10 @@ ROUND = "part int, kind int, flush long, sub int, a binary, b binary, c binary"
 SPAN, STATE, ANSWER, POSTING = 0, 1, 2, 3
 RANK_BITS = 40
 #: A round goes through its parts in so many slices at most, of at least so many parts and bytes of answers each; texts meet their answers in so many.
-SLICES, PARTS_A_SLICE, BYTES_A_SLICE, TEXT_SLICES = 8, 12, 16 << 20, 4
+#: Every slice is a file, and its folder, of each task that writes: four spare most of the disk that more would.
+SLICES, PARTS_A_SLICE, BYTES_A_SLICE, TEXT_SLICES = 4, 12, 16 << 20, 4
+#: Rows that a task gives go out in batches of about so many bytes: Python, Arrow and Spark each hold one whole.
+BATCH_BYTES = 1 << 20
 
 
 def slices_of(n: int, size: int) -> int:
@@ -223,7 +226,7 @@ def _post_units(keys, width, q):
         rows += _blobs(_deal_by_id(gram[few], n), keys, n, lambda i: make(few[i]), UNIT)
         rows += _blobs(_deal_by_id(name[spread], n), keys, n, lambda i: make(spread[i]), SPREAD)
         rows += _blobs(_deal_by_id(gram[anyhow], n), keys, n, lambda i: (None, (gram[anyhow[i]] & K.U64(0xFFFFFFFF)).tobytes(), None, None), OPEN_GRAM)
-        return _batch(rows)
+        return _batches(rows)
 
     def run(batches):
         held, doc, gram, extent = 0, [], [], []
@@ -236,10 +239,10 @@ def _post_units(keys, width, q):
                 extent.append(x)
                 held += len(data)
                 if held >= FLUSH_BYTES:
-                    yield emit(doc, gram, extent)
+                    yield from emit(doc, gram, extent)
                     held, doc, gram, extent = 0, [], [], []
         if held:
-            yield emit(doc, gram, extent)
+            yield from emit(doc, gram, extent)
 
     return run
 
@@ -260,7 +263,7 @@ def _judge_units(keys):
                     anyhow.append(np.frombuffer(a, np.uint64))
                 else:
                     passed.append((part, kind, ids, a, b, c))
-            yield _batch(passed)
+            yield from _batches(passed)
             passed = []
         anyhow = np.unique(np.concatenate(anyhow))
         for kind, postings in found.items():
@@ -270,7 +273,7 @@ def _judge_units(keys):
             order, head, of = _fold(gram, extent, doc)
             doc, gram, extent = doc[order], gram[order], extent[order]
             known = doc > doc[head][of]
-            yield _batch(_told(keys, n, DECIDED, _unit_key(gram[known], extent[known]), doc[known]))
+            yield from _batches(_told(keys, n, DECIDED, _unit_key(gram[known], extent[known]), doc[known]))
             if kind == SPREAD:  # these were told open by those who posted them
                 continue
             g, x, d = gram[head], extent[head], doc[head]
@@ -279,7 +282,7 @@ def _judge_units(keys):
             start[1:] = g[1:] != g[:-1]
             group, at = np.cumsum(start) - 1, np.flatnonzero(start)
             open_ = (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at))[group] | _among(g, anyhow)
-            yield _batch(_told(keys, n, OPEN, _unit_key(g[open_], x[open_]), d[open_]))
+            yield from _batches(_told(keys, n, OPEN, _unit_key(g[open_], x[open_]), d[open_]))
 
     return run
 
@@ -456,9 +459,26 @@ def _round_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], [x.split()[0] for x in ROUND.split(", ")])
 
 
+def _bounded(rows):
+    """Rows in lists of about BATCH_BYTES of columns, 500 rows at most; a longer row has a list of its own."""
+    held, size = [], 0
+    for row in rows:
+        own = sum(len(x) for x in row if isinstance(x, bytes))
+        if held and (size + own > BATCH_BYTES or len(held) == 500):
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += own
+    if held:
+        yield held
+
+
+def _batches(rows):
+    return map(_batch, _bounded(rows))
+
+
 def _round_batches(rows):
-    for r in range(0, len(rows), 500):
-        yield _round_batch(rows[r : r + 500])
+    return map(_round_batch, _bounded(rows))
 
 
 def _span_rows(part_keys, doc, print_, row, begin, end):
@@ -564,36 +584,52 @@ def _buckets(part_keys, last):
                     k = np.cumsum(K.unplanes(a, 8), dtype=np.uint64)
                 first.append(k)
                 second.append(np.zeros(len(k), np.uint64) if b is None else K.unplanes(b, 8))
-                third.append(_smallest(c, len(k)) if last else np.unpackbits(np.frombuffer(c, np.uint8), count=len(k)).astype(np.int64))
+                third.append(_smallest(c, len(k)) if last else np.unpackbits(np.frombuffer(c, np.uint8), count=len(k)))
                 source.append(len(k))
                 rows.append((flush, sub, part))
         if not rows:
             return
-        one, two, more = np.concatenate(first), np.concatenate(second), np.concatenate(third)
+        # a part's postings are the most that a task holds: each array goes once the next is made of it
+        one = np.concatenate(first)
+        first.clear()
+        two = np.concatenate(second)
+        second.clear()
         order = np.lexsort((two, one))
-        f, s = one[order], two[order]
         head = np.ones(len(order), bool)
-        head[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
+        one = one[order]
+        head[1:] = one[1:] != one[:-1]
+        del one
+        two = two[order]
+        head[1:] |= two[1:] != two[:-1]
+        del two
+        own = np.concatenate(third)
+        third.clear()
+        own = own[order]
         bucket, at = np.cumsum(head) - 1, np.flatnonzero(head)
-        own = more[order]
+        del head
         if last:
             said = np.minimum.reduceat(own, at)[bucket] < own
         else:
             # a bucket that several batches hold, or two documents of one
             shared = (np.bincount(bucket) > 1) | (np.maximum.reduceat(own, at) > 0)
             said = np.where(shared, np.cumsum(shared), 0)[bucket]
+        del own, bucket
         back = np.empty(len(order), said.dtype)
         back[order] = said
-        out, begin = [], 0
-        for (flush, sub, part), size in zip(rows, source, strict=True):
-            x = back[begin : begin + size]
-            begin += size
-            if last:
-                a = np.packbits(x).tobytes()
-            else:  # the rank of a part, and the part
-                a = K.planes(np.where(x > 0, x.astype(np.uint64) | (K.U64(place_of[part]) << K.U64(RANK_BITS)), K.U64(0)), 8)
-            out.append((int(part_keys[flush % len(part_keys)]), ANSWER, flush, sub, a, struct.pack("<Q", size), None))
-        yield from _round_batches(out)
+        del order, said
+
+        def answers():
+            begin = 0
+            for (flush, sub, part), size in zip(rows, source, strict=True):
+                x = back[begin : begin + size]
+                begin += size
+                if last:
+                    a = np.packbits(x).tobytes()
+                else:  # the rank of a part, and the part
+                    a = K.planes(np.where(x > 0, x.astype(np.uint64) | (K.U64(place_of[part]) << K.U64(RANK_BITS)), K.U64(0)), 8)
+                yield int(part_keys[flush % len(part_keys)]), ANSWER, flush, sub, a, struct.pack("<Q", size), None
+
+        yield from _round_batches(answers())
 
     return run
 

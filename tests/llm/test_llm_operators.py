@@ -4,6 +4,7 @@ import bisect
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -320,6 +321,32 @@ def test_suffix_dedup_slices(docs, spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_suffix_dedup_buckets_memory():
+    """A part's postings are not held many times over, and its answers leave in small batches that name the shared keys as before."""
+    keys, batches, n = np.arange(1, 4, dtype=np.int32), 40, 60_000
+    rng = np.random.default_rng(3)
+    first = np.unique(rng.integers(0, 1 << 40, 2 * n).astype(np.uint64))[:n]
+    posted = []
+    for flush in range(batches):
+        own = first.copy()
+        own[: n // 2] += np.uint64((flush + 1) << 41)  # half of the keys are this batch's alone
+        rows, _ = suffix_dedup_module._posted(keys, flush, own, own, np.full(n, flush), False)
+        posted += [r for r in rows if r[0] == 1]
+    posted = list(suffix_dedup_module._round_batches(posted))
+    held = sum(len(suffix_dedup_module.K.unplanes(a, 8)) for b in posted for a in b.column("a").to_pylist())
+    assert held > 500_000
+    tracemalloc.start()
+    sizes, named = [], 0
+    for batch in suffix_dedup_module._buckets(keys, False)(iter(posted)):
+        sizes.append(batch.nbytes)
+        named += sum(int((suffix_dedup_module.K.unplanes(a, 8) > 0).sum()) for a in batch.column("a").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(sizes) < 2 << 20
+    assert peak < 75 * held
+    assert 0.45 * held < named < 0.55 * held
+
+
 def test_suffix_dedup_long_texts(spark):
     """A text of over 16 MiB and a short one share a passage; both go by one rule."""
     passage = "".join(f"{i * i % 99_991:05d} " for i in range(400))
